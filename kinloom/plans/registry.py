@@ -1,6 +1,420 @@
-"""All queries that the entry file registers, with their SQL."""
+"""Registered queries of the linkage operators, over the test tables in the operators' roles, with their SQL.
+
+Roles: ``part`` holds person records (name words as first and last name, type as
+city, brand as ZIP, size as birth year); ``orders`` encounters of ``customer``
+patients, ``lineitem`` what hangs on encounters, ``events`` observations,
+``labels`` truth and prediction, ``conversations`` chat rows.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from kinloom.functions import text
+from kinloom.operators import dataset, errors, evaluate, golden, linkage, split, standardize, summarize
+from kinloom.operators.graph import connected_components
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def t(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/{name}.parquet")
+
+
+def persons(spark, sf) -> DataFrame:
+    words = F.split("p_name", " ")
+    return t(spark, sf, "part").select(F.col("p_partkey").alias("record_id"), F.get(words, F.lit(0)).alias("first_name"), F.get(words, F.lit(1)).alias("last_name"), F.col("p_type").alias("city"), F.col("p_brand").alias("zip"), F.col("p_size").cast("int").alias("birth_year"), F.col("p_partkey").alias("ord"))
+
+
+PERSONS = "persons AS (SELECT p_partkey AS record_id, split_part(p_name, ' ', 1) AS first_name, split_part(p_name, ' ', 2) AS last_name, p_type AS city, p_brand AS zip, CAST(p_size AS INTEGER) AS birth_year, p_partkey AS ord FROM part)"
+RULES = [("zip", "birth_year"), ("first_name", "last_name", "zip"), ("last_name", "birth_year")]
+PAIRS = """pairs AS (SELECT l.record_id AS record_id_l, r.record_id AS record_id_r, CASE WHEN l.zip = r.zip AND l.birth_year = r.birth_year THEN 0 WHEN l.first_name = r.first_name AND l.last_name = r.last_name AND l.zip = r.zip THEN 1 ELSE 2 END AS match_key
+  FROM persons l JOIN persons r ON l.record_id < r.record_id AND ((l.zip = r.zip AND l.birth_year = r.birth_year) OR (l.first_name = r.first_name AND l.last_name = r.last_name AND l.zip = r.zip) OR (l.last_name = r.last_name AND l.birth_year = r.birth_year)))"""
+COMPARISONS = [
+    linkage.Comparison("first_name", (linkage.equal, linkage.similar(0.92), linkage.similar(0.80)), True, (0.1, 0.1, 0.2, 0.6), (0.7, 0.1, 0.1, 0.1)),
+    linkage.Comparison("last_name", (linkage.equal, linkage.similar(0.92), linkage.similar(0.80)), True, (0.1, 0.1, 0.2, 0.6), (0.7, 0.1, 0.1, 0.1)),
+    linkage.Comparison("zip", (linkage.equal,), False, (0.1, 0.9), (0.96, 0.04)),
+    linkage.Comparison("birth_year", (linkage.equal,), False, (0.1, 0.9), (0.98, 0.02)),
+]
+PRIOR = 0.001
+_JW = lambda c: f"CASE WHEN l.{c} = r.{c} THEN 3 WHEN jaro_winkler_similarity(l.{c}, r.{c}) >= 0.92 THEN 2 WHEN jaro_winkler_similarity(l.{c}, r.{c}) >= 0.80 THEN 1 ELSE 0 END"
+GAMMAS = f"""gammas AS (SELECT record_id_l, record_id_r, {_JW("first_name")} AS gamma_first_name, {_JW("last_name")} AS gamma_last_name, CASE WHEN l.zip = r.zip THEN 1 ELSE 0 END AS gamma_zip, CASE WHEN l.birth_year = r.birth_year THEN 1 ELSE 0 END AS gamma_birth_year, l.first_name AS fl, l.last_name AS ll
+  FROM pairs p JOIN persons l ON l.record_id = record_id_l JOIN persons r ON r.record_id = record_id_r)"""
+_LEVELS = lambda c, m, u: f"CASE gamma_{c} " + " ".join(f"WHEN {k} THEN log2({a}::DOUBLE / {b}::DOUBLE)" for k, (a, b) in enumerate(zip(m, u))) + " END"
+_TF = lambda c, v: f"CASE WHEN gamma_{c} = 3 THEN log2(0.1::DOUBLE / (SELECT count(*) FROM persons p WHERE p.{c} = {v}) * (SELECT count(*) FROM persons)) ELSE 0 END"
+SCORES = f"""scores AS (SELECT record_id_l, record_id_r, log2({PRIOR}::DOUBLE / {1 - PRIOR}::DOUBLE) + {" + ".join(_LEVELS(c.name, c.m, c.u) for c in COMPARISONS)} + {_TF("first_name", "fl")} + {_TF("last_name", "ll")} AS w FROM gammas),
+probabilities AS (SELECT record_id_l, record_id_r, w, 1 / (1 + exp(-ln(2::DOUBLE) * w)) AS p FROM scores)"""
+MODEL = f"WITH {PERSONS}, {PAIRS}, {GAMMAS}, {SCORES}"
+
+
+def blocked(spark, sf) -> DataFrame:
+    return linkage.block(persons(spark, sf), RULES)
+
+
+def scored(spark, sf) -> DataFrame:
+    compared = linkage.compare(blocked(spark, sf).drop("match_key"), persons(spark, sf), COMPARISONS)
+    return linkage.score(compared, linkage.Model(COMPARISONS, PRIOR))
+
+
+def micro(c) -> Column:
+    """A double as whole millionths, so that both engines agree."""
+    return F.floor(F.lit(1e6) * c + 0.5).cast("long")
+
+
+@query("SELECT l_orderkey, l_partkey, l_extendedprice FROM lineitem WHERE l_shipdate >= TIMESTAMP '1997-01-01' AND l_quantity < 10")
+def scan_projection(spark, sf):
+    return t(spark, sf, "lineitem").where((F.col("l_shipdate") >= F.lit("1997-01-01").cast("timestamp")) & (F.col("l_quantity") < 10)).select("l_orderkey", "l_partkey", "l_extendedprice")
+
+
+@query("SELECT CAST(c_custkey AS VARCHAR) AS id, 'Customer' || substr(c_name, 9) AS first_name, CAST(c_custkey AS VARCHAR) AS ssn, CASE WHEN length(CAST(c_nationkey AS VARCHAR)) < 5 THEN lpad(CAST(c_nationkey AS VARCHAR), 5, '0') ELSE CAST(c_nationkey AS VARCHAR) END AS zip, upper(c_mktsegment) AS state, 'facility_001_' || CAST(c_custkey AS VARCHAR) AS record_id FROM customer")
+def standardize_columns(spark, sf):
+    raw = t(spark, sf, "customer").select(F.col("c_custkey").cast("string").alias("Id"), F.concat(F.lit(" "), F.lower("c_name"), F.lit("\t")).alias("FIRST"), F.regexp_replace(F.col("c_custkey").cast("string"), r"(\d)", "$1-").alias("SSN"), F.col("c_nationkey").alias("ZIP"), F.lower("c_mktsegment").alias("STATE"))
+    out = standardize.create_record_id(standardize.standardize_columns(raw).withColumn("facility_id", F.lit("facility_001")))
+    return out.select("id", "first_name", "ssn", "zip", "state", "record_id")
+
+
+_NICK = ", ".join(f"('{k}', '{v}')" for k, v in text.NICKNAME.items())
+
+
+@query(f"WITH n(k, v) AS (VALUES {_NICK}), c AS (SELECT v, min_by(k, i) AS k FROM (SELECT k, v, row_number() OVER () AS i FROM n) GROUP BY v) SELECT n.k AS formal, n.v AS nickname, c.k AS canonical FROM n JOIN c ON c.v = n.v")
+def nickname_lookup(spark, sf):
+    names = spark.createDataFrame([(k,) for k in text.NICKNAME], "formal string")
+    return names.select("formal", text.nickname(F.lower("formal")).alias("nickname"), text.canonical_first_name(text.nickname(F.col("formal"))).alias("canonical"))
+
+
+@query(f"WITH {PERSONS}, {PAIRS} SELECT record_id_l, record_id_r, match_key FROM pairs")
+def blocking_union(spark, sf):
+    return blocked(spark, sf)
+
+
+@query(f"WITH {PERSONS} " + " UNION ALL ".join(f"SELECT {n} AS rule, CAST(coalesce(sum(n * (n - 1) // 2), 0) AS BIGINT) AS pairs FROM (SELECT count(*) AS n FROM persons GROUP BY {', '.join(r)})" for n, r in enumerate(RULES)))
+def blocking_sizes(spark, sf):
+    return linkage.block_sizes(persons(spark, sf), RULES)
+
+
+@query("WITH w AS (SELECT DISTINCT p_name AS n FROM part) SELECT a.n AS a, b.n AS b, CAST(floor(1e6 * jaro_winkler_similarity(a.n, b.n) + 0.5) AS BIGINT) AS jw FROM w a, w b WHERE a.n < b.n")
+def jw_compare(spark, sf):
+    w = t(spark, sf, "part").select("p_name").distinct()  # 64 names at any scale
+    pairs = w.select(F.col("p_name").alias("a")).join(w.select(F.col("p_name").alias("b")), F.col("a") < F.col("b"))
+    return pairs.select("a", "b", micro(text.jaro_winkler(F.col("a"), F.col("b"))).alias("jw"))
+
+
+_DOB = "CASE WHEN a = b THEN 5 WHEN damerau_levenshtein(a, b) <= 1 THEN 4 WHEN abs(date_diff('day', CAST(a AS DATE), CAST(b AS DATE))) <= 30 THEN 3 WHEN abs(date_diff('day', CAST(a AS DATE), CAST(b AS DATE))) <= 365 THEN 2 WHEN abs(date_diff('day', CAST(a AS DATE), CAST(b AS DATE))) <= 3652 THEN 1 ELSE 0 END"
+
+
+@query(f"WITH d AS (SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS a, strftime(lag(o_orderdate) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey), '%Y-%m-%d') AS b FROM orders) SELECT o_orderkey, CASE WHEN b IS NULL THEN -1 ELSE {_DOB} END AS level FROM d")
+def dob_levels(spark, sf):
+    w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
+    d = t(spark, sf, "orders").select("o_orderkey", F.date_format("o_orderdate", "yyyy-MM-dd").alias("birthdate_l"), F.date_format(F.lag("o_orderdate").over(w), "yyyy-MM-dd").alias("birthdate_r"))
+    return d.select("o_orderkey", linkage.Comparison("birthdate", linkage.BIRTHDATE).gamma().alias("level"))
+
+
+@query(f"WITH {PERSONS}, {PAIRS}, {GAMMAS} SELECT gamma_first_name, gamma_last_name, gamma_zip, gamma_birth_year, count(*) AS n FROM gammas GROUP BY ALL")
+def gamma_patterns(spark, sf):
+    compared = linkage.compare(blocked(spark, sf).drop("match_key"), persons(spark, sf), COMPARISONS, keep=False)
+    return linkage.patterns(compared, COMPARISONS)
+
+
+@query(f"WITH {PERSONS} SELECT last_name AS value, count(*) / (SELECT count(last_name) FROM persons)::DOUBLE AS tf FROM persons WHERE last_name IS NOT NULL GROUP BY last_name")
+def tf_table(spark, sf):
+    return linkage.term_frequencies(persons(spark, sf), "last_name")
+
+
+@query(f"WITH {PERSONS}, n AS (SELECT count(*) AS n FROM persons), d AS (SELECT count(*) AS k FROM persons l JOIN persons r ON l.record_id < r.record_id AND l.first_name = r.first_name AND l.last_name = r.last_name AND l.zip = r.zip AND l.birth_year = r.birth_year) SELECT CAST(floor(1e12 * (k / 0.7::DOUBLE / (n * (n - 1) / 2.0::DOUBLE)) + 0.5) AS BIGINT) AS prior FROM n, d")
+def lambda_estimate(spark, sf):
+    p = persons(spark, sf)
+    k = linkage.block(p, [("first_name", "last_name", "zip", "birth_year")]).agg(F.count(F.lit(1)).alias("k"))
+    n = p.agg(F.count(F.lit(1)).alias("n"))
+    return k.crossJoin(n).select(F.floor(1e12 * (F.col("k") / 0.7 / (F.col("n") * (F.col("n") - 1) / 2.0)) + 0.5).cast("long").alias("prior"))
+
+
+@query()
+def em_estimate(spark, sf):
+    """m and u of every level after training on blocked sessions."""
+    p = persons(spark, sf)
+    model = linkage.train(p, linkage.Model([linkage.Comparison(c.name, c.levels) for c in COMPARISONS]), sessions=[("zip", "birth_year"), ("first_name", "last_name")], deterministic=[("first_name", "last_name", "zip", "birth_year")])
+    return spark.createDataFrame([(c.name, k, float(c.m[k]), float(c.u[k])) for c in model.comparisons for k in range(len(c.levels) + 1)], "comparison string, level int, m double, u double")
+
+
+@query(MODEL + " SELECT record_id_l, record_id_r, CAST(floor(1e6 * w + 0.5) AS BIGINT) AS weight, CAST(floor(1e6 * p + 0.5) AS BIGINT) AS probability FROM probabilities")
+def link_score_pairs(spark, sf):
+    return scored(spark, sf).select("record_id_l", "record_id_r", micro(F.col("match_weight")).alias("weight"), micro(F.col("match_probability")).alias("probability"))
+
+
+@query(MODEL + " SELECT CASE WHEN p >= 0.9 THEN 'auto_match' WHEN p < 0.01 THEN 'auto_reject' ELSE 'gray_zone' END AS tier, count(*) AS n FROM probabilities GROUP BY 1")
+def tier_split(spark, sf):
+    return scored(spark, sf).groupBy(linkage.tier(F.col("match_probability"), 0.9, 0.01).alias("tier")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def encounters(spark, sf) -> DataFrame:
+    return t(spark, sf, "orders").select(F.col("o_orderkey").alias("encounter_id"), F.col("o_custkey").alias("patient_id"), F.col("o_orderdate").alias("start"), (F.col("o_orderkey") % 5 + 1).cast("int").alias("facility_id"))
+
+
+ENCOUNTERS = "encounters AS (SELECT o_orderkey AS encounter_id, o_custkey AS patient_id, o_orderdate AS start, CAST(o_orderkey % 5 + 1 AS INTEGER) AS facility_id FROM orders), periods AS (SELECT facility_id, patient_id, min(start) AS first, max(start) AS last FROM encounters GROUP BY ALL)"
+
+
+@query(f"WITH {ENCOUNTERS} SELECT facility_id, patient_id, first, last FROM periods")
+def care_period(spark, sf):
+    return split.care_periods(encounters(spark, sf))
+
+
+@query(f"WITH {ENCOUNTERS}, tr AS (SELECT patient_id, encounter_id AS transition_id, start AS start_date, lead(start) OVER (PARTITION BY patient_id ORDER BY start, encounter_id) AS end_date FROM encounters) SELECT transition_id, tr.patient_id, facility_id FROM tr JOIN periods p ON p.patient_id = tr.patient_id AND start_date <= last AND (end_date IS NULL OR end_date >= first)")
+def interval_overlap_join(spark, sf):
+    e = encounters(spark, sf)
+    w = Window.partitionBy("patient_id").orderBy("start", "encounter_id")
+    tr = e.select("patient_id", F.col("encounter_id").alias("transition_id"), F.col("start").alias("start_date"), F.lead("start").over(w).alias("end_date"))
+    return split.overlapping(tr, split.care_periods(e)).select("transition_id", "patient_id", "facility_id")
+
+
+@query(f"WITH {ENCOUNTERS} SELECT facility_id, count(*) AS n, CAST(sum(l_linenumber) AS BIGINT) AS lines FROM lineitem JOIN encounters ON l_orderkey = encounter_id GROUP BY facility_id")
+def encounter_route(spark, sf):
+    routed = split.route(t(spark, sf, "lineitem").select("l_orderkey", "l_linenumber"), "l_orderkey", encounters(spark, sf))
+    return routed.groupBy("facility_id").agg(F.count(F.lit(1)).alias("n"), F.sum("l_linenumber").alias("lines"))
+
+
+@query("SELECT n_nationkey, n_name, CAST(f AS INTEGER) AS facility_id FROM nation, range(1, 6) r(f)")
+def reference_replicate(spark, sf):
+    return split.replicate(t(spark, sf, "nation").select("n_nationkey", "n_name"), spark.range(1, 6).select(F.col("id").cast("int").alias("facility_id")))
+
+
+@query("SELECT 'lineitem.order' AS check_name, count(DISTINCT l_orderkey) AS violations FROM lineitem WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_orderkey = l_orderkey) UNION ALL SELECT 'customer.order', count(DISTINCT c_custkey) FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+def fk_violations(spark, sf):
+    orders = t(spark, sf, "orders")
+    return split.orphans(t(spark, sf, "lineitem"), "l_orderkey", orders, "o_orderkey", "lineitem.order").unionByName(split.orphans(t(spark, sf, "customer"), "c_custkey", orders, "o_custkey", "customer.order"))
+
+
+@query("WITH e AS (SELECT o_orderkey, o_custkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) - 1 AS rn, count(*) OVER (PARTITION BY o_custkey) AS n, o_custkey % 4 + 1 AS m FROM orders) SELECT o_orderkey AS encounter_id, o_custkey AS patient_id, CAST(CASE WHEN m = 1 OR rn < floor(n * 0.6::DOUBLE) THEN 0 ELSE 1 + (rn - CAST(floor(n * 0.6::DOUBLE) AS BIGINT)) % (m - 1) END AS INTEGER) AS slot FROM e")
+def encounter_split_60_40(spark, sf):
+    slots = t(spark, sf, "customer").select(F.col("c_custkey").alias("patient_id"), (F.col("c_custkey") % 4 + 1).alias("m"))
+    return split.encounter_slots(encounters(spark, sf), slots)
+
+
+@query("SELECT event_id, user_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY CAST(ts AS DATE) DESC, event_id DESC) AS r FROM events) WHERE r <= 2")
+def latest_two(spark, sf):
+    e = t(spark, sf, "events").select("event_id", "user_id", "event_type", F.col("ts").alias("DATE"), F.col("event_id").alias("ord"))
+    return summarize.latest(e, "user_id", "event_type").select("event_id", "user_id", "event_type")
+
+
+def history(spark, sf) -> dict[str, DataFrame]:
+    """Clinical tables by patient in which lines play conditions, medications and procedures, priorities allergies."""
+    lines = t(spark, sf, "lineitem").join(t(spark, sf, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("PATIENT"), "o_orderpriority"), "l_orderkey")
+    rows = lines.select("PATIENT", ((F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 10_000_000 + F.col("l_partkey")).alias("ord"), F.col("l_shipdate").alias("START"), F.when(F.col("l_linestatus") == "F", F.col("l_shipdate")).alias("STOP"), F.concat("l_returnflag", F.lit("/"), "l_linestatus").alias("DESCRIPTION"), "o_orderpriority")
+    return {"conditions": rows, "medications": rows, "procedures": rows, "allergies": rows.select("PATIENT", F.col("o_orderpriority").alias("DESCRIPTION"))}
+
+
+HISTORY = """h AS (SELECT o_custkey AS p, (l_orderkey * 10 + l_linenumber) * 10000000 + l_partkey AS ord, CAST(year(l_shipdate) AS INTEGER) AS y, l_linestatus = 'F' AS closed, l_returnflag || '/' || l_linestatus AS d, o_orderpriority AS a FROM lineitem JOIN orders ON o_orderkey = l_orderkey),
+c AS (SELECT p, 'CONDITIONS:' || chr(10) || string_agg('  ' || y || ': ' || line, chr(10) ORDER BY y) AS t FROM (SELECT p, y, string_agg(d || CASE WHEN closed THEN '' ELSE ' *' END, '; ' ORDER BY ord) AS line FROM h GROUP BY p, y) GROUP BY p),
+m AS (SELECT p, 'MEDICATIONS:' || chr(10) || string_agg('- ' || d || ' (' || y1 || '–' || CASE WHEN closed THEN CAST(y2 AS VARCHAR) ELSE 'ongoing' END || ')', chr(10) ORDER BY o) AS t FROM (SELECT p, d, min(ord) AS o, min(y) AS y1, max(CASE WHEN closed THEN y END) AS y2, bool_and(closed) AS closed FROM h GROUP BY p, d) GROUP BY p),
+al AS (SELECT p, 'ALLERGIES: ' || string_agg(a, '; ' ORDER BY a) AS t FROM (SELECT DISTINCT p, a FROM h) GROUP BY p),
+pr AS (SELECT p, 'PROCEDURES:' || chr(10) || string_agg('- ' || d || ' (' || ys || ')', chr(10) ORDER BY o) AS t FROM (SELECT p, d, min(o) AS o, string_agg(CAST(y AS VARCHAR), ', ' ORDER BY y) AS ys FROM (SELECT p, d, y, min(ord) AS o FROM h GROUP BY p, d, y) GROUP BY p, d) GROUP BY p),
+s AS (SELECT c_custkey AS p, CASE WHEN c.t IS NULL THEN 'No clinical records available.' ELSE c.t || chr(10) || chr(10) || m.t || chr(10) || chr(10) || al.t || chr(10) || chr(10) || pr.t END AS summary FROM customer LEFT JOIN c ON c.p = c_custkey LEFT JOIN m ON m.p = c_custkey LEFT JOIN al ON al.p = c_custkey LEFT JOIN pr ON pr.p = c_custkey)"""
+for _name, _cte in (("conditions", "c"), ("medications", "m"), ("allergies", "al"), ("procedures", "pr")):
+
+    def _section(spark, sf, name=_name):
+        return summarize.SECTIONS[name](history(spark, sf)[name], "PATIENT").select(F.col("PATIENT").alias("patient"), "text")
+
+    QUERIES[f"summary_{_name}"] = _section
+    ORACLES[f"summary_{_name}"] = f"WITH {HISTORY} SELECT p AS patient, t AS text FROM {_cte}"
+
+
+def all_summaries(spark, sf) -> DataFrame:
+    return summarize.summaries(t(spark, sf, "customer").select(F.col("c_custkey").alias("PATIENT")), history(spark, sf), "PATIENT")
+
+
+@query(f"WITH {HISTORY} SELECT p AS patient, summary FROM s")
+def summary_text(spark, sf):
+    return all_summaries(spark, sf).select(F.col("PATIENT").alias("patient"), "summary")
+
+
+@query()
+def summary_observations(spark, sf):
+    e = t(spark, sf, "events").select(F.col("user_id").alias("PATIENT"), F.col("event_id").alias("ord"), F.col("ts").alias("DATE"), F.col("event_type").alias("DESCRIPTION"), F.round("value", 2).alias("VALUE"), F.lit("u").alias("UNITS"))
+    return summarize.observations(e, "PATIENT", ("click", "purchase", "view", "login", "logout"))
+
+
+_Q = [p.replace("'", "''").replace("\n", "' || chr(10) || '") for p in summarize.PROMPT]
+
+
+@query(f"WITH {HISTORY} SELECT a.p AS patient, md5('{_Q[0]}' || a.summary || '{_Q[1]}' || b.summary || '{_Q[2]}') AS prompt_md5 FROM s a JOIN s b ON b.p = a.p + 1")
+def pair_prompt(spark, sf):
+    s = all_summaries(spark, sf)
+    pairs = s.select(F.col("PATIENT").alias("patient"), F.col("summary").alias("a")).join(s.select((F.col("PATIENT") - 1).alias("patient"), F.col("summary").alias("b")), "patient")
+    return pairs.select("patient", F.md5(summarize.prompt(F.col("a"), F.col("b"))).alias("prompt_md5"))
+
+
+def truth(spark, sf) -> DataFrame:
+    return persons(spark, sf).select("record_id", F.concat_ws("|", "first_name", "last_name", "zip", "birth_year").alias("true_patient_id"))
+
+
+TRUTH = "truth AS (SELECT record_id, concat_ws('|', first_name, last_name, zip, birth_year) AS tp FROM persons), tpairs AS (SELECT a.record_id AS record_id_1, b.record_id AS record_id_2 FROM truth a JOIN truth b ON a.tp = b.tp AND a.record_id < b.record_id)"
+
+
+@query(f"WITH {PERSONS}, {TRUTH} SELECT * FROM tpairs")
+def truth_pairs(spark, sf):
+    return evaluate.truth_pairs(truth(spark, sf))
+
+
+def scored_pairs(spark, sf) -> DataFrame:
+    return scored(spark, sf).select(F.col("record_id_l").alias("record_id_1"), F.col("record_id_r").alias("record_id_2"), F.col("match_probability").alias("p"))
+
+
+_PRF = "CASE WHEN tp + fp > 0 THEN tp / (tp + fp)::DOUBLE ELSE 0.0 END AS precision, CASE WHEN tp + fn > 0 THEN tp / (tp + fn)::DOUBLE ELSE 0.0 END AS recall"
+_SWEEP = f"{MODEL}, {TRUTH}, f AS (SELECT p, t.record_id_1 IS NOT NULL AS hit FROM probabilities s LEFT JOIN tpairs t ON s.record_id_l = t.record_id_1 AND s.record_id_r = t.record_id_2), g AS (SELECT i / 100.0::DOUBLE AS threshold, count(*) FILTER (hit AND p >= i / 100.0::DOUBLE) AS tp, count(*) FILTER (NOT hit AND p >= i / 100.0::DOUBLE) AS fp FROM f, range(1, 100) r(i) GROUP BY i), k AS (SELECT *, (SELECT count(*) FROM tpairs) - tp AS fn FROM g)"
+
+
+@query(f"{MODEL}, {TRUTH}, k AS (SELECT count(*) FILTER (t.record_id_1 IS NOT NULL AND s.record_id_l IS NOT NULL) AS tp, count(*) FILTER (t.record_id_1 IS NULL) AS fp, count(*) FILTER (s.record_id_l IS NULL) AS fn FROM (SELECT * FROM probabilities WHERE p >= 0.9) s FULL JOIN tpairs t ON s.record_id_l = t.record_id_1 AND s.record_id_r = t.record_id_2) SELECT tp, fp, fn, {_PRF} FROM k")
+def confusion(spark, sf):
+    found = evaluate.confusion(scored_pairs(spark, sf).where("p >= 0.9"), evaluate.truth_pairs(truth(spark, sf)))
+    return evaluate.metrics(found).drop("f1")
+
+
+@query(f"{_SWEEP} SELECT threshold, tp, fp, fn, {_PRF} FROM k")
+def threshold_sweep(spark, sf):
+    return evaluate.threshold_sweep(scored_pairs(spark, sf), evaluate.truth_pairs(truth(spark, sf))).drop("f1")
+
+
+@query(f"{_SWEEP} SELECT threshold, tp, fp, fn FROM k ORDER BY 2.0 * tp / greatest(2 * tp + fp + fn, 1) DESC, threshold LIMIT 1")
+def best_threshold(spark, sf):
+    sweep = evaluate.threshold_sweep(scored_pairs(spark, sf), evaluate.truth_pairs(truth(spark, sf)))
+    return evaluate.best_threshold(sweep).select("threshold", "tp", "fp", "fn")
+
+
+_LOGIT = lambda p: f"ln(least(greatest({p}, 0.0001::DOUBLE), 0.9999::DOUBLE) / (1 - least(greatest({p}, 0.0001::DOUBLE), 0.9999::DOUBLE)))"
+
+
+@query(f"{MODEL}, x AS (SELECT *, CASE WHEN record_id_l % 2 = 0 THEN 1 ELSE 0 END AS pred, (record_id_r % 100) / 100.0::DOUBLE AS conf FROM probabilities) SELECT record_id_l, record_id_r, CAST(floor(1e6 * ({_LOGIT('p')} + 1.5 * ({_LOGIT('CASE WHEN pred = 1 THEN conf ELSE 1 - conf END')} + ln(0.01::DOUBLE / 0.99::DOUBLE))) + 0.5) AS BIGINT) AS combined FROM x")
+def fusion(spark, sf):
+    s = scored(spark, sf)
+    prediction, confidence = F.when(F.col("record_id_l") % 2 == 0, 1).otherwise(0), (F.col("record_id_r") % 100) / 100.0
+    return s.select("record_id_l", "record_id_r", micro(linkage.fuse(prediction, confidence, F.col("match_probability"))).alias("combined"))
+
+
+@query(f"{MODEL}, a AS (SELECT record_id_l, record_id_r FROM probabilities WHERE p >= 0.9), b AS (SELECT record_id_l, record_id_r FROM pairs WHERE match_key = 1) SELECT coalesce(a.record_id_l, b.record_id_l) AS record_id_1, coalesce(a.record_id_r, b.record_id_r) AS record_id_2, CASE WHEN a.record_id_l IS NULL THEN 'llm' WHEN b.record_id_l IS NULL THEN 'auto_match' ELSE 'both' END AS source FROM a FULL JOIN b ON a.record_id_l = b.record_id_l AND a.record_id_r = b.record_id_r")
+def match_source(spark, sf):
+    keys = ["record_id_1", "record_id_2"]
+    b = blocked(spark, sf).where("match_key = 1").select(F.col("record_id_l").alias(keys[0]), F.col("record_id_r").alias(keys[1]))
+    return linkage.union_with_source(scored_pairs(spark, sf).where("p >= 0.9").select(*keys), b)
+
+
+@query()
+def text_scorer(spark, sf):
+    """Stand-in classifier over pairs of summaries, with the error summary's columns."""
+    s = all_summaries(spark, sf)
+    pairs = s.select(F.col("PATIENT").alias("patient"), F.col("summary").alias("a")).join(s.select((F.col("PATIENT") - 1).alias("patient"), F.col("summary").alias("b")), "patient")
+    return pairs.select("patient", linkage.overlap_scorer("a", "b").alias("s")).select("patient", "s.prediction", "s.confidence")
+
+
+def matches(spark, sf) -> DataFrame:
+    """Records of one name and ZIP whose birth years are close: chains, so components matter."""
+    p = persons(spark, sf)
+    pairs = linkage.block(p, [("first_name", "last_name", "zip")])
+    years = p.select("record_id", "birth_year")
+    joined = pairs.join(years.toDF("record_id_l", "y1"), "record_id_l").join(years.toDF("record_id_r", "y2"), "record_id_r")
+    return joined.where(F.abs(F.col("y1") - F.col("y2")) <= 5).select(F.col("record_id_l").alias("record_id_1"), F.col("record_id_r").alias("record_id_2"))
+
+
+# A chain of records sorted by year breaks where the next year is more than 5 away: the same components, without a recursive query.
+CLUSTERS = "o AS (SELECT *, CASE WHEN birth_year - lag(birth_year) OVER w <= 5 THEN 0 ELSE 1 END AS new FROM persons WINDOW w AS (PARTITION BY first_name, last_name, zip ORDER BY birth_year, record_id)), g AS (SELECT *, sum(new) OVER (PARTITION BY first_name, last_name, zip ORDER BY birth_year, record_id) AS part FROM o), clusters AS (SELECT *, min(record_id) OVER (PARTITION BY first_name, last_name, zip, part) AS cluster FROM g)"
+
+
+@query(f"WITH {PERSONS}, {CLUSTERS} SELECT record_id AS node, cluster AS component FROM clusters WHERE cluster IN (SELECT cluster FROM clusters GROUP BY cluster HAVING count(*) > 1)")
+def connected_components_of_matches(spark, sf):
+    return connected_components(matches(spark, sf), "record_id_1", "record_id_2")
+
+
+for _strategy, _pick in (("most_frequent", None), ("most_recent", "max_by({f}, ord)"), ("field_specific", None)):
+
+    def _golden(spark, sf, strategy=_strategy):
+        clustered = golden.assign_clusters(persons(spark, sf), matches(spark, sf)).withColumn("birthdate", F.col("birth_year").cast("string"))
+        return golden.merge(clustered, strategy, ("city", "birthdate")).select("cluster", "num_records", "source_record_ids", "city", "birthdate")
+
+    QUERIES[f"golden_{_strategy}"] = _golden
+    if _pick:
+        _votes = f"SELECT cluster, count(*) AS num_records, string_agg(CAST(record_id AS VARCHAR), ',' ORDER BY ord) AS source_record_ids, {_pick.format(f='city')} AS city, CAST({_pick.format(f='birth_year')} AS VARCHAR) AS birthdate FROM clusters GROUP BY cluster"
+    else:
+        _vote = lambda f: f"(SELECT cluster, {f} AS v, row_number() OVER (PARTITION BY cluster ORDER BY n DESC, o) AS r FROM (SELECT cluster, {f}, count(*) AS n, min(ord) AS o FROM clusters GROUP BY cluster, {f}))"
+        _votes = f"SELECT k.cluster, num_records, source_record_ids, a.v AS city, CAST(b.v AS VARCHAR) AS birthdate FROM (SELECT cluster, count(*) AS num_records, string_agg(CAST(record_id AS VARCHAR), ',' ORDER BY ord) AS source_record_ids FROM clusters GROUP BY cluster) k JOIN {_vote('city')} a ON a.cluster = k.cluster AND a.r = 1 JOIN {_vote('birth_year')} b ON b.cluster = k.cluster AND b.r = 1"
+    ORACLES[f"golden_{_strategy}"] = f"WITH {PERSONS}, {CLUSTERS} {_votes}"
+
+
+@query(f"WITH {PERSONS}, {CLUSTERS}, k AS (SELECT cluster, city AS tp, count(*) AS n FROM clusters GROUP BY ALL), c AS (SELECT cluster, sum(n) AS n, count(*) AS m FROM k GROUP BY cluster), s AS (SELECT tp, count(*) AS parts, sum(k.n) AS n, max(m) AS mixed FROM k JOIN c USING (cluster) GROUP BY tp) SELECT (SELECT count(*) FROM c) AS n_clusters, (SELECT round(sum(CASE WHEN m = 1 THEN n ELSE 0 END) / sum(n)::DOUBLE, 4) FROM c) AS purity, (SELECT round(count(*) FILTER (parts = 1) / count(*)::DOUBLE, 4) FROM s) AS completeness, (SELECT count(*) FROM s WHERE parts > 1) AS split_patients, (SELECT count(*) FROM c WHERE m > 1) AS impure_clusters, (SELECT coalesce(round(count(*) FILTER (n > 1 AND parts = 1 AND mixed = 1) / nullif(count(*) FILTER (n > 1), 0)::DOUBLE, 4), 0.0) FROM s) AS perfect_resolution_rate")
+def cluster_quality(spark, sf):
+    p = persons(spark, sf)
+    clustered = golden.assign_clusters(p, matches(spark, sf)).select("record_id", "cluster")
+    return golden.cluster_quality(clustered, p.select("record_id", F.col("city").alias("true_patient_id")))
+
+
+@query("WITH f AS (SELECT o_custkey, count(DISTINCT o_orderkey % 5) AS facilities FROM orders GROUP BY o_custkey) SELECT facilities, count(*) AS patients FROM f GROUP BY facilities")
+def facility_stats(spark, sf):
+    return split.facility_statistics(encounters(spark, sf).select("patient_id", "facility_id"))
+
+
+@query("WITH n AS (SELECT min(c) AS n FROM (SELECT count(*) AS c FROM labels GROUP BY quality)), r AS (SELECT doc_id, quality, row_number() OVER (PARTITION BY quality ORDER BY md5(CAST(doc_id AS VARCHAR))) AS rn FROM labels) SELECT doc_id, quality, CASE WHEN rn <= floor(n * 0.7::DOUBLE) THEN 'train' WHEN rn <= floor(n * 0.7::DOUBLE) + floor(n * 0.15::DOUBLE) THEN 'validation' ELSE 'test' END AS split FROM r, n WHERE rn <= n")
+def balanced_split(spark, sf):
+    return dataset.split(t(spark, sf, "labels").select("doc_id", "quality"), "quality", F.md5(F.col("doc_id").cast("string")))
+
+
+@query(f"WITH k AS (SELECT count(*) FILTER (quality = 1 AND toxic = 1) AS tp, count(*) FILTER (quality = 0 AND toxic = 1) AS fp, count(*) FILTER (quality = 1 AND toxic = 0) AS fn, count(*) FILTER (quality = toxic) / count(*)::DOUBLE AS accuracy FROM labels) SELECT tp, fp, fn, accuracy, {_PRF} FROM k")
+def classification_metrics(spark, sf):
+    return evaluate.classification(t(spark, sf, "labels"), "quality", "toxic").select("tp", "fp", "fn", "accuracy", "precision", "recall")
+
+
+@query("SELECT lang, avg(n_chars) AS mean, quantile_cont(n_chars, 0.5) AS median, min(n_chars) AS least, max(n_chars) AS most, quantile_cont(n_chars, 0.95) AS p95 FROM documents GROUP BY lang")
+def length_percentiles(spark, sf):
+    return t(spark, sf, "documents").groupBy("lang").agg(F.avg("n_chars").alias("mean"), F.percentile("n_chars", 0.5).alias("median"), F.min("n_chars").alias("least"), F.max("n_chars").alias("most"), F.percentile("n_chars", 0.95).alias("p95"))
+
+
+@query("SELECT conv_id, string_agg(role || ': ' || coalesce(text, ''), chr(10) ORDER BY turn, role, text) AS chat, count(*) AS turns FROM conversations GROUP BY conv_id")
+def chat_rows(spark, sf):
+    c = t(spark, sf, "conversations")
+    return c.groupBy("conv_id").agg(summarize.ordered(["turn", "role", "text"], F.concat("role", F.lit(": "), F.coalesce("text", F.lit(""))), "\n").alias("chat"), F.count(F.lit(1)).alias("turns"))
+
+
+@query("SELECT c_mktsegment AS i, coalesce(max(CASE WHEN r_name = 'AFRICA' THEN n END), 0) AS africa, coalesce(max(CASE WHEN r_name = 'ASIA' THEN n END), 0) AS asia FROM (SELECT c_mktsegment, r_name, count(*) AS n FROM customer JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey GROUP BY ALL) GROUP BY 1")
+def pair_matrix_pivot(spark, sf):
+    joined = t(spark, sf, "customer").join(F.broadcast(t(spark, sf, "nation")), F.col("n_nationkey") == F.col("c_nationkey")).join(F.broadcast(t(spark, sf, "region")), F.col("r_regionkey") == F.col("n_regionkey"))
+    return joined.groupBy(F.col("c_mktsegment").alias("i")).pivot("r_name", ["AFRICA", "ASIA"]).agg(F.count(F.lit(1))).select("i", F.coalesce("AFRICA", F.lit(0)).alias("africa"), F.coalesce("ASIA", F.lit(0)).alias("asia"))
+
+
+def demographics(spark, sf) -> DataFrame:
+    """customer rows as raw person columns."""
+    k = F.col("c_custkey").cast("string")
+    names = F.element_at(F.array(*map(F.lit, text.NICKNAME)), (F.col("c_custkey") % len(text.NICKNAME) + 1).cast("int"))
+    ssn = F.lpad(k, 9, "1")
+    return t(spark, sf, "customer").select(k.alias("Id"), F.lit("facility_001").alias("facility_id"), names.alias("FIRST"), F.col("c_mktsegment").alias("LAST"), F.lit("Smith").alias("MAIDEN"), F.date_format(F.date_add(F.lit("1950-01-01").cast("date"), (F.col("c_custkey") % 18000).cast("int")), "yyyy-MM-dd").alias("BIRTHDATE"), F.concat_ws("-", F.substring(ssn, 1, 3), F.substring(ssn, 4, 2), F.substring(ssn, 6, 4)).alias("SSN"), F.concat(k, F.lit(" Oak Street Apt 5")).alias("ADDRESS"), F.lit("BOSTON").alias("CITY"), F.lit("02115").alias("ZIP"))
+
+
+@query()
+def error_injection(spark, sf):
+    """Error counts by type and field over all customers."""
+    return errors.error_statistics(errors.inject(demographics(spark, sf)))
+
+
+@query()
+def facility_assignment(spark, sf):
+    return split.assign_facilities(t(spark, sf, "customer").select(F.col("c_custkey").alias("patient_id")), 5)
+
+
+@query()
+def confusable_groups(spark, sf):
+    people = t(spark, sf, "customer").select(F.col("c_custkey").alias("patient_id"))
+    return split.confusable_pairs(split.assign_facilities(people, 5), 100)
+
+
+@query()
+def negative_pairs(spark, sf):
+    return dataset.negatives(truth(spark, sf), 200)
