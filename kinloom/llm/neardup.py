@@ -13,9 +13,10 @@
    ``MATCHES - 1`` are merged; two classes with ``MATCHES`` collisions meet there.
 5. Every class is first held against one pivot, the class with the fewest
    shingles of its own in a list that both are in. Confirmed links make
-   components. Skip: lists whose classes are in one component are done. Only in
-   the others are pairs of different components made, their collisions counted
-   over the whole signature, and those with ``MATCHES`` or more confirmed.
+   components. Skip: lists whose classes are in one component are done. The
+   classes of the others are searched block against block for pairs of different
+   components with ``MATCHES`` collisions over the whole signature, and those are
+   confirmed until the components are joined.
 
 So a group of n near copies costs about n confirmations, not n squared, while a
 link that would join two components is always looked for. The signature is the
@@ -47,6 +48,8 @@ SHINGLE = 5
 SIMILARITY = 80
 #: Rows of ids or labels (16 bytes each) that are broadcast at most.
 BROADCAST_ROWS = 2_000_000
+#: Most classes, and bytes of their sets, in a block of a search.
+BLOCK_NODES, BLOCK_BYTES = 1024, 8 << 20
 #: Shingles counted by one task.
 SHINGLES_A_TASK = 4_000_000
 
@@ -177,19 +180,70 @@ def _confirmed(pairs: DataFrame, classes: DataFrame, sets: DataFrame, similarity
 
     def run(batches):
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist()):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                if len(x) > len(y):
-                    x, y = y, x
-                at = np.searchsorted(y, x)
-                shared = int((y[np.minimum(at, len(y) - 1)] == x).sum())
-                keep.append(100 * shared >= similarity * (len(x) + len(y) - shared))
+            keep = [_similar(x, y, similarity) for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist())]
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return stored(map_arrow(both.select("a", "b", "x", "y"), run, "a long, b long"))
 
 
+def _searched(open_: DataFrame, classes: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
+    """Links (a, b) between different components among classes that meet in a list; enough of them to join what is linked.
+
+    Lists that share classes make a cluster. A cluster is cut into blocks of
+    bounded number and bytes, and each pair of blocks is a task of its own: it
+    counts collisions of signatures block against block and confirms pairs, those
+    of most collisions first, leaving out pairs that it has joined already. What
+    is shuffled grows with blocks, not pairs, and only links are written.
+    """
+    heads = open_.groupBy("key").agg(F.min("node").alias("head"))
+    clusters = connected_components(open_.join(heads, "key").select(F.col("node").alias("a"), F.col("head").alias("b")))
+    nodes = open_.select("node", "n", "c", F.col("component").alias("label")).distinct()
+    nodes = stored(nodes.join(clusters.select("node", F.col("component").alias("cluster")), "node"))
+    shape = nodes.groupBy("cluster").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_NODES), F.ceil(F.sum("n") * 8 / BLOCK_BYTES)).cast("int").alias("blocks"))
+    dealt = nodes.join(shape, "cluster").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    dealt = dealt.join(classes.select("node", "sig"), "node").join(sets, "node").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("cluster", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "node", "label", "n", "c", "sig", "set")
+
+    def run(table: pa.Table) -> pa.Table:
+        node, label, n, c, own = (table.column(k).to_numpy() for k in ("node", "label", "n", "c", "own"))
+        sig = np.array(table.column("sig").to_pylist(), np.int32).reshape(len(node), COORDINATES)
+        held = table.column("set")
+        root: dict[int, int] = {}
+
+        def find(x: int) -> int:
+            while root.get(x, x) != x:
+                root[x] = x = root.get(root[x], root[x])
+            return x
+
+        x, y = int(table.column("x")[0].as_py()), int(table.column("y")[0].as_py())
+        left, right = np.flatnonzero(own == x), np.flatnonzero(own == y)
+        found = []
+        for i in left.tolist():
+            others = right[right > i] if x == y else right
+            others = others[(label[others] != label[i]) & ((100 + similarity) * np.minimum(c[i], c[others]) >= similarity * (n[i] + n[others]))]
+            if len(others):
+                k = (sig[others] == sig[i]).sum(1)
+                found += zip(k[k >= MATCHES].tolist(), [i] * int((k >= MATCHES).sum()), others[k >= MATCHES].tolist())
+        found.sort(reverse=True)
+        links = []
+        for _, i, j in found:
+            u, v = find(int(label[i])), find(int(label[j]))
+            if u != v and _similar(held[i].as_py(), held[j].as_py(), similarity):
+                root[u] = v
+                links.append((int(node[i]), int(node[j])))
+        return pa.table({"a": pa.array([k[0] for k in links], pa.int64()), "b": pa.array([k[1] for k in links], pa.int64())})
+
+    return stored(dealt.groupBy("cluster", "x", "y").applyInArrow(run, "a long, b long"))
+
+
+def _similar(x: bytes, y: bytes, similarity: int) -> bool:
+    a, b = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+    if len(a) > len(b):
+        a, b = b, a
+    shared = int((b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).sum())
+    return 100 * shared >= similarity * (len(a) + len(b) - shared)
+
+
 def components(docs: DataFrame, width: int = SHINGLE, similarity: int = SIMILARITY) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every document."""
     rows = stored(_signatures(docs, width))
@@ -220,9 +274,7 @@ def components(docs: DataFrame, width: int = SHINGLE, similarity: int = SIMILARI
     marked = prefix.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     mixed = marked.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
     open_ = stored(marked.join(mixed, "key"))
-    x, y = (open_.select("key", *(F.col(c).alias(f"{c}{k}") for c in ("node", "n", "c", "component"))) for k in "12")
-    pairs = x.join(y, "key").where((F.col("node1") < F.col("node2")) & (F.col("component1") != F.col("component2")) & possible(F.col("n1"), F.col("c1"), F.col("n2"), F.col("c2")))
-    more = _confirmed(pairs.select(F.col("node1").alias("a"), F.col("node2").alias("b")).distinct(), classes, sets, similarity)
+    more = _searched(open_, classes, sets, similarity)
     if more.take(1):
         labels = stored(connected_components(links.unionByName(more)))
     # the smallest doc_id of a component; classes of one row that are linked with none need no label
