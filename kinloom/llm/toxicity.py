@@ -35,6 +35,7 @@ from collections import Counter
 from dataclasses import dataclass, field
 from heapq import nlargest
 from itertools import combinations
+from sys import intern
 
 import numpy as np
 import pyarrow as pa
@@ -263,7 +264,7 @@ def train(texts: list[str], toxic: list[int], landmarks: int = LANDMARKS, rounds
     if not bad or not good:
         return Machine(None, 0.0, np.zeros(WORST), 0.0)
     # a first guess at each word: how telling its most telling five symbols are
-    pieces = {w: {f"^{w}$"[i : i + 5] for i in range(max(1, len(w) - 2))} for w in set().union(*units)}
+    pieces = {w: tuple(dict.fromkeys(intern(f"^{w}$"[i : i + 5]) for i in range(max(1, len(w) - 2)))) for w in set().union(*units)}
     n_bad, n_good = (Counter(p for u in docs for p in set().union(*(pieces[w] for w in u))) for docs in (bad, good))
     base = len(bad) / (len(bad) + len(good))
 
@@ -277,7 +278,7 @@ def train(texts: list[str], toxic: list[int], landmarks: int = LANDMARKS, rounds
     guess = {w: max((telling.get(p, -1.0) for p in own), default=-1.0) for w, own in pieces.items()}
     first = lambda u: max(u, key=lambda w: (guess[w], w))
     witness = [first(u) for u in bad]
-    sure = [w for u in bad for w in u if not pieces[w].isdisjoint(sure_of)]  # all insults of a text, not only the worst
+    sure = [w for u in bad for w in u if not sure_of.isdisjoint(pieces[w])]  # all insults of a text, not only the worst
     hard = [first(u) for u in good]
     marks, seen = Counter([*witness, *sure]), Counter(w for u in good for w in u)
     order = lambda c: sorted(c, key=lambda w: (-c[w], w))
