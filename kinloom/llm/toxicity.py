@@ -157,8 +157,6 @@ class Machine:
 
     def _learn(self, words: set[str]) -> None:
         """Decides new words, in pieces of bounded size; long ones are not remembered for long."""
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
         piece, chars = [], 0
         for w in words:
             piece.append(w)
@@ -175,6 +173,8 @@ class Machine:
         out = np.full((len(texts), WORST), -2.0)
         for i in range(0, len(own), 256):
             some = own[i : i + 256]
+            if len(self.known) > REMEMBERED:  # before looking what is new, so that no word of these texts is lost
+                self.known.clear()
             self._learn(set().union(*some).difference(self.known))
             get = self.known.__getitem__
             for j, words in enumerate(some):

@@ -180,12 +180,15 @@ def test_language(spark, docs, empty):
     assert langid.keep_identified(docs, langid.fit(df)).columns == docs.columns
 
 
-def test_toxicity(spark, docs, empty):
+def test_toxicity(spark, docs, empty, monkeypatch):
     clean = [f"the house of the river and day {i} people went to town number{i % 7}" for i in range(80)]
     bad = [f"{c} you {w} there" for c, w in zip(clean, ["moronix", "blasteroid", "snarfelt"] * 20)]
     m = toxicity.train(clean + bad, [0] * len(clean) + [1] * len(bad))
     s = m(["a moronix walked", "a m o r o n i x walked", "a mor.onix walked", "a monix of blasterxoid", "people went to the house", "", LONG])
     assert (s[:3] > 0.5).all() and (s[4:6] < 0.5).all()
+    monkeypatch.setattr(toxicity, "REMEMBERED", 5)  # forgets between batches of 256 texts; repeated words must still be found
+    many = (clean + bad) * 8
+    assert np.array_equal(m(many), np.tile(m(clean + bad), 8))
     assert (toxicity.train(["a"], [1])(["a", ""]) == 0).all()
     labels = spark.createDataFrame([(1, 1, 0), (4, 0, 1), (None, 1, 1)], "doc_id long, quality int, toxic int")
     assert toxicity.report(docs, labels).count() == len(ROWS) and toxicity.report(empty, labels).count() == 0
