@@ -50,6 +50,8 @@ SIMILARITY = 80
 BROADCAST_ROWS = 2_000_000
 #: Most classes, and bytes of their sets, in a block of a search.
 BLOCK_NODES, BLOCK_BYTES = 1024, 8 << 20
+#: Bytes of text whose words are hashed at once.
+PIECE_BYTES = 1 << 20
 #: Shingles counted by one task.
 SHINGLES_A_TASK = 4_000_000
 
@@ -61,7 +63,18 @@ _PLACE = _rng.integers(1, 1 << 62, 64, dtype=np.uint64) * np.uint64(2) + np.uint
 
 def shingle_sets(texts: list[str | None], width: int) -> list[np.ndarray]:
     """The sorted distinct shingle hashes of each text; fewer words than a shingle's make one of them all."""
-    words, starts, *_ = word_hashes([(t or "").encode("utf-8", "surrogatepass") for t in texts])
+    out, piece, chars = [], [], 0
+    for t in texts:  # whole texts, few at a time: a worker's memory then depends on the longest text, not on the batch
+        piece.append((t or "").encode("utf-8", "surrogatepass"))
+        chars += len(piece[-1])
+        if chars > PIECE_BYTES:
+            out += _piece_sets(piece, width)
+            piece, chars = [], 0
+    return out + _piece_sets(piece, width)
+
+
+def _piece_sets(texts: list[bytes], width: int) -> list[np.ndarray]:
+    words, starts, *_ = word_hashes(texts)
     n = len(words)
     full = np.zeros(max(0, n - width + 1), np.uint64)
     for k in range(width):
