@@ -32,7 +32,8 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from dataclasses import dataclass, field
+from collections.abc import Iterator
+from dataclasses import dataclass, field, replace
 from heapq import nlargest
 from itertools import combinations
 from sys import intern
@@ -111,19 +112,17 @@ def encode(words: list[str]) -> np.ndarray:
     return sym[sym != 255]
 
 
-def _slots(sym: np.ndarray) -> list[np.ndarray]:
-    """For every pattern the slot of the subsequence that begins at each place."""
+def _slots(sym: np.ndarray) -> Iterator[np.ndarray]:
+    """For every pattern, one at a time, the slot of the subsequence that begins at each place."""
     padded = np.concatenate([sym, np.zeros(8, sym.dtype)]).astype(np.uint32)
     n = len(sym)
     at = [padded[d : d + n] for d in range(max(p[-1] for p in _PATTERNS) + 1)]
-    out = []
     for p in _PATTERNS:
         key = at[0]
         for d in p[1:]:
             key = (key << np.uint32(6)) | at[d]
         key = (key ^ np.uint32(len(p) * 0x1234567)) * np.uint32(2654435761)
-        out.append(key >> np.uint32(12))
-    return out
+        yield key >> np.uint32(12)
 
 
 def _norm(size: np.ndarray) -> np.ndarray:
@@ -169,10 +168,9 @@ class Machine:
 
     def worst(self, texts: list[str]) -> np.ndarray:
         """The decisions of each text's WORST worst words, the worst first; -2 where there is no such word."""
-        own = [set(words_of(t)) for t in texts]
         out = np.full((len(texts), WORST), -2.0)
-        for i in range(0, len(own), 256):
-            some = own[i : i + 256]
+        for i in range(0, len(texts), 256):
+            some = [set(words_of(t)) for t in texts[i : i + 256]]
             if len(self.known) > REMEMBERED:  # before looking what is new, so that no word of these texts is lost
                 self.known.clear()
             self._learn(set().union(*some).difference(self.known))
@@ -375,7 +373,12 @@ def score(docs: DataFrame, machine, held: Column, threshold: float = 0.5) -> Dat
 def keep_clean(docs: DataFrame, machine: Machine, threshold: float = 0.5) -> DataFrame:
     """docs without the toxic ones."""
     shared = docs.sparkSession.sparkContext.broadcast(machine)
-    return filter_rows(docs, lambda: lambda texts: shared.value(texts) < threshold)
+
+    def judge():
+        machine = replace(shared.value, known={})  # the broadcast machine outlives the task, and so would the words it remembers
+        return lambda texts: machine(texts) < threshold
+
+    return filter_rows(docs, judge)
 
 
 def report(docs: DataFrame, labels: DataFrame) -> DataFrame:
