@@ -1,28 +1,28 @@
-"""Language-model scores by a Katz backoff bigram model.
+"""Language-model scores by a Katz backoff n-gram model of any order.
 
-Counts cover every training text. A text is its words and one end; the first
-word's history is a start mark. Words are told apart by 64-bit hashes.
+Counts cover every training text. A text is its words and one end; before its
+first word are start marks. Words are told apart by 64-bit hashes, longer grams
+by a 64-bit hash of their words' hashes. Every gram that occurs is counted and
+kept, whatever the size of the input; there is no shortlist of words.
 
 * Unigrams: Good-Turing discounted counts (Katz's form, counts up to ``K``); the
   mass that discounting frees belongs to the unknown word. If it frees none,
   add-one estimates are used instead.
-* Shortlist: words of at least ``LEAST`` training occurrences, a bound that is
-  doubled until at most ``SHORTLIST`` words reach it. All other words, seen or
-  not, are in one class: P(word | h) = P(class | h) * P1(word) / P1(class). The
-  shortlist is what is broadcast, so its size has a bound; no word is left out of
-  any count or score.
-* Bigrams of shortlist words and the class: discounted in the same way. A
-  history's backoff weight is the mass its bigrams leave over the unigram mass
-  of the words that do not follow it. A history whose counts are all too large to
-  be discounted gives up one part in c + 1; one that everything follows keeps
-  all. So each conditional distribution sums to one (tested).
-
-Tables of counts are packed by part of the key's hash, one row a part, and
-stored; a part's keys are even however skewed the words are. To score, batches
-of texts send each part the distinct bigrams (and rare words) they hold with the
-documents that hold them; the part looks them up, recursing to the unigram where
-there is no bigram, and returns a sum per document; sums meet by batch. No row
-per token is shuffled.
+* Longer grams, up to ``ORDER`` words: discounted in the same way. A history's
+  backoff weight is the mass its grams leave over the lower order's mass of the
+  words that do not follow it. A history whose counts are all too large to be
+  discounted gives up one part in c + 1; one that everything follows keeps all.
+  A history that never occurred leaves its word to the next shorter one. So each
+  conditional distribution sums to one (tested).
+
+Tables of counts are packed by part of the history's hash (of the word's, for
+unigrams), one row a part, and stored; the weights of a history are kept beside
+its grams. A history has at most as many grams as there are words. To score,
+batches of texts send each part the distinct grams of each order that they hold;
+the part answers with the gram's share, or with its history's weight where there
+is no such gram; the batch's texts, which travel along, are then scored by the
+recursion. No row per token is shuffled, and nothing that grows with the number
+of words is broadcast or sent to the driver.
 
 Null and empty texts are one end. Without training texts nothing is known and
 every token has the add-one estimate of an empty table. Rows with equal texts
@@ -32,7 +32,7 @@ get equal scores, to rounding. An empty table gives an empty result.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -45,13 +45,15 @@ from kinloom.llm.common import held_out, map_arrow, stored
 from kinloom.llm.tokens import mix, word_hashes
 
 K = 5
-LEAST = 8
-SHORTLIST = 1 << 20
-RARE, END, START, FIRST = 0, 1, 2, 3
-END_HASH = np.uint64(0x9D2C5680CA876543)
-#: Entries that a task merges before it sends them on.
+#: Words in the longest gram.
+ORDER = 2
+END_HASH, START_HASH = np.uint64(0x9D2C5680CA876543), np.uint64(0x2545F4914F6CDD1D)
+_FACTOR = np.uint64(0x9E3779B97F4A7C15)
+#: Words of grams that a task merges before it sends them on.
 FLUSH = 6_000_000
 DOCS_A_PART = 20_000
+#: Kinds of rows: tables have their order; questions and answers ASK and their order; texts of a batch TEXTS.
+ASK, TEXTS = 100, 200
 
 _ROW = "part int, kind int, chunk long, blob binary"
 
@@ -89,32 +91,70 @@ def _emit(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
         yield _rows(rows[i : i + 64])
 
 
-def _split(keys: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
-    """Order that puts keys (sorted) of a part together, and where each part begins."""
-    part = (mix(keys) >> np.uint64(20)) % np.uint64(parts)
-    order = np.argsort(part, kind="stable")
-    return order, np.searchsorted(part[order], np.arange(parts + 1, dtype=np.uint64))
+def gram(words: list[np.ndarray]) -> np.ndarray:
+    """Keys of grams from their words' hashes, first to last; a single word is its own key."""
+    key = words[0]
+    for w in words[1:]:
+        key = mix(key * _FACTOR + w)
+    return key
+
+
+def _routed(keys: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """Order that puts keys of a part together, ascending, and where each part begins."""
+    order = np.argsort(keys, kind="stable")
+    part = ((mix(keys[order]) >> np.uint64(20)) % np.uint64(parts)).astype(np.uint32)
+    by_part = np.argsort(part, kind="stable")
+    return order[by_part], np.searchsorted(part[by_part], np.arange(parts + 1, dtype=np.uint32))
 
 
 def _deltas(keys: np.ndarray) -> np.ndarray:
     return np.diff(keys, prepend=np.uint64(0))
 
 
-def _merged(found: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    keys, counts = (np.concatenate(x) if x else np.zeros(0, np.uint64) for x in (([f[i] for f in found]) for i in (0, 1)))
-    order = np.argsort(keys, kind="stable")
-    keys, counts = keys[order], counts[order].astype(np.int64)
-    new = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
-    return keys[new], np.add.reduceat(counts, new) if len(new) else counts
+def _sums(deltas: np.ndarray) -> np.ndarray:
+    return np.cumsum(deltas, dtype=np.uint64)
+
+
+def _firsts(keys: np.ndarray) -> np.ndarray:
+    """Where each run of equal keys begins."""
+    return np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
+
+
+def _find(table: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of keys in a sorted table, and which are in it."""
+    if not len(table):
+        return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
+    at = np.minimum(np.searchsorted(table, keys), len(table) - 1)
+    return at, table[at] == keys
+
+
+def _merged(found: list[tuple[list[np.ndarray], np.ndarray]], order: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """Distinct grams, as columns of words, and their counts."""
+    words = [np.concatenate([f[0][i] for f in found]) if found else np.zeros(0, np.uint64) for i in range(order)]
+    counts = np.concatenate([f[1] for f in found]).astype(np.int64) if found else np.zeros(0, np.int64)
+    keys = gram(words)
+    at = np.argsort(keys, kind="stable")
+    new = _firsts(keys[at])
+    return [w[at[new]] for w in words], np.add.reduceat(counts[at], new) if len(new) else counts
+
+
+def _history(words: list[np.ndarray]) -> np.ndarray:
+    """Key of a gram's history, by which grams are routed; unigrams are routed by the word."""
+    return gram(words[:-1] or words)
+
 
+def _packed(words: list[np.ndarray], counts: np.ndarray) -> bytes:
+    return pack(*(_deltas(w) for w in words[:-1]), words[-1] if words[1:] else _deltas(words[-1]), counts)
 
-def _bytes(batch: pa.RecordBatch) -> list[bytes]:
-    return [(t or "").encode("utf-8", "surrogatepass") for t in batch.column("text").to_pylist()]
 
+def _unpacked(blob: bytes) -> tuple[list[np.ndarray], np.ndarray]:
+    *words, counts = unpack(blob)
+    return [*map(_sums, words[:-1]), words[-1] if words[1:] else _sums(words[-1])], counts
 
-def _tokens(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+
+def _tokens(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """Each document's words and its end, as hashes; and the document of each."""
-    words, starts, *_ = word_hashes(_bytes(batch))
+    words, starts, *_ = word_hashes([(t or "").encode("utf-8", "surrogatepass") for t in texts])
     n = np.diff(starts)
     doc = np.repeat(np.arange(len(n)), n + 1)
     out = np.full(len(doc), END_HASH, np.uint64)
@@ -124,20 +164,33 @@ def _tokens(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     return out, doc
 
 
-def _counted(docs: DataFrame, keys_of, parts: int) -> DataFrame:
-    """Counts of keys over all documents, packed by part: keys_of(batch) gives a batch's keys."""
+def _grams(hashes: np.ndarray, doc: np.ndarray, order: int) -> list[np.ndarray]:
+    """Of each token, the gram of so many words that it ends, as columns of words."""
+    first = _firsts(doc)
+    place = np.arange(len(doc)) - np.repeat(first, np.diff(np.append(first, len(doc))))
+    out = [hashes]
+    for back in range(1, order):
+        w = np.full(len(hashes), START_HASH, np.uint64)
+        w[place >= back] = hashes[np.flatnonzero(place >= back) - back]
+        out.insert(0, w)
+    return out
+
+
+def _counted(docs: DataFrame, order: int, parts: int) -> DataFrame:
+    """Counts of all grams of one order, packed by part."""
 
     def send(batches):
-        found: list[tuple[np.ndarray, np.ndarray]] = []
+        found: list[tuple[list[np.ndarray], np.ndarray]] = []
 
         def flush():
-            keys, counts = _merged(found)
-            order, cut = _split(keys, parts)
-            return [(p, 0, 0, pack(_deltas(keys[order[cut[p] : cut[p + 1]]]), counts[order[cut[p] : cut[p + 1]]])) for p in range(parts) if cut[p + 1] > cut[p]]
+            words, counts = _merged(found, order)
+            at, cut = _routed(_history(words), parts)
+            return [(p, order, 0, _packed([w[at[cut[p] : cut[p + 1]]] for w in words], counts[at[cut[p] : cut[p + 1]]])) for p in range(parts) if cut[p + 1] > cut[p]]
 
         for batch in batches:
-            found.append(np.unique(keys_of(batch), return_counts=True))
-            if sum(len(f[0]) for f in found) > FLUSH:
+            words = _grams(*_tokens(batch.column("text").to_pylist()), order)
+            found.append(_merged([(words, np.ones(len(words[0]), np.int64))], order))
+            if sum(len(f[1]) for f in found) * order > FLUSH:
                 yield from _emit(flush())
                 found.clear()
         yield from _emit(flush())
@@ -146,33 +199,31 @@ def _counted(docs: DataFrame, keys_of, parts: int) -> DataFrame:
         found: dict[int, list] = {}
         for batch in batches:
             for part, blob in zip(batch.column("part").to_pylist(), batch.column("blob").to_pylist()):
-                d, c = unpack(blob)
-                found.setdefault(part, []).append((np.cumsum(d, dtype=np.uint64), c))
-        for part, some in found.items():
-            keys, counts = _merged(some)
-            yield _rows([(part, 0, 0, pack(_deltas(keys), counts))])
+                found.setdefault(part, []).append(_unpacked(blob))
+        for part in list(found):
+            words, counts = _merged(found.pop(part), order)
+            at = np.argsort(_history(words), kind="stable")
+            yield _rows([(part, order, 0, _packed([w[at] for w in words], counts[at]))])
 
     sent = map_arrow(docs.select("text"), send, _ROW)
     return stored(map_arrow(sent.repartition(parts, "part"), add, _ROW))
 
 
-def _profile(table: DataFrame) -> tuple[int, int, np.ndarray, np.ndarray]:
-    """Of a table of counts: their sum, the keys, how many keys have each count up to K + 1, and how many at least each power of two."""
+def _profile(table: DataFrame) -> tuple[int, int, np.ndarray]:
+    """Of a table of counts: their sum, the keys, and how many keys have each count up to K + 1."""
 
     def run(batches):
         for batch in batches:
-            n, v, few, many = 0, 0, np.zeros(K + 1, np.int64), np.zeros(48, np.int64)
+            n, v, few = 0, 0, np.zeros(K + 1, np.int64)
             for blob in batch.column("blob").to_pylist():
-                _, c = unpack(blob)
+                c = unpack(blob)[-1]
                 n, v = n + int(c.sum()), v + len(c)
                 few += np.bincount(np.minimum(c, K + 2), minlength=K + 3)[1 : K + 2]
-                many += np.array([(c >= (1 << i)).sum() for i in range(48)])
-            yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([v], pa.int64()), pa.array([few.tolist()], pa.list_(pa.int64())), pa.array([many.tolist()], pa.list_(pa.int64()))], ["n", "v", "few", "many"])
+            yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([v], pa.int64()), pa.array([few.tolist()], pa.list_(pa.int64()))], ["n", "v", "few"])
 
-    found = map_arrow(table, run, "n long, v long, few array<long>, many array<long>")
-    sums = [F.sum("n"), F.sum("v"), *(F.sum(F.get("few", F.lit(i))) for i in range(K + 1)), *(F.sum(F.get("many", F.lit(i))) for i in range(48))]
-    row = [x or 0 for x in found.agg(*sums).first()]
-    return row[0], row[1], np.array(row[2 : K + 3]), np.array(row[K + 3 :])
+    found = map_arrow(table, run, "n long, v long, few array<long>")
+    row = [x or 0 for x in found.agg(F.sum("n"), F.sum("v"), *(F.sum(F.get("few", F.lit(i))) for i in range(K + 1))).first()]
+    return row[0], row[1], np.array(row[2:])
 
 
 def discounts(few: np.ndarray) -> np.ndarray:
@@ -191,15 +242,15 @@ def discounts(few: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Unigrams:
-    """What a task needs to know of single words: all but the counts of rare words."""
+    """What is known of single words: the model of all, and the words of one part."""
 
     n: int
     v: int
     d: np.ndarray
     unknown: float
-    shortlist: np.ndarray  # sorted hashes
-    counts: np.ndarray  # by id
-    p: np.ndarray  # by id; of the class at RARE
+    words: np.ndarray  # of the part, sorted hashes
+    counts: np.ndarray  # of the part, by word
+    p: np.ndarray  # shares by the word's number in a key of log_probability
 
     def share(self, c: np.ndarray) -> np.ndarray:
         """P1 of a word with count c; of the unknown word for 0."""
@@ -208,202 +259,222 @@ class Unigrams:
             return (c + 1) / (self.n + self.v + 1)
         return np.where(c > 0, self.d[np.minimum(c, K + 1)] * c / max(1, self.n), self.unknown)
 
-    def ids(self, hashes: np.ndarray) -> np.ndarray:
-        at = np.searchsorted(self.shortlist, hashes)
-        at = np.minimum(at, max(0, len(self.shortlist) - 1))
-        hit = self.shortlist[at] == hashes if len(self.shortlist) else np.zeros(len(hashes), bool)
-        out = np.where(hit, at + FIRST, RARE)
-        out[hashes == END_HASH] = END
-        return out
+    def count(self, hashes: np.ndarray) -> np.ndarray:
+        at, hit = _find(self.words, hashes)
+        return np.where(hit, self.counts[at], 0) if len(self.words) else np.zeros(len(hashes), np.int64)
 
 
-def _unigrams(table: DataFrame, docs: int) -> Unigrams:
-    n, v, few, many = _profile(table)
-    least = LEAST
-    while many[int(least).bit_length() - 1] > SHORTLIST:
-        least *= 2
-
-    def run(batches):
-        for batch in batches:
-            for blob in batch.column("blob").to_pylist():
-                d, c = unpack(blob)
-                keys = np.cumsum(d, dtype=np.uint64)
-                keep = (c >= least) & (keys != END_HASH)
-                yield pa.RecordBatch.from_arrays([pa.array(keys[keep].view(np.int64)), pa.array(c[keep])], ["h", "c"])
-
-    rows = map_arrow(table, run, "h long, c long").toPandas()  # SHORTLIST rows at most
-    hashes = rows["h"].to_numpy(np.int64).view(np.uint64)
-    order = np.argsort(hashes)
-    counts = np.concatenate([[0, docs, docs], rows["c"].to_numpy(np.int64)[order]])
+def _unigrams(table: DataFrame) -> Unigrams:
+    n, v, few = _profile(table)
     d = discounts(few)
     total = 0.0
     if n:
         total = float((few[:K] * np.arange(1, K + 1) * d[1 : K + 1]).sum() + (n - (few[:K] * np.arange(1, K + 1)).sum())) / n
-    out = Unigrams(n, v, d, 1 - total if n and 1 - total > 1e-12 else 0.0, hashes[order], counts, np.zeros(0))
-    p = out.share(counts)
-    p[START] = 0.0
-    p[END] = p[END] if docs else 0.0
-    p[RARE] = 0.0
-    p[RARE] = max(1 - p.sum(), 1e-300)
-    counts[RARE] = n - counts[END] - counts[FIRST:].sum()
-    out.p = p
-    return out
-
-
-def _bigrams(batch: pa.RecordBatch, uni: Unigrams) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Key (history, word) of each token, its document, its word's id and hash."""
-    hashes, doc = _tokens(batch)
-    w = uni.ids(hashes)
-    h = np.append(START, w[:-1]) if len(w) else w
-    h[np.flatnonzero(np.append(True, doc[1:] != doc[:-1]))] = START
-    return (h.astype(np.uint64) << np.uint64(32)) | w.astype(np.uint64), doc, w, hashes
+    return Unigrams(n, v, d, 1 - total if n and 1 - total > 1e-12 else 0.0, np.zeros(0, np.uint64), np.zeros(0, np.int64), np.ones(1))
 
 
 @dataclass
 class Backoff:
     d: np.ndarray
-    scale: np.ndarray  # by history: of its bigrams' discounted shares
-    alpha: np.ndarray  # by history: of the unigram shares of words that do not follow it
+    scale: np.ndarray  # by history: of its grams' discounted shares
+    alpha: np.ndarray  # by history: of the lower order's shares of words that do not follow it
     history: np.ndarray  # occurrences by history
 
 
-def _backoff(table: DataFrame, uni: Unigrams) -> Backoff:
-    """Weights from sums by history, each part adding what it has of a history."""
-    _, _, few, _ = _profile(table)
-    d = discounts(few)
-    shared = table.sparkSession.sparkContext.broadcast(uni)
+def log_probability(uni: Unigrams, back: Backoff, key: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """log10 P of (history, word) keys with gram counts c, one step of the recursion: the gram if there is one, else the weight times the lower order's share."""
+    h, w = (key >> np.uint64(32)).astype(np.int64), (key & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    seen = back.scale[h] * back.d[np.minimum(c, K + 1)] * c / np.maximum(back.history[h], 1)
+    return np.log10(np.maximum(np.where(c > 0, seen, back.alpha[h] * uni.p[w]), 1e-300))
+
+
+def backoff(d: np.ndarray, new: np.ndarray, c: np.ndarray, lower: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """scale and alpha of histories whose grams begin at new, from the grams' counts and the lower order's shares of their words."""
+    total = np.add.reduceat(c, new).astype(np.float64)
+    kept, rest = np.add.reduceat(d[np.minimum(c, K + 1)] * c, new) / total, 1 - np.add.reduceat(lower, new)
+    all_follow = rest < 1e-9
+    s = np.where(all_follow, 1 / np.maximum(kept, 1e-300), np.where(kept > 1 - 1e-12, total / (total + 1) / np.maximum(kept, 1e-300), 1.0))
+    return s, np.where(all_follow, 0.0, (1 - s * kept) / np.maximum(rest, 1e-9))
+
+
+class Level:
+    """The grams of one order in one part, with their histories' weights."""
+
+    def __init__(self, blob: bytes | None, uni: Unigrams, d: np.ndarray):
+        self.uni = uni
+        h, sizes, scale, alpha, w, c = unpack(blob) if blob else (np.zeros(0, np.uint64), *[np.zeros(0, np.int64)] * 3, np.zeros(0, np.uint64), np.zeros(0, np.int64))
+        self.histories = _sums(h)
+        total = np.add.reduceat(c, np.cumsum(sizes) - sizes) if len(h) else sizes
+        # the last weight is that of histories that never occurred
+        self.back = Backoff(d, np.append(scale.view(np.float64), 1.0), np.append(alpha.view(np.float64), 1.0), np.append(total, 0))
+        keys = gram([np.repeat(self.histories, sizes), w])
+        order = np.argsort(keys, kind="stable")
+        self.keys, self.counts = keys[order], c[order]
+
+    def answer(self, histories: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of grams: log10 of the share, or of the history's weight; and which have a share."""
+        at, seen = _find(self.keys, keys)
+        c = np.where(seen, self.counts[at], 0) if len(self.keys) else np.zeros(len(keys), np.int64)
+        h, known = _find(self.histories, histories)
+        h = np.where(known, h, len(self.histories)).astype(np.uint64)
+        return log_probability(self.uni, self.back, h << np.uint64(32), c), c > 0
+
+
+def _questions(words: list[np.ndarray], parts: int) -> tuple[list[tuple[np.ndarray, ...]], np.ndarray, np.ndarray]:
+    """What to ask each part about grams: distinct (history, key), or (word,) for unigrams; the order of the questions, and each gram's question."""
+    keys = gram(words)
+    single, first, inverse = np.unique(keys, return_index=True, return_inverse=True)
+    histories = _history([w[first] for w in words])
+    at, cut = _routed(histories, parts)
+    own = [at[cut[p] : cut[p + 1]] for p in range(parts)]
+    return [(_deltas(histories[x]), single[x]) if words[1:] else (_deltas(single[x]),) for x in own], at, inverse
+
+
+def _answers(order: int, blob: bytes, uni: Unigrams, levels: dict[int, Level]) -> bytes:
+    """Counts for unigrams; log10 shares or weights, and which they are, for longer grams."""
+    h, *keys = unpack(blob)
+    if not keys:
+        return pack(uni.count(_sums(h)))
+    value, seen = levels[order].answer(_sums(h), keys[0])
+    return pack(value.view(np.uint64), seen.view(np.uint8))
+
+
+def _answering(uni, weights: dict[int, np.ndarray]):
+    """Function of a part's batches, tables first: rows that answer its questions, and texts as they came."""
 
     def run(batches):
+        tables: dict[int, list] = {}
+        known = None
         for batch in batches:
-            for blob in batch.column("blob").to_pylist():
-                delta, c = unpack(blob)
-                key = np.cumsum(delta, dtype=np.uint64)
-                h, w = (key >> np.uint64(32)).astype(np.int64), (key & np.uint64(0xFFFFFFFF)).astype(np.int64)
-                new = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
-                if len(new):
-                    kept, p = np.add.reduceat(d[np.minimum(c, K + 1)] * c, new), np.add.reduceat(shared.value.p[w], new)
-                    yield pa.RecordBatch.from_arrays([pa.array(h[new]), pa.array(kept), pa.array(p), pa.array(np.add.reduceat(c, new))], ["h", "kept", "p", "c"])
-
-    sums = map_arrow(table, run, "h long, kept double, p double, c long").groupBy("h").agg(F.sum("kept").alias("kept"), F.sum("p").alias("p"), F.sum("c").alias("c")).toPandas()  # SHORTLIST rows at most
-    scale, alpha = np.ones(len(uni.p)), np.ones(len(uni.p))
-    h, c = sums["h"].to_numpy(np.int64), sums["c"].to_numpy(np.float64)
-    kept, rest = sums["kept"].to_numpy(np.float64) / np.maximum(c, 1), 1 - sums["p"].to_numpy(np.float64)
-    all_follow = rest < 1e-9
-    s = np.where(all_follow, 1 / np.maximum(kept, 1e-300), np.where(kept > 1 - 1e-12, c / (c + 1) / np.maximum(kept, 1e-300), 1.0))
-    scale[h] = s
-    alpha[h] = np.where(all_follow, 0.0, (1 - s * kept) / np.maximum(rest, 1e-9))
-    history = np.zeros(len(uni.p), np.int64)
-    history[h] = c.astype(np.int64)
-    return Backoff(d, scale, alpha, history)
+            for part, kind, chunk, blob in zip(*(batch.column(c).to_pylist() for c in ("part", "kind", "chunk", "blob"))):
+                if kind < ASK:
+                    if part not in tables:
+                        tables.clear()
+                    tables.setdefault(part, {})[kind] = blob
+                elif kind == TEXTS:
+                    yield _rows([(part, kind, chunk, blob)])
+                else:
+                    if known is None or known[0] != part:
+                        own = tables.get(part, {})
+                        words, counts = _unpacked(own[1]) if 1 in own else ([np.zeros(0, np.uint64)], np.zeros(0, np.int64))
+                        at = np.argsort(words[0], kind="stable")
+                        here = replace(uni.value, words=words[0][at], counts=counts[at])
+                        known = part, here, {k: Level(own.get(k), here, d) for k, d in weights.items()}
+                    yield _rows([(part, kind, chunk, _answers(kind - ASK, blob, *known[1:]))])
 
+    return run
 
-def log_probability(uni: Unigrams, back: Backoff, key: np.ndarray, c: np.ndarray) -> np.ndarray:
-    """log10 P of (history, word) keys with bigram counts c, by the recursion: the bigram if there is one, else the weight times the unigram."""
-    h, w = (key >> np.uint64(32)).astype(np.int64), (key & np.uint64(0xFFFFFFFF)).astype(np.int64)
-    seen = back.scale[h] * back.d[np.minimum(c, K + 1)] * c / np.maximum(back.history[h], 1)
-    return np.log10(np.maximum(np.where(c > 0, seen, back.alpha[h] * uni.p[w]), 1e-300))
 
+def _asked(rows: DataFrame, tables: DataFrame, uni, weights: dict[int, np.ndarray], parts: int) -> DataFrame:
+    return map_arrow(rows.unionByName(tables).repartition(parts, "part").sortWithinPartitions("part", "kind"), _answering(uni, weights), _ROW)
 
-def report(docs: DataFrame, held: Column | None = None) -> DataFrame:
+
+def _weighted(counts: DataFrame, lower: DataFrame, order: int, uni, weights: dict[int, np.ndarray], d: np.ndarray, parts: int) -> DataFrame:
+    """Grams of one order by history, with the histories' weights, from the lower order's shares of the grams' words."""
+
+    def ask(batches):
+        for batch in batches:
+            for part, blob in zip(batch.column("part").to_pylist(), batch.column("blob").to_pylist()):
+                questions, *_ = _questions(_unpacked(blob)[0][1:], parts)
+                yield from _emit([(p, ASK + order - 1, (part << 32) | p, pack(*q)) for p, q in enumerate(questions) if len(q[0])])
+
+    def weigh(batches):
+        words, counts, found = [], None, []
+
+        def done():
+            _, at, inverse = _questions(words[1:], parts)
+            share = np.empty(len(at))
+            share[at] = np.concatenate(found)
+            h = _history(words)
+            new = _firsts(h)
+            scale, alpha = backoff(d, new, counts, share[inverse])
+            return _rows([(here, order, 0, pack(_deltas(h[new]), np.diff(np.append(new, len(h))), scale.view(np.uint64), alpha.view(np.uint64), words[-1], counts))])
+
+        here = None
+        for batch in batches:
+            for part, kind, blob in zip(*(batch.column(c).to_pylist() for c in ("part", "kind", "blob"))):
+                if kind < ASK:
+                    if here is not None:
+                        yield done()
+                    here, found = part, []
+                    words, counts = _unpacked(blob)
+                else:
+                    value = unpack(blob)[0]
+                    found.append(uni.value.share(value) if order == 2 else 10 ** value.view(np.float64))
+        if here is not None:
+            yield done()
+
+    answers = _asked(map_arrow(counts, ask, _ROW), lower, uni, weights, parts)
+    back = answers.select(F.shiftright("chunk", 32).cast("int").alias("part"), "kind", "chunk", "blob")
+    return stored(map_arrow(counts.unionByName(back).repartition(parts, "part").sortWithinPartitions("part", "kind", "chunk"), weigh, _ROW))
+
+
+def report(docs: DataFrame, held: Column | None = None, order: int = ORDER) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every document; learned from those not held out."""
     held = held_out(F.col("doc_id"), 7, 2) if held is None else held
     spark = docs.sparkSession
     train = docs.where(~held)
-    total, n_train = docs.agg(F.count(F.lit(1)), F.count(F.when(~held, 1))).first()
+    total = docs.count()
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // DOCS_A_PART))
-    words = _counted(train, lambda batch: _tokens(batch)[0], parts)
-    uni = _unigrams(words, n_train)
+    tables = [_counted(train, 1, parts)]
+    uni = _unigrams(tables[0])
     u = spark.sparkContext.broadcast(uni)
-    pairs = _counted(train, lambda batch: _bigrams(batch, u.value)[0], parts)
-    back = _backoff(pairs, uni)
-    b = spark.sparkContext.broadcast(back)
+    weights: dict[int, np.ndarray] = {}
+    for k in range(2, order + 1):
+        counts = _counted(train, k, parts)
+        d = discounts(_profile(counts)[2])
+        tables.append(_weighted(counts, tables[-1], k, u, dict(weights), d, parts))
+        weights[k] = d
+    known = tables[0]
+    for t in tables[1:]:
+        known = known.unionByName(t)
 
     def ask(batches):
-        """kind 1: bigrams and their documents; 2: rare words and their documents; 3: what a batch knows of its documents."""
         task, k = TaskContext.get().partitionId(), 0
         for batch in batches:
-            uni = u.value
-            key, doc, w, hashes = _bigrams(batch, uni)
             chunk, k = (task << 32) | k, k + 1
-            n = batch.num_rows
-            rare = w == RARE
-            rows = []
-            for kind, keys, who in ((1, key, doc), (2, hashes[rare], doc[rare])):
-                order = np.argsort(keys, kind="stable")
-                keys, who = keys[order], who[order]
-                new = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
-                times = np.diff(np.append(new, len(keys)))
-                single = keys[new]
-                at, cut = _split(single, parts)
-                for p in range(parts):
-                    own = at[cut[p] : cut[p + 1]]
-                    if len(own):
-                        inside = np.repeat(new[own] - (np.cumsum(times[own]) - times[own]), times[own]) + np.arange(times[own].sum())
-                        rows.append((p, kind, chunk, pack(_deltas(single[own]), times[own].astype(np.uint32), who[inside].astype(np.uint16))))
-            known = np.bincount(doc, weights=~rare, minlength=n) if len(doc) else np.zeros(n)
-            if not n_train:
-                known[:] = 0
-            base = np.bincount(doc, weights=np.where(rare, 0.0, np.log10(uni.counts[w] + 1.0)), minlength=n)
-            meta = pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(np.bincount(doc, minlength=n)), pa.array(known.astype(np.int64)), pa.array(base)], ["doc_id", "held_out", "n", "known", "base"])
+            hashes, doc = _tokens(batch.column("text").to_pylist())
+            for n in range(1, order + 1):
+                questions, *_ = _questions(_grams(hashes, doc, n), parts)
+                yield from _emit([(p, ASK + n, chunk, pack(*q)) for p, q in enumerate(questions) if len(q[0])])
             sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, meta.schema) as writer:
-                writer.write_batch(meta)
-            rows.append((k % parts, 3, chunk, sink.getvalue().to_pybytes()))
-            yield from _emit(rows)
-
-    def answer(batches):
-        """Looks up what batches ask in the counts of the same part, and sums by document."""
-        tables: dict[int, list] = {0: [], 4: []}
-        asked = []
+            with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+                writer.write_batch(batch)
+            yield _rows([(chunk % parts, TEXTS, chunk, sink.getvalue().to_pybytes())])
+
+    def scored(found: dict[int, list[bytes]], blob: bytes) -> pa.RecordBatch:
+        batch = pa.ipc.open_stream(blob).read_next_batch()
+        hashes, doc = _tokens(batch.column("text").to_pylist())
+        uni, score = u.value, 0.0
+        for n in range(1, order + 1):
+            _, at, inverse = _questions(_grams(hashes, doc, n), parts)
+            value, *seen = (np.concatenate(x) for x in zip(*map(unpack, found[n])))
+            own = np.empty_like(value)
+            own[at] = value
+            if n == 1:
+                c = own[inverse]
+                score = np.log10(np.maximum(uni.share(c), 1e-300))
+            else:
+                is_seen = np.empty(len(at), bool)
+                is_seen[at] = seen[0].view(bool)
+                score = own.view(np.float64)[inverse] + np.where(is_seen[inverse], 0.0, score)
+        rows = batch.num_rows
+        by_doc = lambda x: np.bincount(doc, weights=x, minlength=rows)
+        n = np.bincount(doc, minlength=rows)
+        base = by_doc(np.log10(c + 1.0)) - n * np.log10(uni.n + uni.v + 1.0)
+        return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(n), pa.array(by_doc(c > 0).astype(np.int64)), pa.array(np.full(rows, uni.n, np.int64)), pa.array(base), pa.array(by_doc(score))], ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+
+    def score(batches):
+        """A chunk's answers come by order and part, its texts last."""
+        found: dict[int, list[bytes]] = {}
         for batch in batches:
-            for kind, chunk, blob in zip(*(batch.column(c).to_pylist() for c in ("kind", "chunk", "blob"))):
-                if kind in tables:
-                    d, c = unpack(blob)
-                    tables[kind].append((np.cumsum(d, dtype=np.uint64), c))
+            for kind, blob in zip(batch.column("kind").to_pylist(), batch.column("blob").to_pylist()):
+                if kind < TEXTS:
+                    found.setdefault(kind - ASK, []).append(blob)
                 else:
-                    asked.append((kind, chunk, blob))
-        words, pairs = _merged(tables[0]), _merged(tables[4])
-        uni, back = u.value, b.value
-        for kind, chunk, blob in asked:
-            if kind == 3:
-                yield _rows([(0, 3, chunk, blob)])
-                continue
-            d, times, who = unpack(blob)
-            keys = np.cumsum(d, dtype=np.uint64)
-            table, counts = pairs if kind == 1 else words
-            at = np.minimum(np.searchsorted(table, keys), max(0, len(table) - 1))
-            c = np.where(table[at] == keys, counts[at], 0) if len(table) else np.zeros(len(keys), np.int64)
-            n = int(who.max()) + 1 if len(who) else 0
-            total = lambda x: np.bincount(who, weights=np.repeat(x, times), minlength=n)  # noqa: B023, E731
-            if kind == 1:
-                sums = [total(log_probability(uni, back, keys, c))]
-            else:
-                sums = [total(np.log10(np.maximum(uni.share(c) / uni.p[RARE], 1e-300))), total(np.log10(c + 1.0)), total((c > 0).astype(float))]
-            yield _rows([(0, kind, chunk, np.concatenate([[len(sums)], *sums]).astype(np.float64).tobytes())])
+                    yield scored(found, blob)
+                    found = {}
 
-    def total(batches):
-        sums: dict[int, dict] = {}
-        for batch in batches:
-            for kind, chunk, blob in zip(*(batch.column(c).to_pylist() for c in ("kind", "chunk", "blob"))):
-                own = sums.setdefault(chunk, {"meta": None, "score": np.zeros(0), "base": np.zeros(0), "known": np.zeros(0)})
-                if kind == 3:
-                    own["meta"] = blob
-                    continue
-                x = np.frombuffer(blob, np.float64)
-                for name, y in zip(("score", "base", "known"), np.split(x[1:], int(x[0]))):
-                    if len(own[name]) < len(y):
-                        own[name] = np.pad(own[name], (0, len(y) - len(own[name])))
-                    own[name][: len(y)] += y
-        for own in sums.values():
-            meta = pa.ipc.open_stream(own["meta"]).read_next_batch()
-            full = {k: np.pad(own[k], (0, meta.num_rows - len(own[k]))) for k in ("score", "base", "known")}
-            n = meta.column("n").to_numpy()
-            base = meta.column("base").to_numpy() + full["base"] - n * np.log10(uni_n + uni_v + 1.0)
-            known = meta.column("known").to_numpy() + full["known"].astype(np.int64)
-            yield pa.RecordBatch.from_arrays([meta.column("doc_id"), meta.column("held_out"), pa.array(n), pa.array(known), pa.array(np.full(len(n), uni_n, np.int64)), pa.array(base), pa.array(full["score"])], ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
-
-    uni_n, uni_v = uni.n, uni.v
     asked = map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), held.alias("held_out"), "text"), ask, _ROW)
-    known = words.unionByName(pairs.withColumn("kind", F.lit(4)))
-    answered = map_arrow(asked.unionByName(known).repartition(parts, "part"), answer, _ROW)
-    return map_arrow(answered.repartition(parts, "chunk"), total, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    answered = _asked(asked, known, u, weights, parts)
+    return map_arrow(answered.repartition(parts, "chunk").sortWithinPartitions("chunk", "kind", "part"), score, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

@@ -171,6 +171,52 @@ def test_katz_sums_to_one():
     assert (10 ** katz.log_probability(uni, back, key, c)).sum() == pytest.approx(1)
 
 
+def _katz(train, rows, order):
+    """Brute force over tuples of words."""
+    texts = [[*(t or "").lower().split(), "</s>"] for t in train]
+    grams = lambda w, k: [tuple((["<s>"] * (k - 1) + w)[i : i + k]) for i in range(len(w))]
+    counts = {k: collections.Counter(g for w in texts for g in grams(w, k)) for k in range(1, order + 1)}
+    d = {k: katz.discounts(np.array([sum(x == i for x in c.values()) for i in range(1, katz.K + 2)])) for k, c in counts.items()}
+    cut = lambda k, c: d[k][min(c, katz.K + 1)] * c
+    n, v = sum(counts[1].values()), len(counts[1])
+    free = 1 - sum(cut(1, c) for c in counts[1].values()) / n
+    follow = {k: collections.defaultdict(dict) for k in counts}
+    for k, c in counts.items():
+        for g, x in c.items():
+            follow[k][g[:-1]][g[-1]] = x
+
+    def p(g):
+        k = len(g)
+        if k == 1:
+            c = counts[1][g]
+            return (cut(1, c) / n if c else free) if free > 1e-12 else (c + 1) / (n + v + 1)
+        after = follow[k].get(g[:-1])
+        if not after:
+            return p(g[1:])
+        total = sum(after.values())
+        kept, rest = sum(cut(k, c) for c in after.values()) / total, 1 - sum(p((*g[1:-1], w)) for w in after)
+        s = 1 / kept if rest < 1e-9 else total / (total + 1) / kept if kept > 1 - 1e-12 else 1.0
+        if g[-1] in after:
+            return s * cut(k, after[g[-1]]) / total
+        return 0.0 if rest < 1e-9 else (1 - s * kept) / rest * p(g[1:])
+
+    return [sum(math.log10(max(p(g), 1e-300)) for g in grams([*(t or "").lower().split(), "</s>"], order)) for t in rows]
+
+
+def _sentences():
+    rng = np.random.default_rng(5)
+    texts = [" ".join(f"w{min(int(x), 200)}" for x in rng.zipf(1.4, int(rng.integers(1, 25)))) for _ in range(150)]
+    return [*texts, "", None, "never seen before", "w1 rare follower", "w1 rare follower w2 w3"]
+
+
+def test_katz_counts_bigrams_of_rare_words(spark):
+    texts = _sentences()
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in katz.report(df, order=2).collect()}
+    want = _katz([t for i, t in enumerate(texts) if not got[i].held_out], texts, 2)
+    assert [got[i].score for i in range(len(texts))] == pytest.approx(want)
+
+
 def test_language(spark, docs, empty):
     learn = [(i, t, x, "s", 1, "") for i in range(60) for t, x in (("the dog and the cat of the house", "en"), ("der hund und die katze des hauses", "de"))]
     df = spark.createDataFrame(learn, SCHEMA)
