@@ -46,7 +46,7 @@ from kinloom.llm.tokens import mix, word_hashes
 
 K = 5
 #: Words in the longest gram.
-ORDER = 2
+ORDER = 3
 END_HASH, START_HASH = np.uint64(0x9D2C5680CA876543), np.uint64(0x2545F4914F6CDD1D)
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 #: Words of grams that a task merges before it sends them on.
@@ -143,13 +143,26 @@ def _history(words: list[np.ndarray]) -> np.ndarray:
     return gram(words[:-1] or words)
 
 
+def _listed(words: list[np.ndarray]) -> list[np.ndarray]:
+    """Columns of words as a list of the distinct ones and numbers in it; a single column must be sorted."""
+    if len(words) == 1:
+        return [_deltas(words[0])]
+    single, inverse = np.unique(np.concatenate(words), return_inverse=True)
+    return [_deltas(single), *np.split(inverse.astype(np.uint32), len(words))]
+
+
+def _words(listed: list[np.ndarray]) -> list[np.ndarray]:
+    single = _sums(listed[0])
+    return [single[i] for i in listed[1:]] if listed[1:] else [single]
+
+
 def _packed(words: list[np.ndarray], counts: np.ndarray) -> bytes:
-    return pack(*(_deltas(w) for w in words[:-1]), words[-1] if words[1:] else _deltas(words[-1]), counts)
+    return pack(*_listed(words), counts)
 
 
 def _unpacked(blob: bytes) -> tuple[list[np.ndarray], np.ndarray]:
-    *words, counts = unpack(blob)
-    return [*map(_sums, words[:-1]), words[-1] if words[1:] else _sums(words[-1])], counts
+    *listed, counts = unpack(blob)
+    return _words(listed), counts
 
 
 def _tokens(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -302,7 +315,8 @@ class Level:
 
     def __init__(self, blob: bytes | None, uni: Unigrams, d: np.ndarray):
         self.uni = uni
-        h, sizes, scale, alpha, w, c = unpack(blob) if blob else (np.zeros(0, np.uint64), *[np.zeros(0, np.int64)] * 3, np.zeros(0, np.uint64), np.zeros(0, np.int64))
+        h, sizes, scale, alpha, listed, w, c = unpack(blob) if blob else (np.zeros(0, np.uint64), *[np.zeros(0, np.int64)] * 3, np.zeros(0, np.uint64), *[np.zeros(0, np.int64)] * 2)
+        w = _sums(listed)[w]
         self.histories = _sums(h)
         total = np.add.reduceat(c, np.cumsum(sizes) - sizes) if len(h) else sizes
         # the last weight is that of histories that never occurred
@@ -320,26 +334,24 @@ class Level:
         return log_probability(self.uni, self.back, h << np.uint64(32), c), c > 0
 
 
-def _questions(words: list[np.ndarray], parts: int) -> tuple[list[tuple[np.ndarray, ...]], np.ndarray, np.ndarray]:
-    """What to ask each part about grams: distinct (history, key), or (word,) for unigrams; the order of the questions, and each gram's question."""
-    keys = gram(words)
-    single, first, inverse = np.unique(keys, return_index=True, return_inverse=True)
-    histories = _history([w[first] for w in words])
-    at, cut = _routed(histories, parts)
-    own = [at[cut[p] : cut[p + 1]] for p in range(parts)]
-    return [(_deltas(histories[x]), single[x]) if words[1:] else (_deltas(single[x]),) for x in own], at, inverse
+def _questions(words: list[np.ndarray], parts: int) -> tuple[list[list[np.ndarray]], np.ndarray, np.ndarray]:
+    """What to ask each part about: distinct grams, as columns of words; the order of the questions, and each gram's question."""
+    _, first, inverse = np.unique(gram(words), return_index=True, return_inverse=True)
+    words = [w[first] for w in words]
+    at, cut = _routed(_history(words), parts)
+    return [[w[at[cut[p] : cut[p + 1]]] for w in words] for p in range(parts)], at, inverse
 
 
-def _answers(order: int, blob: bytes, uni: Unigrams, levels: dict[int, Level]) -> bytes:
+def _answers(order: int, blob: bytes, uni: Unigrams, levels: dict[int, Level], digits: str) -> bytes:
     """Counts for unigrams; log10 shares or weights, and which they are, for longer grams."""
-    h, *keys = unpack(blob)
-    if not keys:
-        return pack(uni.count(_sums(h)))
-    value, seen = levels[order].answer(_sums(h), keys[0])
-    return pack(value.view(np.uint64), seen.view(np.uint8))
+    words = _words(unpack(blob))
+    if order == 1:
+        return pack(uni.count(words[0]))
+    value, seen = levels[order].answer(_history(words), gram(words))
+    return pack(value.astype(digits), seen.view(np.uint8))
 
 
-def _answering(uni, weights: dict[int, np.ndarray]):
+def _answering(uni, weights: dict[int, np.ndarray], digits: str):
     """Function of a part's batches, tables first: rows that answer its questions, and texts as they came."""
 
     def run(batches):
@@ -360,13 +372,13 @@ def _answering(uni, weights: dict[int, np.ndarray]):
                         at = np.argsort(words[0], kind="stable")
                         here = replace(uni.value, words=words[0][at], counts=counts[at])
                         known = part, here, {k: Level(own.get(k), here, d) for k, d in weights.items()}
-                    yield _rows([(part, kind, chunk, _answers(kind - ASK, blob, *known[1:]))])
+                    yield _rows([(part, kind, chunk, _answers(kind - ASK, blob, *known[1:], digits))])
 
     return run
 
 
-def _asked(rows: DataFrame, tables: DataFrame, uni, weights: dict[int, np.ndarray], parts: int) -> DataFrame:
-    return map_arrow(rows.unionByName(tables).repartition(parts, "part").sortWithinPartitions("part", "kind"), _answering(uni, weights), _ROW)
+def _asked(rows: DataFrame, tables: DataFrame, uni, weights: dict[int, np.ndarray], parts: int, digits: str) -> DataFrame:
+    return map_arrow(rows.unionByName(tables).repartition(parts, "part").sortWithinPartitions("part", "kind"), _answering(uni, weights, digits), _ROW)
 
 
 def _weighted(counts: DataFrame, lower: DataFrame, order: int, uni, weights: dict[int, np.ndarray], d: np.ndarray, parts: int) -> DataFrame:
@@ -376,7 +388,7 @@ def _weighted(counts: DataFrame, lower: DataFrame, order: int, uni, weights: dic
         for batch in batches:
             for part, blob in zip(batch.column("part").to_pylist(), batch.column("blob").to_pylist()):
                 questions, *_ = _questions(_unpacked(blob)[0][1:], parts)
-                yield from _emit([(p, ASK + order - 1, (part << 32) | p, pack(*q)) for p, q in enumerate(questions) if len(q[0])])
+                yield from _emit([(p, ASK + order - 1, (part << 32) | p, pack(*_listed(q))) for p, q in enumerate(questions) if len(q[0])])
 
     def weigh(batches):
         words, counts, found = [], None, []
@@ -388,7 +400,8 @@ def _weighted(counts: DataFrame, lower: DataFrame, order: int, uni, weights: dic
             h = _history(words)
             new = _firsts(h)
             scale, alpha = backoff(d, new, counts, share[inverse])
-            return _rows([(here, order, 0, pack(_deltas(h[new]), np.diff(np.append(new, len(h))), scale.view(np.uint64), alpha.view(np.uint64), words[-1], counts))])
+            single, w = np.unique(words[-1], return_inverse=True)
+            return _rows([(here, order, 0, pack(_deltas(h[new]), np.diff(np.append(new, len(h))), scale.view(np.uint64), alpha.view(np.uint64), _deltas(single), w.astype(np.uint32), counts))])
 
         here = None
         for batch in batches:
@@ -400,11 +413,11 @@ def _weighted(counts: DataFrame, lower: DataFrame, order: int, uni, weights: dic
                     words, counts = _unpacked(blob)
                 else:
                     value = unpack(blob)[0]
-                    found.append(uni.value.share(value) if order == 2 else 10 ** value.view(np.float64))
+                    found.append(uni.value.share(value) if order == 2 else 10**value)
         if here is not None:
             yield done()
 
-    answers = _asked(map_arrow(counts, ask, _ROW), lower, uni, weights, parts)
+    answers = _asked(map_arrow(counts, ask, _ROW), lower, uni, weights, parts, "f8")
     back = answers.select(F.shiftright("chunk", 32).cast("int").alias("part"), "kind", "chunk", "blob")
     return stored(map_arrow(counts.unionByName(back).repartition(parts, "part").sortWithinPartitions("part", "kind", "chunk"), weigh, _ROW))
 
@@ -436,7 +449,7 @@ def report(docs: DataFrame, held: Column | None = None, order: int = ORDER) -> D
             hashes, doc = _tokens(batch.column("text").to_pylist())
             for n in range(1, order + 1):
                 questions, *_ = _questions(_grams(hashes, doc, n), parts)
-                yield from _emit([(p, ASK + n, chunk, pack(*q)) for p, q in enumerate(questions) if len(q[0])])
+                yield from _emit([(p, ASK + n, chunk, pack(*_listed(q))) for p, q in enumerate(questions) if len(q[0])])
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
                 writer.write_batch(batch)
@@ -457,7 +470,7 @@ def report(docs: DataFrame, held: Column | None = None, order: int = ORDER) -> D
             else:
                 is_seen = np.empty(len(at), bool)
                 is_seen[at] = seen[0].view(bool)
-                score = own.view(np.float64)[inverse] + np.where(is_seen[inverse], 0.0, score)
+                score = own[inverse].astype(np.float64) + np.where(is_seen[inverse], 0.0, score)
         rows = batch.num_rows
         by_doc = lambda x: np.bincount(doc, weights=x, minlength=rows)
         n = np.bincount(doc, minlength=rows)
@@ -476,5 +489,5 @@ def report(docs: DataFrame, held: Column | None = None, order: int = ORDER) -> D
                     found = {}
 
     asked = map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), held.alias("held_out"), "text"), ask, _ROW)
-    answered = _asked(asked, known, u, weights, parts)
+    answered = _asked(asked, known, u, weights, parts, "f4")
     return map_arrow(answered.repartition(parts, "chunk").sortWithinPartitions("chunk", "kind", "part"), score, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

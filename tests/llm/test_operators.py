@@ -217,6 +217,14 @@ def test_katz_counts_bigrams_of_rare_words(spark):
     assert [got[i].score for i in range(len(texts))] == pytest.approx(want)
 
 
+def test_katz_uses_two_words_of_history(spark):
+    texts = _sentences()
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in katz.report(df).collect()}
+    want = _katz([t for i, t in enumerate(texts) if not got[i].held_out], texts, 3)
+    assert [got[i].score for i in range(len(texts))] == pytest.approx(want)
+
+
 def test_language(spark, docs, empty):
     learn = [(i, t, x, "s", 1, "") for i in range(60) for t, x in (("the dog and the cat of the house", "en"), ("der hund und die katze des hauses", "de"))]
     df = spark.createDataFrame(learn, SCHEMA)
