@@ -1,8 +1,9 @@
 """HTML to text by layout.
 
 A tree builder reads tags as browsers do where it matters for text: implied ends
-(a paragraph before a block, list items, rows, cells, options), void elements,
-raw text, and ends without a start. A renderer then walks the tree and writes
+(a head before other content, a paragraph before a block, list items, rows, cells,
+options), implied rows, content of a table outside its cells (which goes before
+the table), void elements, raw text, and ends without a start. A renderer then walks the tree and writes
 what is visible: no head, script, style, template, hidden or display:none
 content; blank lines around paragraphs and headings, line breaks around other
 blocks; list items with a bullet or number and indentation; tables with one line
@@ -42,6 +43,13 @@ IMPLIED = {
     "tfoot": ({"thead", "tbody", "tfoot", "tr", "td", "th"}, {"table"}),
     "option": ({"option"}, {"select"}),
 }
+HEAD = frozenset("base basefont bgsound link meta title style script noscript template".split())
+#: Parts of a table, and the open elements in which each may stand.
+TABLE = {
+    "caption": set(), "colgroup": set(), "col": {"colgroup"}, "thead": set(), "tbody": set(), "tfoot": set(), "tr": {"thead", "tbody", "tfoot"},
+    "td": {"thead", "tbody", "tfoot", "tr"}, "th": {"thead", "tbody", "tfoot", "tr"},
+}
+CELLS = frozenset(("td", "th", "caption"))
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
@@ -57,6 +65,7 @@ class TreeBuilder(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.root = Node("", {})
         self.open = [self.root]
+        self.headless = False
 
     def _close(self, tags: set[str], until: set[str]) -> None:
         for i in range(len(self.open) - 1, 0, -1):
@@ -67,17 +76,59 @@ class TreeBuilder(HTMLParser):
                 if not any(n.tag in tags for n in self.open[max(1, i - 2) :]):
                     return
 
+    def _push(self, node: Node) -> None:
+        if len(self.open) < DEEPEST:
+            self.open.append(node)
+
+    def _table(self) -> int:
+        """Where the table is whose content is read now; 0 where that is a cell's or no table's."""
+        i = next((i for i in range(len(self.open) - 1, 0, -1) if self.open[i].tag == "table" or self.open[i].tag in CELLS), 0)
+        return i if self.open[i].tag == "table" else 0
+
+    def _part(self, tag: str) -> bool:
+        """Makes way for a part of a table, with a row for a cell; False outside tables."""
+        at = max((i for i, n in enumerate(self.open) if n.tag == "table"), default=0)
+        if not at:
+            return False
+        while len(self.open) > at + 1 and not (self.open[-1].tag in TABLE[tag] and not any(n.tag in CELLS for n in self.open[at:])):
+            self.open.pop()
+        if tag in ("td", "th") and self.open[-1].tag != "tr":
+            row = Node("tr", {})
+            self.open[-1].children.append(row)
+            self._push(row)
+        return True
+
+    def _outside(self) -> int:
+        """Where the table is, if what comes next would stand in it but in no cell."""
+        tag = self.open[-1].tag
+        return self._table() if tag == "table" or tag in TABLE and tag not in CELLS else 0
+
     def handle_starttag(self, tag, attrs):
-        if tag in IMPLIED:
+        if tag == "head":
+            if self.headless or any(n.tag not in ("", "html") for n in self.open):
+                return
+            self.headless = True
+        elif tag != "html" and tag not in HEAD:
+            self.headless = True
+            if self.open[-1].tag == "head":
+                self.open.pop()
+        if not (tag in TABLE and self._part(tag)) and tag in IMPLIED:
             self._close(*IMPLIED[tag])
         if tag in BLOCK:
             self._close({"p"}, {"table", "td", "th", "li", "div", "section", "article", "button"})
         if tag == "body":
             self._close({"head"}, set())
         node = Node(tag, dict(attrs))
-        self.open[-1].children.append(node)
-        if tag not in VOID and len(self.open) < DEEPEST:
-            self.open.append(node)
+        at = 0 if tag in TABLE or tag in HEAD else self._outside()
+        if at and tag == "table":
+            del self.open[at:]
+            at = 0
+        if at and tag != "form":
+            self.open[at - 1].children.insert(-1, node)
+        else:
+            self.open[-1].children.append(node)
+        if tag not in VOID and not (at and tag == "form"):
+            self._push(node)
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
@@ -93,6 +144,14 @@ class TreeBuilder(HTMLParser):
                 return
 
     def handle_data(self, data):
+        if data.strip():
+            if self.open[-1].tag in ("", "html", "head"):
+                self.headless = True
+            if self.open[-1].tag == "head":
+                self.open.pop()
+            if at := self._outside():
+                self.open[at - 1].children.insert(-1, data)
+                return
         self.open[-1].children.append(data)
 
 

@@ -263,3 +263,23 @@ def test_html(spark):
     assert html.page_text(page) == "A & B\n\none\n\ntwo bold\nnext\n\n- x\n- y\n  1. z\n\na    bb\nccc  d"
     df = spark.createDataFrame([(1, None), (2, ""), (3, "<div>" * 5000 + "deep")], "page_id long, html string")
     assert [r.text for r in html.extract(df).orderBy("page_id").collect()] == [None, "", "deep"]
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("<head><title>T</title><meta charset=x>\n<p>Hello<p>you", "Hello\n\nyou"),
+        ("<html><head><style>s</style> bare text", "bare text"),
+        ("<head><title>T</title></head><p>a<head><p>b", "a\n\nb"),
+        ("<table><td>a<td>b</table>", "a  b"),
+        ("<table><tbody><th>a<th>b<tr><td>c<td>d</table>", "a  b\nc  d"),
+        ("<table><form><tr><td>a<td>b</form><tr><td>c</table>", "a  b\nc"),
+        ("<table>loose<tr>text<td>a<div>x</div></table>after", "loosetext\n\na x\n\nafter"),
+        ("<table><div>before</div><tr><p>more<td>a</td></tr></table>", "before\n\nmore\n\na"),
+        ("<table><caption>cap<tr><td>a<table><tr><td>in</table>b<td>c</table>", "cap\na in b  c"),
+        ("<table><tr><td>a<table><td>b</table></table><table><td>c<table></table>", "a b\n\nc"),
+        ("<table><tr><table><td>a</table>", "a"),
+    ],
+)
+def test_html_implied_tags(page, text):
+    assert html.page_text(page) == text
