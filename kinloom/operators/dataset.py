@@ -8,15 +8,54 @@ from pyspark.sql import functions as F
 from kinloom.functions.draws import uniform
 
 
-def negatives(records: DataFrame, n: int, seed: int = 42) -> DataFrame:
-    """About n pairs (record_id_1, record_id_2) of different people, from hash draws of two positions in dense buckets of ids."""
-    buckets = max(1, n)
-    at = records.select("record_id", "true_patient_id", F.pmod(F.xxhash64(F.lit(seed), "record_id"), F.lit(buckets)).alias("k"))
-    heads = at.groupBy("k").agg(F.min(F.struct("record_id", "true_patient_id")).alias("x"))
-    draws = records.sparkSession.range(3 * n).select("id", *(F.floor(uniform(seed, F.col("id"), s) * buckets).alias(f"k{s}") for s in (1, 2)))
-    a, b = (heads.select(F.col("k").alias(f"k{s}"), F.col("x.record_id").alias(f"r{s}"), F.col("x.true_patient_id").alias(f"p{s}")) for s in (1, 2))
-    pairs = draws.join(a, "k1").join(b, "k2").where("p1 <> p2").groupBy(F.least("r1", "r2").alias("record_id_1"), F.greatest("r1", "r2").alias("record_id_2")).agg(F.min("id").alias("id"))
-    return pairs.orderBy("id").limit(n).drop("id")
+#: Records in a bucket of the dense index, about.
+BUCKET = 100_000
+
+
+def _indexed(records: DataFrame, total: int) -> DataFrame:
+    """records with i, their place from 0 to total - 1 by hash bucket and id: counts by bucket, plus offsets."""
+    buckets = total // BUCKET + 1
+    at = records.withColumn("k", F.pmod(F.xxhash64("record_id"), F.lit(buckets)))
+    sizes = at.groupBy("k").count()
+    offsets = sizes.select("k", (F.sum("count").over(Window.orderBy("k")) - F.col("count")).alias("before"))  # a row per bucket
+    rank = F.row_number().over(Window.partitionBy("k").orderBy("record_id"))
+    return at.withColumn("rn", rank).join(F.broadcast(offsets), "k").select("record_id", "true_patient_id", (F.col("before") + F.col("rn") - 1).alias("i"))
+
+
+def _smallest(pairs: DataFrame, n: int, top: int) -> DataFrame:
+    """The n pairs of smallest id, from 0 to top - 1: whole blocks of ids, and a part of one."""
+    ids = pairs.withColumn("block", F.floor(F.col("id") / F.lit(-(-top // 1000))))
+    upto = 0
+    for block, there in sorted(map(tuple, ids.groupBy("block").count().collect())):
+        if upto + there > n:
+            edge = ids.where(F.col("block") == block).orderBy("id", "record_id_1", "record_id_2").limit(n - upto)
+            return ids.where(F.col("block") < block).unionByName(edge).select("record_id_1", "record_id_2")
+        upto += there
+    return ids.select("record_id_1", "record_id_2")
+
+
+def negatives(records: DataFrame, n: int | None = None, seed: int = 42, least: int = 0) -> DataFrame:
+    """n different pairs (record_id_1, record_id_2) of different people; if n is not given, as many as there are true pairs, and least at least; all if there are fewer.
+    Both records are drawn by hash from the places of all records, and more are drawn until there are n; if n is more than half of all such pairs, they are listed and chosen by hash."""
+    people = records.where("record_id IS NOT NULL AND true_patient_id IS NOT NULL").groupBy("record_id").agg(F.min("true_patient_id").alias("true_patient_id"))
+    sizes = people.groupBy("true_patient_id").agg(F.count(F.lit(1)).cast("decimal(38,0)").alias("c"))
+    total, squares = (int(x or 0) for x in sizes.agg(F.sum("c"), F.sum(F.expr("CAST(c * c AS DECIMAL(38,0))"))).first())
+    possible, true = (total * total - squares) // 2, (squares - total) // 2
+    n = min(max(true, least) if n is None else n, possible)
+    at = _indexed(people, total)
+    a, b = (at.select(F.col("i").alias(f"i{s}"), F.col("record_id").alias(f"r{s}"), F.col("true_patient_id").alias(f"p{s}")) for s in (1, 2))
+    least, greatest = F.least("r1", "r2").alias("record_id_1"), F.greatest("r1", "r2").alias("record_id_2")
+    if 2 * n >= possible:
+        top = 1 << 53
+        return _smallest(a.join(b, F.expr("i1 < i2 AND p1 <> p2")).select(least, greatest, F.pmod(F.xxhash64(F.lit(seed), "i1", "i2"), F.lit(top)).alias("id")), n, top)
+    draws = n + n // 5 + 32
+    draws = draws * total * total // (2 * possible)
+    while True:
+        drawn = records.sparkSession.range(draws).select("id", *(F.floor(uniform(seed, F.col("id"), s) * total).alias(f"i{s}") for s in (1, 2)))
+        pairs = drawn.join(a, "i1").join(b, "i2").where("p1 <> p2").groupBy(least, greatest).agg(F.min("id").alias("id"))
+        if pairs.count() >= n:
+            return _smallest(pairs, n, draws)
+        draws *= 2
 
 
 def split(df: DataFrame, label: str, key: Column, shares: tuple[float, float] = (0.7, 0.15)) -> DataFrame:
