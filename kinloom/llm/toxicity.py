@@ -48,7 +48,7 @@ from kinloom.llm.common import filter_rows, held_out, map_arrow, texts_of
 FIT_TOXIC = 1200
 FIT_CLEAN = 2400
 FIT_CHARS = 20_000
-LANDMARKS = 384
+LANDMARKS = 768
 ROUNDS = 4
 DECAY = 0.75
 GAP = 2
@@ -63,13 +63,13 @@ _PIECE = 1 << 20
 REMEMBERED = 400_000
 #: Words of a text that its score looks at.
 WORST = 1
-#: Of the words that training texts are marked by, how many are also learned with a letter inserted, and how often.
-VARIED, VARIANTS = 48, 6
+#: How often each insult that is sure from the start is also learned with a letter inserted.
+VARIANTS = 24
 #: A word of a toxic training text counts as an insult from the start if one of its pieces is 20 times as frequent in those and its log likelihood ratio exceeds the log of all pieces by this.
 SURE = 2.0
 #: Clean words nearest to the insults that a round adds at most.
 VIOLATORS = 3000
-RIDGE = 0.1
+RIDGE = 0.02
 _SPELLED = re.compile(r"(?<!\S)\S(?:\s+\S)+(?!\S)")
 _PUNCTUATION = re.compile(r"[\W_]+")
 
@@ -219,16 +219,21 @@ def _kernel(words: list[str], slots: np.ndarray, dense: np.ndarray, step: int =
     return out
 
 
-def _solve(z: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float) -> tuple[np.ndarray, float]:
-    """Squared-hinge linear machine, by Newton steps over its active rows."""
-    x = np.hstack([z, np.ones((len(z), 1), z.dtype)]).astype(np.float64)
-    w = np.zeros(x.shape[1])
-    reg = np.full(x.shape[1], ridge)
+def _solve(z: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float, step: int = 1024) -> tuple[np.ndarray, float]:
+    """Squared-hinge linear machine, by Newton steps over its active rows, in blocks of rows that bound the memory."""
+    w = np.zeros(z.shape[1] + 1)
+    reg = np.full(len(w), ridge)
     reg[-1] = 1e-6
     for _ in range(30):
-        on = y * (x @ w) < 1
-        xa = x[on] * weight[on, None]
-        new = np.linalg.solve(xa.T @ x[on] + np.diag(reg), xa.T @ y[on])
+        left, right = np.diag(reg), np.zeros(len(w))
+        for i in range(0, len(z), step):
+            x = np.hstack([z[i : i + step], np.ones((len(z[i : i + step]), 1), z.dtype)]).astype(np.float64)
+            own = y[i : i + step]
+            on = own * (x @ w) < 1
+            xa = x[on] * weight[i : i + step][on, None]
+            left += xa.T @ x[on]
+            right += xa.T @ own[on]
+        new = np.linalg.solve(left, right)
         done = np.abs(new - w).max() < 1e-6
         w = new
         if done:
@@ -291,13 +296,13 @@ def train(texts: list[str], toxic: list[int], landmarks: int = LANDMARKS, rounds
     whiten = v / np.sqrt(np.maximum(s, 1e-3 * s.max()))
     negative = dict.fromkeys([*hard, *pick(4000), *common])
     known: dict[str, np.ndarray] = {}
-    spelled = _inserted(order(marks)[:VARIED], rng)
+    spelled = _inserted(order(Counter(sure)), rng)
     for turn in range(rounds):
         words = [*witness, *sure, *spelled, *negative]
         new = sorted(set(words) - known.keys())
         known.update(zip(new, _kernel(new, slots, dense)))
         target = np.append(np.ones(len(words) - len(negative)), -np.ones(len(negative)))
-        w, bias = _solve(np.stack([known[x] for x in words]) @ whiten, target, np.where(target > 0, max(1.0, len(negative) / (target > 0).sum() / 4), 1.0), RIDGE)
+        w, bias = _solve(np.concatenate([(np.stack([known[x] for x in words[i : i + 1024]]) @ whiten).astype(np.float32) for i in range(0, len(words), 1024)]), target, np.where(target > 0, max(1.0, len(negative) / (target > 0).sum() / 4), 1.0), RIDGE)
         beta = np.zeros(_SLOTS, np.float32)
         beta[slots] = dense @ (whiten @ w)
         if turn + 1 < rounds:

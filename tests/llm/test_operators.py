@@ -249,6 +249,15 @@ def test_toxicity(spark, docs, empty, monkeypatch):
     assert quality.report(docs, labels).count() == len(ROWS) and quality.report(empty, labels.limit(0)).count() == 0
 
 
+def test_toxicity_finds_inserted_letters():
+    rows = duckdb.sql("SELECT text, toxic FROM '/root/testdata/sf0.1/documents.parquet' JOIN '/root/testdata/sf0.1/labels.parquet' USING (doc_id) WHERE length(text) <= 20000 AND toxic IS NOT NULL ORDER BY doc_id, text").fetchall()
+    rows = [r for i, r in enumerate(rows) if i % 5 and r[0]]
+    m = toxicity.train([r[0] for r in rows], [r[1] for r in rows])
+    insults, rng = ["idiot", "stupid", "moron", "trash", "scum", "clown", "pathetic", "loser", "worthless"], np.random.default_rng(99)
+    every = [f"{w[:i]}{x}{w[i:]}" for w in insults for i in range(1, len(w)) for x in rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 5)]
+    assert (m(every) > 0.5).mean() > 0.8 and (m(insults) > 0.5).all()
+
+
 def test_quality_learns():
     rng = np.random.default_rng(0)
     words = [f"word{i}" for i in range(300)]
