@@ -1,9 +1,8 @@
 """Language-model scores by a Katz backoff n-gram model of any order.
 
 Counts cover every training text. A text is its words and one end; before its
-first word are start marks. Words are told apart by 64-bit hashes, longer grams
-by a 64-bit hash of their words' hashes. Every gram that occurs is counted and
-kept, whatever the size of the input; there is no shortlist of words.
+first word are start marks. Every gram that occurs is counted and kept, whatever
+the size of the input; there is no shortlist of words.
 
 * Unigrams: Good-Turing discounted counts (Katz's form, counts up to ``K``); the
   mass that discounting frees belongs to the unknown word. If it frees none,
@@ -15,27 +14,45 @@ kept, whatever the size of the input; there is no shortlist of words.
   A history that never occurred leaves its word to the next shorter one. So each
   conditional distribution sums to one (tested).
 
-Tables of counts are packed by part of the history's hash (of the word's, for
-unigrams), one row a part, and stored; the weights of a history are kept beside
-its grams. A history has at most as many grams as there are words. To score,
-batches of texts send each part the distinct grams of each order that they hold;
-the part answers with the gram's share, or with its history's weight where there
-is no such gram; the batch's texts, which travel along, are then scored by the
-recursion. No row per token is shuffled, and nothing that grows with the number
-of words is broadcast or sent to the driver.
+Three exchanges, all of packed tables, one row for a chunk of texts and a part:
+
+1. Chunks ask the parts of the word hashes (64 bits) for the counts of their
+   words. A part numbers its words by falling count, so that frequent words have
+   small numbers.
+2. Words that occur ``HOT`` times or more, at most one in ``HOT`` tokens, are hot.
+   Chunks ask for the counts of the pairs that a hot word begins; what the model
+   needs of a hot word beyond that, a few numbers, is broadcast.
+3. Each token goes, as word numbers, to the part of the word before it. All
+   histories of a gram end with that word, so its part has the counts, weights
+   and lower orders of all its grams. A hot word's tokens are split over parts
+   by the word before it (by the next word, where a text begins): the pairs'
+   counts came with them. The part sends back a sum for each text; the sums of
+   a text are added up.
+
+The third exchange is read twice, first for the counts of counts. Nothing that
+grows with the number of words is broadcast or sent to the driver. A history
+of two words or more is kept in one part, with one entry for each time a text
+holds it.
+
+Chunks are cut by size, in the order of the scan, which must give the same rows
+each time, as tables of files do; answers carry a check of what was asked, and a
+changed order ends in an error, not in wrong scores.
 
 Null and empty texts are one end. Without training texts nothing is known and
-every token has the add-one estimate of an empty table. Rows with equal texts
-get equal scores, to rounding. An empty table gives an empty result.
+every token has the add-one estimate of an empty table. A null id is held out.
+Rows with equal texts get equal scores, to rounding; repeated rows and ids are
+rows of their own. Further columns, whatever their names, are not read. An empty
+table gives an empty result.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass, replace
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
@@ -47,19 +64,23 @@ from kinloom.llm.tokens import mix, word_hashes
 K = 5
 #: Words in the longest gram.
 ORDER = 3
-END_HASH, START_HASH = np.uint64(0x9D2C5680CA876543), np.uint64(0x2545F4914F6CDD1D)
+END_HASH = np.uint64(0x9D2C5680CA876543)
+#: Numbers of the start mark, of a word of no training text, and of the first word.
+START, UNKNOWN, FIRST = 0, 1, 2
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
-#: Words of grams that a task merges before it sends them on.
-FLUSH = 6_000_000
-DOCS_A_PART = 20_000
-#: Kinds of rows: tables have their order; questions and answers ASK and their order; texts of a batch TEXTS.
-ASK, TEXTS = 100, 200
+#: Bytes of text in a chunk and, on average, in a part.
+CHUNK_BYTES, PART_BYTES = 8 << 20, 12 << 20
+#: Occurrences from which a word is hot.
+HOT = 400_000
+#: Kinds of rows: what chunks ask and are answered, tables, texts.
+ASK, TABLE, WORDS, PAIRS, TEXTS, BASE, SUMS = range(7)
 
 _ROW = "part int, kind int, chunk long, blob binary"
+_NAMES = ("part", "kind", "chunk", "blob")
 
 
 def pack(*arrays: np.ndarray) -> bytes:
-    """Arrays of whole numbers below 2^64 by byte planes, compressed; sorted ones should come as differences."""
+    """Arrays of numbers by byte planes, compressed; sorted ones should come as differences."""
     out = [len(arrays).to_bytes(2, "little")]
     for a in arrays:
         size = a.dtype.itemsize
@@ -81,38 +102,34 @@ def unpack(blob: bytes) -> list[np.ndarray]:
     return out
 
 
-def _rows(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = (("part", pa.int32()), ("kind", pa.int32()), ("chunk", pa.int64()), ("blob", pa.binary()))
-    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, (_, k) in enumerate(kinds)], [n for n, _ in kinds])
+def _rows(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+    """Batches of a few rows, as blobs may be large."""
+    kinds = (pa.int32(), pa.int32(), pa.int64(), pa.binary())
+    for i in range(0, len(rows), 64):
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows[i : i + 64]), kinds)], list(_NAMES))
 
 
-def _emit(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
-    for i in range(0, len(rows), 64):
-        yield _rows(rows[i : i + 64])
+def _read(batches) -> Iterator[tuple]:
+    for batch in batches:
+        yield from zip(*(batch.column(c).to_pylist() for c in _NAMES))
 
 
-def gram(words: list[np.ndarray]) -> np.ndarray:
-    """Keys of grams from their words' hashes, first to last; a single word is its own key."""
-    key = words[0]
-    for w in words[1:]:
-        key = mix(key * _FACTOR + w)
-    return key
+def _part_of(keys: np.ndarray, parts: int) -> np.ndarray:
+    return ((mix(keys) >> np.uint64(20)) % np.uint64(parts)).astype(np.int64)
 
 
-def _routed(keys: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
-    """Order that puts keys of a part together, ascending, and where each part begins."""
-    order = np.argsort(keys, kind="stable")
-    part = ((mix(keys[order]) >> np.uint64(20)) % np.uint64(parts)).astype(np.uint32)
-    by_part = np.argsort(part, kind="stable")
-    return order[by_part], np.searchsorted(part[by_part], np.arange(parts + 1, dtype=np.uint32))
+def _cuts(part: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """Order that puts the rows of a part together, and where each part begins."""
+    order = np.argsort(part, kind="stable")
+    return order, np.searchsorted(part[order], np.arange(parts + 1))
 
 
 def _deltas(keys: np.ndarray) -> np.ndarray:
-    return np.diff(keys, prepend=np.uint64(0))
+    return np.diff(keys, prepend=keys.dtype.type(0))
 
 
 def _sums(deltas: np.ndarray) -> np.ndarray:
-    return np.cumsum(deltas, dtype=np.uint64)
+    return np.cumsum(deltas, dtype=deltas.dtype)
 
 
 def _firsts(keys: np.ndarray) -> np.ndarray:
@@ -128,41 +145,35 @@ def _find(table: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, table[at] == keys
 
 
-def _merged(found: list[tuple[list[np.ndarray], np.ndarray]], order: int) -> tuple[list[np.ndarray], np.ndarray]:
-    """Distinct grams, as columns of words, and their counts."""
-    words = [np.concatenate([f[0][i] for f in found]) if found else np.zeros(0, np.uint64) for i in range(order)]
-    counts = np.concatenate([f[1] for f in found]).astype(np.int64) if found else np.zeros(0, np.int64)
-    keys = gram(words)
-    at = np.argsort(keys, kind="stable")
-    new = _firsts(keys[at])
-    return [w[at[new]] for w in words], np.add.reduceat(counts[at], new) if len(new) else counts
-
-
-def _history(words: list[np.ndarray]) -> np.ndarray:
-    """Key of a gram's history, by which grams are routed; unigrams are routed by the word."""
-    return gram(words[:-1] or words)
+def _check(keys: np.ndarray) -> np.ndarray:
+    """One number that tells lists of keys apart."""
+    return np.array([np.bitwise_xor.reduce(mix(keys + np.uint64(len(keys))), initial=np.uint64(0))], np.uint64)
 
 
-def _listed(words: list[np.ndarray]) -> list[np.ndarray]:
-    """Columns of words as a list of the distinct ones and numbers in it; a single column must be sorted."""
-    if len(words) == 1:
-        return [_deltas(words[0])]
-    single, inverse = np.unique(np.concatenate(words), return_inverse=True)
-    return [_deltas(single), *np.split(inverse.astype(np.uint32), len(words))]
+def _few(counts: np.ndarray) -> np.ndarray:
+    """How many keys have each count from 1 to K + 1."""
+    return np.bincount(np.minimum(counts, K + 2).astype(np.int64), minlength=K + 3)[1 : K + 2]
 
 
-def _words(listed: list[np.ndarray]) -> list[np.ndarray]:
-    single = _sums(listed[0])
-    return [single[i] for i in listed[1:]] if listed[1:] else [single]
+# Texts and tokens
 
 
-def _packed(words: list[np.ndarray], counts: np.ndarray) -> bytes:
-    return pack(*_listed(words), counts)
-
-
-def _unpacked(blob: bytes) -> tuple[list[np.ndarray], np.ndarray]:
-    *listed, counts = unpack(blob)
-    return _words(listed), counts
+def _chunks(batches, most: int) -> Iterator[tuple[int, pa.Table]]:
+    """Chunks of a task's rows, cut by the bytes of their texts alone, with their numbers."""
+    task, k, held, size = TaskContext.get().partitionId(), 0, [], 0
+    for batch in batches:
+        upto = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(batch.column("text")), 0)).astype(np.int64) + 1)
+        begin, before = 0, 0
+        while begin < batch.num_rows:
+            cut = int(np.searchsorted(upto, most - size + before)) + 1
+            held.append(batch.slice(begin, cut - begin))
+            if cut > batch.num_rows:
+                size += int(upto[-1]) - before
+                break
+            yield (task << 32) | k, pa.Table.from_batches(held)
+            k, held, size, begin, before = k + 1, [], 0, cut, int(upto[cut - 1])
+    if held and sum(b.num_rows for b in held):
+        yield (task << 32) | k, pa.Table.from_batches(held)
 
 
 def _tokens(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -177,66 +188,29 @@ def _tokens(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     return out, doc
 
 
-def _grams(hashes: np.ndarray, doc: np.ndarray, order: int) -> list[np.ndarray]:
-    """Of each token, the gram of so many words that it ends, as columns of words."""
+def _before(words: np.ndarray, doc: np.ndarray, back: int) -> np.ndarray:
+    """The word so many places before each token; the start mark where there is none."""
     first = _firsts(doc)
     place = np.arange(len(doc)) - np.repeat(first, np.diff(np.append(first, len(doc))))
-    out = [hashes]
-    for back in range(1, order):
-        w = np.full(len(hashes), START_HASH, np.uint64)
-        w[place >= back] = hashes[np.flatnonzero(place >= back) - back]
-        out.insert(0, w)
+    out = np.full(len(words), START, np.uint64)
+    out[place >= back] = words[np.flatnonzero(place >= back) - back]
     return out
 
 
-def _counted(docs: DataFrame, order: int, parts: int) -> DataFrame:
-    """Counts of all grams of one order, packed by part."""
-
-    def send(batches):
-        found: list[tuple[list[np.ndarray], np.ndarray]] = []
-
-        def flush():
-            words, counts = _merged(found, order)
-            at, cut = _routed(_history(words), parts)
-            return [(p, order, 0, _packed([w[at[cut[p] : cut[p + 1]]] for w in words], counts[at[cut[p] : cut[p + 1]]])) for p in range(parts) if cut[p + 1] > cut[p]]
-
-        for batch in batches:
-            words = _grams(*_tokens(batch.column("text").to_pylist()), order)
-            found.append(_merged([(words, np.ones(len(words[0]), np.int64))], order))
-            if sum(len(f[1]) for f in found) * order > FLUSH:
-                yield from _emit(flush())
-                found.clear()
-        yield from _emit(flush())
-
-    def add(batches):
-        found: dict[int, list] = {}
-        for batch in batches:
-            for part, blob in zip(batch.column("part").to_pylist(), batch.column("blob").to_pylist()):
-                found.setdefault(part, []).append(_unpacked(blob))
-        for part in list(found):
-            words, counts = _merged(found.pop(part), order)
-            at = np.argsort(_history(words), kind="stable")
-            yield _rows([(part, order, 0, _packed([w[at] for w in words], counts[at]))])
-
-    sent = map_arrow(docs.select("text"), send, _ROW)
-    return stored(map_arrow(sent.repartition(parts, "part"), add, _ROW))
+def _of(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes, documents and whether they are learned from, of a chunk's tokens."""
+    hashes, doc = _tokens(table.column("text").to_pylist())
+    return hashes, doc, ~np.asarray(table.column("held_out"))[doc]
 
 
-def _profile(table: DataFrame) -> tuple[int, int, np.ndarray]:
-    """Of a table of counts: their sum, the keys, and how many keys have each count up to K + 1."""
+def _pairs(hashes: np.ndarray, doc: np.ndarray, hot: Hot) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Tokens that follow a hot word, the hot words' places in the list, and the pairs' keys."""
+    place, is_hot = hot.find(_before(hashes, doc, 1))
+    at = np.flatnonzero(is_hot)
+    return at, place[at], mix(hot.hashes[place[at]] * _FACTOR + hashes[at])
 
-    def run(batches):
-        for batch in batches:
-            n, v, few = 0, 0, np.zeros(K + 1, np.int64)
-            for blob in batch.column("blob").to_pylist():
-                c = unpack(blob)[-1]
-                n, v = n + int(c.sum()), v + len(c)
-                few += np.bincount(np.minimum(c, K + 2), minlength=K + 3)[1 : K + 2]
-            yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([v], pa.int64()), pa.array([few.tolist()], pa.list_(pa.int64()))], ["n", "v", "few"])
 
-    found = map_arrow(table, run, "n long, v long, few array<long>")
-    row = [x or 0 for x in found.agg(F.sum("n"), F.sum("v"), *(F.sum(F.get("few", F.lit(i))) for i in range(K + 1))).first()]
-    return row[0], row[1], np.array(row[2:])
+# Statistics
 
 
 def discounts(few: np.ndarray) -> np.ndarray:
@@ -255,239 +229,400 @@ def discounts(few: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Unigrams:
-    """What is known of single words: the model of all, and the words of one part."""
+    n: int  # tokens
+    v: int  # words
+    few: np.ndarray
 
-    n: int
-    v: int
-    d: np.ndarray
-    unknown: float
-    words: np.ndarray  # of the part, sorted hashes
-    counts: np.ndarray  # of the part, by word
-    p: np.ndarray  # shares by the word's number in a key of log_probability
+    def __post_init__(self):
+        self.d = discounts(self.few)
+        few = self.few[:K] * np.arange(1, K + 1)
+        free = 1 - float((few * self.d[1 : K + 1]).sum() + self.n - few.sum()) / self.n if self.n else 0.0
+        self.unknown = free if free > 1e-12 else 0.0
 
     def share(self, c: np.ndarray) -> np.ndarray:
-        """P1 of a word with count c; of the unknown word for 0."""
+        """Of a word with count c; of the unknown word for 0."""
         c = np.asarray(c, np.int64)
         if self.unknown <= 0:
             return (c + 1) / (self.n + self.v + 1)
         return np.where(c > 0, self.d[np.minimum(c, K + 1)] * c / max(1, self.n), self.unknown)
 
-    def count(self, hashes: np.ndarray) -> np.ndarray:
-        at, hit = _find(self.words, hashes)
-        return np.where(hit, self.counts[at], 0) if len(self.words) else np.zeros(len(hashes), np.int64)
-
-
-def _unigrams(table: DataFrame) -> Unigrams:
-    n, v, few = _profile(table)
-    d = discounts(few)
-    total = 0.0
-    if n:
-        total = float((few[:K] * np.arange(1, K + 1) * d[1 : K + 1]).sum() + (n - (few[:K] * np.arange(1, K + 1)).sum())) / n
-    return Unigrams(n, v, d, 1 - total if n and 1 - total > 1e-12 else 0.0, np.zeros(0, np.uint64), np.zeros(0, np.int64), np.ones(1))
-
 
 @dataclass
-class Backoff:
-    d: np.ndarray
-    scale: np.ndarray  # by history: of its grams' discounted shares
-    alpha: np.ndarray  # by history: of the lower order's shares of words that do not follow it
-    history: np.ndarray  # occurrences by history
-
-
-def log_probability(uni: Unigrams, back: Backoff, key: np.ndarray, c: np.ndarray) -> np.ndarray:
-    """log10 P of (history, word) keys with gram counts c, one step of the recursion: the gram if there is one, else the weight times the lower order's share."""
-    h, w = (key >> np.uint64(32)).astype(np.int64), (key & np.uint64(0xFFFFFFFF)).astype(np.int64)
-    seen = back.scale[h] * back.d[np.minimum(c, K + 1)] * c / np.maximum(back.history[h], 1)
-    return np.log10(np.maximum(np.where(c > 0, seen, back.alpha[h] * uni.p[w]), 1e-300))
-
-
-def backoff(d: np.ndarray, new: np.ndarray, c: np.ndarray, lower: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """scale and alpha of histories whose grams begin at new, from the grams' counts and the lower order's shares of their words."""
-    total = np.add.reduceat(c, new).astype(np.float64)
-    kept, rest = np.add.reduceat(d[np.minimum(c, K + 1)] * c, new) / total, 1 - np.add.reduceat(lower, new)
-    all_follow = rest < 1e-9
+class Hot:
+    """Hot words, by hash; the start mark may be one of them. There is at most one in HOT tokens."""
+
+    hashes: np.ndarray  # sorted
+    ids: np.ndarray
+    counts: np.ndarray
+    least: int
+    few: np.ndarray | None = None  # by word: how many words follow it so often
+    low: np.ndarray | None = None  # by word: the followers' share of unigrams
+
+    def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return _find(self.hashes, hashes)
+
+
+def weights(kept: np.ndarray, total: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """scale and backoff weight of histories: of their grams' discounted counts, all counts, and the lower order's share of the words that follow them. Both are 1 for histories that never occurred."""
+    known = total > 0
+    total = np.maximum(total, 1).astype(np.float64)
+    kept, rest = kept / total, 1 - low
+    all_follow = known & (rest < 1e-9)
     s = np.where(all_follow, 1 / np.maximum(kept, 1e-300), np.where(kept > 1 - 1e-12, total / (total + 1) / np.maximum(kept, 1e-300), 1.0))
-    return s, np.where(all_follow, 0.0, (1 - s * kept) / np.maximum(rest, 1e-9))
-
+    return np.where(known, s, 1.0), np.where(known, np.where(all_follow, 0.0, (1 - s * kept) / np.maximum(rest, 1e-9)), 1.0)
 
-class Level:
-    """The grams of one order in one part, with their histories' weights."""
 
-    def __init__(self, blob: bytes | None, uni: Unigrams, d: np.ndarray):
-        self.uni = uni
-        h, sizes, scale, alpha, listed, w, c = unpack(blob) if blob else (np.zeros(0, np.uint64), *[np.zeros(0, np.int64)] * 3, np.zeros(0, np.uint64), *[np.zeros(0, np.int64)] * 2)
-        w = _sums(listed)[w]
-        self.histories = _sums(h)
-        total = np.add.reduceat(c, np.cumsum(sizes) - sizes) if len(h) else sizes
-        # the last weight is that of histories that never occurred
-        self.back = Backoff(d, np.append(scale.view(np.float64), 1.0), np.append(alpha.view(np.float64), 1.0), np.append(total, 0))
-        keys = gram([np.repeat(self.histories, sizes), w])
-        order = np.argsort(keys, kind="stable")
-        self.keys, self.counts = keys[order], c[order]
+# The exchange of words and of hot pairs
 
-    def answer(self, histories: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Of grams: log10 of the share, or of the history's weight; and which have a share."""
-        at, seen = _find(self.keys, keys)
-        c = np.where(seen, self.counts[at], 0) if len(self.keys) else np.zeros(len(keys), np.int64)
-        h, known = _find(self.histories, histories)
-        h = np.where(known, h, len(self.histories)).astype(np.uint64)
-        return log_probability(self.uni, self.back, h << np.uint64(32), c), c > 0
 
+def _questions(chunk: int, keys: np.ndarray, train: np.ndarray, parts: int, route: np.ndarray | None = None, *more: np.ndarray) -> list[tuple]:
+    """Distinct keys of a chunk with their training counts, to the parts of route (else of the keys)."""
+    _, first, inverse = np.unique(keys, return_index=True, return_inverse=True)
+    counts = np.bincount(inverse, weights=train, minlength=len(first)).astype(np.uint64)
+    keys, more = keys[first], [m[first] for m in more]
+    order, cut = _cuts(_part_of(keys if route is None else route[first], parts), parts)
+    out = []
+    for p in np.flatnonzero(np.diff(cut)):
+        own = order[cut[p] : cut[p + 1]]
+        out.append((int(p), ASK, chunk, pack(_deltas(keys[own]), counts[own], *(m[own] for m in more))))
+    return out
 
-def _questions(words: list[np.ndarray], parts: int) -> tuple[list[list[np.ndarray]], np.ndarray, np.ndarray]:
-    """What to ask each part about: distinct grams, as columns of words; the order of the questions, and each gram's question."""
-    _, first, inverse = np.unique(gram(words), return_index=True, return_inverse=True)
-    words = [w[first] for w in words]
-    at, cut = _routed(_history(words), parts)
-    return [[w[at[cut[p] : cut[p + 1]]] for w in words] for p in range(parts)], at, inverse
 
+def _answers_of(keys: np.ndarray, parts: int, found: dict[int, list[np.ndarray]], route: np.ndarray | None = None) -> list[np.ndarray]:
+    """The answers to _questions, by token; found: by part."""
+    single, first, inverse = np.unique(keys, return_index=True, return_inverse=True)
+    order, cut = _cuts(_part_of(single if route is None else route[first], parts), parts)
+    some = [found[p] for p in np.flatnonzero(np.diff(cut))] if all(p in found for p in np.flatnonzero(np.diff(cut))) else []
+    for p, answer in zip(np.flatnonzero(np.diff(cut)), some):
+        if answer[0][0] != _check(single[order[cut[p] : cut[p + 1]]])[0]:
+            some = []
+            break
+    if not some and len(keys):
+        raise RuntimeError("the table gave other rows, or in another order, when it was read again; write it to files first")
+    out = []
+    for column in range(1, len(some[0]) if some else 1):
+        own = np.empty(len(single), np.uint64)
+        own[order] = np.concatenate([a[column] for a in some])
+        out.append(own[inverse])
+    return out
 
-def _answers(order: int, blob: bytes, uni: Unigrams, levels: dict[int, Level], digits: str) -> bytes:
-    """Counts for unigrams; log10 shares or weights, and which they are, for longer grams."""
-    words = _words(unpack(blob))
-    if order == 1:
-        return pack(uni.count(words[0]))
-    value, seen = levels[order].answer(_history(words), gram(words))
-    return pack(value.astype(digits), seen.view(np.uint8))
 
+def _counted_words(docs: DataFrame, parts: int, chunk_bytes: int) -> DataFrame:
+    """Rows of kind WORDS, the numbers and counts of each chunk's words; of kind TABLE, a part's words; with the sums n, v, few."""
 
-def _answering(uni, weights: dict[int, np.ndarray], digits: str):
-    """Function of a part's batches, tables first: rows that answer its questions, and texts as they came."""
+    def ask(batches):
+        for chunk, table in _chunks(batches, chunk_bytes):
+            hashes, doc, train = _of(table)
+            starts = _firsts(doc)  # the start mark is a word of no share, with a count
+            keys, more = np.append(hashes, np.full(len(starts), START, np.uint64)), np.append(train, train[starts])
+            yield from _rows(_questions(chunk, keys, more, parts))
+
+    def count(batches):
+        asked = [(part, chunk, unpack(blob)) for part, _, chunk, blob in _read(batches)]
+        if not asked:
+            return
+        part = asked[0][0]
+        keys = [_sums(x[0]) for *_, x in asked]
+        single, inverse = np.unique(np.concatenate(keys), return_inverse=True)
+        counts = np.bincount(inverse, weights=np.concatenate([x[1] for *_, x in asked]), minlength=len(single)).astype(np.int64)
+        rank = np.empty(len(single), np.int64)
+        rank[np.argsort(-counts, kind="stable")] = np.arange(len(single))
+        ids = np.where(counts > 0, FIRST + rank * parts + part, UNKNOWN).astype(np.uint64)
+        ids[single == START] = START
+        real = (counts > 0) & (single != START)
+        found = [(part, TABLE, 0, pack(_deltas(single[counts > 0]), ids[counts > 0], counts[counts > 0].astype(np.uint64)))]
+        upto = np.cumsum([len(k) for k in keys])
+        found += [(part, WORDS, chunk, pack(_check(k), ids[inverse[end - len(k) : end]], counts[inverse[end - len(k) : end]].astype(np.uint64))) for (_, chunk, _), k, end in zip(asked, keys, upto)]
+        for i, batch in enumerate(_rows(found)):
+            sums = [int(counts[real].sum()), int(real.sum()), _few(counts[real]).tolist()] if i == 0 else [0, 0, None]
+            columns = [pa.array([x if j == 0 else None for j in range(batch.num_rows)], k) for x, k in zip(sums, (pa.int64(), pa.int64(), pa.list_(pa.int64())))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *columns], [*_NAMES, "n", "v", "few"])
+
+    asked = map_arrow(docs, ask, _ROW).repartitionById(parts, "part")
+    return stored(map_arrow(asked, count, _ROW + ", n long, v long, few array<long>"))
+
+
+def _unigrams(words: DataFrame) -> Unigrams:
+    row = [x or 0 for x in words.agg(F.sum("n"), F.sum("v"), *(F.sum(F.get("few", F.lit(i))) for i in range(K + 1))).first()]
+    return Unigrams(row[0], row[1], np.array(row[2:]))
+
+
+def _hot(words: DataFrame, least: int) -> Hot:
+    """Words that occur so often: no more than one in that many tokens."""
 
     def run(batches):
-        tables: dict[int, list] = {}
-        known = None
-        for batch in batches:
-            for part, kind, chunk, blob in zip(*(batch.column(c).to_pylist() for c in ("part", "kind", "chunk", "blob"))):
-                if kind < ASK:
-                    if part not in tables:
-                        tables.clear()
-                    tables.setdefault(part, {})[kind] = blob
-                elif kind == TEXTS:
-                    yield _rows([(part, kind, chunk, blob)])
-                else:
-                    if known is None or known[0] != part:
-                        own = tables.get(part, {})
-                        words, counts = _unpacked(own[1]) if 1 in own else ([np.zeros(0, np.uint64)], np.zeros(0, np.int64))
-                        at = np.argsort(words[0], kind="stable")
-                        here = replace(uni.value, words=words[0][at], counts=counts[at])
-                        known = part, here, {k: Level(own.get(k), here, d) for k, d in weights.items()}
-                    yield _rows([(part, kind, chunk, _answers(kind - ASK, blob, *known[1:], digits))])
-
-    return run
-
+        for _, _, _, blob in _read(batches):
+            h, ids, counts = unpack(blob)
+            at = np.flatnonzero(counts >= least)
+            yield pa.RecordBatch.from_arrays([pa.array(x[at].view(np.int64)) for x in (_sums(h), ids, counts)], ["h", "i", "c"])
 
-def _asked(rows: DataFrame, tables: DataFrame, uni, weights: dict[int, np.ndarray], parts: int, digits: str) -> DataFrame:
-    return map_arrow(rows.unionByName(tables).repartition(parts, "part").sortWithinPartitions("part", "kind"), _answering(uni, weights, digits), _ROW)
+    rows = map_arrow(words.where(F.col("kind") == TABLE).select(*_NAMES), run, "h long, i long, c long").collect()
+    h, ids, counts = (np.array([r[k] for r in rows], np.int64).view(np.uint64) for k in range(3))
+    order = np.argsort(h)
+    return Hot(h[order], ids[order], counts[order].astype(np.int64), least)
 
 
-def _weighted(counts: DataFrame, lower: DataFrame, order: int, uni, weights: dict[int, np.ndarray], d: np.ndarray, parts: int) -> DataFrame:
-    """Grams of one order by history, with the histories' weights, from the lower order's shares of the grams' words."""
+def _counted_pairs(docs: DataFrame, words: DataFrame, uni, hot, parts: int, chunk_bytes: int) -> DataFrame:
+    """Rows of kind PAIRS, the counts of each chunk's pairs of a hot word and the next; of kind TABLE, sums by hot word. Pairs go to the part of the next word, where its count is."""
 
     def ask(batches):
-        for batch in batches:
-            for part, blob in zip(batch.column("part").to_pylist(), batch.column("blob").to_pylist()):
-                questions, *_ = _questions(_unpacked(blob)[0][1:], parts)
-                yield from _emit([(p, ASK + order - 1, (part << 32) | p, pack(*_listed(q))) for p, q in enumerate(questions) if len(q[0])])
-
-    def weigh(batches):
-        words, counts, found = [], None, []
-
-        def done():
-            _, at, inverse = _questions(words[1:], parts)
-            share = np.empty(len(at))
-            share[at] = np.concatenate(found)
-            h = _history(words)
-            new = _firsts(h)
-            scale, alpha = backoff(d, new, counts, share[inverse])
-            single, w = np.unique(words[-1], return_inverse=True)
-            return _rows([(here, order, 0, pack(_deltas(h[new]), np.diff(np.append(new, len(h))), scale.view(np.uint64), alpha.view(np.uint64), _deltas(single), w.astype(np.uint32), counts))])
-
-        here = None
-        for batch in batches:
-            for part, kind, blob in zip(*(batch.column(c).to_pylist() for c in ("part", "kind", "blob"))):
-                if kind < ASK:
-                    if here is not None:
-                        yield done()
-                    here, found = part, []
-                    words, counts = _unpacked(blob)
-                else:
-                    value = unpack(blob)[0]
-                    found.append(uni.value.share(value) if order == 2 else 10**value)
-        if here is not None:
-            yield done()
-
-    answers = _asked(map_arrow(counts, ask, _ROW), lower, uni, weights, parts, "f8")
-    back = answers.select(F.shiftright("chunk", 32).cast("int").alias("part"), "kind", "chunk", "blob")
-    return stored(map_arrow(counts.unionByName(back).repartition(parts, "part").sortWithinPartitions("part", "kind", "chunk"), weigh, _ROW))
-
+        for chunk, table in _chunks(batches, chunk_bytes):
+            hashes, doc, train = _of(table)
+            at, place, keys = _pairs(hashes, doc, hot.value)
+            yield from _rows(_questions(chunk, keys, train[at], parts, hashes[at], place.astype(np.uint32), hashes[at]))
+
+    def count(batches):
+        asked, part, known = [], 0, ([np.zeros(0, np.uint64)] * 2)
+        for part, kind, chunk, blob in _read(batches):
+            if kind == TABLE:
+                h, _, c = unpack(blob)
+                known = [_sums(h), c]
+            else:
+                asked.append((chunk, unpack(blob)))
+        if not asked:
+            return
+        keys = [_sums(x[0]) for _, x in asked]
+        single, first, inverse = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
+        counts, place, word = (np.concatenate([x[i] for _, x in asked]) for i in (1, 2, 3))
+        counts = np.bincount(inverse, weights=counts, minlength=len(single)).astype(np.int64)
+        place, word, n = place[first].astype(np.int64), word[first], len(hot.value.hashes)
+        at, there = _find(known[0], word)
+        low = uni.value.share(np.where(there, known[1][at], 0) if len(known[0]) else np.zeros(len(word)))
+        seen = counts > 0
+        few = np.stack([np.bincount(place[seen & (counts == k)], minlength=n) for k in range(1, K + 2)])
+        out = [(part, TABLE, 0, pack(few.ravel().astype(np.uint64), np.bincount(place[seen], weights=low[seen], minlength=n)))]
+        upto = np.cumsum([len(k) for k in keys])
+        out += [(part, PAIRS, chunk, pack(_check(k), counts[inverse[end - len(k) : end]].astype(np.uint64))) for (chunk, _), k, end in zip(asked, keys, upto)]
+        yield from _rows(out)
+
+    asked = map_arrow(docs, ask, _ROW).unionByName(words.where(F.col("kind") == TABLE).select(*_NAMES))
+    return stored(map_arrow(asked.repartitionById(parts, "part"), count, _ROW))
+
+
+def _summed(pairs: DataFrame, hot: Hot) -> None:
+    """Puts the sums by hot word into hot; they are added up by word on the executors."""
 
-def report(docs: DataFrame, held: Column | None = None, order: int = ORDER) -> DataFrame:
+    def run(batches):
+        for _, _, _, blob in _read(batches):
+            few, low = unpack(blob)
+            some = np.flatnonzero(few.reshape(K + 1, -1).any(axis=0) | (low > 0))
+            columns = [pa.array(some), *(pa.array(x[some].astype(np.int64)) for x in few.reshape(K + 1, -1)), pa.array(low[some])]
+            yield pa.RecordBatch.from_arrays(columns, ["place", *(f"n{k}" for k in range(1, K + 2)), "low"])
+
+    kinds = "place long, " + ", ".join(f"n{k} long" for k in range(1, K + 2)) + ", low double"
+    rows = map_arrow(pairs.where(F.col("kind") == TABLE), run, kinds).groupBy("place").agg(*(F.sum(f"n{k}").alias(f"n{k}") for k in range(1, K + 2)), F.sum("low").alias("low")).collect()
+    hot.few, hot.low = np.zeros((len(hot.hashes), K + 1), np.int64), np.zeros(len(hot.hashes))
+    for r in rows:
+        hot.few[r.place], hot.low[r.place] = [r[f"n{k}"] for k in range(1, K + 2)], r.low
+
+
+# The exchange of tokens
+
+
+def _sent(chunk: int, table: pa.Table, found: dict[int, dict[int, list[np.ndarray]]], uni: Unigrams, hot: Hot, order: int, parts: int) -> Iterator[pa.RecordBatch]:
+    """A chunk's tokens to the parts of the words before them, and what is known of its documents already."""
+    hashes, doc, train = _of(table)
+    ids, counts = _answers_of(np.append(hashes, np.uint64(START)), parts, found.get(WORDS, {}))
+    ids, counts = ids[:-1], counts[:-1].astype(np.int64)
+    pair = np.zeros(len(ids), np.uint64)
+    at, place, keys = _pairs(hashes, doc, hot)
+    if len(at):
+        pair[at] = _answers_of(keys, parts, found.get(PAIRS, {}), hashes[at])[0]
+    rows = table.num_rows
+    n = np.bincount(doc, minlength=rows)
+    base = np.bincount(doc, weights=np.log10(counts + 1.0), minlength=rows) - n * np.log10(uni.n + uni.v + 1.0)
+    sink = pa.BufferOutputStream()
+    known = pa.table({"doc_id": table.column("doc_id"), "held_out": table.column("held_out"), "n_tokens": n, "n_known": np.bincount(doc, weights=counts > 0, minlength=rows).astype(np.int64), "base_score": base})
+    with pa.ipc.new_stream(sink, known.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+        writer.write_table(known)
+    out = [(chunk % parts, BASE, chunk, sink.getvalue().to_pybytes())]
+    back = [_before(ids, doc, k) for k in range(1, order)]
+    route = mix(back[0])
+    split = np.zeros(len(ids), np.uint64)
+    split[at] = hot.counts[place].astype(np.uint64) // np.uint64(hot.least)
+    by = np.where(back[0] == START, ids, back[1] if order > 2 else ids)
+    route = np.where(split > 0, route + mix(by) % (split + np.uint64(1)), route)
+    by_part, cut = _cuts(_part_of(route, parts), parts)
+    for p in np.flatnonzero(np.diff(cut)):
+        own = by_part[cut[p] : cut[p + 1]]
+        first = _firsts(doc[own])
+        single, at_word = np.unique(ids[own], return_index=True)
+        c = counts[own[at_word]]
+        out.append((int(p), ASK, chunk, pack(
+            _deltas(doc[own[first]].astype(np.uint32)), np.diff(np.append(first, len(own))).astype(np.uint32), train[own[first]].view(np.uint8), _deltas(single), np.diff(c, prepend=0).astype(np.int64),
+            np.searchsorted(single, ids[own]).astype(np.uint32), pair[own[split[own] > 0]] if len(at) else np.zeros(0, np.uint64), *(b[own] for b in back))))
+    yield from _rows(out)
+
+
+class Part:
+    """The tokens of a part: their grams' counts by order, and their probabilities."""
+
+    def __init__(self, blobs: list[bytes], hot: Hot, order: int):
+        first, sizes, train, word, c, hot_pair, back = [], [], [], [], [], [], [[] for _ in range(order - 1)]
+        self.order = order
+        for blob in blobs:
+            d, n, t, single, counts, w, pair, *history = unpack(blob)
+            single = _sums(single)
+            first.append(_sums(d))
+            sizes.append(n)
+            train.append(np.repeat(t, n))
+            word.append(single[w])
+            c.append(np.cumsum(counts)[w])
+            hot_pair.append(pair)
+            for all_, own in zip(back, history):
+                all_.append(own)
+        self.docs, self.sizes = first, sizes
+        train, word, self.c, hot_pair = (np.concatenate(x) for x in (train, word, c, hot_pair))
+        ids, places = np.unique(hot.ids, return_index=True)
+        self.levels = []  # by order from 2: of tokens, the gram; of grams, a token, the history and the count; of histories, the total, or the place of a hot word
+        history = np.zeros(len(word), np.uint64)
+        _, word = np.unique(word, return_inverse=True)
+        only_start = np.ones(len(word), bool)
+        for k in range(2, order + 1):
+            own = np.concatenate(back[k - 2])
+            only_start &= own == START
+            _, number = np.unique(own, return_inverse=True)
+            _, token, history = np.unique((history.astype(np.uint64) << np.uint64(32)) | number.astype(np.uint64), return_index=True, return_inverse=True)
+            _, sample, gram = np.unique((history.astype(np.uint64) << np.uint64(32)) | word.astype(np.uint64), return_index=True, return_inverse=True)
+            count = np.bincount(gram, weights=train, minlength=len(sample)).astype(np.int64)
+            place = np.full(len(token), -1)
+            at, is_hot = _find(ids, np.concatenate(back[0])[token])
+            is_hot &= (k == 2) | only_start[token]
+            place[is_hot] = places[at[is_hot]]
+            if k == 2 and len(hot_pair):
+                every = np.zeros(len(word), np.int64)
+                every[_find(ids, own)[1]] = hot_pair
+                from_pair = place[history[sample]] >= 0
+                count = np.where(from_pair, every[sample], count)
+            elif len(hot_pair):
+                start = place[history[sample]] >= 0
+                count = np.where(start, every[sample], count)
+            total = np.bincount(history[sample], weights=count, minlength=len(token)).astype(np.int64)
+            self.levels.append((gram, sample, history[sample], count, total, place))
+
+    def few(self) -> np.ndarray:
+        """By order from 2, how many grams have each count; without those of hot words, which are known."""
+        return np.stack([_few(count[place[history] < 0]) for _, _, history, count, _, place in self.levels])
+
+    def log_probabilities(self, uni: Unigrams, hot: Hot, d: np.ndarray) -> np.ndarray:
+        p = uni.share(self.c)
+        hot_shares = hot.low  # of the words that follow a hot word, at the order below
+        for (gram, sample, history, count, total, place), own in zip(self.levels, d):
+            low, seen = p[sample], count > 0
+            kept = np.bincount(history, weights=own[np.minimum(count, K + 1)] * count, minlength=len(total))
+            under = np.bincount(history[seen], weights=low[seen], minlength=len(total))
+            is_hot = place >= 0
+            if is_hot.any():
+                w = place[is_hot]
+                few = hot.few[w][:, :K]
+                total, kept, under = total.copy(), kept.copy(), under.copy()
+                total[is_hot] = hot.counts[w]
+                kept[is_hot] = hot.counts[w] - (few * np.arange(1, K + 1) * (1 - own[1 : K + 1])).sum(axis=1)
+                under[is_hot] = hot_shares[w]
+            scale, alpha = weights(kept, total, under)
+            if is_hot.any():
+                hot_shares = np.zeros(len(hot.hashes))
+                hot_shares[w] = (scale * kept / np.maximum(total, 1))[is_hot]
+            of = np.maximum(total, 1)[history]
+            share = np.where(seen, scale[history] * own[np.minimum(count, K + 1)] * count / of, alpha[history] * low)
+            p = share[gram]
+        return np.log10(np.maximum(p, 1e-300))
+
+
+def _discounted(stats: list[int], hot: Hot, order: int) -> np.ndarray:
+    """The discounts of the orders from 2; the pairs of hot words are added, and as grams of start marks alone, the start mark's to every order."""
+    few = np.array(stats, np.int64).reshape(order - 1, K + 1)
+    if len(hot.hashes):
+        few[0] += hot.few.sum(axis=0)
+        few[1:] += hot.few[hot.hashes == START].sum(axis=0)
+    return np.stack([discounts(f) for f in few])
+
+
+def report(docs: DataFrame, held: Column | None = None, order: int = ORDER, hot_from: int = HOT, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every document; learned from those not held out."""
-    held = held_out(F.col("doc_id"), 7, 2) if held is None else held
+    if order < 2:
+        raise ValueError("the model has two words or more")
+    held = held_out(F.col("doc_id"), 7, 2) if held is None else F.coalesce(held, F.lit(True))
     spark = docs.sparkSession
-    train = docs.where(~held)
-    total = docs.count()
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // DOCS_A_PART))
-    tables = [_counted(train, 1, parts)]
-    uni = _unigrams(tables[0])
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held.alias("held_out"), "text")
+    size = docs.agg(F.sum(F.octet_length("text") + 1)).first()[0] or 0
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // PART_BYTES))
+    words = _counted_words(docs, parts, chunk_bytes)
+    uni, hot = _unigrams(words), _hot(words, hot_from)
+    n = uni.n
     u = spark.sparkContext.broadcast(uni)
-    weights: dict[int, np.ndarray] = {}
-    for k in range(2, order + 1):
-        counts = _counted(train, k, parts)
-        d = discounts(_profile(counts)[2])
-        tables.append(_weighted(counts, tables[-1], k, u, dict(weights), d, parts))
-        weights[k] = d
-    known = tables[0]
-    for t in tables[1:]:
-        known = known.unionByName(t)
-
-    def ask(batches):
-        task, k = TaskContext.get().partitionId(), 0
-        for batch in batches:
-            chunk, k = (task << 32) | k, k + 1
-            hashes, doc = _tokens(batch.column("text").to_pylist())
-            for n in range(1, order + 1):
-                questions, *_ = _questions(_grams(hashes, doc, n), parts)
-                yield from _emit([(p, ASK + n, chunk, pack(*_listed(q))) for p, q in enumerate(questions) if len(q[0])])
+    answers = words.where(F.col("kind") == WORDS).select(*_NAMES)
+    if len(hot.hashes):
+        pairs = _counted_pairs(docs, words, u, spark.sparkContext.broadcast(hot), parts, chunk_bytes)
+        _summed(pairs, hot)
+        answers = answers.unionByName(pairs.where(F.col("kind") == PAIRS))
+    h = spark.sparkContext.broadcast(hot)
+
+    def texts(batches):
+        for chunk, table in _chunks(batches, chunk_bytes):
             sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
-                writer.write_batch(batch)
-            yield _rows([(chunk % parts, TEXTS, chunk, sink.getvalue().to_pybytes())])
-
-    def scored(found: dict[int, list[bytes]], blob: bytes) -> pa.RecordBatch:
-        batch = pa.ipc.open_stream(blob).read_next_batch()
-        hashes, doc = _tokens(batch.column("text").to_pylist())
-        uni, score = u.value, 0.0
-        for n in range(1, order + 1):
-            _, at, inverse = _questions(_grams(hashes, doc, n), parts)
-            value, *seen = (np.concatenate(x) for x in zip(*map(unpack, found[n])))
-            own = np.empty_like(value)
-            own[at] = value
-            if n == 1:
-                c = own[inverse]
-                score = np.log10(np.maximum(uni.share(c), 1e-300))
+            with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+                writer.write_table(table)
+            yield from _rows([(0, TEXTS, chunk, sink.getvalue().to_pybytes())])
+
+    def send(batches):
+        """A chunk's answers come first, its texts last."""
+        found: dict[int, dict[int, list[np.ndarray]]] = {}
+        for part, kind, chunk, blob in _read(batches):
+            if kind == TEXTS:
+                yield from _sent(chunk, pa.ipc.open_stream(blob).read_all(), found, u.value, h.value, order, parts)
+                found = {}
             else:
-                is_seen = np.empty(len(at), bool)
-                is_seen[at] = seen[0].view(bool)
-                score = own[inverse].astype(np.float64) + np.where(is_seen[inverse], 0.0, score)
-        rows = batch.num_rows
-        by_doc = lambda x: np.bincount(doc, weights=x, minlength=rows)
-        n = np.bincount(doc, minlength=rows)
-        base = by_doc(np.log10(c + 1.0)) - n * np.log10(uni.n + uni.v + 1.0)
-        return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(n), pa.array(by_doc(c > 0).astype(np.int64)), pa.array(np.full(rows, uni.n, np.int64)), pa.array(base), pa.array(by_doc(score))], ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+                found.setdefault(kind, {})[part] = unpack(blob)
 
-    def score(batches):
-        """A chunk's answers come by order and part, its texts last."""
-        found: dict[int, list[bytes]] = {}
+    def profile(batches):
+        blobs = [blob for _, kind, _, blob in _read(batches) if kind == ASK]
+        if blobs:
+            yield pa.RecordBatch.from_arrays([pa.array([Part(blobs, h.value, order).few().ravel().tolist()], pa.list_(pa.int64()))], ["few"])
+
+    def answer(batches):
+        blobs, chunks, few, part = [], [], [0] * (order - 1) * (K + 1), 0
         for batch in batches:
-            for kind, blob in zip(batch.column("kind").to_pylist(), batch.column("blob").to_pylist()):
-                if kind < TEXTS:
-                    found.setdefault(kind - ASK, []).append(blob)
+            for (part, kind, chunk, blob), row in zip(_read([batch]), batch.column("few").to_pylist()):
+                few = [x or 0 for x in row]
+                if kind == BASE:
+                    yield from _rows([(part, kind, chunk, blob)])
                 else:
-                    yield scored(found, blob)
-                    found = {}
+                    blobs.append(blob)
+                    chunks.append(chunk)
+        if not blobs:
+            return
+        own = Part(blobs, h.value, order)
+        blobs.clear()
+        p, at = own.log_probabilities(u.value, h.value, _discounted(few, h.value, order)), 0
+        for chunk, doc, n in zip(chunks, own.docs, own.sizes):
+            upto = at + int(n.sum())
+            sums = np.add.reduceat(p[at:upto], np.cumsum(n.astype(np.int64)) - n.astype(np.int64))
+            yield from _rows([(part, SUMS, chunk, pack(_deltas(doc), sums.astype(np.float32)))])
+            at = upto
+
+    def score(batches):
+        """A chunk's documents come first, then sums, by part."""
+        known, total = None, np.zeros(0)
 
-    asked = map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), held.alias("held_out"), "text"), ask, _ROW)
-    answered = _asked(asked, known, u, weights, parts, "f4")
-    return map_arrow(answered.repartition(parts, "chunk").sortWithinPartitions("chunk", "kind", "part"), score, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+        def done():
+            columns = {c: known.column(c) for c in known.column_names} | {"train_tokens": pa.array(np.full(known.num_rows, n, np.int64)), "score": pa.array(total)}
+            return pa.table({c: columns[c] for c in ("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")}).to_batches()
+
+        for _, kind, _, blob in _read(batches):
+            if kind == BASE:
+                if known is not None:
+                    yield from done()
+                known = pa.ipc.open_stream(blob).read_all()
+                total = np.zeros(known.num_rows)
+            else:
+                doc, sums = unpack(blob)
+                total[_sums(doc)] += sums
+        if known is not None:
+            yield from done()
+
+    whole = map_arrow(docs, texts, _ROW).unionByName(answers).repartition(parts, "chunk").sortWithinPartitions("chunk", F.when(F.col("kind") == TEXTS, 1).otherwise(0))
+    asked = map_arrow(whole, send, _ROW).repartitionById(parts, "part")
+    few = map_arrow(asked, profile, "few array<long>").agg(F.array(*(F.coalesce(F.sum(F.get("few", F.lit(i))), F.lit(0)) for i in range((order - 1) * (K + 1)))).alias("few"))
+    sums = map_arrow(asked.crossJoin(F.broadcast(few)), answer, _ROW)  # the broadcast table has one row
+    return map_arrow(sums.repartition(parts, "chunk").sortWithinPartitions("chunk", "kind", "part"), score, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

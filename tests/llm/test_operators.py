@@ -8,6 +8,7 @@ import zlib
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from kinloom.llm import decontaminate, html, katz, langid, media, mixing, neardup, quality, toxicity, warc
@@ -162,13 +163,13 @@ def test_katz_sums_to_one():
     few = np.array([50, 20, 9, 6, 4, 3])
     d = katz.discounts(few)
     assert ((0 < d[1:6]) & (d[1:6] <= 1)).all()
-    p = rng.dirichlet(np.ones(30))
-    c = rng.integers(0, 9, 30)
-    kept, rest = (d[np.minimum(c, 6)] * c).sum() / c.sum(), p[c == 0].sum()
-    uni = katz.Unigrams(1, 1, d, 0.1, np.zeros(0, np.uint64), np.zeros(30, np.int64), p)
-    back = katz.Backoff(d, np.ones(30), np.full(30, (1 - kept) / rest), np.full(30, c.sum()))
-    key = (np.uint64(5) << np.uint64(32)) | np.arange(30, dtype=np.uint64)
-    assert (10 ** katz.log_probability(uni, back, key, c)).sum() == pytest.approx(1)
+    for cut in (0, 1, 4):  # histories that occur, all of whose grams are frequent, and of every word
+        p = rng.dirichlet(np.ones(30))
+        c = rng.integers(0, 9, 30) * (rng.integers(0, 9, 30) > 4) if cut == 0 else rng.integers(7, 12, 30) * (np.arange(30) % cut == 0)
+        seen = c > 0
+        scale, alpha = katz.weights(*(np.array([x]) for x in ((d[np.minimum(c, 6)] * c).sum(), c.sum(), p[seen].sum())))
+        assert np.where(seen, scale * d[np.minimum(c, 6)] * c / c.sum(), alpha * p).sum() == pytest.approx(1)
+    assert [float(x[0]) for x in katz.weights(np.zeros(1), np.zeros(1), np.zeros(1))] == [1, 1]
 
 
 def _katz(train, rows, order):
@@ -209,20 +210,31 @@ def _sentences():
     return [*texts, "", None, "never seen before", "w1 rare follower", "w1 rare follower w2 w3"]
 
 
-def test_katz_counts_bigrams_of_rare_words(spark):
+@pytest.mark.parametrize(("order", "hot", "chunk"), [(2, katz.HOT, katz.CHUNK_BYTES), (2, 20, 300), (3, katz.HOT, 300), (3, 20, 300), (4, 5, 500)])
+def test_katz_scores(spark, order, hot, chunk):
+    """Against brute force; with hot words, the start mark among them, and many chunks."""
     texts = _sentences()
-    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    got = {r.doc_id: r for r in katz.report(df, order=2).collect()}
-    want = _katz([t for i, t in enumerate(texts) if not got[i].held_out], texts, 2)
-    assert [got[i].score for i in range(len(texts))] == pytest.approx(want)
-
-
-def test_katz_uses_two_words_of_history(spark):
-    texts = _sentences()
-    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    got = {r.doc_id: r for r in katz.report(df).collect()}
-    want = _katz([t for i, t in enumerate(texts) if not got[i].held_out], texts, 3)
-    assert [got[i].score for i in range(len(texts))] == pytest.approx(want)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(2)
+    got = {r.doc_id: r for r in katz.report(df, order=order, hot_from=hot, chunk_bytes=chunk).collect()}
+    want = _katz([t for i, t in enumerate(texts) if not got[i].held_out], texts, order)
+    assert [got[i].score for i in range(len(texts))] == pytest.approx(want, rel=1e-5)
+
+
+def test_katz_refuses_a_changed_order():
+    u, hot = katz.Unigrams(1, 1, np.zeros(6, int)), katz.Hot(*[np.zeros(0, np.uint64)] * 3, 9)
+    table = pa.table({"doc_id": [1], "held_out": [False], "text": ["a b"]})
+    asked = {p: [katz._check(np.ones(1, np.uint64)), *[np.zeros(2, np.uint64)] * 2] for p in range(4)}
+    with pytest.raises(RuntimeError, match="read again"):
+        list(katz._sent(0, table, {katz.WORDS: asked}, u, hot, 3, 4))
+
+
+def test_katz_clashing_names_null_ids_and_repeats(spark):
+    rows = [(1, "a b a", 5, "x"), (1, "a b a", 6, "y"), (None, "a b", 7, None), (2, "a b a", 8, "x"), (3, "b", 9, "z")]
+    df = spark.createDataFrame(rows, "doc_id int, text string, part int, held_out string")
+    got = sorted(katz.report(df).collect(), key=repr)
+    assert len(got) == 5 and sum(r.doc_id is None and r.held_out for r in got) == 1
+    same = [r.score for r in got if r.n_tokens == 4]
+    assert same == pytest.approx([same[0]] * 3)
 
 
 def test_language(spark, docs, empty):
