@@ -69,7 +69,7 @@ END_HASH = np.uint64(0x9D2C5680CA876543)
 START, UNKNOWN, FIRST = 0, 1, 2
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 #: Bytes of text in a chunk and, on average, in a part.
-CHUNK_BYTES, PART_BYTES = 8 << 20, 12 << 20
+CHUNK_BYTES, PART_BYTES = 8 << 20, 6 << 20
 #: Occurrences from which a word is hot.
 HOT = 400_000
 #: Kinds of rows: what chunks ask and are answered, tables, texts.
@@ -473,32 +473,31 @@ class Part:
                 all_.append(own)
         self.docs, self.sizes = first, sizes
         train, word, self.c, hot_pair = (np.concatenate(x) for x in (train, word, c, hot_pair))
+        back = [np.concatenate(back.pop(0)) for _ in range(order - 1)]
+        del c, blob, d, n, t, single, counts, w, pair, history
         ids, places = np.unique(hot.ids, return_index=True)
+        hot_at, follows_hot = _find(ids, back[0])
+        every = None  # by token: how often its hot pair occurs
+        if len(hot_pair):
+            every = np.zeros(len(word), np.int64)
+            every[follows_hot] = hot_pair
         self.levels = []  # by order from 2: of tokens, the gram; of grams, a token, the history and the count; of histories, the total, or the place of a hot word
-        history = np.zeros(len(word), np.uint64)
-        _, word = np.unique(word, return_inverse=True)
+        word = np.unique(word, return_inverse=True)[1].astype(np.uint32)
+        history = np.zeros(len(word), np.uint32)
+        joined = lambda a, b: np.unique((a.astype(np.uint64) << np.uint64(32)) | b, return_index=True, return_inverse=True)[1:]
         only_start = np.ones(len(word), bool)
-        for k in range(2, order + 1):
-            own = np.concatenate(back[k - 2])
+        for own in back:
             only_start &= own == START
-            _, number = np.unique(own, return_inverse=True)
-            _, token, history = np.unique((history.astype(np.uint64) << np.uint64(32)) | number.astype(np.uint64), return_index=True, return_inverse=True)
-            _, sample, gram = np.unique((history.astype(np.uint64) << np.uint64(32)) | word.astype(np.uint64), return_index=True, return_inverse=True)
+            token, history = joined(history, np.unique(own, return_inverse=True)[1].astype(np.uint32))
+            sample, gram = joined(history, word)
+            history, gram = history.astype(np.uint32), gram.astype(np.uint32)
             count = np.bincount(gram, weights=train, minlength=len(sample)).astype(np.int64)
-            place = np.full(len(token), -1)
-            at, is_hot = _find(ids, np.concatenate(back[0])[token])
-            is_hot &= (k == 2) | only_start[token]
-            place[is_hot] = places[at[is_hot]]
-            if k == 2 and len(hot_pair):
-                every = np.zeros(len(word), np.int64)
-                every[_find(ids, own)[1]] = hot_pair
-                from_pair = place[history[sample]] >= 0
-                count = np.where(from_pair, every[sample], count)
-            elif len(hot_pair):
-                start = place[history[sample]] >= 0
-                count = np.where(start, every[sample], count)
+            is_hot = follows_hot[token] & (only_start[token] if self.levels else True)
+            place = np.where(is_hot, places[hot_at[token]] if len(ids) else 0, -1)
+            if every is not None:
+                count = np.where(is_hot[history[sample]], every[sample], count)
             total = np.bincount(history[sample], weights=count, minlength=len(token)).astype(np.int64)
-            self.levels.append((gram, sample, history[sample], count, total, place))
+            self.levels.append((gram, sample.astype(np.uint32), history[sample], count, total, place))
 
     def few(self) -> np.ndarray:
         """By order from 2, how many grams have each count; without those of hot words, which are known."""
