@@ -1,9 +1,11 @@
 """WARC archives and their merged capture index.
 
-Writing: one WARC/1.1 record a page. A record is a UTF-8 text (header lines, a
-blank line, the payload), so Spark's own text sink writes the archives: any file
-system Spark knows, with its commit protocol, so a lost executor leaves no
-partial file. The sink's line separator is the blank lines that end a record.
+Writing: one WARC/1.1 record a page, one gzip member a record, so that a stored
+offset can be sought. (A record of 16 MB or more takes several members, in a
+row.) Spark's own text sink writes the members: any file system Spark knows, with
+its commit protocol, so a lost executor leaves no partial file. The sink's line
+separator is the zero byte that ends every member below 16 MB. A file ends when
+its members exceed ``FILE_BYTES``.
 
 Identical payloads are archived once: of records with equal payloads of at least
 ``min_bytes`` bytes, that with the largest page_id is the response, the others
@@ -11,60 +13,74 @@ are revisits without a body that name it. The choice is a partial aggregate by
 digest (a maximum), never a gathered group; only digests that occur more than
 once are joined back, and that join splits hot digests (AQE).
 
-Reading: every archive is parsed by Content-Length into a run of captures, sorted
-in its task. Runs are dealt by ranges of (URL key, timestamp, page), so a hot URL
-is split, and each range merges its runs with a loser tree: one comparison per
-level of the tree for every capture. Parts and their order together are the
-globally ordered capture history.
-
-A null html is an empty payload; a null url has the key ``-``; rows with the same
-page_id are records of their own (for equal payloads and ids, all are
-responses); an empty table writes an empty archive folder and gives no rows.
+Reading: every archive is parsed by Content-Length; each task's captures are
+sorted by (URL key, timestamp, page), which spills where it must, and written: a
+run. Bounds that cut all runs into ranges come from a sample of keys, of a size
+that follows from the number of ranges alone; a hot URL is split. A range gets
+its part of every run as sorted blocks of at most ``BLOCK_ROWS`` captures, in the
+order of the blocks' first keys, and merges the runs with a loser tree: one
+comparison per level of the tree for every capture. A block is read only when
+the merge reaches its first key, so a task holds the open blocks, not the range.
+Ranges and their order together are the globally ordered capture history.
+
+A null html is an empty payload; a null url has the key ``-``; a record of a null
+page_id is a revisit if a payload equal to its own has an id, else a response;
+rows with the same page_id are records of their own (of equal payloads, those of
+the largest id are all responses). Further columns, whatever their names, are not
+read. An empty table writes an empty archive folder and gives no rows.
 """
 
 from __future__ import annotations
 
 import base64
+import bisect
 import hashlib
 import re
+import zlib
 from collections.abc import Iterator
 from urllib.parse import urlsplit
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinloom.llm.common import bounded_batches, shared_folder, stored
+from kinloom.llm.common import map_arrow, shared_folder, stored
 
-RECORDS_PER_FILE = 1000
+#: Compressed bytes of an archive, about: a file takes the record that crosses this.
+FILE_BYTES = 64 << 20
 #: Captures of this table carry no time; they get consecutive seconds from here on.
 EPOCH = 1_700_000_000
-RUN_ROWS = 4096
+#: Captures of a block, of a range, and sampled keys of a range, about.
+BLOCK_ROWS, RANGE_ROWS, SAMPLED = 4096, 500_000, 40
 #: Repeated digests (40 bytes each) that are broadcast at most.
 BROADCAST_DIGESTS = 200_000
+#: Members end with the high byte of their size, which is 0 below this.
+_MEMBER_BYTES = 1 << 24
+_BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 
 CAPTURE = "urlkey string, timestamp string, page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, file string, offset long, length long"
+_KEY = ("urlkey", "timestamp", "page_id")
 
 
-def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        raw = [(x or "").encode("utf-8", "surrogatepass") for x in batch.column("html").to_pylist()]
-        digest = [base64.b32encode(hashlib.sha1(x).digest()).decode() for x in raw]
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(digest, pa.string())], [*batch.schema.names, "digest"])
+def digest_of(payload: Column) -> Column:
+    """SHA-1 of text as UTF-8, in base32: 20 bits, five hexadecimal digits, make four characters."""
+    sha = F.sha1(payload)
+    bits = [F.conv(F.substring(sha, 5 * i + 1, 5), 16, 10).cast("int") for i in range(8)]
+    letter = lambda x, k: F.substr(F.lit(_BASE32), F.shiftright(x, 15 - 5 * k).bitwiseAND(F.lit(31)) + 1, F.lit(1))
+    return F.concat(*(letter(x, k) for x in bits for k in range(4)))
 
 
 def plan_records(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     """page_id, url, html, digest, n_bytes, and refers_to: null for a response."""
-    cells = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html")
-    bounded_batches(pages.sparkSession)
-    hashed = cells.mapInArrow(_digests, "page_id long, url string, html string, digest string").withColumn("n_bytes", F.coalesce(F.octet_length("html"), F.lit(0)).cast("long"))
-    ids = cells.mapInArrow(_digests, "page_id long, url string, html string, digest string").select("page_id", "digest", F.coalesce(F.octet_length("html"), F.lit(0)).alias("n_bytes"))
-    again = ids.where(F.col("n_bytes") >= min_bytes).groupBy("digest").agg(F.max("page_id").alias("last"), F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("digest").alias("d"), "last")
+    text = F.coalesce("html", F.lit(""))
+    hashed = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", text.alias("html"), F.sha1(text).alias("sha"), F.octet_length(text).cast("long").alias("n_bytes"))
+    again = hashed.where(F.col("n_bytes") >= min_bytes).groupBy("sha").agg(F.max("page_id").alias("last"), F.count(F.lit(1)).alias("n")).where("n > 1").select("sha", "last")
     again = stored(again)
     if again.count() <= BROADCAST_DIGESTS:  # else a shuffle join, whose hot digests AQE splits
         again = F.broadcast(again)
-    refers = F.when(F.col("page_id") != F.col("last"), F.col("last"))
-    return hashed.join(again, F.col("digest") == F.col("d"), "left").select("page_id", "url", "html", "digest", "n_bytes", refers.alias("refers_to"))
+    refers = F.when(~F.col("page_id").eqNullSafe(F.col("last")), F.col("last"))
+    return hashed.join(again, "sha", "left").select("page_id", "url", "html", digest_of(F.col("html")).alias("digest"), "n_bytes", refers.alias("refers_to"))
 
 
 def _line(name: str, value: Column) -> Column:
@@ -72,7 +88,7 @@ def _line(name: str, value: Column) -> Column:
 
 
 def record_text(epoch: int = EPOCH) -> Column:
-    """The record of a row of plan_records(), without the blank lines at its end."""
+    """The record of a row of plan_records()."""
     date = F.date_format(F.timestamp_seconds(F.lit(epoch) + F.coalesce("page_id", F.lit(0))), "yyyy-MM-dd'T'HH:mm:ss'Z'")
     key = F.coalesce(F.col("page_id").cast("string"), F.lit(""))
     name = lambda k: F.concat(F.lit("<urn:page:"), k, F.lit(">"))
@@ -89,14 +105,37 @@ def record_text(epoch: int = EPOCH) -> Column:
         _line("Content-Type", F.lit("text/html; charset=utf-8")),
         _line("Content-Length", F.when(revisit, F.lit("0")).otherwise(F.col("n_bytes").cast("string"))),
         F.lit("\r\n"),
-        F.when(revisit, "").otherwise(F.coalesce("html", F.lit(""))),
+        F.when(revisit, "").otherwise(F.col("html")),
+        F.lit("\r\n\r\n"),
     )
 
 
-def write_archives(pages: DataFrame, path: str, min_bytes: int = 0, records_per_file: int = RECORDS_PER_FILE, compression: str = "gzip") -> None:
+def members(record: bytes) -> bytes:
+    """A record as gzip members, the last of them below 16 MB and so with a zero at its end, which is left out."""
+    out = []
+    for at in range(0, max(1, len(record)), _MEMBER_BYTES - 1):
+        packer = zlib.compressobj(6, zlib.DEFLATED, 31)
+        out.append(packer.compress(record[at : at + _MEMBER_BYTES - 1]) + packer.flush())
+    return b"".join(out)[:-1]
+
+
+def write_archives(pages: DataFrame, path: str, min_bytes: int = 0, file_bytes: int = FILE_BYTES) -> None:
     """pages (page_id, url, html) as WARC files below path."""
-    lines = plan_records(pages, min_bytes).select(record_text().alias("value"))
-    lines.write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", records_per_file).option("compression", compression).text(path)
+
+    def run(batches):
+        volume = size = 0
+        for batch in batches:
+            out = [members(x.encode("utf-8", "surrogatepass")) for x in batch.column("record").to_pylist()]
+            at = []
+            for x in out:
+                at.append(volume)
+                size += len(x) + 1
+                if size >= file_bytes:
+                    volume, size = volume + 1, 0
+            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(out, pa.binary())], ["volume", "value"])
+
+    records = map_arrow(plan_records(pages, min_bytes).select(record_text().alias("record")), run, "volume int, value binary")
+    records.select("volume", F.col("value").cast("string").alias("value")).write.partitionBy("volume").option("lineSep", "\0").option("compression", "none").text(path)
 
 
 def surt(url: str) -> str:
@@ -150,30 +189,59 @@ def _order(row: tuple) -> tuple:
     return (row[0], row[1], -1 if row[2] is None else row[2])
 
 
-def read_runs(spark: SparkSession, path: str) -> DataFrame:
-    """The captures of all archives below path, sorted within each archive. The digest is of the bytes that were read; a revisit's is the one it states."""
+def parse_members(data: bytes) -> Iterator[tuple[dict[str, str], bytes, int, int]]:
+    """The records of a gzip archive, with the offsets and lengths of their members in the file."""
+    at, end = 0, len(data)
+    view = memoryview(data)
+    while at < end:
+        record, begin = b"", at
+        while True:
+            unpacker = zlib.decompressobj(31)
+            record += unpacker.decompress(view[at:])
+            at = end - len(unpacker.unused_data)
+            stop = record.find(_HEAD_END)
+            size = re.search(rb"(?i)\r\ncontent-length:\s*(\d+)", record[: stop + 2]) if stop >= 0 else None
+            if size is None or len(record) >= stop + 8 + int(size[1]) or at >= end:
+                break
+        (head, body, _, _), *more = parse_archive(record)
+        if more:
+            raise ValueError(f"two records in the member at byte {begin}")
+        yield head, body, begin, at - begin
+
+
+def _capture(name: str, head: dict[str, str], body: bytes, at: int, size: int) -> tuple:
+    """The capture of a record. The digest is of the bytes that were read; a revisit's is the one it states."""
+    url, revisit = head.get("warc-target-uri", ""), head["warc-type"] == "revisit"
+    stated = head.get("warc-payload-digest", "").removeprefix("sha1:")
+    digest = stated if revisit else base64.b32encode(hashlib.sha1(body).digest()).decode()
+    if digest != stated:
+        raise ValueError(f"{name}, byte {at}: the payload does not have its digest")
+    stamp = re.sub(r"\D", "", head["warc-date"])
+    return (surt(url), stamp, _page(head["warc-record-id"]), url, int(head["x-payload-length"]) if revisit else len(body), digest, head["warc-type"], _page(head.get("warc-refers-to")), name, at, size)
+
+
+def captures(spark: SparkSession, path: str) -> DataFrame:
+    """The captures of all archives below path; plain archives are read too."""
 
     def run(batches):
-        import gzip
-
         for batch in batches:
             for name, data in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist()):
                 rows = []
-                data = gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data
-                for head, body, at, size in parse_archive(data):
-                    url, revisit = head.get("warc-target-uri", ""), head["warc-type"] == "revisit"
-                    stated = head.get("warc-payload-digest", "").removeprefix("sha1:")
-                    digest = stated if revisit else base64.b32encode(hashlib.sha1(body).digest()).decode()
-                    if digest != stated:
-                        raise ValueError(f"{name}, byte {at}: the payload does not have its digest")
-                    stamp = re.sub(r"\D", "", head["warc-date"])
-                    rows.append((surt(url), stamp, _page(head["warc-record-id"]), url, int(head["x-payload-length"]) if revisit else len(body), digest, head["warc-type"], _page(head.get("warc-refers-to")), name, at, size))
-                rows.sort(key=_order)
+                for record in (parse_members if data[:2] == b"\x1f\x8b" else parse_archive)(data):
+                    rows.append(_capture(name, *record))
+                    if len(rows) == BLOCK_ROWS:
+                        yield _rows(rows)
+                        rows = []
                 yield _rows(rows)
 
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    bounded_batches(spark)
-    return files.mapInArrow(run, CAPTURE)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "content")
+    return map_arrow(files, run, CAPTURE)
+
+
+def sorted_runs(found: DataFrame) -> DataFrame:
+    """Captures with run, the number of the task that sorted them; written, so that the runs are read in their order."""
+    nulls_first = [F.col(c).asc_nulls_first() for c in _KEY]
+    return stored(found.sortWithinPartitions(*nulls_first).withColumn("run", F.spark_partition_id()))
 
 
 class LoserTree:
@@ -214,32 +282,104 @@ class LoserTree:
             self.winner = at
 
 
-def merge_runs(runs: DataFrame) -> DataFrame:
+class Merge:
+    """A k-way merge of runs whose blocks come in the order of their first keys. Only blocks that the merge has reached are open."""
+
+    def __init__(self, blocks: Iterator[tuple[int, list[tuple]]]):
+        self.blocks = blocks
+        self.next = next(blocks, None)
+        self.most_open = 0
+
+    def __iter__(self) -> Iterator[tuple]:
+        open_: dict[int, list[list[tuple]]] = {}
+        while self.next is not None or open_:
+            # take every block whose first key may come before what is open; a run's own blocks follow each other
+            if self.next is not None:
+                run, rows = self.next
+                open_.setdefault(run, []).append(rows)
+                self.next = next(self.blocks, None)
+                while self.next is not None and _order(self.next[1][0]) <= min(_order(b[0][0]) for b in open_.values()):
+                    open_.setdefault(self.next[0], []).append(self.next[1])
+                    self.next = next(self.blocks, None)
+            self.most_open = max(self.most_open, sum(len(x) for b in open_.values() for x in b))
+            bound = None if self.next is None else _order(self.next[1][0])
+            taken = dict.fromkeys(open_, 0)
+
+            def upto(run: int) -> Iterator[tuple]:
+                for row in (r for rows in open_[run] for r in rows):
+                    if bound is not None and _order(row) > bound:
+                        return
+                    taken[run] += 1
+                    yield row
+
+            names = sorted(open_)
+            yield from LoserTree([upto(r) for r in names])
+            for r in names:
+                rest = [x for rows in open_[r] for x in rows][taken[r] :]
+                if rest:
+                    open_[r] = [rest]
+                else:
+                    del open_[r]
+
+
+def merge_runs(runs: DataFrame, block_rows: int = BLOCK_ROWS, range_rows: int = RANGE_ROWS) -> DataFrame:
     """The captures of all runs in one order: by URL key, timestamp and page."""
+    spark = runs.sparkSession
+    total = runs.count()
+    ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // range_rows))
+    ranges = min(ranges, max(1, total // block_rows))
+    share = min(1.0, 2 * SAMPLED * ranges / max(1, total))
+    picked = runs.where(F.pmod(F.xxhash64("file", "offset"), F.lit(1 << 30)) < int(share * (1 << 30))).select(*_KEY)
+    keys = sorted(_order(tuple(r)) for r in picked.collect()) if ranges > 1 else []  # about 2 * SAMPLED a range
+    bounds = [keys[len(keys) * i // ranges] for i in range(1, ranges)] if keys else []
+
+    def cut(batches):
+        """A run, read in its order, as blocks of one range each."""
+        held: list[tuple] = []
+        place, seen = None, 0
+
+        def block():
+            nonlocal seen
+            seen += 1
+            sink = pa.BufferOutputStream()
+            table = _rows([r[:11] for r in held])
+            with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+                writer.write_batch(table)
+            first = held[0]
+            names = ("place", "run", "urlkey", "timestamp", "page_id", "blob")
+            kinds = (pa.int32(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary())
+            values = (place[0], place[1] << 32 | TaskContext.get().partitionId(), *first[:3], sink.getvalue().to_pybytes())
+            return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds)], list(names))
 
-    def run(batches):
-        parts: dict[str, list[tuple]] = {}
         for batch in batches:
-            columns = [c.to_pylist() for c in batch.columns]
-            for row in zip(*columns):
-                parts.setdefault(row[8], []).append(row)  # a file's rows
-        for rows in parts.values():
-            rows.sort(key=_order)  # one pass if a shuffle kept the run's order
+            for row in zip(*(c.to_pylist() for c in batch.columns)):
+                at = (bisect.bisect_right(bounds, _order(row)), row[11])
+                if held and (at != place or len(held) == block_rows or _order(row) < _order(held[-1])):
+                    yield block()
+                    held = []
+                place = at
+                held.append(row)
+        if held:
+            yield block()
+
+    def merge(batches):
+        blocks = ((run, list(zip(*(c.to_pylist() for c in pa.ipc.open_stream(blob).read_next_batch().columns)))) for batch in batches for run, blob in zip(batch.column("run").to_pylist(), batch.column("blob").to_pylist()))
         out = []
-        for row in LoserTree([iter(r) for r in parts.values()]):
+        for row in Merge(blocks):
             out.append(row)
-            if len(out) == RUN_ROWS:
+            if len(out) == BLOCK_ROWS:
                 yield _rows(out)
                 out = []
         if out:
             yield _rows(out)
 
-    bounded_batches(runs.sparkSession)
-    return runs.repartitionByRange("urlkey", "timestamp", "page_id").mapInArrow(run, CAPTURE)
+    blocks = map_arrow(runs, cut, "place int, run long, urlkey string, timestamp string, page_id long, blob binary")
+    dealt = blocks.repartitionById(ranges, "place").sortWithinPartitions(*(F.col(c).asc_nulls_first() for c in _KEY))
+    return map_arrow(dealt.select("run", "blob"), merge, CAPTURE)
 
 
 def capture_index(spark: SparkSession, path: str) -> DataFrame:
-    return merge_runs(read_runs(spark, path))
+    return merge_runs(sorted_runs(captures(spark, path)))
 
 
 def archive_report(pages: DataFrame) -> DataFrame:
