@@ -4,14 +4,25 @@ A tree builder reads tags as browsers do where it matters for text: implied ends
 (a head before other content, a paragraph before a block, list items, rows, cells,
 options), implied rows, content of a table outside its cells (which goes before
 the table), void elements, raw text, and ends without a start. A renderer then walks the tree and writes
-what is visible: no head, script, style, template, hidden or display:none
-content; blank lines around paragraphs and headings, line breaks around other
-blocks; list items with a bullet or number and indentation; tables with one line
-a row and cells padded to their column's width; white space kept in pre.
-
-Null html gives null text, an empty page an empty text. Nesting deeper than
-``DEEPEST`` is flattened, so hostile pages do not exhaust the stack. Equal pages
-give equal texts; other columns are ignored.
+what is visible:
+
+* No head, script, style, template or fallback content; nothing with ``hidden`` or
+  display:none, whether by attribute or by a rule of the page's style sheets for
+  a tag, class or id (rules of other selectors and of media queries are not
+  read); of a closed ``details`` its summary, of a closed ``dialog`` nothing. What
+  is visibility:hidden is left out, but not its visible children. Text areas,
+  the options that a ``select`` shows, buttons, entered values and the text of
+  drawings and formulas are visible.
+* Blank lines around paragraphs and headings, line breaks around other blocks;
+  list items with a bullet or their number and indentation; white space kept in
+  ``pre`` and text areas.
+* Tables with cells padded to their column's width, over as many columns and
+  rows as they span; a cell of several lines takes several lines of its row.
+
+Trees are built and walked without recursion, so no depth is too deep. Null html
+gives null text, an empty page an empty text. Equal pages give equal texts;
+rows with equal keys are rows of their own; other columns, whatever their names,
+are not read. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -25,9 +36,8 @@ from pyspark.sql import functions as F
 
 from kinloom.llm.common import map_arrow
 
-DEEPEST = 200
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-UNSEEN = frozenset("head script style template noscript svg math iframe object canvas audio video select datalist textarea title".split())
+UNSEEN = frozenset("head script style template noscript iframe object canvas audio video datalist title desc defs metadata annotation annotation-xml".split())
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl table pre blockquote figure".split())
 BLOCK = SPACED | frozenset("html body div section article header footer nav main aside address form fieldset li dt dd tr thead tbody tfoot caption figcaption details summary hr center".split())
 #: A start tag of the first kind ends an open element of the second, up to the third.
@@ -50,7 +60,16 @@ TABLE = {
     "td": {"thead", "tbody", "tfoot", "tr"}, "th": {"thead", "tbody", "tfoot", "tr"},
 }
 CELLS = frozenset(("td", "th", "caption"))
-_HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
+#: Kinds of input whose value is on the screen.
+SHOWN = frozenset(("", "text", "search", "email", "url", "tel", "number", "submit", "button", "reset"))
+#: Columns that a cell spans at most, as in browsers.
+WIDEST = 1000
+_DISPLAY = re.compile(r"(?<![\w-])display\s*:\s*([\w-]+)", re.I)
+_VISIBILITY = re.compile(r"(?<![\w-])visibility\s*:\s*(\w+)", re.I)
+_COMMENT = re.compile(r"/\*.*?\*/", re.S)
+_AT_RULE = re.compile(r"@[^{};]*(?:;|\{(?:[^{}]*\{[^{}]*\})*[^{}]*\})")
+_RULE = re.compile(r"([^{}]+)\{([^{}]*)\}")
+_SELECTOR = re.compile(r"[\w-]*(?:[.#][\w-]+)?")
 
 
 class Node:
@@ -66,6 +85,7 @@ class TreeBuilder(HTMLParser):
         self.root = Node("", {})
         self.open = [self.root]
         self.headless = False
+        self.tables: list[int] = []  # where tables are in open; those closed since may still be in it
 
     def _close(self, tags: set[str], until: set[str]) -> None:
         for i in range(len(self.open) - 1, 0, -1):
@@ -77,8 +97,11 @@ class TreeBuilder(HTMLParser):
                     return
 
     def _push(self, node: Node) -> None:
-        if len(self.open) < DEEPEST:
-            self.open.append(node)
+        if node.tag == "table":
+            while self.tables and self.tables[-1] >= len(self.open):
+                self.tables.pop()
+            self.tables.append(len(self.open))
+        self.open.append(node)
 
     def _table(self) -> int:
         """Where the table is whose content is read now; 0 where that is a cell's or no table's."""
@@ -87,9 +110,11 @@ class TreeBuilder(HTMLParser):
 
     def _part(self, tag: str) -> bool:
         """Makes way for a part of a table, with a row for a cell; False outside tables."""
-        at = max((i for i, n in enumerate(self.open) if n.tag == "table"), default=0)
-        if not at:
+        while self.tables and (self.tables[-1] >= len(self.open) or self.open[self.tables[-1]].tag != "table"):
+            self.tables.pop()
+        if not self.tables:
             return False
+        at = self.tables[-1]
         while len(self.open) > at + 1 and not (self.open[-1].tag in TABLE[tag] and not any(n.tag in CELLS for n in self.open[at:])):
             self.open.pop()
         if tag in ("td", "th") and self.open[-1].tag != "tr":
@@ -155,17 +180,52 @@ class TreeBuilder(HTMLParser):
         self.open[-1].children.append(data)
 
 
-def visible(node: Node) -> bool:
-    a = node.attrs
-    return not (node.tag in UNSEEN or "hidden" in a or (a.get("aria-hidden") or "").lower() == "true" or (node.tag == "input") or _HIDDEN.search(a.get("style") or ""))
+class Sheet:
+    """What the page's style sheets say of display and visibility, by simple selector; later rules win."""
+
+    def __init__(self, root: Node):
+        self.display: dict[str, str] = {}
+        self.visibility: dict[str, str] = {}
+        todo: list[Node] = [root]
+        sheets = []
+        while todo:
+            node = todo.pop()
+            if node.tag == "style":
+                sheets.append("".join(c for c in node.children if isinstance(c, str)))
+            todo += [c for c in reversed(node.children) if isinstance(c, Node)]
+        for selectors, body in _RULE.findall(_AT_RULE.sub("", _COMMENT.sub("", "\n".join(sheets)))):
+            for name, found in (("display", _DISPLAY.findall(body)), ("visibility", _VISIBILITY.findall(body))):
+                if found:
+                    getattr(self, name).update((x.strip(), found[-1].lower()) for x in selectors.split(",") if _SELECTOR.fullmatch(x.strip()))
+
+    def _value(self, node: Node, pattern: re.Pattern, rules: dict[str, str]) -> str:
+        if own := pattern.findall(node.attrs.get("style") or ""):
+            return own[-1].lower()
+        if rules:
+            names = [f".{c}" for c in (node.attrs.get("class") or "").split()] + ([f"#{node.attrs['id']}"] if node.attrs.get("id") else [])
+            for name in (*(f"{node.tag}{n}" for n in reversed(names)), *reversed(names), node.tag):
+                if name in rules:
+                    return rules[name]
+        return ""
+
+    def displayed(self, node: Node) -> bool:
+        if node.tag in UNSEEN or node.tag == "dialog" and "open" not in node.attrs:
+            return False
+        value = self._value(node, _DISPLAY, self.display)
+        return value != "none" if value else "hidden" not in node.attrs
+
+    def visible(self, node: Node, inherited: bool) -> bool:
+        value = self._value(node, _VISIBILITY, self.visibility)
+        return value == "visible" if value in ("visible", "hidden", "collapse") else inherited
 
 
 class Writer:
-    """Text with collapsed white space and pending breaks."""
+    """Text with collapsed white space and pending breaks, of at most so many lines."""
 
-    def __init__(self):
+    def __init__(self, most: int = 2):
         self.out: list[str] = []
         self.breaks = self.space = 0
+        self.most, self.marked = most, False
 
     def text(self, s: str, pre: bool = False) -> None:
         if pre:
@@ -184,80 +244,175 @@ class Writer:
         self.out.append(" ".join(words))
         self.space = s[-1].isspace()
 
+    def mark(self, s: str) -> None:
+        """A list item's mark: what the item begins with stays on its line."""
+        self.text(s, True)
+        self.marked = True
+
     def block(self, lines: int) -> None:
-        self.breaks, self.space = max(self.breaks, lines), 0
+        if not self.marked:
+            self.breaks, self.space = max(self.breaks, min(lines, self.most)), 0
+
+    def line(self) -> None:
+        self.breaks, self.space, self.marked = self.breaks + 1, 0, False
 
     def _flush(self) -> None:
-        if self.breaks:
-            if self.out:
-                self.out.append("\n" * self.breaks)
-            self.breaks = 0
+        if self.breaks and self.out:
+            self.out.append("\n" * self.breaks)
+        self.breaks, self.marked = 0, False
 
     def done(self) -> str:
         return "".join(self.out)
 
 
-def _cells(row: Node) -> list[str]:
-    return [" ".join(render(c).split()) for c in row.children if isinstance(c, Node) and c.tag in ("td", "th") and visible(c)]
-
-
-def _table_rows(node: Node) -> list[list[str]]:
-    rows = []
-    for c in node.children:
-        if isinstance(c, Node) and visible(c):
-            rows += [_cells(c)] if c.tag == "tr" else _table_rows(c) if c.tag in ("thead", "tbody", "tfoot") else []
-    return [r for r in rows if any(r)]
-
-
-def _walk(node: Node, out: Writer, pre: bool, depth: int) -> None:
-    number = 0
-    for c in node.children:
-        if isinstance(c, str):
-            out.text(c, pre)
-            continue
-        if not visible(c):
-            continue
-        if c.tag == "br":
-            out.block(max(1, out.breaks + 1) if out.breaks else 1)
-            continue
-        if c.tag == "img":
-            out.text(f" {c.attrs.get('alt') or ''} ")
-            continue
-        gap = 2 if c.tag in SPACED and not (c.tag in ("ul", "ol") and depth) else 1 if c.tag in BLOCK else 0
-        if gap:
-            out.block(gap)
-        if c.tag == "table":
-            for k in c.children:
-                if isinstance(k, Node) and k.tag == "caption" and visible(k):
-                    out.text(render(k))
-                    out.block(1)
-            rows = _table_rows(c)
-            width = [max(len(r[i]) for r in rows if i < len(r)) for i in range(max(map(len, rows), default=0))]
-            for r in rows:
-                out.text("  ".join(x.ljust(w) for x, w in zip(r, width)).rstrip(), True)
+def _number(text: str | None, least: int, most: int) -> int | None:
+    found = re.match(r"\s*([-+]?\d{1,9})", text or "")
+    return min(max(int(found[1]), least), most) if found else None
+
+
+def _aligned(rows: list[list[tuple[list[str], int, int]]]) -> list[str]:
+    """Lines of a table from its cells: their lines, and how many columns and rows they span."""
+    busy: dict[int, int] = {}  # columns that cells of rows above still take, and for how many rows
+    placed = []
+    for cells in rows:
+        at, row, now = 0, [], {}
+        for lines, across, down in cells:
+            while busy.get(at, 0) > 0:
+                at += 1
+            row.append((at, across, lines))
+            now.update((c, down) for c in range(at, at + across))
+            at += across
+        busy = {c: n - 1 for c, n in (busy | now).items() if n > 1}
+        placed.append(row)
+    columns = max((at for row in placed for at, _, _ in row), default=-1) + 1
+    width = [0] * columns
+    for at, across, lines in sorted((c for row in placed for c in row), key=lambda c: c[1]):
+        end = min(at + across, columns)
+        missing = max(map(len, lines), default=0) - sum(width[at:end]) - 2 * (end - at - 1)
+        width[end - 1] += max(0, missing)
+    start = [0]
+    for w in width:
+        start.append(start[-1] + (w + 2 if w else 0))
+    out = []
+    for row in placed:
+        for k in range(max((len(lines) for _, _, lines in row), default=0)):
+            line = ""
+            for at, _, lines in row:
+                if k < len(lines) and lines[k]:
+                    line = line.ljust(start[at]) + lines[k]
+            out.append(line)
+    return out
+
+
+class Renderer:
+    """Walks a tree. Its methods are generators that yield walks of subtrees, which run() keeps on a stack of its own."""
+
+    def __init__(self, root: Node):
+        self.sheet = Sheet(root)
+
+    def run(self, walk):
+        stack, value = [walk], None
+        while stack:
+            try:
+                stack.append(stack[-1].send(value))
+                value = None
+            except StopIteration as end:
+                stack.pop()
+                value = end.value
+        return value
+
+    def _cell(self, node: Node, shown: bool):
+        out = Writer(1)
+        yield self.walk(node, out, False, 0, shown)
+        lines = [x.rstrip() for x in out.done().strip("\n").split("\n")]
+        return [x for x in lines if x], _number(node.attrs.get("colspan"), 1, WIDEST) or 1, _number(node.attrs.get("rowspan"), 1, 65534) or 1
+
+    def _table(self, table: Node, out: Writer, shown: bool):
+        rows, todo = [], [(c, shown) for c in reversed(table.children)]
+        while todo:
+            c, shown = todo.pop()
+            if not isinstance(c, Node) or not self.sheet.displayed(c):
+                continue
+            shown = self.sheet.visible(c, shown)
+            if c.tag == "caption":
+                yield self.walk(c, out, False, 0, shown)
                 out.block(1)
-        elif c.tag == "li":
-            number += 1
-            mark = f"{number}. " if node.tag == "ol" else "- "
-            out.text("  " * max(0, depth - 1) + mark, True)
-            _walk(c, out, pre, depth)
-        else:
-            _walk(c, out, pre or c.tag == "pre", depth + (c.tag in ("ul", "ol")))
-        if gap:
-            out.block(gap)
-
-
-def render(node: Node) -> str:
-    out = Writer()
-    _walk(node, out, False, 0)
-    return out.done()
+            elif c.tag in ("thead", "tbody", "tfoot"):
+                todo += [(x, shown) for x in reversed(c.children)]
+            elif c.tag == "tr":
+                cells = []
+                for x in c.children:
+                    if isinstance(x, Node) and x.tag in ("td", "th") and self.sheet.displayed(x):
+                        cells.append((yield self._cell(x, self.sheet.visible(x, shown))))
+                if cells:
+                    rows.append(cells)
+        for line in _aligned(rows):
+            out.text(line, True)
+            out.block(1)
+
+    def _selected(self, select: Node) -> list[Node]:
+        """The options that are on the screen: all of a list, else the selected or the first."""
+        options, todo = [], list(reversed(select.children))
+        while todo:
+            c = todo.pop()
+            if isinstance(c, Node):
+                todo += reversed(c.children)
+                options += [c] if c.tag == "option" else []
+        if "multiple" in select.attrs or (_number(select.attrs.get("size"), 0, 9999) or 0) > 1:
+            return options
+        return [o for o in options if "selected" in o.attrs][:1] or options[:1]
+
+    def walk(self, node: Node, out: Writer, pre: bool, depth: int, shown: bool):
+        number = _number(node.attrs.get("start"), -(10**9), 10**9) if node.tag == "ol" else None
+        number = 1 if number is None else number
+        summaries = [c for c in node.children if isinstance(c, Node) and c.tag == "summary"][:1] if node.tag == "details" and "open" not in node.attrs else None
+        for c in node.children if summaries is None else summaries:
+            if isinstance(c, str):
+                if shown:
+                    out.text(c, pre)
+                continue
+            if not self.sheet.displayed(c):
+                continue
+            own = self.sheet.visible(c, shown)
+            if c.tag == "br":
+                out.line()
+                continue
+            if c.tag in ("img", "input"):
+                value = c.attrs.get("alt") if c.tag == "img" or (c.attrs.get("type") or "").lower() == "image" else c.attrs.get("value") if (c.attrs.get("type") or "").lower() in SHOWN else ""
+                if own and value:
+                    out.text(f" {value} ")
+                continue
+            gap = 2 if c.tag in SPACED and not (c.tag in ("ul", "ol") and depth) else 1 if c.tag in BLOCK else 0
+            if gap:
+                out.block(gap)
+            if c.tag == "table":
+                yield self._table(c, out, own)
+            elif c.tag == "select":
+                for option in self._selected(c):
+                    out.text(" ")
+                    yield self.walk(option, out, False, depth, own)
+                    out.text(" ")
+            elif c.tag == "li":
+                given = _number(c.attrs.get("value"), -(10**9), 10**9) if node.tag == "ol" else None
+                number = number if given is None else given
+                if own:
+                    out.mark("  " * max(0, depth - 1) + (f"{number}. " if node.tag == "ol" else "- "))
+                number += 1
+                yield self.walk(c, out, pre, depth, own)
+                out.marked = False
+            else:
+                yield self.walk(c, out, pre or c.tag in ("pre", "textarea"), depth + (c.tag in ("ul", "ol")), own)
+            if gap:
+                out.block(gap)
 
 
 def page_text(html: str) -> str:
     builder = TreeBuilder()
     builder.feed(html)
     builder.close()
-    return "\n".join(x.rstrip() for x in render(builder.root).strip("\n").split("\n"))
+    out, renderer = Writer(), Renderer(builder.root)
+    renderer.run(renderer.walk(builder.root, out, False, 0, True))
+    return "\n".join(x.rstrip() for x in out.done().strip("\n").split("\n"))
 
 
 def extract(pages: DataFrame, key: str = "page_id") -> DataFrame:

@@ -7,6 +7,7 @@ import hashlib
 import math
 import re
 import zlib
+from html.parser import HTMLParser
 
 import duckdb
 import numpy as np
@@ -343,12 +344,78 @@ def test_html(spark):
         ("<table><td>a<td>b</table>", "a  b"),
         ("<table><tbody><th>a<th>b<tr><td>c<td>d</table>", "a  b\nc  d"),
         ("<table><form><tr><td>a<td>b</form><tr><td>c</table>", "a  b\nc"),
-        ("<table>loose<tr>text<td>a<div>x</div></table>after", "loosetext\n\na x\n\nafter"),
+        ("<table>loose<tr>text<td>a<div>x</div></table>after", "loosetext\n\na\nx\n\nafter"),
         ("<table><div>before</div><tr><p>more<td>a</td></tr></table>", "before\n\nmore\n\na"),
-        ("<table><caption>cap<tr><td>a<table><tr><td>in</table>b<td>c</table>", "cap\na in b  c"),
-        ("<table><tr><td>a<table><td>b</table></table><table><td>c<table></table>", "a b\n\nc"),
+        ("<table><caption>cap<tr><td>a<table><tr><td>in</table>b<td>c</table>", "cap\na   c\nin\nb"),
+        ("<table><tr><td>a<table><td>b</table></table><table><td>c<table></table>", "a\nb\n\nc"),
         ("<table><tr><table><td>a</table>", "a"),
     ],
 )
 def test_html_implied_tags(page, text):
     assert html.page_text(page) == text
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("<div>" * 250 + "<table><tr><td>x<td>y<td>z", "x  y  z"),
+        ("<table>" + "".join(f"<tr><td>x{i}<table>" for i in range(300)), "\n".join(f"x{i}" for i in range(300))),
+        ("<table><tr><td colspan=2>wide heading<td>z<tr><td>a<td>b<td>c<tr><td rowspan=2>r<td>s<tr><td>t<td>u</table>", "wide heading  z\na  b          c\nr  s\n   t          u"),
+        ("<table><tr><td colspan=99999>a<tr><td>b<td>c</table>", "a\nb  c"),
+        ("<table><tr><td><p>one<p>two<ul><li>x<li>y</ul><td>z</table>", "one  z\ntwo\n- x\n- y"),
+        ("<ol start=5><li>a<li value=9>b<li>c</ol>", "5. a\n9. b\n10. c"),
+        ("<ul><li><p>para</p><li>x</ul>", "- para\n\n- x"),
+        ("<style>.h,#q{display:none} p.v{visibility:hidden} /* .k{display:none} */ @media print{.k{display:none}}</style><p class='x h'>no<p id=q>no<p class=v>no <b style='visibility:visible'>yes</b><p class=k>kept", "yes\n\nkept"),
+        ("<style>.h{display:none}</style><p class=h style='display:block'>shown<p hidden style='display:block'>too", "shown\n\ntoo"),
+        ("<p style='visibility:hidden'>no<i style='visibility:visible'>yes</i>", "yes"),
+        ("<details><summary>S</summary>no</details><details open><summary>T</summary>yes</details><dialog>no</dialog><dialog open>yes</dialog>", "S\nT\nyes\nyes"),
+        ("<p aria-hidden=true>seen", "seen"),
+        ("<textarea>a\n  b</textarea>", "a\n  b"),
+        ("<select><option>a<option selected>b<option>c</select><select multiple><option>d<option>e</select>", "b d e"),
+        ("<input value=x><input type=hidden value=no><input type=password value=no><input type=submit value=Go>", "x Go"),
+        ("<svg><title>no</title><text>drawn</text></svg><math><mi>x</mi></math>", "drawnx"),
+        ("a<br><br>b<pre> c\n  d</pre>", "a\n\nb\n\n c\n  d"),
+    ],
+)
+def test_html_layout(page, text):
+    assert html.page_text(page) == text
+
+
+class _Seen(HTMLParser):
+    """The words of a page outside what is hidden, in any order."""
+
+    def __init__(self):
+        super().__init__()
+        self.words, self.hidden = [], []
+
+    def handle_starttag(self, tag, attrs):
+        a = dict(attrs)
+        self.words += (a.get("alt") or "").split() if tag == "img" and not self.hidden else []
+        if tag not in html.VOID and (self.hidden or tag in html.UNSEEN or "hidden" in a or re.search("display: ?none|visibility: ?hidden", a.get("style") or "")):
+            self.hidden.append(tag)
+
+    def handle_endtag(self, tag):
+        if tag in self.hidden:
+            while self.hidden.pop() != tag:
+                pass
+
+    def handle_data(self, data):
+        self.words += [] if self.hidden else data.split()
+
+
+def test_html_loses_no_visible_word():
+    for (page,) in duckdb.sql("SELECT html FROM '/root/testdata/sf0.01/pages.parquet' WHERE html IS NOT NULL").fetchall():
+        seen = _Seen()
+        seen.feed(page)
+        seen.close()
+        mine, theirs = collections.Counter("".join(html.page_text(page).split())), collections.Counter("".join(seen.words))
+        assert not theirs - mine, page
+
+
+def test_html_handles_hostile_and_odd_tables(spark):
+    assert html.page_text("<div>" * 100_000 + "deep") == "deep"
+    assert html.page_text("<table><tr><td>" * 3000 + "deep").strip() == "deep"
+    df = spark.createDataFrame([(1, "<p>a", "x", 7), (1, "<p>a", "y", 8), (None, "<p>b", "z", 9), (2, "word " * 300_000, "w", 1)], "page_id int, html string, text string, key long")
+    got = html.extract(df).collect()
+    assert sorted(repr((r.page_id, len(r.text))) for r in got) == sorted(map(repr, [(1, 1), (1, 1), (None, 1), (2, 1_499_999)]))
+    assert html.extract(df.limit(0)).count() == 0
