@@ -81,22 +81,24 @@ _NAMES = ("part", "kind", "chunk", "blob")
 
 def pack(*arrays: np.ndarray) -> bytes:
     """Arrays of numbers by byte planes, compressed; sorted ones should come as differences."""
+    compress = zstandard.ZstdCompressor(level=1).compress
     out = [len(arrays).to_bytes(2, "little")]
     for a in arrays:
         size = a.dtype.itemsize
         planes = np.ascontiguousarray(a).view(np.uint8).reshape(-1, size).T
-        body = zstandard.ZstdCompressor(level=1).compress(planes.tobytes()) if len(a) else b""
+        body = compress(planes.tobytes()) if len(a) else b""
         out += [a.dtype.str.encode().ljust(4), len(a).to_bytes(8, "little"), len(body).to_bytes(8, "little"), body]
     return b"".join(out)
 
 
 def unpack(blob: bytes) -> list[np.ndarray]:
+    decompress = zstandard.ZstdDecompressor().decompress
     at, out = 2, []
     for _ in range(int.from_bytes(blob[:2], "little")):
         kind = np.dtype(blob[at : at + 4].decode().strip())
         n, size = (int.from_bytes(blob[i : i + 8], "little") for i in (at + 4, at + 12))
         at += 20
-        planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob[at : at + size]) if n else b"", np.uint8)
+        planes = np.frombuffer(decompress(blob[at : at + size]) if n else b"", np.uint8)
         out.append(np.ascontiguousarray(planes.reshape(kind.itemsize, n).T).view(kind).reshape(n))
         at += size
     return out
@@ -115,13 +117,24 @@ def _read(batches) -> Iterator[tuple]:
 
 
 def _part_of(keys: np.ndarray, parts: int) -> np.ndarray:
-    return ((mix(keys) >> np.uint64(20)) % np.uint64(parts)).astype(np.int64)
+    return ((mix(keys) >> np.uint64(20)) % np.uint64(parts)).astype(np.uint16 if parts < 1 << 16 else np.uint32)
 
 
 def _cuts(part: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
     """Order that puts the rows of a part together, and where each part begins."""
     order = np.argsort(part, kind="stable")
-    return order, np.searchsorted(part[order], np.arange(parts + 1))
+    return order, np.searchsorted(part[order], np.arange(parts + 1, dtype=np.uint32))
+
+
+def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A place of each distinct key, by key, and each key's number among them."""
+    order = np.argsort(keys)
+    ascending = keys[order]
+    new = np.ones(len(keys), bool)
+    np.not_equal(ascending[1:], ascending[:-1], out=new[1:])
+    inverse = np.empty(len(keys), np.int64)
+    inverse[order] = np.cumsum(new) - 1
+    return order[new], inverse
 
 
 def _deltas(keys: np.ndarray) -> np.ndarray:
@@ -277,7 +290,7 @@ def weights(kept: np.ndarray, total: np.ndarray, low: np.ndarray) -> tuple[np.nd
 
 def _questions(chunk: int, keys: np.ndarray, train: np.ndarray, parts: int, route: np.ndarray | None = None, *more: np.ndarray) -> list[tuple]:
     """Distinct keys of a chunk with their training counts, to the parts of route (else of the keys)."""
-    _, first, inverse = np.unique(keys, return_index=True, return_inverse=True)
+    first, inverse = _distinct(keys)
     counts = np.bincount(inverse, weights=train, minlength=len(first)).astype(np.uint64)
     keys, more = keys[first], [m[first] for m in more]
     order, cut = _cuts(_part_of(keys if route is None else route[first], parts), parts)
@@ -290,7 +303,8 @@ def _questions(chunk: int, keys: np.ndarray, train: np.ndarray, parts: int, rout
 
 def _answers_of(keys: np.ndarray, parts: int, found: dict[int, list[np.ndarray]], route: np.ndarray | None = None) -> list[np.ndarray]:
     """The answers to _questions, by token; found: by part."""
-    single, first, inverse = np.unique(keys, return_index=True, return_inverse=True)
+    first, inverse = _distinct(keys)
+    single = keys[first]
     order, cut = _cuts(_part_of(single if route is None else route[first], parts), parts)
     some = [found[p] for p in np.flatnonzero(np.diff(cut))] if all(p in found for p in np.flatnonzero(np.diff(cut))) else []
     for p, answer in zip(np.flatnonzero(np.diff(cut)), some):
@@ -323,7 +337,9 @@ def _counted_words(docs: DataFrame, parts: int, chunk_bytes: int) -> DataFrame:
             return
         part = asked[0][0]
         keys = [_sums(x[0]) for *_, x in asked]
-        single, inverse = np.unique(np.concatenate(keys), return_inverse=True)
+        every = np.concatenate(keys)
+        first, inverse = _distinct(every)
+        single = every[first]
         counts = np.bincount(inverse, weights=np.concatenate([x[1] for *_, x in asked]), minlength=len(single)).astype(np.int64)
         rank = np.empty(len(single), np.int64)
         rank[np.argsort(-counts, kind="stable")] = np.arange(len(single))
@@ -382,7 +398,9 @@ def _counted_pairs(docs: DataFrame, words: DataFrame, uni, hot, parts: int, chun
         if not asked:
             return
         keys = [_sums(x[0]) for _, x in asked]
-        single, first, inverse = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
+        every = np.concatenate(keys)
+        first, inverse = _distinct(every)
+        single = every[first]
         counts, place, word = (np.concatenate([x[i] for _, x in asked]) for i in (1, 2, 3))
         counts = np.bincount(inverse, weights=counts, minlength=len(single)).astype(np.int64)
         place, word, n = place[first].astype(np.int64), word[first], len(hot.value.hashes)
@@ -446,11 +464,11 @@ def _sent(chunk: int, table: pa.Table, found: dict[int, dict[int, list[np.ndarra
     for p in np.flatnonzero(np.diff(cut)):
         own = by_part[cut[p] : cut[p + 1]]
         first = _firsts(doc[own])
-        single, at_word = np.unique(ids[own], return_index=True)
-        c = counts[own[at_word]]
+        at_word, number = _distinct(ids[own])
+        single, c = ids[own[at_word]], counts[own[at_word]]
         out.append((int(p), ASK, chunk, pack(
             _deltas(doc[own[first]].astype(np.uint32)), np.diff(np.append(first, len(own))).astype(np.uint32), train[own[first]].view(np.uint8), _deltas(single), np.diff(c, prepend=0).astype(np.int64),
-            np.searchsorted(single, ids[own]).astype(np.uint32), pair[own[split[own] > 0]] if len(at) else np.zeros(0, np.uint64), *(b[own] for b in back))))
+            number.astype(np.uint32), pair[own[split[own] > 0]] if len(at) else np.zeros(0, np.uint64), *(b[own] for b in back))))
     yield from _rows(out)
 
 
@@ -482,22 +500,20 @@ class Part:
             every = np.zeros(len(word), np.int64)
             every[follows_hot] = hot_pair
         self.levels = []  # by order from 2: of tokens, the gram; of grams, a token, the history and the count; of histories, the total, or the place of a hot word
-        word = np.unique(word, return_inverse=True)[1].astype(np.uint32)
-        history = np.zeros(len(word), np.uint32)
-        joined = lambda a, b: np.unique((a.astype(np.uint64) << np.uint64(32)) | b, return_index=True, return_inverse=True)[1:]
+        history = np.zeros(len(word), np.uint64)  # of a gram's history, and of a gram, a hash of the numbers and words before
         only_start = np.ones(len(word), bool)
         for own in back:
             only_start &= own == START
-            token, history = joined(history, np.unique(own, return_inverse=True)[1].astype(np.uint32))
-            sample, gram = joined(history, word)
-            history, gram = history.astype(np.uint32), gram.astype(np.uint32)
+            token, history = _distinct(mix(history * _FACTOR + own))
+            sample, gram = _distinct(mix(history.astype(np.uint64) * _FACTOR + word))
             count = np.bincount(gram, weights=train, minlength=len(sample)).astype(np.int64)
             is_hot = follows_hot[token] & (only_start[token] if self.levels else True)
             place = np.where(is_hot, places[hot_at[token]] if len(ids) else 0, -1)
             if every is not None:
                 count = np.where(is_hot[history[sample]], every[sample], count)
             total = np.bincount(history[sample], weights=count, minlength=len(token)).astype(np.int64)
-            self.levels.append((gram, sample.astype(np.uint32), history[sample], count, total, place))
+            self.levels.append((gram.astype(np.uint32), sample.astype(np.uint32), history[sample], count, total, place))
+            history = history.astype(np.uint64)
 
     def few(self) -> np.ndarray:
         """By order from 2, how many grams have each count; without those of hot words, which are known."""
