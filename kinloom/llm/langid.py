@@ -7,12 +7,17 @@ with the largest sum wins, and the score is its share of the posterior.
 
 The model is fitted on a sample of labelled documents: by a hash of the id, at a
 rate that makes about ``FIT_DOCS`` documents of each language, so a language
-with a third of all rows weighs no more than the rest. Counts are partial sums;
-the driver receives the ``WORDS`` most frequent words of each language at most.
+with a third of all rows weighs no more than the rest. All languages, and all
+words and n-grams of the sampled whole texts, are learned. N-grams are counted
+once for each distinct word that has them, as unseen words resemble rare ones; so
+scripts without spaces, where a run of text is one word, are learned as well.
 
 A text that is null or has no letter is ``und`` with score 0, as is everything
-if nothing was learned. Rows with equal texts get equal results; an empty table
-gives an empty one. Ties go to the language that sorts first.
+if nothing was learned. Ties go to the language that sorts first. Null ids are
+held out; rows with equal ids or texts are rows of their own and equal texts get
+equal results; texts of any length are scored whole; further columns, whatever
+their names, are not read, or kept as they are by the filter. An empty table
+gives an empty result.
 """
 
 from __future__ import annotations
@@ -24,24 +29,29 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kinloom.llm.common import filter_rows, held_out, map_arrow, texts_of
 
-FIT_DOCS = 1500
-WORDS = 30_000
-GRAMS = 30_000
+FIT_DOCS = 1000
 LONGEST = 4
-#: Words that a task remembers; beyond that it starts anew.
-REMEMBERED = 400_000
+#: Bytes of unseen words and of their scores that a task remembers; beyond that it starts anew.
+REMEMBERED = 32 << 20
+#: Rows of languages that are broadcast at most.
+BROADCAST_LANGS = 100_000
 UNDETERMINED = "und"
 
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTERLIKE = re.compile(r"[^\W\d_]")
 #: Blanks all ASCII that is no letter; bytes of other characters stay.
 _BLANK = bytes(b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
 
+def has_letter(text: str) -> bool:
+    """Numerals such as one half or a raised two are no letters."""
+    return any(m[0].isalpha() for m in _LETTERLIKE.finditer(text))
+
+
 def words_of(text: str) -> list[bytes]:
     return text.lower().encode("utf-8", "surrogatepass").translate(_BLANK).split()
 
@@ -61,32 +71,28 @@ class LanguageModel:
     prior: np.ndarray
 
     @classmethod
-    def of(cls, counts: dict[str, dict[bytes, int]], most_grams: int = GRAMS) -> LanguageModel:
+    def of(cls, counts: dict[str, dict[bytes, int]]) -> LanguageModel:
         """counts: of each language's words."""
         langs = sorted(counts)
 
-        def scored(tables: list[Counter]) -> tuple[dict, np.ndarray]:
-            keys = sorted(set().union(*tables)) if tables else []
-            c = np.array([[t.get(k, 0) for t in tables] for k in keys], np.float64).reshape(len(keys), len(langs))
-            total = c.sum(0)
-            return {k: i for i, k in enumerate(keys)}, np.log((c + 0.3) / (total + 0.3 * max(len(keys), 1))).astype(np.float32)
+        def scored(tables: list[dict]) -> tuple[dict, np.ndarray]:
+            keys = {k: i for i, k in enumerate(sorted(set().union(*tables)))}
+            c = np.zeros((len(keys), len(langs)), np.float32)
+            for j, t in enumerate(tables):
+                c[[keys[k] for k in t], j] = list(t.values())
+            c += 0.3
+            c /= c.sum(0)
+            return keys, np.log(c)
 
-        words, word_scores = scored([Counter(counts[x]) for x in langs])
+        words, word_scores = scored([counts[x] for x in langs])
         grams: dict[str, int] = {}
-        scores = []
+        scores = [np.zeros((0, len(langs)), np.float32)]
         for n in range(1, LONGEST + 1):
-            tables = []
-            for x in langs:
-                t: Counter = Counter()
-                for w, k in counts[x].items():
-                    for g in grams_of(w, n):
-                        t[g] += min(k, 20)
-                tables.append(Counter(dict(sorted(t.items(), key=lambda y: (-y[1], y[0]))[:most_grams])))
-            own, s = scored(tables)
+            own, s = scored([Counter(g for w in counts[x] for g in grams_of(w, n)) for x in langs])
             before = sum(map(len, scores))
-            grams |= {g: i + before for g, i in own.items()}
+            grams.update((g, i + before) for g, i in own.items())
             scores.append(s)
-        return cls(langs, words, word_scores, grams, np.concatenate(scores) if scores else np.zeros((0, len(langs)), np.float32), np.zeros(len(langs)))
+        return cls(langs, words, word_scores, grams, np.concatenate(scores), np.zeros(len(langs)))
 
 
 class Scorer:
@@ -97,7 +103,7 @@ class Scorer:
         k = len(model.langs)
         self.unseen: dict[bytes, int] = {}
         self.rows = np.zeros((1024, k), np.float32)
-        self.base = len(model.words)
+        self.most_rows, self.bytes = max(1024, REMEMBERED // (4 * max(1, k))), 0
 
     def _row(self, word: bytes) -> np.ndarray:
         get, k = self.m.grams.get, len(self.m.langs)
@@ -109,7 +115,7 @@ class Scorer:
         return np.zeros(k, np.float32)
 
     def __call__(self, text: str | None) -> tuple[str, float]:
-        if not self.m.langs or not text or not _LETTER.search(text):
+        if not self.m.langs or not text or not has_letter(text):
             return UNDETERMINED, 0.0
         words = words_of(text)
         counts = Counter(words)
@@ -120,31 +126,36 @@ class Scorer:
         total = self.m.prior + times[seen] @ self.m.word_scores[at[seen]]
         if not seen.all():
             rest = np.flatnonzero(~seen)
-            if len(self.unseen) > REMEMBERED:
-                self.unseen, self.rows = {}, self.rows[:1024]
             own = np.empty(len(rest), np.int64)
             for j, i in enumerate(rest.tolist()):
                 w = names[i]
                 r = self.unseen.get(w)
                 if r is None:
+                    if self.bytes > REMEMBERED or len(self.unseen) >= self.most_rows:  # the words so far are summed up, then forgotten
+                        total = total + times[rest[:j][own[:j] >= 0]] @ self.rows[own[:j][own[:j] >= 0]]
+                        own[:j] = -1
+                        self.unseen, self.bytes = {}, 0
                     r = self.unseen[w] = len(self.unseen)
+                    self.bytes += len(w)
                     if r >= len(self.rows):
                         self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
                     self.rows[r] = self._row(w)
                 own[j] = r
-            total = total + times[rest] @ self.rows[own]
-        best = int(np.argmax(total))
+            total = total + times[rest[own >= 0]] @ self.rows[own[own >= 0]]
+        best = int(np.argmax(total))  # the first of equal ones
         return self.m.langs[best], float(1 / np.exp(total - total[best]).sum())
 
 
 def _sampled(docs: DataFrame, per_lang: int) -> DataFrame:
-    counts = docs.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
-    most = counts.orderBy(F.desc("n"), "lang").limit(1000).collect()  # languages that are learned
-    rate = F.create_map(*(F.lit(x) for r in most for x in (r["lang"], min(1.0, per_lang / r["n"])))) if most else F.create_map(F.lit(""), F.lit(0.0))
-    return docs.where(F.pmod(F.xxhash64("doc_id", F.lit("langid")), F.lit(1 << 30)) < F.element_at(rate, F.col("lang")) * (1 << 30))
+    """About per_lang documents of each language, by a hash of the id."""
+    counts = docs.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).select(F.col("lang").alias("l"), "n")
+    if counts.count() <= BROADCAST_LANGS:
+        counts = F.broadcast(counts)
+    part = F.pmod(F.xxhash64("doc_id", F.lit("langid")), F.lit(1 << 30))
+    return docs.join(counts, F.col("lang") == F.col("l")).where(part * F.col("n") < F.lit(per_lang * (1 << 30)))
 
 
-def fit(docs: DataFrame, per_lang: int = FIT_DOCS, words: int = WORDS) -> LanguageModel:
+def fit(docs: DataFrame, per_lang: int = FIT_DOCS) -> LanguageModel:
     """docs: doc_id, text, lang of the rows that may be learned from."""
 
     def count(batches):
@@ -157,10 +168,11 @@ def fit(docs: DataFrame, per_lang: int = FIT_DOCS, words: int = WORDS) -> Langua
 
     rows = docs.select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & F.col("text").isNotNull())
     counted = map_arrow(_sampled(rows, per_lang).select("lang", "text"), count, "lang string, word binary, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    ranked = counted.where("n > 1").withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))).where(F.col("r") <= words)
+    table = counted.toArrow()  # the words of the sample
     counts: dict[str, dict[bytes, int]] = {}
-    for r in ranked.collect():
-        counts.setdefault(r["lang"], {})[bytes(r["word"])] = r["n"]
+    for batch in table.to_batches():
+        for lang, word, n in zip(*(c.to_pylist() for c in batch.columns)):
+            counts.setdefault(lang, {})[word] = n
     return LanguageModel.of(counts)
 
 
@@ -174,7 +186,7 @@ def predict(docs: DataFrame, model: LanguageModel, held: Column) -> DataFrame:
             out = [scorer(t) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.float64())], ["doc_id", "held_out", "lang_pred", "score"])
 
-    return map_arrow(docs.select("doc_id", held.alias("held_out"), "text"), run, "doc_id long, held_out boolean, lang_pred string, score double")
+    return map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), held.alias("held_out"), "text"), run, "doc_id long, held_out boolean, lang_pred string, score double")
 
 
 def keep_identified(docs: DataFrame, model: LanguageModel, least_score: float = 0.5) -> DataFrame:

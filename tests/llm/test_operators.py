@@ -286,13 +286,66 @@ def test_katz_clashing_names_null_ids_and_repeats(spark):
     assert same == pytest.approx([same[0]] * 3)
 
 
+LEARN = [(i, t, x, "s", 1, "") for i in range(60) for t, x in (("the dog and the cat of the house", "en"), ("der hund und die katze des hauses", "de"))]
+
+
 def test_language(spark, docs, empty):
-    learn = [(i, t, x, "s", 1, "") for i in range(60) for t, x in (("the dog and the cat of the house", "en"), ("der hund und die katze des hauses", "de"))]
-    df = spark.createDataFrame(learn, SCHEMA)
+    df = spark.createDataFrame(LEARN, SCHEMA)
     scorer = langid.Scorer(langid.fit(df))
-    assert [scorer(t)[0] for t in ("the house of the dogs", "die hunde und der", None, "", "123 !", "the")] == ["en", "de", "und", "und", "und", "en"]
-    assert langid.report(docs).count() == len(ROWS) and langid.report(empty).count() == 0
+    assert [scorer(t)[0] for t in ("the house of the dogs", "die hunde und der", None, "", "123 !", "the", "½ ² 3", "½ the")] == ["en", "de", "und", "und", "und", "en", "und", "en"]
+    assert all(s == 0 for x, s in map(scorer, (None, "", "½ ² 3")) if x == "und")
+    assert langid.report(empty).count() == 0
     assert langid.keep_identified(docs, langid.fit(df)).columns == docs.columns
+    got = langid.predict(docs, langid.fit(df), F.lit(True)).collect()
+    assert sorted(repr((r.doc_id, r.lang_pred, round(r.score, 9))) for r in got) == sorted(repr((i, x, round(s, 9))) for i, (x, s) in ((r[0], scorer(r[1])) for r in ROWS))
+    nothing = langid.Scorer(langid.fit(df.limit(0)))
+    assert nothing("the house") == ("und", 0.0)
+
+
+def test_language_learns_every_language_and_word(spark):
+    rows = [(i, f"ka{x}mo ri{x}sa {'word' + x}", f"l{i:04d}") for i in range(1200) for x in ["".join(chr(97 + int(d)) for d in f"{i:04d}")]]
+    m = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert len(m.langs) == 1200 and len(m.words) == 3600
+    zh = [(i, f"这是第{chr(0x4E00 + i)}个中文句子没有空格", "zh") for i in range(50)] + [(100 + i, f"これは{chr(0x3041 + i)}番目の日本語の文です", "ja") for i in range(50)]
+    scorer = langid.Scorer(langid.fit(spark.createDataFrame(zh, "doc_id long, text string, lang string")))
+    assert [scorer(t)[0] for t in ("没有空格的另一个句子", "別の日本語の文です")] == ["zh", "ja"]
+
+
+def _backoff_score(counts, text):
+    """Brute force of the word-first backoff, from counts by language."""
+    langs = sorted(counts)
+    grams = {n: {x: collections.Counter(g for w in counts[x] for g in langid.grams_of(w, n)) for x in langs} for n in range(1, 5)}
+    total = dict.fromkeys(langs, 0.0)
+
+    def log(table, key):
+        keys = set().union(*table.values())
+        return {x: math.log((table[x].get(key, 0) + 0.3) / (sum(table[x].values()) + 0.3 * len(keys))) for x in langs}
+
+    for w in langid.words_of(text):
+        if any(w in counts[x] for x in langs):
+            own = log(counts, w)
+        else:
+            n = next((n for n in (4, 3, 2, 1) if any(g in grams[n][x] for g in langid.grams_of(w, n) for x in langs)), 0)
+            known = [log(grams[n], g) for g in langid.grams_of(w, n) if any(g in grams[n][x] for x in langs)] if n else []
+            own = {x: sum(k[x] for k in known) / max(1, n) for x in langs}
+            own = {x: v - max(own.values()) for x, v in own.items()}
+        total = {x: total[x] + own[x] for x in langs}
+    best = max(langs, key=lambda x: (total[x], [-ord(c) for c in x]))
+    return best, 1 / sum(math.exp(v - total[best]) for v in total.values())
+
+
+def test_language_against_brute_force(monkeypatch):
+    counts = {"de": {b"hund": 3, b"katze": 1, b"haus": 2}, "en": {b"dog": 2, b"house": 2, b"cat": 5}, "fr": {b"chien": 1, b"chat": 4}}
+    texts = ["hund cat", "hunde houses chats", "qqq dog", "zzz", "katzen und haus chienne", "chat cat katze " * 50 + "dogs hounds chaton"]
+    for most in (langid.REMEMBERED, 8):  # forgets unseen words within a text
+        monkeypatch.setattr(langid, "REMEMBERED", most)
+        scorer = langid.Scorer(langid.LanguageModel.of(counts))
+        for t in texts:
+            lang, score = scorer(t)
+            want = _backoff_score(counts, t)
+            assert lang == want[0] and score == pytest.approx(want[1], rel=1e-4), t
+    tied = langid.Scorer(langid.LanguageModel.of({"b": {b"x": 1}, "a": {b"x": 1}}))
+    assert tied("x") == ("a", 0.5)
 
 
 def test_toxicity(spark, docs, empty, monkeypatch):
