@@ -12,15 +12,16 @@ that tells positives from unlabelled texts is fitted on one half, and on the
 other half the smallest ratio of the two tails' shares over all cuts (with an
 allowance for their sampling error) bounds the share of positives from above.
 
-Labels 0 are used for one thing: the two numbers of the curve that turns a
-decision into a probability, fitted on training rows; without any, the network's
-own decision is used.
-
-Samples are chosen by a hash of the id: about ``FIT_POSITIVE``,
-``FIT_NEGATIVE`` and ``FIT_UNLABELLED`` documents of at most ``FIT_CHARS``
-characters. Scoring counts whole texts. Null and empty texts have counts of 0;
-without positives every score is 0.5; equal texts get equal scores; an empty
-table gives an empty result.
+The curve that turns a decision into a probability has two numbers. They minimise
+the same unbiased risk, which for the logistic loss is convex in them. Labels 0
+are used for nothing.
+
+Samples are chosen by a hash of the id: about ``FIT_POSITIVE`` documents labelled
+1 and ``FIT_UNLABELLED`` documents of any kind, whole, of which the driver receives
+the counts. Scoring counts whole texts of any length. Null and empty texts have
+counts of 0; without positives every score is 0.5; equal texts get equal scores;
+a row labelled twice is used twice, a null id never; further columns, whatever
+their names, are not read. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -29,19 +30,20 @@ from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinloom.llm.common import held_out
-from kinloom.llm.toxicity import _logistic, labelled_sample, score
+from kinloom.llm.common import held_out, map_arrow, texts_of
+from kinloom.llm.toxicity import labelled_sample, score
 
 FIT_POSITIVE = 2500
-FIT_NEGATIVE = 2000
 FIT_UNLABELLED = 3000
-FIT_CHARS = 20_000
 HIDDEN = 24
 EPOCHS = 120
 THRESHOLD = 0.3
+#: Pull of the curve towards the network's own decision; chosen on rows to learn from.
+RIDGE = 0.003
 
 _KIND = np.zeros(256, np.int64)
 for _b in range(256):
@@ -158,34 +160,58 @@ class QualityModel:
         return _sigmoid(self.slope * self.decide(np.array([features(t) for t in texts])) + self.level)
 
 
-def train(positive: list[str], unlabelled: list[str], negative: list[str] = (), prior: float | None = None) -> QualityModel:
-    if not positive or not unlabelled:
+def _curve(positive: np.ndarray, unlabelled: np.ndarray, prior: float, ridge: float = RIDGE) -> tuple[float, float]:
+    """Slope and level of least unbiased logistic risk, from the decisions of positives and of unlabelled rows."""
+    start = np.array([1.0, 0.0])
+    x, w = np.stack([unlabelled, np.ones_like(unlabelled)], 1), start
+    pull = prior * np.array([positive.mean(), 1.0])
+    for _ in range(100):
+        p = _sigmoid(x @ w)
+        gradient = x.T @ p / len(x) - pull + ridge * (w - start)
+        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x / len(x) + ridge * np.eye(2), gradient)
+        w = w - np.clip(step, -1, 1)
+        if np.abs(step).max() < 1e-9:
+            break
+    return float(max(w[0], 0.05)), float(w[1])
+
+
+def train(positive: list[str], unlabelled: list[str], prior: float | None = None) -> QualityModel:
+    of = lambda texts: np.array([features(t) for t in texts])
+    return train_features(of(positive), of(unlabelled), prior)
+
+
+def train_features(positive: np.ndarray, unlabelled: np.ndarray, prior: float | None = None) -> QualityModel:
+    if not len(positive) or not len(unlabelled):
         return QualityModel(None, np.zeros(1), np.ones(1), 0.5)
-    x = np.array([features(t) for t in [*positive, *unlabelled]])
+    x = np.concatenate([positive, unlabelled])
     mean, scale = x.mean(0), x.std(0) + 1e-3
     z = np.clip((x - mean) / scale, -8, 8)
     is_positive = np.arange(len(z)) < len(positive)
     prior = estimate_prior(z, is_positive) if prior is None else prior
     model = QualityModel(pu_train(z, is_positive, prior), mean, scale, prior)
-    if negative:
-        decision = model.decide(np.array([features(t) for t in [*positive, *negative]]))
-        # negatives stand for their share of the unlabelled rows
-        slope, level = _logistic(decision[:, None], np.repeat([1, 0], [len(positive), len(negative)]))
-        model.slope, model.level = max(float(slope[0]), 0.05), level
+    model.slope, model.level = _curve(model.decide(positive), model.decide(unlabelled), prior)
     return model
 
 
+def _counted(rows: DataFrame) -> np.ndarray:
+    """The features of rows (doc_id, text), in an order of their own."""
+
+    def run(batches):
+        for batch in batches:
+            found = [features(t).tolist() for t in texts_of(batch)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found, pa.list_(pa.float64()))], ["doc_id", "x"])
+
+    found = map_arrow(rows.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, "doc_id long, x array<double>").collect()
+    return np.array([r["x"] for r in sorted(found, key=lambda r: (r["doc_id"] is None, r["doc_id"] or 0, r["x"]))])
+
+
 def fit(docs: DataFrame, labels: DataFrame) -> QualityModel:
     """docs and labels: the rows that may be learned from."""
-    own = labels.where(F.col("doc_id").isNotNull())
-    share = {r["quality"]: r["n"] for r in own.groupBy("quality").agg(F.count(F.lit(1)).alias("n")).collect()}
-    ratio = min(1.0, FIT_POSITIVE / max(1, share.get(1, 0)))  # the same for both, so that the curve sees the labels' proportions
-    sample = labelled_sample(docs, labels, "quality", {1: FIT_POSITIVE, 0: min(FIT_NEGATIVE, max(1, round(ratio * share.get(0, 0))))})
+    positive = labelled_sample(docs, labels, "quality", {1: FIT_POSITIVE})
     there = docs.count()
     part = F.pmod(F.xxhash64("doc_id", F.lit("unlabelled")), F.lit(1 << 30))
-    rows = docs.where((part < int(min(1.0, FIT_UNLABELLED / max(1, there)) * (1 << 30))) & (F.length("text") <= FIT_CHARS)).select("doc_id", "text").collect()
-    unlabelled = [r["text"] for r in sorted(rows, key=lambda r: (r["doc_id"] is None, r["doc_id"], r["text"]))]
-    return train([t for t, k in sample if k == 1], unlabelled, [t for t, k in sample if k == 0])
+    unlabelled = docs.where(part < int(min(1.0, FIT_UNLABELLED / max(1, there)) * (1 << 30)))
+    return train_features(_counted(positive), _counted(unlabelled))
 
 
 def report(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -7,25 +7,31 @@ words' lengths. A skipped symbol costs little, so an insult with letters
 inserted stays close to the insult; words carry a mark at either end, so stems
 are told from chance syllables inside words. Punctuation inside a word is
 dropped and single letters in a row are joined, so spelled-out insults are words
-again.
+again. Subsequences are told apart by a hash of ``SLOT_BITS`` bits; two that share
+a slot count as one, which at 2^20 slots and the some 10^5 that landmarks have
+adds about one in ten of a subsequence's weight by chance, and a test holds the
+kernel against one without hashing.
 
 The machine is trained in the span of landmark words (Nyström): K_lm, whitened
 by the landmarks' own kernel matrix, and a squared-hinge linear machine on that.
 Because the decision is a sum over subsequences, it is unfolded into one weight
 per subsequence and scored over a whole batch of texts at once.
 
-Labels are of documents, and one bad sentence makes a document toxic: training
-is multiple-instance. Every toxic document is stood for by the worst sentence's
+A sentence is as toxic as its worst word, and a text as its worst sentence, so
+what is compared are words. Labels are of documents: training is
+multiple-instance. Every toxic document is stood for by the worst sentence's
 worst word under the current machine, the others by the words nearest to insults
 and random ones, and that is repeated ``ROUNDS`` times. A text's score comes from
-its worst word, put through a logistic curve fitted on the training texts.
+its worst word, put through a steep curve around the cut with the fewest errors
+on the training texts.
 
 Fitted on a sample of labelled rows, chosen by a hash of the id: at most about
-``FIT_TOXIC`` and ``FIT_CLEAN`` documents of at most ``FIT_CHARS`` characters.
-Scoring takes whole texts of any length. Null and empty texts get the curve's
-value for no word at all. If a class is missing, every score is 0. Equal texts
-get equal scores; a row labelled twice is used twice; an empty table is scored
-to an empty one.
+``FIT_TOXIC`` and ``FIT_CLEAN`` documents, whole, of which the driver receives the
+distinct words. Scoring takes whole texts of any length. Null and empty texts get
+the curve's value for no word at all. If a class is missing, every score is 0.
+Equal texts get equal scores; a row labelled twice is used twice, a null id never
+(it is held out); further columns, whatever their names, are not read, or kept
+as they are by the filter. An empty table is scored to an empty one.
 """
 
 from __future__ import annotations
@@ -36,7 +42,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field, replace
 from heapq import nlargest
 from itertools import combinations
-from sys import intern
 
 import numpy as np
 import pyarrow as pa
@@ -47,8 +52,9 @@ from kinloom.llm.common import filter_rows, held_out, map_arrow, texts_of
 
 FIT_TOXIC = 1200
 FIT_CLEAN = 2400
-FIT_CHARS = 20_000
 LANDMARKS = 768
+#: Letters of a landmark at most.
+LANDMARK_CHARS = 64
 ROUNDS = 4
 DECAY = 0.75
 GAP = 2
@@ -56,11 +62,11 @@ ORDERS = (3, 4)
 _PATTERNS = [(0, *c) for k in ORDERS for c in combinations(range(1, k + GAP), k - 1)]
 _SPAN = np.array([p[-1] + 1 for p in _PATTERNS])
 _WEIGHT = (DECAY ** _SPAN).astype(np.float32)
-_SLOTS = 1 << 20
+SLOT_BITS = 20
 _EDGE = 0
-#: Characters decided at once, and words that a task remembers.
-_PIECE = 1 << 20
-REMEMBERED = 400_000
+#: Characters decided at once, and characters of words that a task remembers.
+_PIECE = 1 << 18
+REMEMBERED = 6 << 20
 #: Words of a text that its score looks at.
 WORST = 1
 #: How often each insult that is sure from the start is also learned with a letter inserted.
@@ -122,7 +128,7 @@ def _slots(sym: np.ndarray) -> Iterator[np.ndarray]:
         for d in p[1:]:
             key = (key << np.uint32(6)) | at[d]
         key = (key ^ np.uint32(len(p) * 0x1234567)) * np.uint32(2654435761)
-        yield key >> np.uint32(12)
+        yield key >> np.uint32(32 - SLOT_BITS)
 
 
 def _norm(size: np.ndarray) -> np.ndarray:
@@ -153,10 +159,12 @@ class Machine:
     slope: np.ndarray
     level: float
     known: dict[str, float] = field(default_factory=dict)
+    chars: int = 0  # of known
 
     def _learn(self, words: set[str]) -> None:
         """Decides new words, in pieces of bounded size; long ones are not remembered for long."""
         piece, chars = [], 0
+        self.chars += sum(map(len, words))
         for w in words:
             piece.append(w)
             chars += len(w) + 1
@@ -169,10 +177,11 @@ class Machine:
     def worst(self, texts: list[str]) -> np.ndarray:
         """The decisions of each text's WORST worst words, the worst first; -2 where there is no such word."""
         out = np.full((len(texts), WORST), -2.0)
-        for i in range(0, len(texts), 256):
-            some = [set(words_of(t)) for t in texts[i : i + 256]]
-            if len(self.known) > REMEMBERED:  # before looking what is new, so that no word of these texts is lost
+        for i in range(0, len(texts), 64):
+            some = [set(words_of(t)) for t in texts[i : i + 64]]
+            if self.chars > REMEMBERED:  # before looking what is new, so that no word of these texts is lost
                 self.known.clear()
+                self.chars = 0
             self._learn(set().union(*some).difference(self.known))
             get = self.known.__getitem__
             for j, words in enumerate(some):
@@ -186,48 +195,73 @@ class Machine:
         return 1 / (1 + np.exp(-np.clip(self.worst(texts) @ self.slope + self.level, -30, 30)))
 
 
-def _features(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Row, slot and weight of the subsequences of each word (bare), normalised."""
+def _features(words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Row, slot and weight of the subsequences of each word (bare), normalised; a pattern at a time."""
     sym = encode(words)
     edges = np.flatnonzero(sym == _EDGE)
     size = np.diff(edges) - 1
     word = np.repeat(np.arange(len(size)), size + 1)
     room = np.repeat(edges[1:] + 1, size + 1) - np.arange(len(sym) - 1)
     norm = _norm(size)
-    rows, cols, vals = [], [], []
     for slot, span, w in zip(_slots(sym), _SPAN, _WEIGHT):
         ok = np.flatnonzero(room >= span)
-        rows.append(word[ok])
-        cols.append(slot[ok])
-        vals.append(w / norm[word[ok]])
-    return np.concatenate(rows), np.concatenate(cols).astype(np.int64), np.concatenate(vals)
-
-
-def _kernel(words: list[str], slots: np.ndarray, dense: np.ndarray, step: int = 2000) -> np.ndarray:
-    """Of words and landmarks; dense: landmarks' weights by position in slots."""
-    out = np.zeros((len(words), dense.shape[1]), np.float32)
-    for i in range(0, len(words), step):
-        rows, cols, vals = _features(words[i : i + step])
-        at = np.minimum(np.searchsorted(slots, cols), len(slots) - 1)
-        hit = np.flatnonzero(slots[at] == cols)
-        order = hit[np.argsort(rows[hit], kind="stable")]
-        r = rows[order]
-        for part in np.array_split(np.arange(len(order)), max(1, len(order) // 20000)):
-            if len(part):
-                new = np.flatnonzero(np.append(True, np.diff(r[part]) != 0))
-                out[i + r[part][new]] += np.add.reduceat(dense[at[order[part]]] * vals[order[part], None].astype(np.float32), new, axis=0)
-    return out
-
-
-def _solve(z: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float, step: int = 1024) -> tuple[np.ndarray, float]:
-    """Squared-hinge linear machine, by Newton steps over its active rows, in blocks of rows that bound the memory."""
+        yield word[ok], slot[ok].astype(np.int64), w / norm[word[ok]]
+
+
+def _groups(words: list[str], chars: int) -> Iterator[tuple[int, int]]:
+    """Ranges of words of so many characters, of one word at least."""
+    begin = size = 0
+    for i, w in enumerate(words):
+        if i > begin and size + len(w) > chars:
+            yield begin, i
+            begin, size = i, 0
+        size += len(w) + 2
+    if begin < len(words):
+        yield begin, len(words)
+
+
+class Landmarks:
+    """The landmarks' subsequences: by slot, which landmarks have it, and how much."""
+
+    def __init__(self, words: list[str]):
+        rows, cols, vals = (np.concatenate(x) for x in zip(*_features(words)))
+        order = np.argsort(cols, kind="stable")
+        self.slots, first = np.unique(cols[order], return_index=True)
+        self.first = np.append(first, len(order))
+        self.word, self.value, self.n = rows[order], vals[order], len(words)
+
+    def kernel(self, words: list[str]) -> np.ndarray:
+        """Of words and landmarks."""
+        out = np.zeros((len(words), self.n), np.float32)
+        for i, j in _groups(words, 4000):
+            own = out[i:j].reshape(-1)
+            for rows, cols, vals in _features(words[i:j]):
+                at = np.minimum(np.searchsorted(self.slots, cols), len(self.slots) - 1)
+                hit = np.flatnonzero(self.slots[at] == cols)
+                for some in np.array_split(hit, len(hit) // 20_000 + 1):
+                    n = np.diff(self.first)[at[some]]
+                    place = np.repeat(self.first[at[some]], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                    flat = np.repeat(rows[some], n) * self.n + self.word[place]
+                    own += np.bincount(flat, weights=np.repeat(vals[some], n) * self.value[place], minlength=len(own)).astype(np.float32)
+        return out
+
+    def unfolded(self, alpha: np.ndarray) -> np.ndarray:
+        """The weight of every slot, where the landmarks' are alpha."""
+        beta = np.zeros(1 << SLOT_BITS, np.float32)
+        beta[self.slots] = np.add.reduceat(self.value * alpha[self.word], self.first[:-1])
+        return beta
+
+
+def _solve(z: np.ndarray, rows: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float, step: int = 512) -> tuple[np.ndarray, float]:
+    """Squared-hinge linear machine of some rows of z, by Newton steps over the active ones, in blocks of rows that bound the memory."""
     w = np.zeros(z.shape[1] + 1)
     reg = np.full(len(w), ridge)
     reg[-1] = 1e-6
     for _ in range(30):
         left, right = np.diag(reg), np.zeros(len(w))
-        for i in range(0, len(z), step):
-            x = np.hstack([z[i : i + step], np.ones((len(z[i : i + step]), 1), z.dtype)]).astype(np.float64)
+        for i in range(0, len(rows), step):
+            some = z[rows[i : i + step]]
+            x = np.hstack([some, np.ones((len(some), 1), z.dtype)]).astype(np.float64)
             own = y[i : i + step]
             on = own * (x @ w) < 1
             xa = x[on] * weight[i : i + step][on, None]
@@ -251,69 +285,101 @@ def _inserted(words: list[str], rng: np.random.Generator) -> list[str]:
     return out
 
 
+_FACTOR = np.uint64(0x9E3779B97F4A7C15)
+
+
+def _pieces(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of every five symbols in a row of each word with its edges, and where each word's begin."""
+    codes = np.frombuffer("".join(f"^{w}$" for w in words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    size = np.fromiter(map(len, words), np.int64, len(words)) + 2
+    n = np.maximum(size - 4, 1)
+    first = np.append(0, np.cumsum(n))
+    at = np.repeat(np.cumsum(size) - size, n) + np.arange(first[-1]) - np.repeat(first[:-1], n)
+    end = np.repeat(np.cumsum(size), n)
+    key = np.zeros(len(at), np.uint64)
+    for k in range(5):
+        key = (key ^ np.where(at + k < end, codes[np.minimum(at + k, len(codes) - 1)] + np.uint64(1), np.uint64(0))) * _FACTOR
+        key ^= key >> np.uint64(29)
+    return key, first
+
+
+def _telling(docs: list[np.ndarray], toxic: np.ndarray, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """A first guess at each word, how telling its most telling five symbols are, and whether it is surely an insult."""
+    key, first = _pieces(words)
+    _, piece = np.unique(key, return_inverse=True)
+    del key
+    counts = np.zeros((2, int(piece.max()) + 1), np.int64)  # of clean and toxic documents, by piece
+    for own, k in zip(docs, toxic):
+        n = np.diff(first)[own]
+        place = np.repeat(first[own], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        counts[int(k), np.unique(piece[place])] += 1
+    n_good, n_bad = counts
+    good, bad = np.bincount(toxic, minlength=2)
+    telling = np.where(n_bad > 1, np.log((n_bad + 0.3) / bad) - np.log((n_good + 0.3) / good), -1.0)
+    n, k, base = np.maximum(n_bad + n_good, 1), n_bad, bad / (bad + good)
+    share = k / n
+    likely = k * np.log(np.maximum(share, 1e-12) / base) + np.where(n > k, (n - k) * np.log(np.maximum(1 - share, 1e-12) / (1 - base)), 0.0)
+    sure = (n_bad > 1) & (telling > 3) & (share > base) & (likely > np.log((n_bad > 0).sum()) + SURE)
+    return np.maximum.reduceat(telling[piece], first[:-1]), np.logical_or.reduceat(sure[piece], first[:-1])
+
+
 def train(texts: list[str], toxic: list[int], landmarks: int = LANDMARKS, rounds: int = ROUNDS) -> Machine:
-    y = np.array(toxic)
-    if not (y == 1).any() or not (y == 0).any():
-        return Machine(None, 0.0, np.zeros(WORST), 0.0)
-    rng = np.random.default_rng(7)
-    plain: dict[str, str] = {}
-    units = []
-    for t in texts:
-        own = set(words_of(t))
-        for w in own.difference(plain):
-            plain[w] = bare(w)
-        units.append(sorted({plain[w] for w in own} - {""}))
-    bad, good = [u for u, k in zip(units, y) if k and u], [u for u, k in zip(units, y) if not k and u]
+    return train_words([sorted(set(words_of(t))) for t in texts], toxic, landmarks, rounds)
+
+
+def train_words(docs: list[list[str]], toxic: list[int], landmarks: int = LANDMARKS, rounds: int = ROUNDS) -> Machine:
+    """The machine, from documents' distinct words."""
+    nothing = Machine(None, 0.0, np.zeros(WORST), 0.0)
+    toxic = np.array(toxic, np.int64)
+    clean_of: dict[str, str] = {}
+    for own in docs:
+        for w in own:
+            if w not in clean_of:
+                clean_of[w] = bare(w)
+    words = sorted(set(clean_of.values()) - {""})
+    number = {w: i for i, w in enumerate(words)}
+    units = [np.unique(np.array([number[x] for x in map(clean_of.__getitem__, own) if x], np.int64)) for own in docs]
+    del clean_of, number
+    full = [i for i, u in enumerate(units) if len(u)]
+    bad, good = ([units[i] for i in full if toxic[i] == k] for k in (1, 0))
     if not bad or not good:
-        return Machine(None, 0.0, np.zeros(WORST), 0.0)
-    # a first guess at each word: how telling its most telling five symbols are
-    pieces = {w: tuple(dict.fromkeys(intern(f"^{w}$"[i : i + 5]) for i in range(max(1, len(w) - 2)))) for w in set().union(*units)}
-    n_bad, n_good = (Counter(p for u in docs for p in set().union(*(pieces[w] for w in u))) for docs in (bad, good))
-    base = len(bad) / (len(bad) + len(good))
-
-    def tells(p: str) -> float:
-        """The log likelihood ratio of the piece's share of toxic texts against all texts' share."""
-        n, k = n_bad[p] + n_good[p], n_bad[p]
-        return k * np.log(k / n / base) + ((n - k) * np.log((n - k) / n / (1 - base)) if n > k else 0.0) if k / n > base else 0.0
-
-    telling = {p: float(np.log((n + 0.3) / len(bad)) - np.log((n_good[p] + 0.3) / len(good))) for p, n in n_bad.items() if n > 1}
-    sure_of = {p for p, odds in telling.items() if odds > 3 and tells(p) > np.log(len(n_bad)) + SURE}
-    guess = {w: max((telling.get(p, -1.0) for p in own), default=-1.0) for w, own in pieces.items()}
-    first = lambda u: max(u, key=lambda w: (guess[w], w))
-    witness = [first(u) for u in bad]
-    sure = [w for u in bad for w in u if not sure_of.isdisjoint(pieces[w])]  # all insults of a text, not only the worst
-    hard = [first(u) for u in good]
-    marks, seen = Counter([*witness, *sure]), Counter(w for u in good for w in u)
-    order = lambda c: sorted(c, key=lambda w: (-c[w], w))
-    common, all_good = order(seen)[: landmarks // 8], sorted(seen)
+        return nothing
+    rng = np.random.default_rng(7)
+    guess, is_sure = _telling([units[i] for i in full], toxic[full], words)
+    top = lambda value, u: int(u[len(u) - 1 - np.argmax(value[u][::-1])])  # noqa: E731  the last of equal ones
+    witness, hard = [top(guess, u) for u in bad], [top(guess, u) for u in good]
+    sure = [int(i) for u in bad for i in u[is_sure[u]]]  # all insults of a text, not only the worst
+    marks, seen = Counter([*witness, *sure]), Counter(np.concatenate(good).tolist())
+    order = lambda c: sorted(c, key=lambda i: (-c[i], i))
+    common, all_good = order(seen)[: landmarks // 8], np.array(sorted(seen))
     pick = lambda n: rng.choice(all_good, min(len(all_good), n), replace=False).tolist()
-    chosen = list(dict.fromkeys([*order(marks)[: landmarks // 2], *common, *order(Counter(hard))[: landmarks // 8], *pick(landmarks // 4)]))[:landmarks]
-    rows, cols, vals = _features(chosen)
-    slots = np.unique(cols)
-    dense = np.zeros((len(slots), len(chosen)), np.float32)
-    np.add.at(dense, (np.searchsorted(slots, cols), rows), vals)
-    s, v = np.linalg.eigh((dense.T @ dense).astype(np.float64))
-    whiten = v / np.sqrt(np.maximum(s, 1e-3 * s.max()))
-    negative = dict.fromkeys([*hard, *pick(4000), *common])
-    known: dict[str, np.ndarray] = {}
-    spelled = _inserted(order(Counter(sure)), rng)
+    chosen = dict.fromkeys([*order(marks)[: landmarks // 2], *common, *order(Counter(hard))[: landmarks // 8], *pick(landmarks // 4)])
+    chosen = [i for i in chosen if len(words[i]) <= LANDMARK_CHARS][:landmarks] or list(chosen)[:1]
+    near = Landmarks([words[i] for i in chosen])
+    s, v = np.linalg.eigh(near.kernel([words[i] for i in chosen]).astype(np.float64))
+    whiten = (v / np.sqrt(np.maximum(s, 1e-3 * s.max()))).astype(np.float32)
+    negative = dict.fromkeys(words[i] for i in [*hard, *pick(4000), *common])
+    spelled = _inserted([words[i] for i in order(Counter(sure))], rng)
+    sure = [words[i] for i in sure]
+    row: dict[str, int] = {}  # of a word in z
+    z = np.zeros((0, near.n), np.float32)
     for turn in range(rounds):
-        words = [*witness, *sure, *spelled, *negative]
-        new = sorted(set(words) - known.keys())
-        known.update(zip(new, _kernel(new, slots, dense)))
-        target = np.append(np.ones(len(words) - len(negative)), -np.ones(len(negative)))
-        w, bias = _solve(np.concatenate([(np.stack([known[x] for x in words[i : i + 1024]]) @ whiten).astype(np.float32) for i in range(0, len(words), 1024)]), target, np.where(target > 0, max(1.0, len(negative) / (target > 0).sum() / 4), 1.0), RIDGE)
-        beta = np.zeros(_SLOTS, np.float32)
-        beta[slots] = dense @ (whiten @ w)
+        used = [*(words[i] for i in witness), *sure, *spelled, *negative]
+        new = sorted(set(used) - row.keys())
+        row |= {w: len(row) + i for i, w in enumerate(new)}
+        z = np.concatenate([z, *(near.kernel(new[i : i + 500]) @ whiten for i in range(0, len(new), 500))])
+        target = np.append(np.ones(len(used) - len(negative)), -np.ones(len(negative)))
+        weight = np.where(target > 0, max(1.0, len(negative) / (target > 0).sum() / 4), 1.0)
+        w, bias = _solve(z, np.array([row[x] for x in used]), target, weight, RIDGE)
+        beta = near.unfolded(whiten @ w)
+        value = np.concatenate([decide(words[i:j], beta) for i, j in _groups(words, 100_000)])
         if turn + 1 < rounds:
-            names = sorted(pieces)
-            value = dict(zip(names, decide(names, beta).tolist()))
-            top = lambda u: max(u, key=lambda w: (value[w], w))
-            witness = [top(u) for u in bad]
-            close = sorted((w for w in all_good if value[w] + bias > -0.5), key=lambda w: (-value[w], w))
-            negative.update(dict.fromkeys(close[:VIOLATORS]))
-    machine = Machine(beta, bias, np.zeros(WORST), 0.0)
-    cut, slope = _cut(machine.worst(texts)[:, 0], y)
+            witness = [top(value, u) for u in bad]
+            close = all_good[value[all_good] + bias > -0.5]
+            close = close[np.argsort(-value[close], kind="stable")]
+            negative.update(dict.fromkeys(words[i] for i in close[:VIOLATORS]))
+    worst = np.array([max(-2.0, value[u].max() + bias) if len(u) else max(-2.0, -2.0 + bias) for u in units])
+    cut, slope = _cut(worst, toxic)
     return Machine(beta, bias, np.eye(WORST)[0] * slope, -slope * cut)
 
 
@@ -328,38 +394,38 @@ def _cut(score: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float((low[at] + high[at]) / 2), 12.0
 
 
-def _logistic(score: np.ndarray, y: np.ndarray, ridge: float = 0.3) -> tuple[np.ndarray, float]:
-    """Slopes and level of the curve over the worst words' decisions, with classes weighed as they occur."""
-    x = np.hstack([score, np.ones((len(score), 1))])
-    t = np.where(y == 1, (y.sum() + 1) / (y.sum() + 2), 1 / ((1 - y).sum() + 2))
-    w = np.zeros(x.shape[1])
-    reg = np.append(np.full(score.shape[1], ridge), 1e-4)
-    for _ in range(60):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        h = (x * (p * (1 - p))[:, None]).T @ x + np.diag(reg)
-        w -= np.clip(np.linalg.solve(h, x.T @ (p - t) + reg * w), -2, 2)
-    return w[:-1], float(w[-1])
-
-
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: dict[int, int], chars: int = FIT_CHARS) -> list[tuple[str, int]]:
-    """Texts and labels of about most[label] documents each, chosen by a hash of the id; docs and labels hold only rows to learn from."""
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: dict[int, int]) -> DataFrame:
+    """doc_id, text, label of about most[label] documents each, chosen by a hash of the id; docs and labels hold only rows to learn from."""
     rows = labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(list(most))).select("doc_id", F.col(label).cast("int").alias("label"))
     there = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     part = F.pmod(F.xxhash64("doc_id", F.lit(label)), F.lit(1 << 30))
-    chosen = None
+    chosen = rows.where("false")
     for value, n in there.items():
-        own = rows.where((F.col("label") == value) & (part < int(min(1.0, most[value] / n) * (1 << 30))))
-        chosen = own if chosen is None else chosen.unionByName(own)
-    if chosen is None:
-        return []
-    found = docs.where(F.length("text") <= chars).select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # most's rows
-    return [(r["text"], r["label"]) for r in sorted(found.collect(), key=lambda r: (r["doc_id"], r["text"]))]
+        chosen = chosen.unionByName(rows.where((F.col("label") == value) & (part < int(min(1.0, most[value] / n) * (1 << 30)))))
+    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # most's rows
 
 
 def fit(docs: DataFrame, labels: DataFrame, toxic: int = FIT_TOXIC, clean: int = FIT_CLEAN) -> Machine:
     """docs and labels: the rows that may be learned from."""
-    sample = labelled_sample(docs, labels, "toxic", {1: toxic, 0: clean})
-    return train([t for t, _ in sample], [k for _, k in sample])
+
+    def run(batches):
+        for batch in batches:
+            words = [sorted(set(words_of(t))) for t in texts_of(batch)]
+            yield pa.RecordBatch.from_arrays([pa.array(words, pa.list_(pa.string())), batch.column("doc_id"), batch.column("label")], ["words", "doc_id", "label"])
+
+    sample = labelled_sample(docs, labels, "toxic", {1: toxic, 0: clean}).select(F.col("doc_id").cast("long").alias("doc_id"), "text", "label")
+    rows = map_arrow(sample, run, "words array<string>, doc_id long, label int").toArrow().sort_by([("doc_id", "ascending"), ("label", "ascending")])
+    order = sorted(range(rows.num_rows), key=lambda i: (rows["doc_id"][i].as_py(), rows["label"][i].as_py(), rows["words"][i].as_py()))  # rows of equal ids too
+    held: dict[str, str] = {}  # one object a word
+    docs_ = [[held.setdefault(w, w) for w in rows["words"][i].as_py()] for i in order]
+    toxic_ = [rows["label"][i].as_py() for i in order]
+    del rows
+    return train_words(docs_, toxic_)
+
+
+def fresh(machine):
+    """The machine without the words it remembers: a broadcast one outlives the task, and so would they."""
+    return replace(machine, known={}, chars=0) if isinstance(machine, Machine) else machine
 
 
 def score(docs: DataFrame, machine, held: Column, threshold: float = 0.5) -> DataFrame:
@@ -367,12 +433,12 @@ def score(docs: DataFrame, machine, held: Column, threshold: float = 0.5) -> Dat
     shared = docs.sparkSession.sparkContext.broadcast(machine)
 
     def run(batches):
-        judge = shared.value
+        judge = fresh(shared.value)
         for batch in batches:
             s = np.asarray(judge(texts_of(batch)), np.float64)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(s), pa.array((s >= threshold).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
-    return map_arrow(docs.select("doc_id", held.alias("held_out"), "text"), run, "doc_id long, held_out boolean, score double, predicted int")
+    return map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), held.alias("held_out"), "text"), run, "doc_id long, held_out boolean, score double, predicted int")
 
 
 def keep_clean(docs: DataFrame, machine: Machine, threshold: float = 0.5) -> DataFrame:
@@ -380,7 +446,7 @@ def keep_clean(docs: DataFrame, machine: Machine, threshold: float = 0.5) -> Dat
     shared = docs.sparkSession.sparkContext.broadcast(machine)
 
     def judge():
-        machine = replace(shared.value, known={})  # the broadcast machine outlives the task, and so would the words it remembers
+        machine = fresh(shared.value)
         return lambda texts: machine(texts) < threshold
 
     return filter_rows(docs, judge)

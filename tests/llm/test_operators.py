@@ -4,6 +4,7 @@ import base64
 import collections
 import gzip
 import hashlib
+import itertools
 import math
 import re
 import zlib
@@ -353,14 +354,41 @@ def test_toxicity(spark, docs, empty, monkeypatch):
     bad = [f"{c} you {w} there" for c, w in zip(clean, ["moronix", "blasteroid", "snarfelt"] * 20)]
     m = toxicity.train(clean + bad, [0] * len(clean) + [1] * len(bad))
     s = m(["a moronix walked", "a m o r o n i x walked", "a mor.onix walked", "a monix of blasterxoid", "people went to the house", "", LONG])
-    assert (s[:3] > 0.5).all() and (s[4:6] < 0.5).all()
+    assert (s[:4] > 0.5).all() and (s[4:6] < 0.5).all()
     monkeypatch.setattr(toxicity, "REMEMBERED", 5)  # forgets between batches of 256 texts; repeated words must still be found
     many = (clean + bad) * 8
     assert np.array_equal(m(many), np.tile(m(clean + bad), 8))
     assert (toxicity.train(["a"], [1])(["a", ""]) == 0).all()
     labels = spark.createDataFrame([(1, 1, 0), (4, 0, 1), (None, 1, 1)], "doc_id long, quality int, toxic int")
-    assert toxicity.report(docs, labels).count() == len(ROWS) and toxicity.report(empty, labels).count() == 0
-    assert quality.report(docs, labels).count() == len(ROWS) and quality.report(empty, labels.limit(0)).count() == 0
+    for report in (toxicity.report, quality.report):
+        got = report(docs, labels).collect()
+        assert sorted(repr((r.doc_id, r.held_out)) for r in got) == sorted(repr((r[0], r[0] is None or zlib.crc32(str(r[0]).encode()) % 5 == 0)) for r in ROWS)
+        assert all(0 <= r.score <= 1 and r.predicted == (r.score >= (0.5 if report is toxicity.report else 0.3)) for r in got)
+        assert report(empty, labels).count() == 0 and report(docs, labels.limit(0)).count() == len(ROWS)
+    scored = toxicity.score(spark.createDataFrame([(1, "a moronix", "x"), (1, None, "y"), (2, "", "z")], "doc_id int, text string, score string"), m, F.lit(True)).collect()
+    assert [r.score for r in scored] == pytest.approx(m(["a moronix", "", ""]).tolist()) and [r.predicted for r in scored] == [1, 0, 0]
+    assert toxicity.keep_clean(docs, m).columns == docs.columns
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(clean[:20] + bad[:20] + ["x" * 200_000])], "doc_id long, text string")
+    whole = toxicity.fit(df, spark.createDataFrame([(i, int(20 <= i < 40)) for i in range(41)], "doc_id long, toxic int"))
+    assert np.array_equal(whole(bad), toxicity.train(clean[:20] + bad[:20] + ["x" * 200_000], [int(20 <= i < 40) for i in range(41)])(bad))  # long rows are learned from too
+
+
+def test_toxicity_kernel_against_brute_force():
+    """Sums over common subsequences, without hashing."""
+
+    def subsequences(w):
+        w, out = f"^{w}$", collections.Counter()
+        for k in toxicity.ORDERS:
+            for at in itertools.combinations(range(len(w)), k):
+                if at[-1] - at[0] < k + toxicity.GAP:
+                    out["".join(w[i] for i in at)] += toxicity.DECAY ** (at[-1] - at[0] + 1)
+        return out
+
+    words = ["moron", "moxron", "morons", "river", "idiot", "id", "a", "silver"]
+    own = [subsequences(w) for w in words]
+    norm = toxicity._norm(np.array([len(w) for w in words]))
+    want = np.array([[sum(v * b[k] for k, v in a.items()) for b in own] for a in own]) / norm / norm[:, None]
+    assert toxicity.Landmarks(words).kernel(words) == pytest.approx(want, abs=0.02)
 
 
 def test_toxicity_finds_inserted_letters():
@@ -372,13 +400,29 @@ def test_toxicity_finds_inserted_letters():
     assert (m(every) > 0.5).mean() > 0.8 and (m(insults) > 0.5).all()
 
 
-def test_quality_learns():
+def test_quality_learns(spark):
+    """From positives and unlabelled texts alone."""
     rng = np.random.default_rng(0)
     words = [f"word{i}" for i in range(300)]
     good = [" ".join(rng.choice(words, 80)) + "." for _ in range(150)]
     bad = [" ".join(x.upper() + "!!" for x in rng.choice(words, 80)) for _ in range(60)]
     m = quality.train(good[:100], good[50:] + bad[:40])
+    assert 0.5 < m.prior < 0.9  # 100 of 140
     assert (m(good[100:]) > 0.5).mean() > 0.9 and (m(bad[40:]) < 0.5).mean() > 0.9
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(good + bad + ["", None, "x " * 200_000])], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i < 100)) for i in range(160)], "doc_id long, quality int")
+    fitted = quality.fit(docs, labels)
+    other = quality.fit(docs, labels.withColumn("quality", F.when(F.col("quality") == 1, 1)))  # labels 0 are used for nothing
+    assert np.allclose(fitted(good + bad), other(good + bad)) and (fitted(good) > 0.5).mean() > 0.9 > 0.2 > (fitted(bad) > 0.5).mean()
+    assert (quality.train([], ["a"])(["a", ""]) == 0.5).all()
+
+
+def test_quality_curve_has_least_unbiased_risk():
+    rng = np.random.default_rng(2)
+    p, u, prior = rng.normal(1, 1, 400), np.concatenate([rng.normal(1, 1, 600), rng.normal(-1, 1, 400)]), 0.6
+    risk = lambda a, b: np.logaddexp(0, a * u + b).mean() - prior * (a * p + b).mean() + quality.RIDGE / 2 * ((a - 1) ** 2 + b**2)
+    a, b = quality._curve(p, u, prior)
+    assert all(risk(a, b) <= risk(a + x, b + y) for x in (-0.05, 0, 0.05) for y in (-0.05, 0, 0.05))
 
 
 def test_html(spark):
