@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -9,16 +11,33 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _own_folder: list[str] = []
+_written: list[str] = []
 
 
 def scratch_path(spark: SparkSession) -> str:
-    """A new path below spark.checkpoint.dir, which the cluster's machines share; a temporary folder where that is unset, as in tests."""
+    """A new path below spark.checkpoint.dir, which the cluster's machines share. Where that is unset, a temporary folder, with a local master only."""
     top = spark.conf.get("spark.checkpoint.dir", None)
     if not top:
+        if not spark.conf.get("spark.master", "").startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines of the cluster share")
         if not _own_folder:
             _own_folder.append(tempfile.mkdtemp(prefix="kinloom-"))
+            atexit.register(shutil.rmtree, _own_folder[0], ignore_errors=True)
         top = f"file://{_own_folder[0]}"
-    return f"{top.rstrip('/')}/kinloom-{uuid.uuid4().hex}"
+    path = f"{top.rstrip('/')}/kinloom-{uuid.uuid4().hex}"
+    _written.append(path)
+    return path
+
+
+def delete_scratch(spark: SparkSession) -> int:
+    """Deletes what this process has written to scratch paths so far, once its results are no longer read. Returns how many paths."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    n = len(_written)
+    for path in _written:
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(conf).delete(where, True)
+    _written.clear()
+    return n
 
 
 def materialize(df: DataFrame) -> DataFrame:
