@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -11,12 +9,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kinloom.operators.graph import materialize, scratch_path
+
 #: Bytes of one Arrow batch that goes to a Python worker.
 BATCH_BYTES = 4 << 20
 BATCH_ROWS = 2000
 
-_own_folder: list[str] = []
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -33,32 +31,24 @@ def held_out(doc_id: Column, mod: int, rem: int) -> Column:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder that the driver and all executors see: below spark.checkpoint.dir, or, where that is unset as in tests, a temporary one."""
-    top = spark.conf.get("spark.checkpoint.dir", None)
-    if not top:
-        if not _own_folder:
-            _own_folder.append(tempfile.mkdtemp(prefix="kinloom-"))
-        top = f"file://{_own_folder[0]}"
-    return f"{top.rstrip('/')}/kinloom-{uuid.uuid4().hex}"
+    """A new folder that the driver and all executors see."""
+    return scratch_path(spark)
 
 
-def stored(df: DataFrame, *partition_by: str) -> DataFrame:
+def stored(df: DataFrame) -> DataFrame:
     """df written as Parquet to a shared folder and read again: cuts lineage, and survives lost executors."""
-    path = shared_folder(df.sparkSession)
-    writer = df.write
-    if partition_by:
-        writer = writer.partitionBy(*partition_by)
-    writer.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return materialize(df)
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Bounds the Arrow batches of this session by rows and bytes, so that long texts do not fill a worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    """Bounds Arrow batches by rows and bytes, so that long texts do not fill a worker. A bound that the session has set itself stays."""
+    own = spark.conf.getAll
+    for key, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        if f"spark.sql.execution.arrow.{key}" not in own:
+            spark.conf.set(f"spark.sql.execution.arrow.{key}", str(most))
 
 
-def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
     bounded_batches(df.sparkSession)
     return df.mapInArrow(fn, schema)
 
@@ -76,7 +66,4 @@ def filter_rows(docs: DataFrame, keep: Callable[[], Callable[[list[str]], np.nda
         for batch in batches:
             yield batch.filter(pa.array(judge(texts_of(batch, text_col)), pa.bool_()))
 
-    bounded_batches(docs.sparkSession)
-    return docs.mapInArrow(run, docs.schema)
-
-
+    return map_arrow(docs, run, docs.schema)

@@ -1,22 +1,26 @@
 """Benchmark decontamination with suffix arrays over the training text.
 
-Each shard of documents (one Arrow batch) becomes a sequence of word numbers
-with a separator after every document. Only words of the benchmark get a
+Each shard of documents (``SHARD_BYTES`` of text) becomes a sequence of word
+numbers with a separator after every document. Only words of the benchmark get a
 number, so a suffix that begins with any other word, which no benchmark suffix
 can match, is left out: the array is sparse but loses no match. Every suffix of
 every benchmark item is then binary-searched in the shard's array, all at once,
-one word deeper at each step. That gives the longest verbatim matches, and,
-at the window's depth, all places where a window occurs.
+one word deeper at each step. At the window's depth that gives all places where a
+window occurs; windows that follow each other in an item and in a document are
+one verbatim match, whose full length and places are reported.
 
 The benchmark goes to the tasks in blocks of at most ``BLOCK_BYTES`` of text. A
-larger benchmark takes several blocks, and the documents pass through one
-search per block in the same job, so no task ever holds more than one block's
-tables per search, and nothing is dropped.
+larger benchmark takes several blocks, one pass over the documents each, and the
+marks so far are written between them; so no task ever holds more than one block's
+tables, and nothing is dropped.
 
 Null and empty texts have no words and are never contaminated. Items without
 words have no window. Rows with the same item_id count as one item; a null
-item_id counts as the empty string. Columns besides doc_id and text are ignored
-by the report and kept by the filter.
+item_id counts as the empty string. Repeated rows and ids, null ids among them,
+are documents of their own; texts of any length are searched whole. Columns
+besides doc_id and text, whatever their names, are ignored by the report and kept
+by the filter. An empty table gives an empty result; an empty benchmark hits
+nothing.
 """
 
 from __future__ import annotations
@@ -30,12 +34,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinloom.llm.common import bounded_batches
+from kinloom.llm.common import map_arrow, stored
 
 WINDOW = 13
 #: A document is contaminated if at least one word in so many is hit.
 ONE_HIT_IN = 20
-BLOCK_BYTES = 32 << 20
+BLOCK_BYTES, SHARD_BYTES = 32 << 20, 16 << 20
 
 #: Lower-cases A-Z and blanks every byte that is not a digit, a letter or part of a character beyond ASCII.
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -54,23 +58,25 @@ class Benchmark:
     left: np.ndarray  # words to the end of the item, from each place
     item: np.ndarray  # of each place: index into ids
     window: np.ndarray  # of each item: words in its windows
+    first: np.ndarray  # of each item: its place in words
     ids: list[str]
 
     @classmethod
     def of(cls, rows: list[tuple[str, str | None]], window: int = WINDOW) -> Benchmark:
         vocab: dict[bytes, int] = {}
-        words, left, item, sizes, ids = [], [], [], [], []
+        words, left, item, sizes, first, ids = [], [], [], [], [], []
         for item_id, text in rows:
             own = words_of(text)
             if not own:
                 continue
+            first.append(len(words))
             words += [vocab.setdefault(w, len(vocab) + 1) for w in own]
             words.append(0)
             left += range(len(own), -1, -1)
             item += [len(ids)] * (len(own) + 1)
             sizes.append(min(window, len(own)))
             ids.append(item_id)
-        return cls(vocab, *(np.array(x, np.int64) for x in (words, left, item, sizes)), ids)
+        return cls(vocab, *(np.array(x, np.int64) for x in (words, left, item, sizes, first)), ids)
 
 
 class SuffixArray:
@@ -139,8 +145,19 @@ class SuffixArray:
         return lo
 
 
-def search_shard(texts: list[bytes], bench: Benchmark) -> tuple[np.ndarray, np.ndarray, list[np.ndarray], np.ndarray]:
-    """texts: folded, as bytes. Returns the words of each text, and for all matched windows text, first word, words and item; and each text's longest match."""
+@dataclass
+class Matches:
+    """Maximal verbatim matches: document, first word there, words, item and first word in the item's block."""
+
+    doc: np.ndarray
+    at: np.ndarray
+    words: np.ndarray
+    item: np.ndarray
+    start: np.ndarray
+
+
+def search_shard(texts: list[bytes], bench: Benchmark) -> tuple[np.ndarray, Matches]:
+    """texts: folded, as bytes. Returns the words of each text, and all maximal matches of a window's length or more."""
     get = bench.vocab.get
     numbers, sizes = [], np.empty(len(texts), np.int64)
     for i, text in enumerate(texts):
@@ -153,17 +170,20 @@ def search_shard(texts: list[bytes], bench: Benchmark) -> tuple[np.ndarray, np.n
     starts = np.flatnonzero(bench.left > 0)
     wanted = bench.window[bench.item[starts]]
     array = SuffixArray(tokens, int(bench.window.min()) if len(bench.window) else 1)
-    best, lo, hi = array.search(bench.words, starts, bench.left[starts], wanted)
-    longest = np.zeros(len(texts), np.int64)
+    _, lo, hi = array.search(bench.words, starts, np.minimum(bench.left[starts], wanted), wanted)
     hit = np.flatnonzero(hi > lo)
     count = (hi - lo)[hit]
     inside = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-    place = array.place[array.order[np.repeat(lo[hit], count) + inside]]
+    place = array.place[array.order[np.repeat(lo[hit], count) + inside]].astype(np.int64)
     which = np.repeat(hit, count)
-    doc = np.searchsorted(first, place, side="right") - 1
-    # the suffixes nearest to each window's place tell how long its match is: at least the window's words
-    np.maximum.at(longest, doc, wanted[which])
-    return sizes, longest, [doc, place - first[doc], wanted[which], bench.item[starts][which]], best
+    # windows on one diagonal, next to each other in both, are one match: no window reaches past a document's or an item's end
+    start = starts[which]
+    order = np.lexsort((place, place - start))
+    place, start, which = place[order], start[order], which[order]
+    new = np.flatnonzero(np.append(True, (np.diff(place) != 1) | (np.diff(start) != 1))) if len(place) else np.zeros(0, np.int64)
+    run = np.diff(np.append(new, len(place)))
+    doc = np.searchsorted(first, place[new], side="right") - 1
+    return sizes, Matches(doc, place[new] - first[doc], wanted[which[new]] + run - 1, bench.item[start[new]], start[new])
 
 
 def _spans(doc: np.ndarray, at: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -190,11 +210,26 @@ def benchmark_blocks(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> li
         yield [(r[0], r[1]) for r in part.collect()]
 
 
-def _searching(bench, window: int, judge):
+def _shards(batches: Iterator[pa.RecordBatch], text: str, most: int) -> Iterator[pa.RecordBatch]:
+    """Batches joined until they hold so many bytes of text."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.column(text).nbytes
+        if size >= most:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held, size = [], 0
+    if sum(b.num_rows for b in held):
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
+def _searching(bench, window: int, judge, text: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = Benchmark.of(bench.value, window)
-        for batch in batches:
-            yield judge(batch, rows)
+        rows = None
+        for batch in _shards(batches, text, SHARD_BYTES):
+            rows = rows or Benchmark.of(bench.value, window)
+            if len(batch.column(text)):
+                yield judge(batch, rows)
 
     return run
 
@@ -203,40 +238,46 @@ def _fold(batch: pa.RecordBatch, name: str) -> list[bytes]:
     return [(t or "").encode("utf-8", "surrogatepass").translate(_FOLD) for t in batch.column(name).to_pylist()]
 
 
-_MARKS = pa.struct([("at", pa.list_(pa.int64())), ("words", pa.list_(pa.int64())), ("items", pa.list_(pa.string())), ("n_words", pa.int64()), ("longest", pa.int64())])
-_MARKS_SQL = "struct<at: array<long>, words: array<long>, items: array<string>, n_words: long, longest: long>"
+_LONGEST = [("words", pa.int64()), ("item_id", pa.string()), ("item_at", pa.int64()), ("doc_at", pa.int64())]
+_MARKS = pa.struct([("at", pa.list_(pa.int64())), ("words", pa.list_(pa.int64())), ("items", pa.list_(pa.string())), ("n_words", pa.int64()), ("longest", pa.struct(_LONGEST))])
+_MARKS_SQL = "struct<at: array<long>, words: array<long>, items: array<string>, n_words: long, longest: struct<words: long, item_id: string, item_at: long, doc_at: long>>"
 
 
 def find_matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """docs' columns, the first renamed c0 and so on, and ``marks``: where windows occur (unions of word ranges), item ids, words and the longest window."""
+    """docs' columns, the first renamed c0 and so on, and ``marks``: where windows occur (unions of word ranges), item ids, words and the longest verbatim match with its places (of equal ones the first item's, then the first place's; null if there is none)."""
     spark = docs.sparkSession
-    bounded_batches(spark)
     names = docs.columns
     cells = docs.toDF(*(f"c{i}" for i in range(len(names))))
     text = f"c{names.index('text')}"
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in cells.schema)
 
     def judge(batch: pa.RecordBatch, bench: Benchmark) -> pa.RecordBatch:
-        sizes, longest, (doc, at, size, item), _ = search_shard(_fold(batch, text), bench)
+        sizes, m = search_shard(_fold(batch, text), bench)
         n = len(sizes)
         old = batch.column("marks").to_pylist() if "marks" in batch.schema.names else [None] * n
-        items: list[set[str]] = [set(m["items"]) if m else set() for m in old]
-        for d, i in set(zip(doc.tolist(), item.tolist())):
+        items: list[set[str]] = [set(x["items"]) if x else set() for x in old]
+        for d, i in set(zip(m.doc.tolist(), m.item.tolist())):
             items[d].add(bench.ids[i])
-        more = [(d, a, w) for d, m in enumerate(old) if m for a, w in zip(m["at"], m["words"])]
+        longest = [x["longest"] if x else None for x in old]
+        order = np.lexsort((m.at, m.start, -m.words, m.doc))
+        for k in order[np.append(True, np.diff(m.doc[order]) != 0)] if len(order) else []:
+            d, item = int(m.doc[k]), int(m.item[k])
+            new = {"words": int(m.words[k]), "item_id": bench.ids[item], "item_at": int(m.start[k] - bench.first[item]), "doc_at": int(m.at[k])}
+            if longest[d] is None or (-new["words"], new["item_id"]) < (-longest[d]["words"], longest[d]["item_id"]):
+                longest[d] = new
+        doc, at, size = m.doc, m.at, m.words
+        more = [(d, a, w) for d, x in enumerate(old) if x for a, w in zip(x["at"], x["words"])]
         if more:
             doc, at, size = (np.append(x, np.array(y, np.int64)) for x, y in zip((doc, at, size), zip(*more)))
         doc, at, size = _spans(doc, at, size)
         cut = np.searchsorted(doc, np.arange(n + 1))
-        marks = [
-            {"at": at[cut[i] : cut[i + 1]].tolist(), "words": size[cut[i] : cut[i + 1]].tolist(), "items": sorted(items[i]), "n_words": int(sizes[i]), "longest": max(int(longest[i]), old[i]["longest"] if old[i] else 0)}
-            for i in range(n)
-        ]
+        marks = [{"at": at[cut[i] : cut[i + 1]].tolist(), "words": size[cut[i] : cut[i + 1]].tolist(), "items": sorted(items[i]), "n_words": int(sizes[i]), "longest": longest[i]} for i in range(n)]
         kept = [x for x in batch.schema.names if x != "marks"]
         return pa.RecordBatch.from_arrays([*(batch.column(x) for x in kept), pa.array(marks, _MARKS)], [*kept, "marks"])
 
-    for rows in benchmark_blocks(benchmark, block_bytes):
-        cells = cells.mapInArrow(_searching(spark.sparkContext.broadcast(rows), window, judge), f"{schema}, marks {_MARKS_SQL}")
+    for k, rows in enumerate(benchmark_blocks(benchmark, block_bytes)):
+        cells = stored(cells) if k else cells
+        cells = map_arrow(cells, _searching(spark.sparkContext.broadcast(rows), window, judge, text), f"{schema}, marks {_MARKS_SQL}")
     return cells
 
 
@@ -249,7 +290,7 @@ def _contaminated(one_hit_in: int):
 
 
 def contamination_report(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, one_hit_in: int = ONE_HIT_IN) -> DataFrame:
-    """A row per document: words, hit words, items with windows in it, longest window, the hit ranges, and the verdict."""
+    """A row per document: words, hit words, items with windows in it, the verdict, the longest verbatim match with its places, and the hit ranges."""
     found = find_matches(docs.select("doc_id", "text"), benchmark, window)
     return found.select(
         F.col("c0").alias("doc_id"),
@@ -258,6 +299,7 @@ def contamination_report(docs: DataFrame, benchmark: DataFrame, window: int = WI
         F.size("marks.items").cast("long").alias("n_items"),
         F.sha2(F.concat_ws(",", "marks.items"), 256).alias("items_sha256"),
         _contaminated(one_hit_in).alias("contaminated"),
+        F.col("marks.longest").alias("longest"),
         F.arrays_zip(F.col("marks.at").alias("at"), F.col("marks.words").alias("words")).alias("hit_ranges"),
     )
 
@@ -268,40 +310,21 @@ def remove_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WIN
     return found.select(*(F.col(f"c{i}").alias(n) for i, n in enumerate(docs.columns)))
 
 
-def longest_matches(docs: DataFrame, benchmark: DataFrame, least: int = WINDOW) -> DataFrame:
-    """Every benchmark suffix's longest verbatim match of at least ``least`` words in each shard where it has one, with its places: item_id, item_at, words, doc_id, doc_at."""
+def longest_matches(docs: DataFrame, benchmark: DataFrame, least: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """Every maximal verbatim match of at least ``least`` words, or of a whole item of fewer, with its places: item_id, item_at, words, doc_id, doc_at."""
     spark = docs.sparkSession
-    bounded_batches(spark)
 
     def judge(batch: pa.RecordBatch, bench: Benchmark) -> pa.RecordBatch:
-        texts = _fold(batch, "text")
-        get = bench.vocab.get
-        numbers, first, at = [], [], 0
-        for text in texts:
-            own = text.split()
-            first.append(at)
-            numbers += [np.fromiter(map(get, own, repeat(0)), np.int32, len(own)), np.zeros(1, np.int32)]
-            at += len(own) + 1
-        array = SuffixArray(np.concatenate(numbers) if numbers else np.zeros(0, np.int32), least)
-        starts = np.flatnonzero(bench.left > 0)
-        best, _, _ = array.search(bench.words, starts, bench.left[starts], bench.left[starts])
-        own = np.flatnonzero(best >= least)
-        _, lo, hi = array.search(bench.words, starts[own], best[own], best[own])
-        rows = []
-        ids = batch.column("doc_id").to_pylist()
-        item_first = np.flatnonzero(np.append(True, bench.words[:-1] == 0))
-        for k, a, b in zip(own, lo, hi):
-            s = starts[k]
-            for place in array.place[array.order[a:b]]:
-                d = int(np.searchsorted(first, place, side="right")) - 1
-                rows.append((bench.ids[bench.item[s]], int(s - item_first[bench.item[s]]), int(best[k]), ids[d], int(place) - first[d]))
-        columns = list(zip(*rows)) or [[]] * 5
-        return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64()))], ["item_id", "item_at", "words", "doc_id", "doc_at"])
-
-    parts = [docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_searching(spark.sparkContext.broadcast(rows), least, judge), "item_id string, item_at long, words long, doc_id long, doc_at long") for rows in benchmark_blocks(benchmark)]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
+        _, m = search_shard(_fold(batch, "text"), bench)
+        columns = [pa.array([bench.ids[i] for i in m.item], pa.string()), pa.array(m.start - bench.first[m.item]), pa.array(m.words), batch.column("doc_id").take(pa.array(m.doc)), pa.array(m.at)]
+        return pa.RecordBatch.from_arrays(columns, ["item_id", "item_at", "words", "doc_id", "doc_at"])
+
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    out = None
+    for rows in benchmark_blocks(benchmark, block_bytes):
+        part = map_arrow(source, _searching(spark.sparkContext.broadcast(rows), least, judge, "text"), "item_id string, item_at long, words long, doc_id long, doc_at long")
+        part = stored(part) if out is not None else part  # one block's tables at a time
+        out = part if out is None else out.unionByName(part)
     return out
 
 

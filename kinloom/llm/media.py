@@ -2,11 +2,15 @@
 
 A container is a tree of boxes. The walker reads box headers and the sample
 tables below ``moov``; the payload in ``mdat`` is never decoded. From the
-tables (stts, stsc, stsz, stco or co64, stss) it derives codec, duration and the
-byte range of every keyframe.
+tables (stts, stsc, stsz or stz2, stco or co64, stss) it derives codec, duration
+and the byte range of every keyframe. Fragments (moof) add their runs' samples to
+the track's. An edit list, where there is one, gives the duration.
 
 Null bytes give null columns, damaged containers give ``codec`` null and an
-``error``; an empty text stores one frame of zero bytes.
+``error``. Null and empty texts store one frame of zero bytes; equal texts have
+equal files; rows with equal ids are rows of their own, and ids may be null;
+texts of any length are stored whole; further columns, whatever their names, are
+not read. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -29,7 +33,7 @@ SIDE = 8
 FRAMES_PER_CHUNK = 256
 KEYFRAME_EVERY = 16
 TIMESCALE = 25
-PARENTS = frozenset((b"moov", b"trak", b"mdia", b"minf", b"stbl", b"edts", b"dinf"))
+PARENTS = frozenset((b"moov", b"trak", b"mdia", b"minf", b"stbl", b"edts", b"dinf", b"mvex", b"moof", b"traf"))
 
 
 def box(kind: bytes, *parts: bytes) -> bytes:
@@ -123,9 +127,21 @@ def _sample_table(data: bytes, boxes: dict[bytes, tuple[int, int]]) -> dict:
     codec = data[at + 4 : at + 8].decode("latin-1") if count else ""
     runs, at, end = head(b"stts")
     stts = _numbers(data, at, end, ">u4", 2 * runs).reshape(-1, 2)
-    at, end = boxes[b"stsz"]
-    same, n = struct.unpack_from(">II", data, at + 4)
-    sizes = np.full(n, same, np.int64) if same else _numbers(data, at + 12, end, ">u4", n)
+    if b"stz2" in boxes:
+        at, end = boxes[b"stz2"]
+        bits, n = struct.unpack_from(">II", data, at + 4)
+        bits &= 0xFF
+        if bits == 4:
+            both = _numbers(data, at + 12, end, ">u1", -(-n // 2))
+            sizes = np.stack([both >> 4, both & 15], 1).ravel()[:n]
+        elif bits in (8, 16):
+            sizes = _numbers(data, at + 12, end, f">u{bits // 8}", n)
+        else:
+            raise ValueError(f"samples' sizes of {bits} bits")
+    else:
+        at, end = boxes[b"stsz"]
+        same, n = struct.unpack_from(">II", data, at + 4)
+        sizes = np.full(n, same, np.int64) if same else _numbers(data, at + 12, end, ">u4", n)
     runs, at, end = head(b"stsc")
     stsc = _numbers(data, at, end, ">u4", 3 * runs).reshape(-1, 3)
     wide = b"co64" in boxes
@@ -147,29 +163,113 @@ def _sample_table(data: bytes, boxes: dict[bytes, tuple[int, int]]) -> dict:
     return {"codec": codec, "units": int((stts[:, 0] * stts[:, 1]).sum()), "samples": n, "offsets": offsets, "sizes": sizes, "key_offsets": offsets[keys], "key_sizes": sizes[keys]}
 
 
+def _edited(data: bytes, at: int, end: int) -> int:
+    """Units of the movie that an edit list plays."""
+    wide = data[at] == 1
+    (count,) = struct.unpack_from(">I", data, at + 4)
+    size = 20 if wide else 12
+    if at + 8 + count * size > end:
+        raise ValueError("edit list cut off")
+    return sum(struct.unpack_from(">Q" if wide else ">I", data, at + 8 + i * size)[0] for i in range(count))
+
+
+_DIFFERENCE = 0x10000  # the flag of a sample that is no keyframe
+
+
+class _Fragment:
+    """Runs of one track's samples in one fragment."""
+
+    def __init__(self, base: int, defaults: tuple[int, int, int]):
+        self.base, self.next = base, base
+        self.duration, self.size, self.flags = defaults
+
+    def head(self, data: bytes, at: int) -> None:
+        (flags,) = struct.unpack_from(">I", data, at)
+        at += 8
+        if flags & 1:
+            (self.base,) = struct.unpack_from(">Q", data, at)
+            at += 8
+        at += 4 if flags & 2 else 0
+        for bit, name in ((8, "duration"), (16, "size"), (32, "flags")):
+            if flags & bit:
+                setattr(self, name, struct.unpack_from(">I", data, at)[0])
+                at += 4
+        self.next = self.base
+
+    def run(self, data: bytes, at: int, end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Offsets, sizes, durations and whether each sample is a keyframe."""
+        flags, n = struct.unpack_from(">II", data, at)
+        flags &= 0xFFFFFF
+        at += 8
+        if flags & 1:
+            self.next = self.base + struct.unpack_from(">i", data, at)[0]
+            at += 4
+        first = None
+        if flags & 4:
+            (first,) = struct.unpack_from(">I", data, at)
+            at += 4
+        fields = [bit for bit in (0x100, 0x200, 0x400, 0x800) if flags & bit]
+        table = _numbers(data, at, end, ">u4", n * len(fields)).reshape(n, len(fields))
+        column = lambda bit, default: table[:, fields.index(bit)] if bit in fields else np.full(n, default, np.int64)
+        sizes, of = column(0x200, self.size), column(0x400, self.flags)
+        if first is not None and n:
+            of = of.copy()
+            of[0] = first
+        offsets = self.next + np.cumsum(sizes) - sizes
+        self.next += int(sizes.sum())
+        return offsets, sizes, column(0x100, self.duration), (of & _DIFFERENCE) == 0
+
+
 def read_container(data: bytes) -> dict:
     """The first track that has samples: codec, timescale, duration in units and seconds, samples and keyframe byte ranges."""
-    trak, boxes, timescale, found = None, {}, 0, None
-    tracks: list[tuple[int, dict]] = []
+    tracks: list[dict] = []
+    by_id: dict[int, dict] = {}
+    defaults: dict[int, tuple[int, int, int]] = {}
+    movie = moof = 0
+    fragment = None
     for path, at, end in walk(data):
-        if path[-1] == b"trak":
-            boxes = {}
-            tracks.append((0, boxes))
-        elif path[-1] == b"mdhd" and tracks:
-            (timescale,) = struct.unpack_from(">I", data, at + (20 if data[at] == 1 else 12))
-            tracks[-1] = (timescale, boxes)
-        elif len(path) > 1 and path[-2] == b"stbl":
-            boxes[path[-1]] = (at, end)
-    for scale, tables in tracks:
-        if {b"stsd", b"stts", b"stsz", b"stsc"} <= tables.keys() and tables.keys() & {b"stco", b"co64"}:
-            found = _sample_table(data, tables) | {"timescale": scale}
+        kind = path[-1]
+        if kind == b"trak":
+            tracks.append({"boxes": {}, "scale": 0, "edited": 0, "runs": []})
+        elif kind == b"tkhd" and tracks:
+            by_id[struct.unpack_from(">I", data, at + (20 if data[at] == 1 else 12))[0]] = tracks[-1]
+        elif kind == b"mvhd":
+            (movie,) = struct.unpack_from(">I", data, at + (20 if data[at] == 1 else 12))
+        elif kind == b"mdhd" and tracks:
+            (tracks[-1]["scale"],) = struct.unpack_from(">I", data, at + (20 if data[at] == 1 else 12))
+        elif kind == b"elst" and tracks:
+            tracks[-1]["edited"] = _edited(data, at, end)
+        elif kind == b"trex":
+            track, _, *own = struct.unpack_from(">5I", data, at + 4)
+            defaults[track] = tuple(own)
+        elif kind == b"moof":
+            moof = at - (16 if struct.unpack_from(">I", data, at - 16)[0] == 1 and data[at - 12 : at - 8] == b"moof" else 8)
+        elif kind == b"tfhd":
+            (track,) = struct.unpack_from(">I", data, at + 4)
+            fragment = _Fragment(moof, defaults.get(track, (0, 0, 0))), by_id.get(track)
+            fragment[0].head(data, at)
+        elif kind == b"trun" and fragment and fragment[1]:
+            fragment[1]["runs"].append(fragment[0].run(data, at, end))
+        elif len(path) > 1 and path[-2] == b"stbl" and tracks:
+            tracks[-1]["boxes"][kind] = (at, end)
+    found = None
+    for track in tracks:
+        boxes = track["boxes"]
+        if {b"stsd", b"stts", b"stsc"} <= boxes.keys() and boxes.keys() & {b"stco", b"co64"} and boxes.keys() & {b"stsz", b"stz2"}:
+            found = _sample_table(data, boxes) | {"timescale": track["scale"], "edited": track["edited"]}
+            for offsets, sizes, durations, keys in track["runs"]:
+                found["offsets"], found["sizes"] = np.append(found["offsets"], offsets), np.append(found["sizes"], sizes)
+                found["key_offsets"], found["key_sizes"] = np.append(found["key_offsets"], offsets[keys]), np.append(found["key_sizes"], sizes[keys])
+                found["samples"] += len(sizes)
+                found["units"] += int(durations.sum())
             if found["samples"]:
                 break
     if found is None:
         raise ValueError("no track with sample tables")
-    if len(found["offsets"]) and (found["offsets"] + found["sizes"]).max() > len(data):
+    if len(found["offsets"]) and ((found["offsets"] + found["sizes"]).max() > len(data) or found["offsets"].min() < 0):
         raise ValueError("a sample lies outside the file")
-    return found | {"duration": found["units"] / found["timescale"] if found["timescale"] else None}
+    seconds = found["units"] / found["timescale"] if found["timescale"] else None
+    return found | {"duration": found["edited"] / movie if found["edited"] and movie else seconds}
 
 
 def payload_of(data: bytes, track: dict) -> bytes:
@@ -236,4 +336,4 @@ def media_digest(docs: DataFrame) -> DataFrame:
             kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, k) for c, k in zip(out, kinds))], ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
 
-    return map_arrow(docs.select("doc_id", "text"), run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")

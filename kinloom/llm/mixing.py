@@ -20,8 +20,10 @@ sums. The per-source table has a row per source and is broadcast only if it has
 at most ``BROADCAST_SOURCES`` rows; beyond that it is joined by a shuffle.
 
 Null and empty texts have size 0 and are taken 0 times; a null source is a
-source of its own that comes last; identical rows are taken alike; an empty
-table gives an empty result. Other columns are ignored, or kept by mix().
+source of its own that comes last; a null id counts as an empty one; identical
+rows are taken alike; an empty table gives an empty result. Other columns,
+whatever their names, are not read, or kept by mix(), but for one of the name of
+its own column, which it replaces.
 """
 
 from __future__ import annotations
@@ -133,7 +135,8 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MO
     cells = cells.select("*", at["source"].alias("source"), word_count(at["text"]).alias("size"), hash60(at["doc_id"], at["text"]).alias("hash"))
     rows = stored(cells.select("source", "size", "hash"))
     out = take(cells, *thresholds(rows, weights, share, most)).where(F.col("taken") > 0)
-    return out.select(*(F.col(f"c{i}").alias(n) for i, n in enumerate(names)), F.col("taken").alias(taken_col))
+    kept = [F.col(f"c{i}").alias(n) for i, n in enumerate(names) if n.lower() != taken_col.lower()]
+    return out.select(*kept, F.col("taken").alias(taken_col))
 
 
 def oracle(documents: str = "documents", select: str = "doc_id, size, source_size, target, taken") -> str:

@@ -37,6 +37,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from kinloom.llm.common import map_arrow, stored
 from kinloom.llm.tokens import mix, word_hashes
@@ -54,6 +55,10 @@ BLOCK_NODES, BLOCK_BYTES = 1024, 8 << 20
 PIECE_BYTES = 1 << 20
 #: Shingles counted by one task.
 SHINGLES_A_TASK = 4_000_000
+#: Bytes of sets that a task looks through for shared shingles before it sends what is left.
+DEAL_BYTES = 32 << 20
+#: A list is hot from so many postings on, and from a share of all that leaves at most HOT_LISTS of them.
+HOT_POSTINGS, HOT_LISTS = 1000, 100_000
 
 _rng = np.random.default_rng(11)
 _SEED = _rng.integers(1, 1 << 63, COORDINATES, dtype=np.uint64)
@@ -142,47 +147,95 @@ def _sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
 
 
 def _shared_counts(sets: DataFrame, buckets: int) -> DataFrame:
-    """node, c: how many of its shingles some other node has, or more if hashes collide. Packed by bucket of the shingle."""
+    """node, c: how many of its shingles some other node has, or more if hashes collide. Packed by bucket of the shingle.
+
+    What nodes share within a task is counted there, and each of a task's
+    shingles is sent once, so a shingle that all nodes have is sent once a task.
+    """
 
     def deal(batches):
-        for batch in batches:
-            nodes = np.array(batch.column("node").to_pylist(), np.int64)
-            own = [np.frombuffer(s, np.uint64) for s in batch.column("set").to_pylist()]
-            who = np.repeat(np.arange(len(own)), [len(s) for s in own])
-            all_ = np.concatenate(own) if own else np.zeros(0, np.uint64)
-            part = ((all_ >> np.uint64(40)) % np.uint64(buckets)).astype(np.int64)
-            order = np.argsort(part, kind="stable")
-            cut = np.searchsorted(part[order], np.arange(buckets + 1))
-            rows = []
+        nodes, own, size = [], [], 0
+
+        def flush():
+            who = np.repeat(np.array(nodes, np.int64), [len(s) for s in own])
+            all_ = np.concatenate(own)
+            order = np.argsort(all_, kind="stable")
+            all_, who = all_[order], who[order]
+            new = np.append(True, all_[1:] != all_[:-1])
+            times = np.diff(np.append(np.flatnonzero(new), len(all_)))
+            shared = np.repeat(times > 1, times)
+            found, count = np.unique(who[shared], return_counts=True)
+            yield found, count
+            # a node's shingle that is shared here is only sent for the others, in no node's name
+            first = np.flatnonzero(new)
+            name = np.where(times > 1, 0, who[first])
+            known = times > 1
+            part = ((all_[first] >> np.uint64(40)) % np.uint64(buckets)).astype(np.int64)
+            at = np.lexsort((name, known, part))
+            cut = np.searchsorted(part[at], np.arange(buckets + 1))
             for k in np.flatnonzero(np.diff(cut)).tolist():
-                at = order[cut[k] : cut[k + 1]]
-                w, count = np.unique(who[at], return_counts=True)
-                rows.append((k, nodes[w].tobytes(), count.astype(np.int32).tobytes(), (all_[at] & np.uint64(0xFFFFFFFF)).astype(np.uint32).tobytes()))
+                mine = at[cut[k] : cut[k + 1]]
+                lone = mine[~known[mine]]
+                w, count = np.unique(name[lone], return_counts=True)
+                low = (all_[first[np.append(lone, mine[known[mine]])]] & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+                yield k, w.tobytes(), count.astype(np.int32).tobytes(), low.tobytes()
+
+        def sent():
+            counts, *rows = flush()
             kinds = (pa.int32(), pa.binary(), pa.binary(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], ["bucket", "nodes", "counts", "hashes"])
+            for i in range(0, len(rows), 64):
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[i : i + 64]), kinds)], ["bucket", "nodes", "counts", "hashes"])
+            if len(counts[0]):
+                row = (int(counts[0][0]) % buckets, counts[0].tobytes(), counts[1].astype(np.int32).tobytes(), None)
+                yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, kinds)], ["bucket", "nodes", "counts", "hashes"])
+
+        for batch in batches:
+            for node, s in zip(batch.column("node").to_pylist(), batch.column("set").to_pylist()):
+                nodes.append(node)
+                own.append(np.frombuffer(s, np.uint64))
+                size += len(s)
+                if size > DEAL_BYTES:
+                    yield from sent()
+                    nodes, own, size = [], [], 0
+        if nodes:
+            yield from sent()
 
     def count(batches):
         keys, nodes = [], []
         for batch in batches:
             for bucket, who, n, hashes in zip(*(c.to_pylist() for c in batch.columns)):
-                nodes.append(np.repeat(np.frombuffer(who, np.int64), np.frombuffer(n, np.int32)))
-                keys.append(np.frombuffer(hashes, np.uint32).astype(np.uint64) | np.uint64(bucket << 32))
+                who, n = np.frombuffer(who, np.int64), np.frombuffer(n, np.int32)
+                if hashes is None:  # counted already
+                    yield pa.RecordBatch.from_arrays([pa.array(who), pa.array(n.astype(np.int64))], ["node", "c"])
+                    continue
+                hashes = np.frombuffer(hashes, np.uint32)
+                owner = np.repeat(who, n)
+                # without a node: place 0 is no node's name here, as is_lone tells
+                nodes.append(np.stack([np.append(owner, np.zeros(len(hashes) - len(owner), np.int64)), (np.arange(len(hashes)) < len(owner)).astype(np.int64)]))
+                keys.append(hashes.astype(np.uint64) | np.uint64(bucket << 32))
         if not keys:
             return
-        key, node = np.concatenate(keys), np.concatenate(nodes)
+        key, (node, lone) = np.concatenate(keys), np.concatenate(nodes, axis=1)
         order = np.argsort(key, kind="stable")
         same = np.diff(key[order]) == 0
         shared = np.zeros(len(key), bool)
         shared[order[1:]] |= same
         shared[order[:-1]] |= same
-        who, n = np.unique(node[shared], return_counts=True)
+        who, n = np.unique(node[shared & (lone == 1)], return_counts=True)
         for i in range(0, len(who), 100_000):
             yield pa.RecordBatch.from_arrays([pa.array(who[i : i + 100_000]), pa.array(n[i : i + 100_000])], ["node", "c"])
 
-    dealt = map_arrow(sets.select("node", "set"), deal, "bucket int, nodes binary, counts binary, hashes binary").repartition(buckets, "bucket")
+    dealt = map_arrow(sets.select("node", "set"), deal, "bucket int, nodes binary, counts binary, hashes binary").repartitionById(buckets, "bucket")
     return map_arrow(dealt, count, "node long, c long").groupBy("node").agg(F.sum("c").alias("c"))
 
 
+def _by_list(rows: DataFrame, lists: DataFrame, sizes: DataFrame, least: int) -> DataFrame:
+    """rows joined with lists, a row a list, by key. Rows of lists of so many rows (sizes: key, f), which are few, meet them by broadcast, where they are; the others by a shuffle."""
+    hot = sizes.where(F.col("f") >= least).select("key")
+    few = F.broadcast(lists.join(F.broadcast(hot), "key", "left_semi"))
+    return rows.join(few, "key").unionByName(rows.join(F.broadcast(hot), "key", "left_anti").join(lists, "key"))
+
+
 def _confirmed(pairs: DataFrame, classes: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
     """Of pairs (a, b) those with enough collisions of signatures and then the similarity on full sets."""
     sigs = classes.select("node", "sig")
@@ -257,15 +310,16 @@ def _similar(x: bytes, y: bytes, similarity: int) -> bool:
     return 100 * shared >= similarity * (len(a) + len(b) - shared)
 
 
-def components(docs: DataFrame, width: int = SHINGLE, similarity: int = SIMILARITY) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept of every document."""
+def components(docs: DataFrame, width: int = SHINGLE, similarity: int = SIMILARITY, node: bool = False) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept of every document; with node, a hash of its set too."""
     rows = stored(_signatures(docs, width))
     classes = rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.count(F.lit(1)).alias("copies"), F.first("sig").alias("sig"))
     classes = stored(classes)
     posting = F.explode(F.transform("sig", lambda v, i: F.shiftleft(i.cast("long"), 32).bitwiseOR(v.cast("long").bitwiseAND(F.lit(0xFFFFFFFF)))))
     postings = classes.select("node", posting.alias("key"))
-    frequent = postings.groupBy("key").agg(F.count(F.lit(1)).alias("f")).where("f > 1")
-    lists = postings.join(frequent, "key").groupBy("node").agg(F.collect_list(F.struct("f", "key")).alias("l")).where(F.size("l") >= MATCHES)
+    frequent = stored(postings.groupBy("key").agg(F.count(F.lit(1)).alias("f")).where("f > 1"))
+    least = max(HOT_POSTINGS, (frequent.agg(F.sum("f")).first()[0] or 0) // HOT_LISTS)
+    lists = _by_list(postings, frequent, frequent, least).groupBy("node").agg(F.collect_list(F.struct("f", "key")).alias("l")).where(F.size("l") >= MATCHES)
     lists = stored(lists.withColumn("l", F.slice(F.array_sort("l"), F.lit(1), F.size("l") - (MATCHES - 1))))
     near = stored(lists.join(classes.select("node", "rep", "n"), "node"))
     sets = stored(_sets(docs, near.select("node", F.col("rep").alias("r")), width))
@@ -280,13 +334,16 @@ def components(docs: DataFrame, width: int = SHINGLE, similarity: int = SIMILARI
         # shared <= the smaller c, and shared / (n1 + n2 - shared) must reach the similarity
         return (100 + similarity) * F.least(c1, c2) >= similarity * (n1 + n2)
 
-    starred = prefix.join(pivots, "key").where((F.col("node") != F.col("p.node")) & possible(F.col("n"), F.col("c"), F.col("p.n"), F.col("p.c")))
+    sizes = stored(prefix.groupBy("key").agg(F.count(F.lit(1)).alias("f")).where("f > 1"))  # no fewer are hot than before
+    pivots = stored(pivots)
+    starred = _by_list(prefix, pivots, sizes, least).where((F.col("node") != F.col("p.node")) & possible(F.col("n"), F.col("c"), F.col("p.n"), F.col("p.c")))
     starred = starred.groupBy("node", F.col("p.node").alias("pivot")).agg(F.count(F.lit(1)).alias("k")).groupBy("node").agg(F.max(F.struct("k", "pivot")).alias("best"))
     links = _confirmed(starred.select(F.col("node").alias("a"), F.col("best.pivot").alias("b")), classes, sets, similarity)
     labels = stored(connected_components(links))
     marked = prefix.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    mixed = marked.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
-    open_ = stored(marked.join(mixed, "key"))
+    marked = stored(marked)
+    mixed = stored(marked.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key"))
+    open_ = stored(_by_list(marked, mixed, sizes, least))
     more = _searched(open_, classes, sets, similarity)
     if more.take(1):
         labels = stored(connected_components(links.unionByName(more)))
@@ -297,13 +354,31 @@ def components(docs: DataFrame, width: int = SHINGLE, similarity: int = SIMILARI
     label = stored(named.unionByName(copies))
     out = rows.select("doc_id", "n", "node").join(_small(label), "node", "left")
     component = F.coalesce("component_id", "doc_id")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), *(["node"] if node else []))
 
 
 def keep_first(docs: DataFrame, width: int = SHINGLE, similarity: int = SIMILARITY) -> DataFrame:
-    """docs without the documents that are linked, directly or through others, with one of a smaller id."""
-    gone = stored(components(docs, width, similarity).where("not kept").select(F.col("doc_id").alias("gone")).distinct())
+    """docs without the documents that are linked, directly or through others, with one of a smaller id. Of rows of one id and one set that would all stay, one stays; rows of an empty set all do; a null id goes if a linked document has an id."""
     names = docs.columns
+    at = names.index("doc_id")
     cells = docs.toDF(*(f"c{i}" for i in range(len(names))))
-    out = cells.join(_small(gone), F.col(f"c{names.index('doc_id')}").cast("long") == F.col("gone"), "left_anti")
+    found = stored(components(docs, width, similarity, node=True))
+    gone = stored(found.where("not kept").select("doc_id", "node").distinct())
+    again = stored(found.where("kept and node is not null").groupBy("doc_id", "node").agg(F.count(F.lit(1)).alias("k")).where("k > 1").drop("k"))
+
+    def run(batches):
+        for batch in batches:
+            node = [_node(s) if len(s) else None for s in shingle_sets(batch.column(f"c{names.index('text')}").to_pylist(), width)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(node, pa.int64())], [*batch.schema.names, "node"])
+
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in cells.schema) + ", node long"
+    own = map_arrow(cells, run, schema).withColumn("own", F.col(f"c{at}").cast("long"))
+    side = _small(gone).select("doc_id", F.col("node").alias("gone_node"))
+    out = own.join(side, F.col("own").eqNullSafe(F.col("doc_id")) & F.col("node").eqNullSafe(F.col("gone_node")), "left_anti")
+    if again.take(1):
+        twin = _small(again.select(F.col("doc_id").alias("d"), F.col("node").alias("n"), F.lit(1).alias("twin")))
+        out = out.join(twin, F.col("own").eqNullSafe(F.col("d")) & F.col("node").eqNullSafe(F.col("n")), "left").drop("d", "n")
+        out = stored(out)
+        one = out.where("twin = 1").groupBy("own", "node").agg(F.min_by(F.struct(*cells.columns), F.xxhash64(*(f"c{i}" for i, f in enumerate(docs.schema) if not isinstance(f.dataType, T.MapType)))).alias("row"))
+        out = out.where("twin is null").select(*cells.columns).unionByName(one.select("row.*"))
     return out.select(*(F.col(f"c{i}").alias(n) for i, n in enumerate(names)))

@@ -34,7 +34,7 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.contamination_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
-    return found.drop("hit_ranges")
+    return found.drop("hit_ranges", "longest")
 
 
 def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -57,6 +57,68 @@ def test_media_round_trip(docs, empty):
         media.read_container(box[:-100])
 
 
+def test_media_files_and_features(spark):
+    """Against the file's parts put together by hand, and a plain reader."""
+    rows = [(1, "a"), (1, "a"), (None, "x" * 1100), (2, "long " * 100_000)]
+    got = media.media_digest(spark.createDataFrame([(i, t, "clash") for i, t in rows], "doc_id int, text string, feature string")).collect()
+    assert len(got) == 4 and len({tuple(r) for r in got}) == 3
+    for r in got:
+        raw = next(t.encode() for i, t in rows if i == r.doc_id)
+        file = media.write_container(media.padded(raw))
+        n = -(-len(raw) // 64)
+        at = file.index(b"mdat") + 4
+        keys = [(at + 64 * k, 64) for k in range(0, n, 16)]
+        ranges = hashlib.sha1(b"".join(x.to_bytes(8, "big") for k in keys for x in k)).hexdigest()[:16]
+        assert file[at:] == raw + bytes(-len(raw) % 64)
+        assert (r.media_bytes, r.media_sha256) == (len(file), hashlib.sha256(file).hexdigest())
+        assert r.feature == f"codec=raw;timescale=25;duration={n};samples={n};keyframes={len(keys)};first={keys[0][0]}+64;last={keys[-1][0]}+64;ranges={ranges}"
+
+
+def _movie(stbl, *more, edit=b""):
+    u = lambda *x: b"".join(v.to_bytes(4, "big") for v in x)
+    stsd = media.full_box(b"stsd", u(1), media.box(b"avc1", bytes(78)))
+    minf = media.box(b"minf", media.box(b"stbl", stsd, *stbl))
+    mdia = media.box(b"mdia", media.full_box(b"mdhd", u(0, 0, 10, 0, 0)), minf)
+    trak = media.box(b"trak", media.full_box(b"tkhd", u(0, 0, 7, 0, 0)), edit, mdia)
+    return media.box(b"moov", media.full_box(b"mvhd", u(0, 0, 100, 0)), trak, *more)
+
+
+def test_media_columns(spark):
+    u = lambda *x: b"".join(v.to_bytes(4, "big") for v in x)
+    full = media.full_box
+    small = (full(b"stts", u(1, 3, 5)), full(b"stsc", u(1, 1, 3, 1)), full(b"stz2", u(4, 3), b"\x12\x30"), full(b"stco", u(1, 8)), full(b"stss", u(1, 2)))
+    mdat = media.box(b"mdat", bytes(6))
+    none = (full(b"stts", u(0)), full(b"stsc", u(0)), full(b"stsz", u(0, 0)), full(b"stco", u(0)))
+    moov = _movie(none, media.box(b"mvex", full(b"trex", u(7, 1, 20, 4, 0x10000))))
+    run = full(b"trun", u(2), (8).to_bytes(4, "big"), u(0), flags=5)  # data offset and the first sample's flags
+    moof = media.box(b"moof", full(b"mfhd", u(1)), media.box(b"traf", full(b"tfhd", u(7), flags=0x20000), full(b"tfdt", u(0)), run))
+    sized = full(b"trun", u(3), u(6, 0, 5, 0x10000, 7, 0), flags=0x600)  # sizes and flags
+    again = media.box(b"moof", media.box(b"traf", full(b"tfhd", u(7), (len(moov) + len(moof) + 8).to_bytes(8, "big"), flags=1), sized))
+    fragmented = moov + moof + media.box(b"mdat", bytes(40)) + again
+    files = {
+        "stz2": mdat + _movie(small),
+        "edited": mdat + _movie(small, edit=media.box(b"edts", full(b"elst", u(2, 150, 0, 0x10000, 50, 0, 0x10000)))),
+        "fragments": fragmented,
+        "own": media.write_container(bytes(64 * 40)),
+        "damaged": media.write_container(bytes(640))[:-1],
+        "text": b"no container at all",
+        "empty": b"",
+        "none": None,
+    }
+    df = spark.createDataFrame([(k, v, 1) for k, v in files.items()], "name string, media binary, codec int")
+    got = {r.name: r for r in media.media_columns(df, keys=("name",)).collect()}
+    ranges = lambda k: [tuple(x) for x in got[k].keyframes]
+    assert (got["stz2"].codec, got["stz2"].duration, got["stz2"].samples, ranges("stz2")) == ("avc1", 1.5, 3, [(9, 2)])
+    assert got["edited"].duration == 2.0
+    base = len(moov) + len(moof) + 8
+    assert got["fragments"].samples == 5 and got["fragments"].duration == (2 * 20 + 3 * 20) / 10
+    assert ranges("fragments") == [(len(moov) + 8, 4), (base, 6), (base + 11, 7)]
+    assert got["own"].samples == 40 and len(got["own"].keyframes) == 3 and got["own"].duration == 1.6
+    assert all(got[k].codec is None and got[k].error for k in ("damaged", "text", "empty"))
+    assert tuple(got["none"])[1:] == (None,) * 5
+    assert media.media_columns(df.limit(0), keys=("name",)).count() == 0
+
+
 def _contaminated(rows, items, window=13):
     words = lambda t: re.findall(rb"[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", (t or "").encode().lower())
     out = []
@@ -80,13 +142,55 @@ def test_decontamination(spark, docs, empty):
     for size in (1 << 20, 40):  # one block, and several
         found = decontaminate.find_matches(docs.select("doc_id", "text"), bench, block_bytes=size)
         assert found.count() == len(ROWS)
-        got = decontaminate.contamination_report(docs, bench).drop("hit_ranges").collect()
+        got = decontaminate.contamination_report(docs, bench).drop("hit_ranges", "longest").collect()
         assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, _contaminated([r[:2] for r in ROWS], items)))
     kept = decontaminate.remove_contaminated(docs, bench)
     assert kept.columns == docs.columns and kept.count() == sum(not r[-1] for r in _contaminated([r[:2] for r in ROWS], items))
     assert decontaminate.contamination_report(empty, bench).count() == 0
 
 
+def test_longest_matches_against_brute_force(spark):
+    rng = np.random.default_rng(8)
+    word = lambda n: " ".join(f"v{int(x)}" for x in rng.integers(0, 3, n))
+    items = [(i, word(30)) for i in range(4)] + [(9, "v0 v1"), (11, "")]
+    rows = [(i, f"zz {word(40)} {items[i % 4][1]} yy {word(9)}") for i in range(8)] + [(None, "v0 v1 v2"), (3, None)]
+    want = []
+    for d, t in rows:
+        t = (t or "").split()
+        for k, x in items:
+            x = x.split()
+            least = min(6, len(x))
+            for i in range(len(t)):
+                for j in range(len(x)):
+                    if t[i] == x[j] and not (i and j and t[i - 1] == x[j - 1]):
+                        n = next((n for n in range(min(len(t) - i, len(x) - j)) if t[i + n] != x[j + n]), min(len(t) - i, len(x) - j))
+                        if n >= least:
+                            want.append((str(k), j, n, d, i))
+    df, bench = spark.createDataFrame(rows, "doc_id int, text string"), spark.createDataFrame(items, "item_id int, text string")
+    for size in (1 << 20, 100):
+        got = decontaminate.longest_matches(df, bench, least=6, block_bytes=size).collect()
+        assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want))
+    best = {}
+    for k, j, n, d, i in want:
+        best.setdefault(d, []).append((-n, k, j, i))
+    for size in (1 << 20, 100):
+        found = decontaminate.find_matches(df, bench, window=6, block_bytes=size).select("c0", "marks.longest").collect()
+        for d, longest in found:
+            if longest is None:
+                assert d not in best or d == 3
+            else:
+                assert (-longest.words, longest.item_id) == min(best[d])[:2] and (-longest.words, longest.item_id, longest.item_at, longest.doc_at) in best[d]
+    assert decontaminate.longest_matches(df.limit(0), bench).count() == 0
+    assert decontaminate.contamination_report(df, bench.limit(0)).where("n_hit > 0").count() == 0
+
+
+def test_decontamination_reports_whole_matches(spark):
+    passage = " ".join(f"p{i}" for i in range(50))
+    df, bench = spark.createDataFrame([(1, f"a b {passage} c")], "doc_id long, text string"), spark.createDataFrame([("q", f"x {passage}")], "item_id string, text string")
+    (r,) = decontaminate.contamination_report(df, bench).collect()
+    assert tuple(r.longest) == (50, "q", 1, 2) and [tuple(x) for x in r.hit_ranges] == [(2, 50)] and r.n_hit == 50
+
+
 def test_several_blocks_agree(spark, docs):
     bench = spark.createDataFrame([(i, t) for i, t in enumerate(["brown fox", "lazy dog again", "x3 w65"])], "item_id long, text string")
     one, many = (decontaminate.find_matches(docs.select("doc_id", "text"), bench, block_bytes=b).selectExpr("c0", "marks.at", "marks.words", "marks.items").collect() for b in (1 << 20, 8))
@@ -103,6 +207,10 @@ def test_mixing_against_sql(spark, docs, empty):
     assert sorted(map(repr, map(tuple, ours.collect()))) == sorted(map(repr, theirs))
     assert mixing.mix_report(empty).count() == 0
     assert mixing.mix(docs).columns == [*docs.columns, "taken"]
+    clash = docs.withColumn("Taken", F.lit("old")).withColumn("size", F.lit(1)).withColumn("hash", F.lit(2)).withColumn("s", F.lit(3))
+    again = mixing.mix(clash)
+    assert again.columns == [*docs.columns, "size", "hash", "s", "taken"]
+    assert sorted(r.taken for r in again.collect()) == sorted(r.taken for r in ours.collect() if r.taken)
 
 
 WEB = [(1, "http://b.org/x", "<p>ä</p>"), (2, "http://a.org/", None), (3, "https://www.a.org/y?Q=1", "<p>ä</p>"), (4, None, "WARC/1.1\r\n\r\n\r\n"), (7, "http://a.org/", ""), (3, "http://b.org/x", "<p>ä</p>"), (None, "http://b.org/x", "<p>ä</p>"), (None, "http://c.org/", "alone"), (9, "http://a.org/z\r\nX: y", "long " * 100_000)]
@@ -193,6 +301,43 @@ def test_near_duplicates(spark, docs, empty):
     assert neardup.keep_first(docs).columns == docs.columns
 
 
+def test_keep_first_keeps_one_of_each_group(spark):
+    text = " ".join(f"w{i}" for i in range(60))
+    near, other = text.replace("w59", "x"), " ".join(f"o{i}" for i in range(60))
+    rows = [(1, text, "a"), (1, text, "b"), (2, near, "c"), (2, other, "d"), (None, text, "e"), (None, "alone and without an id", "f"), (3, None, "g"), (3, "", "h"), (4, other, "i"), (5, "short text", "j"), (6, "short text", "k")]
+    df = spark.createDataFrame(rows, "doc_id int, text string, node string")
+    got = neardup.keep_first(df)
+    assert got.columns == df.columns
+    kept = sorted((r.node for r in got.collect()))
+    assert kept in (["a", "d", "f", "g", "h", "j"], ["b", "d", "f", "g", "h", "j"])
+    assert neardup.keep_first(df.limit(0)).count() == 0
+
+
+def test_near_duplicates_with_hot_lists(spark, monkeypatch):
+    """Lists, blocks and tasks of a few rows each, so that every path is taken."""
+    rng = np.random.default_rng(6)
+    page = [f"b{i}" for i in range(100)]
+    rows = []
+    for k in range(200):
+        w = list(page) if k % 3 else [f"c{k % 7}_{i}" for i in range(100)]
+        for i in rng.integers(0, 100, int(rng.integers(0, 5))):
+            w[i] = f"m{k}_{i}"
+        rows.append((k, " ".join(w)))
+    monkeypatch.setattr(neardup, "HOT_POSTINGS", 5)
+    monkeypatch.setattr(neardup, "BLOCK_NODES", 8)
+    got = [repr((r.doc_id, r.n_shingles, r.component_id, r.kept)) for r in neardup.components(spark.createDataFrame(rows, "doc_id long, text string"), width=4).collect()]
+    assert sorted(got) == _brute(rows, 4)
+
+
+def test_shared_counts(spark):
+    rng = np.random.default_rng(1)
+    sets = {int(k) - 10: np.unique(rng.integers(0, 400, 60)).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) for k in range(30)}
+    df = spark.createDataFrame([(k, s.tobytes()) for k, s in sets.items()], "node long, set binary").repartition(3)
+    times = collections.Counter(x for s in sets.values() for x in s.tolist())
+    want = {k: sum(times[x] > 1 for x in s.tolist()) for k, s in sets.items()}
+    assert {r.node: r.c for r in neardup._shared_counts(df, 4).collect()} == {k: n for k, n in want.items() if n}
+
+
 def test_katz(spark, docs, empty):
     rows = [(i, t) for i, t in enumerate(["a b a b c", "a b c d", "", None, "a a a b", LONG, "zz a b q"])]
     df = spark.createDataFrame(rows, "doc_id long, text string")
