@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -48,9 +50,24 @@ def bounded_batches(spark: SparkSession) -> None:
             spark.conf.set(f"spark.sql.execution.arrow.{key}", str(most))
 
 
+def release() -> None:
+    """Gives memory that this process has freed back to the machine, so that idle workers hold little."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def _tidy(fn):
+    def run(batches):
+        yield from fn(batches)
+        release()
+
+    return run
+
+
 def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
     bounded_batches(df.sparkSession)
-    return df.mapInArrow(fn, schema)
+    return df.mapInArrow(_tidy(fn), schema)
 
 
 def texts_of(batch: pa.RecordBatch, name: str = "text") -> list[str]:

@@ -32,12 +32,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kinloom.llm.common import filter_rows, held_out, map_arrow, texts_of
+from kinloom.llm.common import filter_rows, held_out, map_arrow, release, texts_of
 
-FIT_DOCS = 1000
+FIT_DOCS = 500
 LONGEST = 4
 #: Bytes of unseen words and of their scores that a task remembers; beyond that it starts anew.
-REMEMBERED = 32 << 20
+REMEMBERED = 8 << 20
 #: Rows of languages that are broadcast at most.
 BROADCAST_LANGS = 100_000
 UNDETERMINED = "und"
@@ -173,7 +173,11 @@ def fit(docs: DataFrame, per_lang: int = FIT_DOCS) -> LanguageModel:
     for batch in table.to_batches():
         for lang, word, n in zip(*(c.to_pylist() for c in batch.columns)):
             counts.setdefault(lang, {})[word] = n
-    return LanguageModel.of(counts)
+    del table
+    model = LanguageModel.of(counts)
+    del counts
+    release()
+    return model
 
 
 def predict(docs: DataFrame, model: LanguageModel, held: Column) -> DataFrame:
