@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -69,52 +68,76 @@ def sound_key(c: Column) -> Column:
     return F.soundex(blank_to_null(c))
 
 
-def jaro_winkler_bytes(a: bytes, b: bytes) -> float:
-    """Similarity of bytes, with the prefix bonus above 0.7 only; 0 for two empty strings."""
-    if not a or not b:
-        return 0.0
-    if a == b:
-        return 1.0
-    reach = max(0, max(len(a), len(b)) // 2 - 1)
-    taken, mine = [False] * len(b), []
-    for i, x in enumerate(a):
-        for j in range(max(0, i - reach), min(len(b), i + reach + 1)):
-            if not taken[j] and b[j] == x:
-                taken[j] = True
-                mine.append(x)
-                break
-    m = len(mine)
-    if not m:
-        return 0.0
-    theirs = [y for y, t in zip(b, taken) if t]
-    swaps = sum(x != y for x, y in zip(mine, theirs)) // 2
-    jaro = (m / len(a) + m / len(b) + (m - swaps) / m) / 3
-    if jaro <= 0.7:
-        return jaro
-    prefix = 0
-    for x, y in zip(a[:4], b[:4]):
-        if x != y:
-            break
-        prefix += 1
-    return jaro + prefix * 0.1 * (1 - jaro)
+#: Cells of the character tables that are compared at once.
+CELLS = 4_000_000
+
+
+def _table(values: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes of the values, a row each, and their lengths."""
+    size = np.fromiter(map(len, values), np.int64, len(values))
+    table = np.zeros((len(values), max(1, int(size.max(initial=0)))), np.uint8)
+    table[np.arange(table.shape[1]) < size[:, None]] = np.frombuffer(b"".join(values), np.uint8)
+    return table, size
+
+
+def jaro_winkler_bytes(a: list[bytes], b: list[bytes]) -> np.ndarray:
+    """Similarities of pairs of bytes, with the prefix bonus above 0.7 only; 0 for two empty strings. All pairs of like length advance together, a character a step."""
+    out = np.zeros(len(a))
+    if not len(a):
+        return out
+    longest = np.fromiter((max(len(x), len(y)) for x, y in zip(a, b)), np.int64, len(a))
+    order = np.argsort(longest, kind="stable")
+    i = 0
+    while i < len(order):
+        j = i + 1
+        while j < len(order) and (longest[order[j]] <= longest[order[i]] + 4) and (j - i) * (longest[order[j]] + 1) < CELLS:
+            j += 1
+        rows = order[i:j]
+        out[rows] = _jaro_winkler_tables(*_table([a[k] for k in rows]), *_table([b[k] for k in rows]))
+        i = j
+    return out
+
+
+def _jaro_winkler_tables(a: np.ndarray, la: np.ndarray, b: np.ndarray, lb: np.ndarray) -> np.ndarray:
+    n = len(a)
+    rows, at = np.arange(n), np.arange(b.shape[1])
+    reach = np.maximum(np.maximum(la, lb) // 2 - 1, 0)
+    free = at < lb[:, None]
+    mine = np.zeros(a.shape, bool)
+    for i in range(a.shape[1]):
+        fits = free & (b == a[:, i : i + 1]) & (np.abs(at - i) <= reach[:, None])
+        first = fits.argmax(1)
+        hit = fits[rows, first] & (i < la)
+        mine[hit, i] = True
+        free[rows[hit], first[hit]] = False
+    theirs = (at < lb[:, None]) & ~free
+    m = mine.sum(1)
+    width = int(m.max(initial=0))
+    left, right = (np.take_along_axis(x, np.argsort(~taken, axis=1, kind="stable"), 1)[:, :width] for x, taken in ((a, mine), (b, theirs)))
+    swaps = ((left != right) & (np.arange(width) < m[:, None])).sum(1) // 2
+    with np.errstate(divide="ignore", invalid="ignore"):
+        jaro = np.where(m > 0, (m / la + m / lb + (m - swaps) / m) / 3, 0.0)
+    same = np.zeros((n, 4), bool)
+    k = min(4, a.shape[1], b.shape[1])
+    same[:, :k] = (a[:, :k] == b[:, :k]) & (np.arange(k) < np.minimum(la, lb)[:, None])
+    prefix = np.cumprod(same, axis=1).sum(1)
+    equal = (la == lb) & (la > 0)
+    k = min(a.shape[1], b.shape[1])
+    equal &= ((a[:, :k] == b[:, :k]) | (np.arange(k) >= la[:, None])).all(1)
+    return np.where(equal, 1.0, np.where(jaro > 0.7, jaro + prefix * 0.1 * (1 - jaro), jaro))
 
 
 @F.pandas_udf(T.DoubleType())
-def _jaro_winkler(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-    known: dict[tuple[str, str], float] = {}
-    for left, right in pairs:
-        out = []
-        for a, b in zip(left, right):
-            if a is None or b is None:
-                out.append(None)
-                continue
-            s = known.get((a, b))
-            if s is None:
-                if len(known) > 200_000:
-                    known.clear()
-                s = known[a, b] = jaro_winkler_bytes(a.encode(), b.encode())
-            out.append(s)
-        yield pd.Series(out, dtype="float64")
+def _jaro_winkler(left: pd.Series, right: pd.Series) -> pd.Series:
+    """Distinct pairs of a batch are scored once."""
+    out = pd.Series(np.nan, index=left.index, dtype="float64")
+    known = left.notna() & right.notna()
+    pairs = pd.DataFrame({"l": left[known], "r": right[known]})
+    if len(pairs):
+        single = pairs.drop_duplicates()
+        single = single.assign(s=jaro_winkler_bytes([x.encode() for x in single["l"]], [x.encode() for x in single["r"]]))
+        out[known] = pairs.merge(single, on=["l", "r"], how="left")["s"].to_numpy()
+    return out.astype("Float64").where(known)
 
 
 def jaro_winkler(a: Column, b: Column) -> Column:

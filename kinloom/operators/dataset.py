@@ -58,14 +58,53 @@ def negatives(records: DataFrame, n: int | None = None, seed: int = 42, least: i
         draws *= 2
 
 
+#: Rows of a class that one task puts in order, about.
+RANK_ROWS = 200_000
+
+
+def ranked(df: DataFrame, label: str, key: Column) -> DataFrame:
+    """df with rn, each row's place from 1 in its class (label) by key, a text of even spread such as a hash. A class is cut by the key's first four hexadecimal digits; pieces are put in order each for itself, and the counts of those before are added."""
+    total = df.count()
+    pieces = max(1, min(65536, -(-total // RANK_ROWS)))
+    cut = df.withColumn("_key", key).withColumn("_piece", F.floor(F.conv(F.substring("_key", 1, 4), 16, 10).cast("long") * pieces / 65536))
+    sizes = cut.groupBy(label, "_piece").agg(F.count(F.lit(1)).alias("_n"))
+    before = sizes.select(label, "_piece", (F.sum("_n").over(Window.partitionBy(label).orderBy("_piece")) - F.col("_n")).alias("_before"))  # a row a piece
+    inside = F.row_number().over(Window.partitionBy(label, "_piece").orderBy("_key"))
+    return cut.withColumn("_in", inside).join(F.broadcast(before), [label, "_piece"]).withColumn("rn", F.col("_in") + F.col("_before")).drop("_key", "_piece", "_in", "_before")
+
+
 def split(df: DataFrame, label: str, key: Column, shares: tuple[float, float] = (0.7, 0.15)) -> DataFrame:
-    """df, as many rows of either class, with split: by hash order, train, validation, test in each class. Rows beyond the smaller class go: balancing is the operator."""
-    w = Window.partitionBy(label).orderBy(key)
-    sizes = df.groupBy(label).count()
-    n = sizes.agg(F.min("count").alias("n"))
-    ranked = df.withColumn("rn", F.row_number().over(w)).crossJoin(F.broadcast(n)).where("rn <= n")
+    """df, as many rows of either class, with split: by the key's order, train, validation, test in each class. Rows beyond the smaller class go: balancing is the operator."""
+    n = df.groupBy(label).count().agg(F.min("count").alias("n"))
+    rows = ranked(df, label, key).crossJoin(F.broadcast(n)).where("rn <= n")  # n has one row
     a, b = F.floor(F.col("n") * F.lit(shares[0])), F.floor(F.col("n") * F.lit(shares[1]))
-    return ranked.withColumn("split", F.when(F.col("rn") <= a, "train").when(F.col("rn") <= a + b, "validation").otherwise("test")).drop("rn", "n")
+    return rows.withColumn("split", F.when(F.col("rn") <= a, "train").when(F.col("rn") <= a + b, "validation").otherwise("test")).drop("rn", "n").select(*df.columns, "split")
+
+
+def balanced_subsample(df: DataFrame, label: str, key: Column, n: int) -> DataFrame:
+    """n // 2 rows of each class, the first by key; fewer where a class has fewer."""
+    return ranked(df, label, key).where(F.col("rn") <= n // 2).select(*df.columns)
+
+
+def truth_loss(truth: DataFrame, most: float = 0.10) -> float:
+    """The share of truth rows without a record_id; an error if it is more than most."""
+    lost, n = truth.agg(F.count(F.when(F.col("record_id").isNull(), 1)), F.count(F.lit(1))).first()
+    share = lost / n if n else 0.0
+    if share > most:
+        raise ValueError(f"{share:.1%} of the truth's rows have no record")
+    return share
+
+
+def shortfall(found: int, target: int, least: float = 0.9) -> int:
+    """How many pairs of the target are missing; an error if fewer than its share least were found."""
+    if found < target * least:
+        raise ValueError(f"{found} of {target} pairs were found")
+    return max(0, target - found)
+
+
+def length_statistics(df: DataFrame, length: Column, *by: str) -> DataFrame:
+    """mean, median, least, most and the 95th percentile, interpolated, of a length; by groups if any."""
+    return df.groupBy(*by).agg(F.avg(length).alias("mean"), F.percentile(length, 0.5).alias("median"), F.min(length).alias("least"), F.max(length).alias("most"), F.percentile(length, 0.95).alias("p95"))
 
 
 def chat(prompt: Column, label: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinloom.operators.linkage import canonical
@@ -32,23 +32,119 @@ def confusion(predicted: DataFrame, truth: DataFrame) -> DataFrame:
     return both.agg(F.count(F.when(F.col("p").isNotNull() & F.col("t").isNotNull(), 1)).alias("tp"), F.count(F.when(F.col("t").isNull(), 1)).alias("fp"), F.count(F.when(F.col("p").isNull(), 1)).alias("fn"))
 
 
-def threshold_sweep(scored: DataFrame, truth: DataFrame, grid: list[float] = tuple(i / 100 for i in range(1, 100))) -> DataFrame:
-    """threshold, tp, fp, fn, precision, recall, f1 of each threshold. Pairs are counted by the last threshold they reach first, so the grid multiplies a few rows, not the pairs."""
+#: The sweep's thresholds; a sweep for the baseline takes multiples of 0.01 as repeated steps make them (BASELINE_GRID).
+GRID = tuple(i / 100 for i in range(1, 100))
+BASELINE_GRID = tuple(0.01 + i * 0.01 for i in range(99))
+
+
+def _reached(p: Column, grid: tuple[float, ...]) -> Column:
+    """How many thresholds of an ascending, nearly even grid p reaches: a guess from its step, put right by the thresholds around it."""
+    n = len(grid)
+    step = (grid[-1] - grid[0]) / (n - 1) if n > 1 else 1.0
+    guess = F.greatest(F.lit(0), F.least(F.lit(n), (F.floor((p - grid[0]) / step) + 1).cast("int")))
+    values = F.array(*map(F.lit, grid))
+    above = F.coalesce((p >= F.get(values, guess)).cast("int"), F.lit(0))
+    below = F.coalesce((p < F.get(values, guess - 1)).cast("int"), F.lit(0))
+    return guess + above - below
+
+
+def threshold_sweep(scored: DataFrame, truth: DataFrame, grid: tuple[float, ...] = GRID) -> DataFrame:
+    """threshold, tp, fp, fn, precision, recall, f1 of each threshold of an ascending grid, its steps nearly even. Pairs are counted by the last threshold that they reach; sums over those few counts make the sweep."""
     keys = ["record_id_1", "record_id_2"]
-    total = truth.count()
-    reached = F.aggregate(F.array(*map(F.lit, grid)), F.lit(0), lambda n, t: n + (F.col("p") >= t).cast("int"))
-    flagged = scored.join(truth.withColumn("t", F.lit(1)), keys, "left").withColumn("k", reached)
-    counts = flagged.groupBy("k").agg(F.count("t").alias("hit"), F.count(F.lit(1)).alias("n"))
-    steps = scored.sparkSession.createDataFrame([(i + 1, t) for i, t in enumerate(grid)], "step int, threshold double")
-    joined = steps.join(F.broadcast(counts), F.col("k") >= F.col("step"), "left")  # one row a step at most on either side
-    sums = joined.groupBy("threshold").agg(F.coalesce(F.sum("hit"), F.lit(0)).alias("tp"), F.coalesce(F.sum(F.col("n") - F.col("hit")), F.lit(0)).alias("fp"))
-    return metrics(sums.withColumn("fn", F.lit(total) - F.col("tp")))
+    flagged = scored.select(*keys, F.col("p")).join(truth.select(*keys, F.lit(1).alias("t")), keys, "left")
+    counts = flagged.select(_reached(F.col("p"), grid).alias("k"), "t").groupBy("k").agg(F.count("t").alias("hit"), F.count(F.lit(1)).alias("n"))
+    steps = scored.sparkSession.range(1, len(grid) + 1, 1, 1).select(F.col("id").cast("int").alias("k"), F.lit(0).cast("long").alias("hit"), F.lit(0).cast("long").alias("n"))
+    few = counts.unionByName(steps).groupBy("k").agg(F.sum("hit").alias("hit"), F.sum("n").alias("n"))  # a row a threshold
+    upward = Window.orderBy(F.desc("k"))
+    sums = few.select("k", F.sum("hit").over(upward).alias("tp"), F.sum(F.col("n") - F.col("hit")).over(upward).alias("fp")).where("k > 0")
+    total = truth.agg(F.count(F.lit(1)).alias("total"))
+    sums = sums.crossJoin(F.broadcast(total)).select(F.element_at(F.array(*map(F.lit, grid)), F.col("k")).alias("threshold"), "tp", "fp", (F.col("total") - F.col("tp")).alias("fn"))
+    return metrics(sums)
 
 
 def best_threshold(sweep: DataFrame) -> DataFrame:
     return sweep.orderBy(F.desc("f1"), "threshold").limit(1)
 
 
+def matches_at(scored: DataFrame, threshold: float) -> DataFrame:
+    """Pairs that reach the threshold, the smaller id first."""
+    return canonical(scored.where(F.col("p") >= threshold), "record_id_1", "record_id_2")
+
+
+def match_metrics(predicted: DataFrame, truth: DataFrame) -> DataFrame:
+    """One row: tp, fp, fn, precision, recall, f1 and the sizes of both sets of pairs."""
+    out = metrics(confusion(predicted, truth))
+    return out.withColumn("predicted_pairs", F.col("tp") + F.col("fp")).withColumn("true_pairs", F.col("tp") + F.col("fn"))
+
+
+def blocking_recall(candidates: DataFrame, truth: DataFrame) -> DataFrame:
+    """One row: true pairs, those among the candidates, and their share; 0 without true pairs."""
+    keys = ["record_id_1", "record_id_2"]
+    found = canonical(truth, *keys).join(canonical(candidates, *keys).withColumn("x", F.lit(1)), keys, "left")
+    out = found.agg(F.count(F.lit(1)).alias("true_pairs"), F.count("x").alias("found"))
+    return out.withColumn("blocking_recall", ratio(F.col("found"), F.col("true_pairs")))
+
+
+def golden_counts(golden: DataFrame, truth: DataFrame) -> DataFrame:
+    """One row: golden records, true patients, whether they are as many, the difference, and records per golden record."""
+    a = golden.agg(F.count(F.lit(1)).alias("num_golden_records"), F.avg("num_records").alias("avg_records_per_patient"), F.max("num_records").alias("max_records_per_patient"))
+    b = truth.agg(F.countDistinct("true_patient_id").alias("num_true_patients"))
+    difference = F.col("num_golden_records") - F.col("num_true_patients")
+    return a.crossJoin(b).withColumn("count_accuracy", difference == 0).withColumn("count_difference", difference)
+
+
+def failure_rates(scenarios: DataFrame, base: str, other: str) -> DataFrame:
+    """metric, base rate, other rate, reduction of what fails, from rows (scenario, completeness, perfect_resolution_rate, recall). reduction is null where the base never fails."""
+    names = {"fragmentation": "completeness", "unresolved": "perfect_resolution_rate", "missed_matches": "recall"}
+    long = scenarios.select("scenario", F.explode(F.array(*(F.struct(F.lit(k).alias("metric"), (1 - F.col(v)).alias("rate")) for k, v in names.items()))).alias("x")).select("scenario", "x.*")
+    a, b = (long.where(F.col("scenario") == s).select("metric", F.col("rate").alias(n)) for s, n in ((base, "base_rate"), (other, "other_rate")))
+    return a.join(b, "metric").withColumn("reduction", F.when(F.col("base_rate") > 0, (F.col("base_rate") - F.col("other_rate")) / F.col("base_rate")))
+
+
+def probability_matrix(pairs: DataFrame, ids: list) -> DataFrame:
+    """i and a column for each of the given records: the pair's probability either way, 1 on the diagonal, null where blocking found no pair. Few records: the matrix is a report."""
+    both = pairs.where(F.col("record_id_1").isin(ids) & F.col("record_id_2").isin(ids))
+    sides = both.select(F.col("record_id_1").alias("i"), F.col("record_id_2").alias("j"), "p").unionByName(both.select(F.col("record_id_2").alias("i"), F.col("record_id_1").alias("j"), "p"))
+    kind = pairs.schema["record_id_1"].dataType.simpleString()
+    own = pairs.sparkSession.createDataFrame([(x,) for x in ids], f"i {kind}").select("i", F.col("i").alias("j"), F.lit(1.0).alias("p"))
+    return sides.unionByName(own).groupBy("i").pivot("j", ids).agg(F.max("p"))
+
+
+def tier_counts(tiers: DataFrame) -> DataFrame:
+    """One row: candidate pairs and pairs by tier, from a column tier."""
+    n = lambda t: F.count(F.when(F.col("tier") == t, 1))
+    return tiers.agg(F.count(F.lit(1)).alias("candidate_pairs"), *(n(t).alias(f"{t}_count") for t in ("auto_match", "gray_zone", "auto_reject")))
+
+
+def scoring_cost(counts: DataFrame, pairs_per_second: float, price_per_hour: float, shares: tuple[float, ...] = (0.2, 0.1, 0.05)) -> DataFrame:
+    """scenario, share of candidates, pairs, seconds, cost of scoring the gray zone: as it is (counts from tier_counts), and at other shares."""
+    own = F.when(F.col("candidate_pairs") > 0, F.col("gray_zone_count") / F.col("candidate_pairs"))
+    rows = F.array(F.struct(F.lit("measured").alias("scenario"), own.alias("share"), F.col("gray_zone_count").alias("pairs")), *(F.struct(F.lit(f"{s:.0%}").alias("scenario"), F.lit(s).alias("share"), F.floor(F.col("candidate_pairs") * s).alias("pairs")) for s in shares))
+    out = counts.select(F.explode(rows).alias("x")).select("x.*").withColumn("seconds", F.col("pairs") / pairs_per_second)
+    return out.withColumn("cost", F.col("seconds") / 3600 * price_per_hour)
+
+
+def correct(df: DataFrame, label: str, prediction: str) -> DataFrame:
+    """df with correct, 1 or 0, a row."""
+    return df.withColumn("correct", (F.col(label) == F.col(prediction)).cast("int"))
+
+
+def error_summary(df: DataFrame, label: str, prediction: str, confidence: str) -> DataFrame:
+    """One row: errors, their share, false positives and negatives, and mean confidence of wrong and right rows (null without any)."""
+    l, p, c = F.col(label), F.col(prediction), F.col(confidence)
+    n = lambda x: F.count(F.when(x, 1))
+    out = df.agg(F.count(F.lit(1)).alias("n"), n(l != p).alias("errors"), n((l == 0) & (p == 1)).alias("false_positives"), n((l == 1) & (p == 0)).alias("false_negatives"), F.avg(F.when(l != p, c)).alias("confidence_wrong"), F.avg(F.when(l == p, c)).alias("confidence_right"))
+    return out.withColumn("error_share", ratio(F.col("errors"), F.col("n")))
+
+
+def class_report(df: DataFrame, label: str, prediction: str, classes: tuple[int, ...] = (0, 1)) -> DataFrame:
+    """class, precision, recall, f1, support of each class."""
+    l, p = F.col(label), F.col(prediction)
+    n = lambda x: F.count(F.when(x, 1))
+    sums = df.agg(F.array(*(F.struct(F.lit(k).alias("class"), n((l == k) & (p == k)).alias("tp"), n((l != k) & (p == k)).alias("fp"), n((l == k) & (p != k)).alias("fn"), n(l == k).alias("support")) for k in classes)).alias("x"))
+    return metrics(sums.select(F.explode("x").alias("x")).select("x.*")).select("class", "precision", "recall", "f1", "support")
+
+
 def classification(df: DataFrame, label: str, prediction: str) -> DataFrame:
     l, p = F.col(label), F.col(prediction)
     n = lambda c: F.count(F.when(c, 1))

@@ -3,16 +3,17 @@
 from __future__ import annotations
 
 import math
+import warnings
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
+from kinloom.config import Fusion
 from kinloom.functions import text
 from kinloom.functions.draws import uniform
+from kinloom.operators.graph import materialize
 
 first3, last3, first1, last1 = ("first_name", 3), ("last_name", 3), ("first_name", 1), ("last_name", 1)
 #: A rule's keys, in order: columns, their prefixes (name, length), or functions that give a Column. A pair found by several rules counts for the first.
@@ -41,14 +42,33 @@ def block_sizes(df: DataFrame, rules: list[tuple]) -> DataFrame:
     return out
 
 
-def block(df: DataFrame, rules: list[tuple] = RULES, match_key: bool = True) -> DataFrame:
+#: Records of a block from which its pairs are made in squares of so many records, spread over tasks.
+HOT_BLOCK = 2000
+#: Hot blocks that are broadcast; a block has HOT_BLOCK records at least, so beyond this many the squares come by a shuffle.
+BROADCAST_BLOCKS = 100_000
+
+
+def _pairs_of(keyed: DataFrame, hot_block: int) -> DataFrame:
+    """record_id_l < record_id_r of equal keys. A block of very many records is cut into sub-blocks by hash, and every pair of sub-blocks is joined by itself, so that no task has a whole block."""
+    keys = keyed.columns[1:]
+    big = keyed.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot_block).select(*keys, F.ceil(F.col("n") / hot_block).cast("int").alias("cuts"))
+    dealt = keyed.join(F.broadcast(big) if big.count() <= BROADCAST_BLOCKS else big, keys, "left").withColumn("cuts", F.coalesce("cuts", F.lit(1)))
+    own = F.pmod(F.xxhash64("r"), F.col("cuts")).cast("int")
+    dealt = dealt.withColumn("own", own)
+    others = F.explode(F.sequence(F.lit(0), F.col("cuts") - 1))
+    left = dealt.withColumn("b", others).select(*keys, F.least("own", "b").alias("x"), F.greatest("own", "b").alias("y"), "r", "own")
+    right = left.withColumnRenamed("r", "r2").withColumnRenamed("own", "own2")
+    joined = left.join(right, [*keys, "x", "y"]).where("r < r2 AND (x = y OR own <> own2)")
+    return joined.select(F.col("r").alias("record_id_l"), F.col("r2").alias("record_id_r"))
+
+
+def block(df: DataFrame, rules: list[tuple] = RULES, match_key: bool = True, hot_block: int = HOT_BLOCK) -> DataFrame:
     """record_id_l < record_id_r of all rules, once, with the first rule that finds the pair. One equi-join a rule: a disjunction would be a cross join. Without match_key, implied rules are left out."""
     out = None
     for n, rule in enumerate(rules):
         if not match_key and rules is RULES and n in IMPLIED:
             continue
-        l, r = _keys(df, rule), _keys(df, rule).withColumnRenamed("r", "r2")
-        own = l.join(r, l.columns[1:]).where("r < r2").select(F.col("r").alias("record_id_l"), F.col("r2").alias("record_id_r"), F.lit(n).alias("match_key"))
+        own = _pairs_of(_keys(df, rule), hot_block).withColumn("match_key", F.lit(n))
         out = own if out is None else out.unionByName(own)
     return out.groupBy("record_id_l", "record_id_r").agg(F.min("match_key").alias("match_key"))
 
@@ -160,9 +180,11 @@ def estimate_u(records: DataFrame, model: Model, max_pairs: int = 500_000, seed:
     """Level shares among pairs of a hash sample of about max_pairs pairs: the sample, not the table, is paired."""
     n = max(1, records.count())
     size = math.ceil((1 + math.sqrt(1 + 8 * max_pairs)) / 2)
-    sample = records.where(uniform(seed, F.col("record_id")) < min(1.0, size / n)).withColumn("one", F.lit(1))
-    pairs = sample.select("one", F.col("record_id").alias("record_id_l")).join(sample.select("one", F.col("record_id").alias("record_id_r")), "one").where("record_id_l < record_id_r").drop("one")
-    compared = compare(pairs, sample.drop("one"), model.comparisons)
+    # a sample of about size records, each against all: max_pairs bounds both, so one side is broadcast and the other spread over tasks
+    sample = materialize(records.where(uniform(seed, F.col("record_id")) < min(1.0, size / n)))
+    spread = sample.select(F.col("record_id").alias("record_id_l")).repartition(int(sample.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    pairs = spread.join(F.broadcast(sample.select(F.col("record_id").alias("record_id_r"))), F.col("record_id_l") < F.col("record_id_r"))
+    compared = compare(pairs, sample, model.comparisons)
     counts = patterns(compared, model.comparisons).collect()
     for c in model.comparisons:
         table = [0.0] * (len(c.levels) + 1)
@@ -220,8 +242,9 @@ def tier(p: Column, match: float = 0.99, reject: float = 1e-4) -> Column:
 
 
 def logit(p: Column) -> Column:
-    p = F.least(F.greatest(p, F.lit(1e-4)), F.lit(1 - 1e-4))
-    return F.ln(p / (1 - p))
+    """Log odds of a probability that is cut to 0.0001 and 0.9999; null for null, which least and greatest would skip."""
+    cut = F.least(F.greatest(p, F.lit(1e-4)), F.lit(1 - 1e-4))
+    return F.when(p.isNotNull(), F.ln(cut / (1 - cut)))
 
 
 def fuse(prediction: Column, confidence: Column, p: Column, w_model: float = 1.0, w_text: float = 1.5, base_rate: float = 0.01, train_rate: float = 0.5) -> Column:
@@ -232,23 +255,57 @@ def fuse(prediction: Column, confidence: Column, p: Column, w_model: float = 1.0
     return F.coalesce(w_model * logit(p), F.lit(0.0)) + w_text * (text_logit + shift)
 
 
+def predict(records: DataFrame, model: Model, threshold: float = 1e-4, rules: list[tuple] = RULES, match_key: bool = True) -> DataFrame:
+    """Scored pairs of all rules that reach the threshold: record_id_1, record_id_2, match_weight, match_probability, the gammas and match_key."""
+    pairs = block(records, rules, match_key)
+    found = score(compare(pairs if match_key else pairs.drop("match_key"), records, model.comparisons), model).where(F.col("match_probability") >= threshold)
+    kept = [f"gamma_{c.name}" for c in model.comparisons] + (["match_key"] if match_key else [])
+    return found.select(F.col("record_id_l").alias("record_id_1"), F.col("record_id_r").alias("record_id_2"), "match_weight", "match_probability", *kept)
+
+
 def canonical(df: DataFrame, a: str, b: str) -> DataFrame:
     """Each unordered pair once, the smaller id first."""
     return df.select(F.least(a, b).alias("record_id_1"), F.greatest(a, b).alias("record_id_2")).distinct()
 
 
+def with_features(predictions: DataFrame, features: DataFrame | None) -> DataFrame:
+    """Predictions (record_id_1, record_id_2, prediction, confidence), the smaller id first, with match_probability from features, null where they have none. Of repeated pairs the last by ord, or where there is no ord the greatest values, count."""
+    keys = ["record_id_1", "record_id_2"]
+
+    def last(df: DataFrame, values: list[str]) -> DataFrame:
+        rank = ["ord"] if "ord" in df.columns else values
+        side = df.select(F.least(*keys).alias("a"), F.greatest(*keys).alias("b"), *dict.fromkeys([*values, *rank]))
+        best = side.groupBy("a", "b").agg(F.max_by(F.struct(*values), F.struct(*rank)).alias("x"))
+        return best.select(F.col("a").alias(keys[0]), F.col("b").alias(keys[1]), "x.*")
+
+    own = last(predictions if "confidence" in predictions.columns else predictions.withColumn("confidence", F.lit(None).cast("double")), ["prediction", "confidence"])
+    return own.withColumn("match_probability", F.lit(None).cast("double")) if features is None else own.join(last(features, ["match_probability"]), keys, "left")
+
+
+def zipped(pairs: DataFrame, predictions: DataFrame) -> DataFrame:
+    """predictions without ids, row by row beside pairs, both in the order of their column ord; the longer one is cut, with a warning."""
+    a, b = (df.withColumn("_at", F.row_number().over(Window.orderBy("ord"))) for df in (pairs, predictions))  # old files, in one task each
+    n, m = a.count(), b.count()
+    if n != m:
+        warnings.warn(f"{n} pairs and {m} predictions: the first {min(n, m)} are used", stacklevel=2)
+    return a.select("_at", "record_id_1", "record_id_2").join(b.drop("ord", "record_id_1", "record_id_2"), "_at").withColumnRenamed("_at", "ord")
+
+
+def verdict(predictions: DataFrame, settings: Fusion) -> DataFrame:
+    """Predictions with features, and combined and verdict: accepted, rejected, or floor for pairs whose model probability is below the floor."""
+    combined = fuse(F.col("prediction"), F.col("confidence"), F.col("match_probability"), settings.w_model, settings.w_text, settings.prior, settings.training_prior)
+    floor = F.lit(settings.min_probability > 0) & F.col("match_probability").isNotNull() & (F.col("match_probability") < settings.min_probability)
+    return predictions.withColumn("combined", combined).withColumn("verdict", F.when(floor, "floor").when(F.col("combined") >= settings.threshold, "accepted").otherwise("rejected"))
+
+
+def verdict_counts(judged: DataFrame) -> DataFrame:
+    """One row: accepted, rejected (those below the floor too), rejected_floor."""
+    n = lambda *v: F.count(F.when(F.col("verdict").isin(*v), 1))
+    return judged.agg(n("accepted").alias("accepted"), n("rejected", "floor").alias("rejected"), n("floor").alias("rejected_floor"))
+
+
 def union_with_source(auto: DataFrame, text_matches: DataFrame) -> DataFrame:
+    """All pairs with source: auto_match, llm or both; further columns of either side stay."""
     keys = ["record_id_1", "record_id_2"]
     both = auto.withColumn("x", F.lit(1)).join(text_matches.withColumn("y", F.lit(1)), keys, "full")
     return both.withColumn("source", F.when(F.col("x").isNotNull() & F.col("y").isNotNull(), "both").when(F.col("x").isNotNull(), "auto_match").otherwise("llm")).drop("x", "y")
-
-
-@F.pandas_udf(T.StructType([T.StructField("prediction", T.IntegerType()), T.StructField("confidence", T.DoubleType())]))
-def overlap_scorer(a: pd.Series, b: pd.Series) -> pd.DataFrame:
-    """Stand-in for a text classifier: share of common words."""
-    rows = []
-    for x, y in zip(a, b):
-        x, y = set((x or "").split()), set((y or "").split())
-        s = len(x & y) / max(1, len(x | y))
-        rows.append((int(s >= 0.5), max(s, 1 - s)))
-    return pd.DataFrame(rows, columns=["prediction", "confidence"])

@@ -2,32 +2,56 @@
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinloom.functions.draws import uniform, weighted
+from kinloom.operators.dataset import ranked
+from kinloom.operators.graph import materialize
 
-# Shares of patients by number of facilities, and of encounters at the first.
+# Shares of patients by number of facilities, and of encounters at the first; kinds of tables; columns that a confusable group shares.
 FACILITY_COUNTS = {1: 0.40, 2: 0.30, 3: 0.15, 4: 0.10, 5: 0.05}
 PRIMARY_SHARE = 0.60
+REFERENCE = ("organizations", "providers", "payers")
+ENCOUNTER_LINKED = (
+    "conditions", "medications", "observations", "procedures", "immunizations", "allergies", "careplans", "imaging_studies", "devices", "supplies",
+)
+GROUP_TYPES = {"twin": 0.4, "parent_child": 0.3, "sibling": 0.3}
+COPIED = {
+    "twin": ("LAST", "BIRTHDATE", "ADDRESS", "CITY", "ZIP", "GENDER", "STATE", "LAT", "LON"),
+    "parent_child": ("FIRST", "LAST", "ADDRESS", "CITY", "ZIP", "STATE", "LAT", "LON"),
+    "sibling": ("LAST", "ADDRESS", "CITY", "ZIP", "STATE", "LAT", "LON"),
+}
 
 
 def assign_facilities(patients: DataFrame, facilities: int, weights: dict[int, float] = FACILITY_COUNTS, seed: int = 42) -> DataFrame:
     """patient_id, slot, facility_id (1 to facilities): each patient's facilities, slot 0 the primary."""
-    n = F.least(weighted(uniform(seed, F.col("patient_id"), 0), weights), F.lit(facilities))
-    order = F.array_sort(F.array(*(F.struct(uniform(seed, F.col("patient_id"), k).alias("u"), F.lit(k).alias("f")) for k in range(1, facilities + 1))))
-    return patients.select("patient_id", F.posexplode(F.slice(order, F.lit(1), n)).alias("slot", "x")).select("patient_id", "slot", F.col("x.f").alias("facility_id"))
+    who = F.col("patient_id")
+    n = F.least(weighted(uniform(seed, who, 0), weights), F.lit(facilities))
+    order = F.array_sort(F.array(*(F.struct(uniform(seed, who, k).alias("u"), F.lit(k).alias("f")) for k in range(1, facilities + 1))))
+    dealt = patients.select("patient_id", F.posexplode(F.slice(order, F.lit(1), n)).alias("slot", "x"))
+    return dealt.select("patient_id", "slot", F.col("x.f").alias("facility_id"))
 
 
 def encounter_slots(encounters: DataFrame, n_slots: DataFrame, share: float = PRIMARY_SHARE) -> DataFrame:
     """encounter_id, patient_id, slot: by start and id, the first int(n * share) to slot 0, the rest in turn to the others."""
     w = Window.partitionBy("patient_id")
-    e = encounters.join(n_slots, "patient_id").withColumn("rn", F.row_number().over(w.orderBy("start", "encounter_id")) - 1).withColumn("n", F.count(F.lit(1)).over(w))
+    e = encounters.join(n_slots, "patient_id")
+    e = e.withColumn("rn", F.row_number().over(w.orderBy("start", "encounter_id")) - 1).withColumn("n", F.count(F.lit(1)).over(w))
     k = F.floor(F.col("n") * F.lit(share))
-    slot = F.when(F.col("m") == 1, 0).when(F.col("rn") < k, 0).otherwise(1 + F.pmod(F.col("rn") - k, F.greatest(F.col("m") - 1, F.lit(1))))
+    later = 1 + F.pmod(F.col("rn") - k, F.greatest(F.col("m") - 1, F.lit(1)))
+    slot = F.when(F.col("m") == 1, 0).when(F.col("rn") < k, 0).otherwise(later)
     return e.select("encounter_id", "patient_id", slot.cast("int").alias("slot"))
 
 
+def encounter_facilities(encounters: DataFrame, assignment: DataFrame, share: float = PRIMARY_SHARE) -> DataFrame:
+    """encounter_id, patient_id, facility_id of encounters (encounter_id, patient_id, start) of assigned patients."""
+    n = assignment.groupBy("patient_id").agg(F.count(F.lit(1)).alias("m"))
+    return encounter_slots(encounters, n, share).join(assignment, ["patient_id", "slot"]).select("encounter_id", "patient_id", "facility_id")
+
+
 def route(table: DataFrame, key: str, encounter_facility: DataFrame) -> DataFrame:
     """Rows of a table that hang on an encounter, with its facility; others are dropped."""
     return table.join(encounter_facility.select(F.col("encounter_id").alias(key), "facility_id"), key)
@@ -48,6 +72,58 @@ def overlapping(transitions: DataFrame, periods: DataFrame) -> DataFrame:
     return t.where((F.col("start_date") <= F.col("last")) & (F.col("end_date").isNull() | (F.col("end_date") >= F.col("first"))))
 
 
+def patient_column(columns: list[str], table: str) -> str:
+    """The column of a table that names the patient."""
+    return _column(columns, table, "patients", ("PATIENT", "PATIENTID"))
+
+
+def encounter_column(columns: list[str], table: str) -> str:
+    """The column of a table that names the encounter."""
+    return _column(columns, table, "encounters", ("ENCOUNTER", "APPOINTMENTID"))
+
+
+def _column(columns: list[str], table: str, own: str, names: tuple[str, ...]) -> str:
+    found = "Id" if table == own else next((n for n in names if n in columns), None)
+    if found is None:
+        raise ValueError(f"{table} has none of the columns {', '.join(names)}")
+    return found
+
+
+def split_table(name: str, table: DataFrame, assignment: DataFrame, encounter_facility: DataFrame, routed: dict[str, DataFrame]) -> DataFrame:
+    """A table with facility_id, by its kind. routed holds what is split already: claims for claims_transactions, encounters for payer_transitions; without them these are empty, as is a table of unknown kind."""
+    if name in REFERENCE:
+        return replicate(table, assignment.select("facility_id").distinct())
+    if name == "patients":
+        return table.join(assignment.select(F.col("patient_id").alias("Id"), "facility_id").distinct(), "Id").select(*table.columns, "facility_id")
+    if name == "encounters":
+        return route(table, "Id", encounter_facility).select(*table.columns, "facility_id")
+    if name in ENCOUNTER_LINKED or name == "claims":
+        return route(table, encounter_column(table.columns, name), encounter_facility).select(*table.columns, "facility_id")
+    nothing = table.where("false").withColumn("facility_id", F.lit(None).cast(assignment.schema["facility_id"].dataType))
+    if name == "claims_transactions":
+        if "claims" not in routed:
+            return nothing
+        claims = routed["claims"].select(F.col("Id").alias("CLAIMID"), "facility_id").distinct()
+        return table.join(claims, "CLAIMID").select(*table.columns, "facility_id")
+    if name == "payer_transitions":
+        if "encounters" not in routed:
+            return nothing
+        periods = care_periods(routed["encounters"].select("facility_id", F.col("PATIENT").alias("patient_id"), F.col("START").alias("start")))
+        at = assignment.select("patient_id", "facility_id").distinct()
+        renamed = table.withColumns({"patient_id": F.col("PATIENT"), "start_date": F.col("START_DATE"), "end_date": F.col("END_DATE")})
+        return overlapping(renamed, periods.join(at, ["patient_id", "facility_id"], "left_semi")).select(*table.columns, "facility_id")
+    warnings.warn(f"unknown table {name} is left out", stacklevel=2)
+    return nothing
+
+
+def split_tables(tables: dict[str, DataFrame], assignment: DataFrame, encounter_facility: DataFrame) -> dict[str, DataFrame]:
+    """Every table with facility_id. A patient is at every facility that they are assigned to, with or without encounters there."""
+    out: dict[str, DataFrame] = {}
+    for name in sorted(tables, key=lambda n: (n not in ("claims", "encounters"), n)):  # those that others follow come first
+        out[name] = split_table(name, tables[name], assignment, encounter_facility, out)
+    return {name: out[name] for name in tables}
+
+
 def orphans(child: DataFrame, key: str, parent: DataFrame, parent_key: str, check: str) -> DataFrame:
     """check_name, violations: distinct keys without a parent."""
     gone = child.where(F.col(key).isNotNull()).select(F.col(key).alias("k")).join(parent.select(F.col(parent_key).alias("k")), "k", "left_anti")
@@ -55,46 +131,87 @@ def orphans(child: DataFrame, key: str, parent: DataFrame, parent_key: str, chec
 
 
 def facility_statistics(assignment: DataFrame) -> DataFrame:
-    """facilities per patient, patients: how many patients have so many."""
-    return assignment.groupBy("patient_id").agg(F.countDistinct("facility_id").alias("facilities")).groupBy("facilities").agg(F.count(F.lit(1)).alias("patients"))
+    """facilities, patients: how many patients have so many facilities."""
+    n = assignment.groupBy("patient_id").agg(F.countDistinct("facility_id").alias("facilities"))
+    return n.groupBy("facilities").agg(F.count(F.lit(1)).alias("patients"))
+
+
+def all_statistics(assignment: DataFrame, encounter_facility: DataFrame) -> DataFrame:
+    """statistic, key, n: patients by number of facilities, encounters and patients by facility, and both totals (key null)."""
+    named = lambda df, name, key, n: df.select(F.lit(name).alias("statistic"), F.col(key).cast("long").alias("key"), F.col(n).alias("n"))
+    count = F.count(F.lit(1)).alias("n")
+    total = lambda df, name, c: df.agg(F.countDistinct(c).alias("n")).select(F.lit(name).alias("statistic"), F.lit(None).cast("long").alias("key"), "n")
+    parts = [
+        named(facility_statistics(assignment), "facility_count_distribution", "facilities", "patients"),
+        named(encounter_facility.groupBy("facility_id").agg(count), "encounter_count_per_facility", "facility_id", "n"),
+        named(assignment.groupBy("facility_id").agg(F.countDistinct("patient_id").alias("n")), "patient_count_per_facility", "facility_id", "n"),
+        total(assignment, "total_patients", "patient_id"),
+        total(encounter_facility, "total_encounters", "encounter_id"),
+    ]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
 
 
 def within_tolerance(shares: DataFrame, expected: Column, actual: Column, points: float = 0.10) -> DataFrame:
     return shares.withColumn("ok", F.abs(expected - actual) <= points)
 
 
+def pair_count(patients: int, total: int = 0, percent: float | None = None) -> int:
+    """Confusable pairs to make: a percentage of the patients if given, else the total."""
+    return total if percent is None else round(percent / 100 * patients)
+
+
+def hashed(seed: int, *keys: Column) -> Column:
+    """An order by hash, as text."""
+    return F.md5(F.concat_ws("|", F.lit(str(seed)), *(k.cast("string") for k in keys)))
+
+
 def confusable_pairs(assignment: DataFrame, n: int, seed: int = 42, rounds: int = 3) -> DataFrame:
-    """Pairs of patients of one facility, no patient twice, about n, with a group type. Patients of a facility are dealt to buckets by hash and paired in hash order; conflicts keep each patient's lowest-hash pair if both ends agree."""
-    h = uniform(seed, F.col("patient_id"))
-    a = assignment.select("facility_id", "patient_id", h.alias("h"), F.floor(h * 1024).alias("bucket"))
-    w = Window.partitionBy("facility_id", "bucket").orderBy("h", "patient_id")
-    a = a.withColumn("rn", F.row_number().over(w) - 1).withColumn("g", F.floor(F.col("rn") / 2))
-    pairs = a.groupBy("facility_id", "bucket", "g").agg(F.min("patient_id").alias("source_patient_id"), F.max("patient_id").alias("target_patient_id")).where("source_patient_id < target_patient_id")
-    pairs = pairs.select("source_patient_id", "target_patient_id").distinct().withColumn("u", uniform(seed, F.col("source_patient_id"), F.col("target_patient_id")))
-    ends = pairs.select(F.col("source_patient_id").alias("p"), "u").unionByName(pairs.select(F.col("target_patient_id").alias("p"), "u")).groupBy("p").agg(F.min("u").alias("least"))
-    for side in ("source_patient_id", "target_patient_id"):
-        pairs = pairs.join(ends.select(F.col("p").alias(side), F.col("least").alias(f"l_{side}")), side)
-    kept = pairs.where("u = l_source_patient_id and u = l_target_patient_id").orderBy("u").limit(n)
-    kind = weighted(uniform(seed + 1, F.col("source_patient_id"), F.col("target_patient_id")), {"twin": 0.4, "parent_child": 0.3, "sibling": 0.3})
-    return kept.select("source_patient_id", "target_patient_id", kind.alias("group_type"))
-
-
-# The columns that a confusable group shares.
-COPIED = {
-    "twin": ("LAST", "MAIDEN", "BIRTHDATE", "ADDRESS", "CITY", "STATE", "ZIP", "RACE", "ETHNICITY"),
-    "parent_child": ("LAST", "FIRST", "ADDRESS", "CITY", "STATE", "ZIP", "RACE", "ETHNICITY"),
-    "sibling": ("LAST", "ADDRESS", "CITY", "STATE", "ZIP", "RACE", "ETHNICITY"),
-}
+    """n pairs of patients of one facility, fewer if rounds do not find so many; no patient is in two. source_patient_id, target_patient_id, group_type.
+
+    A facility's first max(20, 2 n) patients by hash may be paired. In each round the free ones that follow each other are paired; of a patient's
+    pairs at several facilities, one is kept if it has the least hash for both its ends. Pairs of earlier rounds, then of lesser hash, come first.
+    """
+    free = ranked(assignment.select("facility_id", "patient_id").distinct(), "facility_id", hashed(seed, F.col("patient_id")))
+    free = materialize(free.where(F.col("rn") <= max(20, 2 * n)).select("facility_id", "patient_id", "rn"))
+    source, target = "source_patient_id", "target_patient_id"
+    found = None
+    for k in range(rounds):
+        place = F.row_number().over(Window.partitionBy("facility_id").orderBy("rn")) - 1  # of max(20, 2 n) rows at most
+        pairs = free.withColumn("g", F.floor(place / 2)).groupBy("facility_id", "g").agg(F.min("patient_id").alias(source), F.max("patient_id").alias(target))
+        pairs = pairs.where(F.col(source) < F.col(target)).select(source, target).distinct().withColumn("u", hashed(seed, F.col(source), F.col(target)))
+        ends = pairs.select(F.col(source).alias("p"), "u").unionByName(pairs.select(F.col(target).alias("p"), "u")).groupBy("p").agg(F.min("u").alias("least"))
+        for side in (source, target):
+            pairs = pairs.join(ends.select(F.col("p").alias(side), F.col("least").alias(f"l_{side}")), side)
+        kept = pairs.where((F.col("u") == F.col(f"l_{source}")) & (F.col("u") == F.col(f"l_{target}"))).select(source, target, "u", F.lit(k).alias("round"))
+        found = materialize(kept if found is None else found.unionByName(kept))
+        if found.count() >= n or k + 1 == rounds:
+            break
+        used = found.select(F.col(source).alias("patient_id")).unionByName(found.select(F.col(target).alias("patient_id")))
+        free = materialize(free.join(used, "patient_id", "left_anti"))
+    kind = weighted(uniform(seed + 1, F.col(source), F.col(target)), GROUP_TYPES)
+    return found.orderBy("round", "u").limit(n).select(source, target, kind.alias("group_type"))
 
 
 def overwrite_confusable(patients: DataFrame, pairs: DataFrame, seed: int = 42) -> DataFrame:
-    """Targets take the group's columns from their source, nulls too; birth dates move by the group's rule (February 29 clamps)."""
-    fields = [f for f in {f: 0 for kind in COPIED.values() for f in kind} if f in patients.columns]
-    source = patients.select(F.col("Id").alias("source_patient_id"), *(F.col(f).alias(f"s_{f}") for f in fields), *([F.col("BIRTHDATE").alias("s_birth")] if "BIRTHDATE" in patients.columns else []))
+    """Targets take the group's columns from their source, nulls too; birth dates move by the group's rule (February 29 clamps). The order of the columns stays."""
+    present = [f for f in {f: 0 for kind in COPIED.values() for f in kind} if f in patients.columns]
+    source = patients.select(F.col("Id").alias("source_patient_id"), *(F.col(f).alias(f"s_{f}") for f in {*present, *({"BIRTHDATE"} & {*patients.columns})}))
     joined = patients.join(pairs.join(source, "source_patient_id").withColumnRenamed("target_patient_id", "Id"), "Id", "left")
-    out = {f: F.when(F.col("group_type").isin([k for k, c in COPIED.items() if f in c]), F.col(f"s_{f}")).otherwise(F.col(f)) for f in fields}
+    out = {f: F.when(F.col("group_type").isin([k for k, c in COPIED.items() if f in c]), F.col(f"s_{f}")).otherwise(F.col(f)) for f in present}
     if "BIRTHDATE" in patients.columns:
+        kind = patients.schema["BIRTHDATE"].dataType
         u = uniform(seed + 2, F.col("Id"))
-        years = F.when(F.col("group_type") == "parent_child", 25 + F.floor(u * 6)).when(F.col("group_type") == "sibling", F.when(u < 0.5, -1 - F.floor(u * 10)).otherwise(1 + F.floor((u - 0.5) * 10)))
-        out["BIRTHDATE"] = F.when(F.col("group_type") == "twin", F.col("s_birth").cast("date")).when(years.isNotNull(), F.add_months(F.col("s_birth").cast("date"), (12 * years).cast("int"))).otherwise(F.col("BIRTHDATE").cast("date"))
+        apart = F.when(u < 0.5, -1 - F.floor(u * 10)).otherwise(1 + F.floor((u - 0.5) * 10))
+        years = F.when(F.col("group_type") == "parent_child", 25 + F.floor(u * 6)).when(F.col("group_type") == "sibling", apart)
+        moved = F.add_months(F.col("s_BIRTHDATE").cast("date"), (12 * years).cast("int")).cast(kind)
+        out["BIRTHDATE"] = F.when(F.col("group_type") == "twin", F.col("s_BIRTHDATE")).when(years.isNotNull(), moved).otherwise(F.col("BIRTHDATE"))
     return joined.select(*(out.get(c, F.col(c)).alias(c) for c in patients.columns))
+
+
+def copied_fields(pairs: DataFrame) -> DataFrame:
+    """pairs with fields_copied, the columns that the group's rule writes."""
+    table = F.create_map(*(F.lit(x) for k, c in COPIED.items() for x in (k, ",".join([*c, *([] if "BIRTHDATE" in c else ["BIRTHDATE"])]))))
+    return pairs.withColumn("fields_copied", F.element_at(table, F.col("group_type")))

@@ -14,8 +14,12 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kinloom.functions import text
-from kinloom.operators import dataset, errors, evaluate, golden, linkage, split, standardize, summarize
-from kinloom.operators.graph import connected_components
+from kinloom import config
+from kinloom.functions.draws import uniform, uniform_sql, weighted_sql
+from kinloom.operators import dataset, errors, evaluate, golden, linkage, scoring, split, standardize, summarize, validate
+from kinloom.operators.graph import connected_components, scratch_path
+from kinloom.plans import programs
+from kinloom.sources import tables as io
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -150,6 +154,23 @@ def em_estimate(spark, sf):
     return spark.createDataFrame([(c.name, k, float(c.m[k]), float(c.u[k])) for c in model.comparisons for k in range(len(c.levels) + 1)], "comparison string, level int, m double, u double")
 
 
+_MATCHED = " * ".join(f"CASE gamma_{c.name} {' '.join(f'WHEN {k} THEN {m}::DOUBLE' for k, m in enumerate(c.m))} END" for c in COMPARISONS)
+_OTHERS = " * ".join(f"CASE gamma_{c.name} {' '.join(f'WHEN {k} THEN {u}::DOUBLE' for k, u in enumerate(c.u))} END" for c in COMPARISONS)
+_LEVEL_ROWS = ", ".join(f"('{c.name}', {k})" for c in COMPARISONS for k in range(len(c.levels) + 1))
+_GAMMA_OF = "CASE comparison " + " ".join(f"WHEN '{c.name}' THEN gamma_{c.name}" for c in COMPARISONS) + " END"
+
+
+@query(f"""WITH {PERSONS}, {PAIRS}, {GAMMAS}, e AS (SELECT *, {PRIOR}::DOUBLE * {_MATCHED} AS a, {1 - PRIOR}::DOUBLE * {_OTHERS} AS b FROM gammas), s AS (SELECT *, a / (a + b) AS p FROM e), l(comparison, level) AS (VALUES {_LEVEL_ROWS})
+SELECT comparison, level, CAST(floor(1e6 * greatest(coalesce(sum(p) FILTER ({_GAMMA_OF} = level), 0) / sum(p), 1e-6) + 0.5) AS BIGINT) AS m FROM l, s GROUP BY comparison, level""")
+def em_step(spark, sf):
+    """One step of the estimate of m: posteriors by pattern, then level shares."""
+    compared = linkage.compare(blocked(spark, sf).drop("match_key"), persons(spark, sf), COMPARISONS, keep=False)
+    counts = [r.asDict() for r in linkage.patterns(compared, COMPARISONS).collect()]  # a row a pattern
+    _, m = linkage.expectation_maximization(counts, COMPARISONS, PRIOR, steps=1)
+    rows = [(k, i, int(1e6 * x + 0.5)) for k, v in m.items() for i, x in enumerate(v)]
+    return spark.createDataFrame(rows, "comparison string, level int, m long")
+
+
 @query(MODEL + " SELECT record_id_l, record_id_r, CAST(floor(1e6 * w + 0.5) AS BIGINT) AS weight, CAST(floor(1e6 * p + 0.5) AS BIGINT) AS probability FROM probabilities")
 def link_score_pairs(spark, sf):
     return scored(spark, sf).select("record_id_l", "record_id_r", micro(F.col("match_weight")).alias("weight"), micro(F.col("match_probability")).alias("probability"))
@@ -240,10 +261,18 @@ def summary_text(spark, sf):
     return all_summaries(spark, sf).select(F.col("PATIENT").alias("patient"), "summary")
 
 
-@query()
+_METRICS = ("click", "purchase", "view", "login", "logout")
+_OBSERVED = f"""WITH m(i, name) AS (VALUES {", ".join(f"({i}, '{n}')" for i, n in enumerate(_METRICS))}),
+r AS (SELECT user_id, i, name, event_id, ts, round(value, 2) AS v, row_number() OVER (PARTITION BY user_id, i ORDER BY CAST(ts AS DATE) DESC NULLS FIRST, event_id DESC) AS back FROM events JOIN m ON regexp_matches(event_type, '(?i)' || name)),
+l AS (SELECT user_id, i, '- ' || name || ': ' || string_agg(CAST(v AS VARCHAR) || ' u (' || coalesce(strftime(ts, '%Y-%m-%d'), '') || ')', ', ' ORDER BY back DESC) AS line FROM r WHERE back <= 2 AND v IS NOT NULL GROUP BY user_id, i, name),
+b AS (SELECT user_id, string_agg(line, chr(10) ORDER BY i) AS body FROM l GROUP BY user_id)
+SELECT u.user_id AS patient, 'OBSERVATIONS:' || coalesce(chr(10) || body, '') AS text FROM (SELECT DISTINCT user_id FROM events) u LEFT JOIN b ON b.user_id = u.user_id"""
+
+
+@query(_OBSERVED)
 def summary_observations(spark, sf):
     e = t(spark, sf, "events").select(F.col("user_id").alias("PATIENT"), F.col("event_id").alias("ord"), F.col("ts").alias("DATE"), F.col("event_type").alias("DESCRIPTION"), F.round("value", 2).alias("VALUE"), F.lit("u").alias("UNITS"))
-    return summarize.observations(e, "PATIENT", ("click", "purchase", "view", "login", "logout"))
+    return summarize.observations(e, "PATIENT", _METRICS).select(F.col("PATIENT").alias("patient"), "text")
 
 
 _Q = [p.replace("'", "''").replace("\n", "' || chr(10) || '") for p in summarize.PROMPT]
@@ -310,12 +339,22 @@ def match_source(spark, sf):
     return linkage.union_with_source(scored_pairs(spark, sf).where("p >= 0.9").select(*keys), b)
 
 
-@query()
+@query(f"""WITH {HISTORY}, w AS (SELECT a.p AS patient, list_distinct(list_filter(regexp_split_to_array('{_Q[0]}' || a.summary, '\\s+'), lambda x: x <> '')) AS x, list_distinct(list_filter(regexp_split_to_array(b.summary || '{_Q[2]}', '\\s+'), lambda x: x <> '')) AS y FROM s a JOIN s b ON b.p = a.p + 1),
+z AS (SELECT patient, 8 * (len(list_intersect(x, y)) / greatest(1, len(list_distinct(x || y)))::DOUBLE - 0.5) AS z FROM w)
+SELECT patient, CASE WHEN z > 0 THEN 1 ELSE 0 END AS prediction, CAST(floor(1e4 * greatest(1 / (1 + exp(-z)), 1 / (1 + exp(z))) + 0.5) AS BIGINT) AS confidence FROM z""")
 def text_scorer(spark, sf):
-    """Stand-in classifier over pairs of summaries, with the error summary's columns."""
+    """The stand-in classifier over prompts of two summaries."""
     s = all_summaries(spark, sf)
     pairs = s.select(F.col("PATIENT").alias("patient"), F.col("summary").alias("a")).join(s.select((F.col("PATIENT") - 1).alias("patient"), F.col("summary").alias("b")), "patient")
-    return pairs.select("patient", linkage.overlap_scorer("a", "b").alias("s")).select("patient", "s.prediction", "s.confidence")
+    scored = scoring.score_texts(pairs.select("patient", summarize.prompt(F.col("a"), F.col("b")).alias("text")), scoring.word_overlap)
+    return scored.select("patient", "prediction", F.round(F.col("confidence") * 1e4).cast("long").alias("confidence"))
+
+
+@query("SELECT count(*) AS n, count(*) FILTER (quality <> toxic) AS errors, count(*) FILTER (quality = 0 AND toxic = 1) AS false_positives, count(*) FILTER (quality = 1 AND toxic = 0) AS false_negatives, CAST(round(avg(CASE WHEN quality <> toxic THEN (doc_id % 50) / 100.0::DOUBLE END) * 1e6) AS BIGINT) AS wrong, CAST(round(avg(CASE WHEN quality = toxic THEN (doc_id % 50) / 100.0::DOUBLE END) * 1e6) AS BIGINT) AS correct FROM labels")
+def error_summary(spark, sf):
+    rows = t(spark, sf, "labels").withColumn("c", (F.col("doc_id") % 50) / 100.0)
+    out = evaluate.error_summary(rows, "quality", "toxic", "c")
+    return out.select("n", "errors", "false_positives", "false_negatives", F.round(F.col("confidence_wrong") * 1e6).cast("long").alias("wrong"), F.round(F.col("confidence_right") * 1e6).cast("long").alias("correct"))
 
 
 def matches(spark, sf) -> DataFrame:
@@ -336,26 +375,66 @@ def connected_components_of_matches(spark, sf):
     return connected_components(matches(spark, sf), "record_id_1", "record_id_2")
 
 
-for _strategy, _pick in (("most_frequent", None), ("most_recent", "max_by({f}, ord)"), ("field_specific", None)):
+_FIELDS = ("city", "birthdate", "address", "ssn", "first_name")
+# values that differ within a cluster: addresses of several lengths, SSNs with and without dashes, names in several cases, blanks
+_DRESSED = """dressed AS (SELECT *, CAST(birth_year AS VARCHAR) AS birthdate, CASE WHEN record_id % 5 = 0 THEN ' ' ELSE repeat('x', CAST(record_id % 3 AS INTEGER)) || city END AS address,
+  CASE WHEN record_id % 3 = 0 THEN '123-45' ELSE '12345' END || CAST(record_id % 2 AS VARCHAR) AS ssn, CASE WHEN record_id % 2 = 0 THEN upper(first_name) ELSE upper(first_name[1]) || first_name[2:] END AS given FROM clusters)"""
+
+
+def dressed(spark, sf) -> DataFrame:
+    k, name = F.col("record_id"), F.col("first_name")
+    clustered = golden.assign_clusters(persons(spark, sf), matches(spark, sf))
+    return clustered.withColumns({
+        "birthdate": F.col("birth_year").cast("string"),
+        "address": F.when(k % 5 == 0, " ").otherwise(F.concat(F.repeat(F.lit("x"), (k % 3).cast("int")), "city")),
+        "ssn": F.concat(F.when(k % 3 == 0, "123-45").otherwise("12345"), (k % 2).cast("string")),
+        "first_name": F.when(k % 2 == 0, F.upper(name)).otherwise(F.concat(F.upper(F.left(name, F.lit(1))), F.substr(name, F.lit(2)))),
+    })
+
+
+def _vote_sql(field: str, strategy: str) -> str:
+    column = "given" if field == "first_name" else field
+    rank = {"most_recent": "l DESC", "most_frequent": "n DESC, o"}.get(strategy) or {
+        "address": f"length({column}) DESC, o", "ssn": f"contains({column}, '-') DESC, o", "first_name": f"({column} = upper({column}[1]) || lower({column}[2:])) DESC, o",
+    }.get(field, "n DESC, o")
+    votes = f"SELECT cluster, {column}, count(*) AS n, min(ord) AS o, max(ord) AS l FROM dressed WHERE trim({column}) <> '' GROUP BY cluster, {column}"
+    return f"(SELECT cluster, {column} AS {field} FROM (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY {rank}) AS r FROM ({votes})) WHERE r = 1) v_{field}"
+
+
+for _strategy in ("most_frequent", "most_recent", "field_specific"):
 
     def _golden(spark, sf, strategy=_strategy):
-        clustered = golden.assign_clusters(persons(spark, sf), matches(spark, sf)).withColumn("birthdate", F.col("birth_year").cast("string"))
-        return golden.merge(clustered, strategy, ("city", "birthdate")).select("cluster", "num_records", "source_record_ids", "city", "birthdate")
+        return golden.merge(dressed(spark, sf), strategy, _FIELDS).select("cluster", "num_records", "source_record_ids", *_FIELDS)
 
     QUERIES[f"golden_{_strategy}"] = _golden
-    if _pick:
-        _votes = f"SELECT cluster, count(*) AS num_records, string_agg(CAST(record_id AS VARCHAR), ',' ORDER BY ord) AS source_record_ids, {_pick.format(f='city')} AS city, CAST({_pick.format(f='birth_year')} AS VARCHAR) AS birthdate FROM clusters GROUP BY cluster"
-    else:
-        _vote = lambda f: f"(SELECT cluster, {f} AS v, row_number() OVER (PARTITION BY cluster ORDER BY n DESC, o) AS r FROM (SELECT cluster, {f}, count(*) AS n, min(ord) AS o FROM clusters GROUP BY cluster, {f}))"
-        _votes = f"SELECT k.cluster, num_records, source_record_ids, a.v AS city, CAST(b.v AS VARCHAR) AS birthdate FROM (SELECT cluster, count(*) AS num_records, string_agg(CAST(record_id AS VARCHAR), ',' ORDER BY ord) AS source_record_ids FROM clusters GROUP BY cluster) k JOIN {_vote('city')} a ON a.cluster = k.cluster AND a.r = 1 JOIN {_vote('birth_year')} b ON b.cluster = k.cluster AND b.r = 1"
-    ORACLES[f"golden_{_strategy}"] = f"WITH {PERSONS}, {CLUSTERS} {_votes}"
+    _votes = " ".join(f"LEFT JOIN {_vote_sql(f, _strategy)} USING (cluster)" for f in _FIELDS)
+    _listed = "SELECT cluster, count(*) AS num_records, string_agg(CAST(record_id AS VARCHAR), ',' ORDER BY ord) AS source_record_ids FROM dressed GROUP BY cluster"
+    ORACLES[f"golden_{_strategy}"] = f"WITH {PERSONS}, {CLUSTERS}, {_DRESSED} SELECT cluster, num_records, source_record_ids, {', '.join(_FIELDS)} FROM ({_listed}) k {_votes}"
+
+
+@query(f"WITH {PERSONS}, {CLUSTERS}, k AS (SELECT cluster, count(*) AS n FROM clusters GROUP BY cluster) SELECT 'golden_' || lpad(CAST(row_number() OVER (ORDER BY CASE WHEN n > 1 THEN 0 ELSE 1 END, cluster) - 1 AS VARCHAR), 6, '0') AS golden_id, cluster, n AS num_records FROM k")
+def golden_ids(spark, sf):
+    clustered = golden.assign_clusters(persons(spark, sf), matches(spark, sf))
+    return golden.number(clustered.groupBy("cluster").agg(F.count(F.lit(1)).alias("num_records"))).select("golden_id", "cluster", "num_records")
+
 
+@query(f"WITH {PERSONS}, {CLUSTERS} SELECT record_id FROM clusters WHERE cluster IN (SELECT cluster FROM clusters GROUP BY cluster HAVING count(*) = 1)")
+def singleton_records(spark, sf):
+    return golden.singletons(persons(spark, sf), matches(spark, sf))
 
-@query(f"WITH {PERSONS}, {CLUSTERS}, k AS (SELECT cluster, city AS tp, count(*) AS n FROM clusters GROUP BY ALL), c AS (SELECT cluster, sum(n) AS n, count(*) AS m FROM k GROUP BY cluster), s AS (SELECT tp, count(*) AS parts, sum(k.n) AS n, max(m) AS mixed FROM k JOIN c USING (cluster) GROUP BY tp) SELECT (SELECT count(*) FROM c) AS n_clusters, (SELECT round(sum(CASE WHEN m = 1 THEN n ELSE 0 END) / sum(n)::DOUBLE, 4) FROM c) AS purity, (SELECT round(count(*) FILTER (parts = 1) / count(*)::DOUBLE, 4) FROM s) AS completeness, (SELECT count(*) FROM s WHERE parts > 1) AS split_patients, (SELECT count(*) FROM c WHERE m > 1) AS impure_clusters, (SELECT coalesce(round(count(*) FILTER (n > 1 AND parts = 1 AND mixed = 1) / nullif(count(*) FILTER (n > 1), 0)::DOUBLE, 4), 0.0) FROM s) AS perfect_resolution_rate")
+
+@query(f"WITH {PERSONS}, {CLUSTERS}, k AS (SELECT cluster, count(*) AS n FROM clusters GROUP BY cluster), p AS (SELECT count(DISTINCT concat_ws('|', first_name, last_name, zip, birth_year)) AS m FROM persons) SELECT (SELECT count(*) FROM k) AS num_golden_records, m AS num_true_patients, (SELECT count(*) FROM k) = m AS count_accuracy, (SELECT count(*) FROM k) - m AS count_difference, (SELECT max(n) FROM k) AS max_records_per_patient, CAST(round(1e6 * (SELECT avg(n) FROM k)) AS BIGINT) AS avg_records FROM p")
+def golden_counts(spark, sf):
+    made = golden.assign_clusters(persons(spark, sf), matches(spark, sf)).groupBy("cluster").agg(F.count(F.lit(1)).alias("num_records"))
+    out = evaluate.golden_counts(made, truth(spark, sf))
+    return out.select("num_golden_records", "num_true_patients", "count_accuracy", "count_difference", "max_records_per_patient", F.round(F.col("avg_records_per_patient") * 1e6).cast("long").alias("avg_records"))
+
+
+@query(f"WITH {PERSONS}, {CLUSTERS}, k AS (SELECT cluster, city AS tp, count(*) AS n FROM clusters WHERE record_id % 7 <> 0 GROUP BY ALL), c AS (SELECT cluster, sum(n) AS n, count(*) AS m FROM k GROUP BY cluster), s AS (SELECT tp, count(*) AS parts, sum(k.n) AS n, max(m) AS mixed FROM k JOIN c USING (cluster) GROUP BY tp) SELECT (SELECT count(DISTINCT cluster) FROM clusters) AS n_clusters, (SELECT round(sum(CASE WHEN m = 1 THEN n ELSE 0 END) / sum(n)::DOUBLE, 4) FROM c) AS purity, (SELECT round(count(*) FILTER (parts = 1) / count(*)::DOUBLE, 4) FROM s) AS completeness, (SELECT count(*) FROM s WHERE parts > 1) AS split_patients, (SELECT count(*) FROM c WHERE m > 1) AS impure_clusters, (SELECT coalesce(round(count(*) FILTER (n > 1 AND parts = 1 AND mixed = 1) / nullif(count(*) FILTER (n > 1), 0)::DOUBLE, 4), 0.0) FROM s) AS perfect_resolution_rate")
 def cluster_quality(spark, sf):
     p = persons(spark, sf)
     clustered = golden.assign_clusters(p, matches(spark, sf)).select("record_id", "cluster")
-    return golden.cluster_quality(clustered, p.select("record_id", F.col("city").alias("true_patient_id")))
+    return golden.cluster_quality(clustered, p.where("record_id % 7 <> 0").select("record_id", F.col("city").alias("true_patient_id")))
 
 
 @query("WITH f AS (SELECT o_custkey, count(DISTINCT o_orderkey % 5) AS facilities FROM orders GROUP BY o_custkey) SELECT facilities, count(*) AS patients FROM f GROUP BY facilities")
@@ -375,19 +454,79 @@ def classification_metrics(spark, sf):
 
 @query("SELECT lang, avg(n_chars) AS mean, quantile_cont(n_chars, 0.5) AS median, min(n_chars) AS least, max(n_chars) AS most, quantile_cont(n_chars, 0.95) AS p95 FROM documents GROUP BY lang")
 def length_percentiles(spark, sf):
-    return t(spark, sf, "documents").groupBy("lang").agg(F.avg("n_chars").alias("mean"), F.percentile("n_chars", 0.5).alias("median"), F.min("n_chars").alias("least"), F.max("n_chars").alias("most"), F.percentile("n_chars", 0.95).alias("p95"))
+    return dataset.length_statistics(t(spark, sf, "documents"), F.col("n_chars"), "lang")
 
 
-@query("SELECT conv_id, string_agg(role || ': ' || coalesce(text, ''), chr(10) ORDER BY turn, role, text) AS chat, count(*) AS turns FROM conversations GROUP BY conv_id")
+@query("SELECT doc_id, 'user: ' || text || ' assistant: ' || CASE WHEN quality = 1 THEN 'True' ELSE 'False' END AS chat, quality AS label, CASE WHEN length(text) > 200 THEN substr(text, 1, 200) || '...' ELSE text END AS preview FROM labels JOIN documents USING (doc_id) WHERE text IS NOT NULL AND quality IS NOT NULL")
 def chat_rows(spark, sf):
-    c = t(spark, sf, "conversations")
-    return c.groupBy("conv_id").agg(summarize.ordered(["turn", "role", "text"], F.concat("role", F.lit(": "), F.coalesce("text", F.lit(""))), "\n").alias("chat"), F.count(F.lit(1)).alias("turns"))
+    rows = t(spark, sf, "labels").join(t(spark, sf, "documents").select("doc_id", "text"), "doc_id").where("text IS NOT NULL AND quality IS NOT NULL")
+    rows = rows.select("doc_id", "text", dataset.chat(F.col("text"), F.col("quality")).alias("messages"))
+    line = F.array_join(F.transform("messages", lambda m: F.concat(m["role"], F.lit(": "), m["content"])), " ")
+    return rows.select("doc_id", line.alias("chat"), dataset.decode_label(F.col("messages")).alias("label"), dataset.preview(F.col("text")).alias("preview"))
 
 
-@query("SELECT c_mktsegment AS i, coalesce(max(CASE WHEN r_name = 'AFRICA' THEN n END), 0) AS africa, coalesce(max(CASE WHEN r_name = 'ASIA' THEN n END), 0) AS asia FROM (SELECT c_mktsegment, r_name, count(*) AS n FROM customer JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey GROUP BY ALL) GROUP BY 1")
+_CHOSEN = f"""{MODEL}, pp AS (SELECT record_id_l AS a, record_id_r AS b, CAST(floor(1e6 * p + 0.5) AS BIGINT) AS p FROM probabilities WHERE record_id_l <= 40 AND record_id_r <= 40),
+m AS (SELECT a AS i, b AS j, p FROM pp UNION ALL SELECT b, a, p FROM pp UNION ALL SELECT k, k, 1000000 FROM range(1, 41) r(k))"""
+
+
+@query(f"{_CHOSEN} SELECT i, {', '.join(f'max(CASE WHEN j = {k} THEN p END) AS c{k}' for k in range(1, 41))} FROM m GROUP BY i")
 def pair_matrix_pivot(spark, sf):
-    joined = t(spark, sf, "customer").join(F.broadcast(t(spark, sf, "nation")), F.col("n_nationkey") == F.col("c_nationkey")).join(F.broadcast(t(spark, sf, "region")), F.col("r_regionkey") == F.col("n_regionkey"))
-    return joined.groupBy(F.col("c_mktsegment").alias("i")).pivot("r_name", ["AFRICA", "ASIA"]).agg(F.count(F.lit(1))).select("i", F.coalesce("AFRICA", F.lit(0)).alias("africa"), F.coalesce("ASIA", F.lit(0)).alias("asia"))
+    """Probabilities of every two of forty records, as a matrix: a report."""
+    ids = list(range(1, 41))
+    matrix = evaluate.probability_matrix(scored_pairs(spark, sf), ids)
+    return matrix.select("i", *(micro(F.col(f"`{k}`")).alias(f"c{k}") for k in ids))
+
+
+@query(f"{MODEL}, {TRUTH} SELECT count(*) AS true_pairs, count(s.record_id_l) AS found, CASE WHEN count(*) > 0 THEN count(s.record_id_l) / count(*)::DOUBLE ELSE 0.0 END AS blocking_recall FROM tpairs t LEFT JOIN probabilities s ON s.record_id_l = t.record_id_1 AND s.record_id_r = t.record_id_2 AND s.p >= 0.5")
+def blocking_recall(spark, sf):
+    return evaluate.blocking_recall(scored_pairs(spark, sf).where("p >= 0.5"), evaluate.truth_pairs(truth(spark, sf)))
+
+
+@query(f"{MODEL} SELECT count(*) AS candidate_pairs, count(*) FILTER (p >= 0.9) AS auto_match_count, count(*) FILTER (p >= 0.01 AND p < 0.9) AS gray_zone_count, count(*) FILTER (p < 0.01) AS auto_reject_count FROM probabilities")
+def tier_counts(spark, sf):
+    return evaluate.tier_counts(scored(spark, sf).withColumn("tier", linkage.tier(F.col("match_probability"), 0.9, 0.01)))
+
+
+@query("WITH c AS (SELECT 100.0::DOUBLE * count(*) / 100 AS n FROM lineitem) SELECT s AS scenario, CAST(floor(1e6 * (CASE WHEN s = 'measured' THEN 0.5::DOUBLE ELSE k END)) AS BIGINT) AS share, CAST(floor(n * (CASE WHEN s = 'measured' THEN 0.5::DOUBLE ELSE k END)) AS BIGINT) AS pairs, CAST(round(1e6 * floor(n * (CASE WHEN s = 'measured' THEN 0.5::DOUBLE ELSE k END)) / 20.0 / 3600 * 2.79) AS BIGINT) AS cost FROM c, (VALUES ('measured', 0.5::DOUBLE), ('20%', 0.2::DOUBLE), ('10%', 0.1::DOUBLE), ('5%', 0.05::DOUBLE)) v(s, k)")
+def scoring_cost(spark, sf):
+    n = t(spark, sf, "lineitem").agg(F.count(F.lit(1)).alias("candidate_pairs")).withColumn("gray_zone_count", F.floor(F.col("candidate_pairs") / 2))
+    out = evaluate.scoring_cost(n, 20.0, 2.79)
+    return out.select("scenario", F.floor(F.col("share") * 1e6 + 1e-6).cast("long").alias("share"), F.col("pairs").cast("long").alias("pairs"), F.round(F.col("cost") * 1e6).cast("long").alias("cost"))
+
+
+@query(f"{MODEL}, {TRUTH}, c AS (SELECT 1 AS k), f AS (SELECT CASE WHEN p >= 0.9 THEN 'a' ELSE 'b' END AS s, p, t.record_id_1 IS NOT NULL AS hit FROM probabilities s LEFT JOIN tpairs t ON s.record_id_l = t.record_id_1 AND s.record_id_r = t.record_id_2), r AS (SELECT 1 - count(*) FILTER (hit AND p >= 0.9) / greatest((SELECT count(*) FROM tpairs), 1)::DOUBLE AS x, 1 - count(*) FILTER (hit AND p >= 0.2) / greatest((SELECT count(*) FROM tpairs), 1)::DOUBLE AS y FROM f) SELECT m AS metric, CASE WHEN m = 'missed_matches' THEN x ELSE 0.5 END AS base_rate, CASE WHEN m = 'missed_matches' THEN y ELSE 0.25 END AS other_rate, CASE WHEN m <> 'missed_matches' THEN 0.5::DOUBLE WHEN x > 0 THEN (x - y) / x END AS reduction FROM r, (VALUES ('fragmentation'), ('unresolved'), ('missed_matches')) v(m)")
+def failure_rates(spark, sf):
+    pairs, rows = evaluate.truth_pairs(truth(spark, sf)), None
+    for name, threshold, other in (("base", 0.9, 0.5), ("other", 0.2, 0.75)):
+        found = evaluate.metrics(evaluate.confusion(scored_pairs(spark, sf).where(F.col("p") >= threshold), pairs))
+        row = found.select(F.lit(name).alias("scenario"), F.lit(other).alias("completeness"), F.lit(other).alias("perfect_resolution_rate"), "recall")
+        rows = row if rows is None else rows.unionByName(row)
+    return evaluate.failure_rates(rows, "base", "other")
+
+
+@query("WITH p AS (SELECT *, row_number() OVER (PARTITION BY quality ORDER BY md5(CAST(doc_id AS VARCHAR))) AS rn FROM labels) SELECT doc_id, quality FROM p WHERE rn <= 50")
+def balanced_subsample(spark, sf):
+    return dataset.balanced_subsample(t(spark, sf, "labels").select("doc_id", "quality"), "quality", F.md5(F.col("doc_id").cast("string")), 100)
+
+
+@query("SELECT k AS class, count(*) FILTER (quality = k) AS support, CASE WHEN count(*) FILTER (toxic = k) > 0 THEN count(*) FILTER (quality = k AND toxic = k) / (count(*) FILTER (toxic = k))::DOUBLE ELSE 0.0 END AS precision, CASE WHEN count(*) FILTER (quality = k) > 0 THEN count(*) FILTER (quality = k AND toxic = k) / (count(*) FILTER (quality = k))::DOUBLE ELSE 0.0 END AS recall FROM labels, (VALUES (0), (1)) v(k) GROUP BY k")
+def class_report(spark, sf):
+    return evaluate.class_report(t(spark, sf, "labels"), "quality", "toxic").select("class", "support", "precision", "recall")
+
+
+_VERDICT = f"""{MODEL}, x AS (SELECT *, CASE WHEN record_id_l % 2 = 0 THEN 1 ELSE 0 END AS pred, CASE WHEN record_id_r % 10 <> 3 THEN (record_id_r % 100) / 100.0::DOUBLE END AS conf, record_id_l % 3 <> 0 AS known FROM probabilities),
+y AS (SELECT *, CASE WHEN known THEN {_LOGIT('p')} ELSE 0 END + 1.5 * (CASE WHEN conf IS NULL THEN CASE WHEN pred = 1 THEN 2.0::DOUBLE ELSE -2.0 END ELSE {_LOGIT('CASE WHEN pred = 1 THEN conf ELSE 1 - conf END')} END + ln(0.01::DOUBLE / 0.99::DOUBLE)) AS z FROM x)"""
+
+
+@query(f"{_VERDICT} SELECT record_id_l AS record_id_1, record_id_r AS record_id_2, CAST(floor(1e6 * z + 0.5) AS BIGINT) AS combined, CASE WHEN known AND p < 0.02::DOUBLE THEN 'floor' WHEN z >= -5.5 THEN 'accepted' ELSE 'rejected' END AS verdict FROM y")
+def fusion_verdict(spark, sf):
+    """The fused score's verdict, with a floor; a third of the pairs have no model probability, a tenth no confidence."""
+    s = scored(spark, sf)
+    features = s.where("record_id_l % 3 <> 0").select(F.col("record_id_r").alias("record_id_1"), F.col("record_id_l").alias("record_id_2"), "match_probability")
+    predictions = s.select(F.col("record_id_l").alias("record_id_1"), F.col("record_id_r").alias("record_id_2"), F.when(F.col("record_id_l") % 2 == 0, 1).otherwise(0).alias("prediction"), F.when(F.col("record_id_r") % 10 != 3, (F.col("record_id_r") % 100) / 100.0).alias("confidence"))
+    settings = config.build(config.Fusion, config.PUBLISHED["gray_zone"] | {"min_probability": 0.02})
+    judged = linkage.verdict(linkage.with_features(predictions, features), settings)
+    return judged.select("record_id_1", "record_id_2", micro(F.col("combined")).alias("combined"), "verdict")
 
 
 def demographics(spark, sf) -> DataFrame:
@@ -404,17 +543,249 @@ def error_injection(spark, sf):
     return errors.error_statistics(errors.inject(demographics(spark, sf)))
 
 
-@query()
+_ASSIGNED = f"""n AS (SELECT c_custkey AS patient_id, least({weighted_sql(uniform_sql(42, "c_custkey", "0"), split.FACILITY_COUNTS)}, 5) AS n FROM customer),
+asg AS (SELECT patient_id, CAST(slot AS INTEGER) AS slot, CAST(f AS INTEGER) AS facility_id FROM (SELECT patient_id, n, f, row_number() OVER (PARTITION BY patient_id ORDER BY {uniform_sql(42, "patient_id", "f")}, f) - 1 AS slot FROM n, range(1, 6) r(f)) WHERE slot < n)"""
+
+
+@query(f"WITH {_ASSIGNED} SELECT * FROM asg")
 def facility_assignment(spark, sf):
     return split.assign_facilities(t(spark, sf, "customer").select(F.col("c_custkey").alias("patient_id")), 5)
 
 
-@query()
+def _confusable_sql(n: int, rounds: int) -> str:
+    """The rounds of split.confusable_pairs, one after the other."""
+    h = lambda *keys: "md5(" + " || '|' || ".join(["'42'", *(f"CAST({k} AS VARCHAR)" for k in keys)]) + ")"
+    ctes = [f"free0 AS (SELECT * FROM (SELECT facility_id, patient_id, row_number() OVER (PARTITION BY facility_id ORDER BY {h('patient_id')}) AS rn FROM asg) WHERE rn <= {max(20, 2 * n)})"]
+    for k in range(rounds):
+        ctes += [
+            f"g{k} AS (SELECT *, (row_number() OVER (PARTITION BY facility_id ORDER BY rn) - 1) // 2 AS g FROM free{k})",
+            f"p{k} AS (SELECT *, {h('a', 'b')} AS u FROM (SELECT DISTINCT min(patient_id) AS a, max(patient_id) AS b FROM g{k} GROUP BY facility_id, g) WHERE a < b)",
+            f"e{k} AS (SELECT p, min(u) AS least FROM (SELECT a AS p, u FROM p{k} UNION ALL SELECT b, u FROM p{k}) GROUP BY p)",
+            f"k{k} AS (SELECT a, b, u, {k} AS round FROM p{k} JOIN e{k} x ON x.p = a AND x.least = u JOIN e{k} y ON y.p = b AND y.least = u" + (f" WHERE (SELECT count(*) FROM f{k - 1}) < {n}" if k else "") + ")",
+            f"f{k} AS (SELECT * FROM k{k}" + (f" UNION ALL SELECT * FROM f{k - 1}" if k else "") + ")",
+            f"free{k + 1} AS (SELECT * FROM free{k} WHERE patient_id NOT IN (SELECT a FROM f{k} UNION ALL SELECT b FROM f{k}))",
+        ]
+    kind = weighted_sql(uniform_sql(43, "a", "b"), split.GROUP_TYPES)
+    return f"WITH {_ASSIGNED}, {', '.join(ctes)} SELECT a AS source_patient_id, b AS target_patient_id, {kind} AS group_type FROM (SELECT * FROM f{rounds - 1} ORDER BY round, u LIMIT {n})"
+
+
+@query(_confusable_sql(100, 3))
 def confusable_groups(spark, sf):
     people = t(spark, sf, "customer").select(F.col("c_custkey").alias("patient_id"))
     return split.confusable_pairs(split.assign_facilities(people, 5), 100)
 
 
-@query()
+@query(f"""WITH {PERSONS}, {TRUTH}, x AS (SELECT record_id, tp, row_number() OVER (ORDER BY record_id) - 1 AS i FROM truth), c AS (SELECT count(*) AS n FROM x), k AS (SELECT greatest(count(*), 200) AS k FROM tpairs),
+d AS (SELECT id, CAST(floor({uniform_sql(42, "id", "1")} * n) AS BIGINT) AS i1, CAST(floor({uniform_sql(42, "id", "2")} * n) AS BIGINT) AS i2 FROM range(0, 20000) r(id), c),
+p AS (SELECT least(a.record_id, b.record_id) AS record_id_1, greatest(a.record_id, b.record_id) AS record_id_2, min(id) AS id FROM d JOIN x a ON a.i = i1 JOIN x b ON b.i = i2 WHERE a.tp <> b.tp GROUP BY 1, 2)
+SELECT record_id_1, record_id_2 FROM p QUALIFY row_number() OVER (ORDER BY id, record_id_1, record_id_2) <= (SELECT k FROM k)""")
 def negative_pairs(spark, sf):
     return dataset.negatives(truth(spark, sf), least=200)  # sf0.001 has no true pairs
+
+
+_EU = lambda name, k: uniform_sql(7, "id", f"'{name}'", str(k))
+_AT = lambda name, k, first, length: f"CAST(floor({_EU(name, k)} * greatest(({length}) - {first} + 1, 1)) + {first} AS INTEGER)"
+_NICKS = "CASE n " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in text.NICKNAME.items()) + " ELSE n END"
+_PICK = lambda u, values: "[" + ", ".join(f"'{v}'" if isinstance(v, str) else str(v) for v in values) + f"][CAST(floor({u} * {len(values)}) + 1 AS INTEGER)]"
+_DASHED = lambda d: f"substr({d}, 1, 3) || '-' || substr({d}, 4, 2) || '-' || substr({d}, 6, 4)"
+_ERROR_SQL = {
+    "nickname_substitution": _NICKS,
+    "maiden_name_usage": "'Smith'",
+    "full_address_change": f"CAST(CAST(1 + floor({_EU('full_address_change', 0)} * 9998) AS INTEGER) AS VARCHAR) || ' ' || {_PICK(_EU('full_address_change', 1), errors.STREETS)} || ' ' || {_PICK(_EU('full_address_change', 2), errors.KINDS)}",
+    "date_off_by_one": f"strftime(b + CAST({_PICK(_EU('date_off_by_one', 0), [1, -1, 30, -30, 365, -365])} AS INTEGER), '%Y-%m-%d')",
+    "date_digit_transposition": "CASE WHEN day(b) <= 12 AND day(b) <> month(b) THEN strftime(b, '%Y-%d-%m') WHEN substr(y, 1, 2) || y[4] || y[3] BETWEEN '1900' AND '2025' AND try_cast(substr(y, 1, 2) || y[4] || y[3] || strftime(b, '-%m-%d') AS DATE) IS NOT NULL THEN substr(y, 1, 2) || y[4] || y[3] || strftime(b, '-%m-%d') ELSE strftime(b, '%Y-%m-%d') END",
+    "ssn_transposition": _DASHED(f"(substr(d, 1, {_AT('ssn_transposition', 0, 1, 8)} - 1) || substr(d, {_AT('ssn_transposition', 0, 1, 8)} + 1, 1) || substr(d, {_AT('ssn_transposition', 0, 1, 8)}, 1) || substr(d, {_AT('ssn_transposition', 0, 1, 8)} + 2))"),
+    "ssn_digit_error": _DASHED(f"(substr(d, 1, {_AT('ssn_digit_error', 0, 1, 9)} - 1) || CAST((CAST(substr(d, {_AT('ssn_digit_error', 0, 1, 9)}, 1) AS INTEGER) + 1 + CAST(floor({_EU('ssn_digit_error', 1)} * 9) AS INTEGER)) % 10 AS VARCHAR) || substr(d, {_AT('ssn_digit_error', 0, 1, 9)} + 1))"),
+    "ssn_format_variation": "d",
+    "extra_whitespace": f"replace(a, ' ', {_PICK(_EU('extra_whitespace', 0), ['  ', '   ', '    '])})",
+    "leading_trailing_whitespace": "CASE WHEN {u1} < {third}::DOUBLE THEN {pad} || n WHEN {u1} < {thirds}::DOUBLE THEN n || {pad} ELSE {pad} || n || {pad} END".format(u1=_EU("leading_trailing_whitespace", 1), third=repr(1 / 3), thirds=repr(2 / 3), pad=_PICK(_EU("leading_trailing_whitespace", 0), [" ", "  ", "   "])),
+    "special_character_variation": f"CASE WHEN {_EU('special_character_variation', 0)} < 0.5 THEN n || '.' ELSE n END",
+    "missing_field_value": "NULL",
+}
+_TARGETS = {"nickname_substitution": "FIRST", "maiden_name_usage": "LAST", "full_address_change": "ADDRESS", "date_off_by_one": "BIRTHDATE", "date_digit_transposition": "BIRTHDATE", "ssn_transposition": "SSN", "ssn_digit_error": "SSN", "ssn_format_variation": "SSN", "extra_whitespace": "ADDRESS", "leading_trailing_whitespace": "FIRST", "special_character_variation": "FIRST", "missing_field_value": "CITY"}
+_PEOPLE = f"c AS (SELECT CAST(c_custkey AS VARCHAR) AS id, {_PICK('0', ['x'])} AS unused, [{', '.join(repr(k) for k in text.NICKNAME)}][CAST(c_custkey % {len(text.NICKNAME)} + 1 AS INTEGER)] AS n, CAST(DATE '1950-01-01' + CAST(c_custkey % 18000 AS INTEGER) AS DATE) AS b, lpad(CAST(c_custkey AS VARCHAR), 9, '1') AS d, CAST(c_custkey AS VARCHAR) || ' Oak Street Apt 5' AS a FROM customer), e AS (SELECT *, strftime(b, '%Y') AS y FROM c)"
+
+
+@query(f"WITH {_PEOPLE} " + " UNION ALL ".join(f"SELECT id, '{k}' AS error, {v} AS errored FROM e" for k, v in _ERROR_SQL.items()))
+def error_values(spark, sf):
+    """Every customer's value after each of twelve errors."""
+    people = demographics(spark, sf)
+    classes = {name: f for group in errors.REGISTRY.values() for name, f, _ in group}
+    draw = lambda name: lambda k: uniform(7, F.col("Id"), name, k)
+    made = F.array(*(F.struct(F.lit(k).alias("error"), classes[k](F.col(f), draw(k), people.columns).alias("errored")) for k, f in _TARGETS.items()))
+    return people.select(F.col("Id").alias("id"), F.explode(made).alias("x")).select("id", "x.*")
+
+
+# Production rules and comparisons: every customer is two records of a person at most, with fields of every kind.
+_LETTERS = "abcdefghijklmnop"
+_WORD = lambda k, salt: f"translate(substr(md5('{salt}' || CAST({k} AS VARCHAR)), 1, 6), '0123456789abcdef', '{_LETTERS}')"
+_NAMES = ", ".join(f"'{k}'" for k in text.NICKNAME)
+_SOUNDS = lambda c: (
+    f"CASE WHEN trim({c}) <> '' THEN upper({c}[1]) || rpad(substr(replace(CASE WHEN upper({c}[1]) IN ('H', 'W') THEN {_CODES(c)} ELSE substr({_CODES(c)}, 2) END, '0', ''), 1, 3), 3, '0') END"
+)
+
+
+def _CODES(c: str) -> str:
+    out = f"translate(upper({c}), 'AEIOUYBFPVCGJKQSXZDTLMNRHW', '000000111122222222334556')"
+    for d in range(7):
+        out = f"regexp_replace({out}, '{d}+', '{d}', 'g')"
+    return out
+
+
+_CANONICAL = "CASE upper(trim(fn)) " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in text.CANONICAL.items()) + " ELSE upper(trim(fn)) END"
+PEOPLE = f"""raw AS (SELECT c_custkey AS k, c_custkey // 2 AS person FROM customer),
+people AS (SELECT 'facility_00' || CAST(k % 3 + 1 AS VARCHAR) || '_' || CAST(k AS VARCHAR) AS record_id, 'person' || CAST(person AS VARCHAR) AS true_patient_id, k AS ord,
+  CASE WHEN k % 23 = 0 THEN NULL WHEN k % 4 = 3 THEN 'Bill' ELSE upper(fn[1]) || lower(fn[2:]) END AS first_name, upper(ln[1]) || ln[2:] AS last_name, 'M' AS pad,
+  CASE WHEN k % 19 = 0 THEN NULL ELSE CAST(person AS VARCHAR) || CASE WHEN k % 2 = 0 THEN ' Oak Street' ELSE ' Oak St' END END AS address, {_WORD("person % 60", "city")} AS city,
+  CASE WHEN k % 17 = 0 THEN NULL ELSE lpad(CAST(person % 90 AS VARCHAR), 5, '0') END AS zip, CASE WHEN k % 7 = 0 THEN NULL ELSE lpad(CAST(person AS VARCHAR), 9, '1') END AS ssn,
+  CASE WHEN k % 29 = 0 THEN NULL ELSE strftime(CAST(DATE '1930-01-01' + CAST((person * 37) % 25000 + CASE WHEN k % 5 = 0 THEN 1 ELSE 0 END AS INTEGER) AS DATE), '%Y-%m-%d') END AS birthdate, CASE WHEN person % 2 = 0 THEN 'M' ELSE 'F' END AS gender
+  FROM (SELECT *, [{_NAMES}][CAST(person % {len(text.NICKNAME)} + 1 AS INTEGER)] AS fn, {_WORD("person % 400", "last")} AS ln FROM raw)),
+recs AS (SELECT *, CAST(substr(birthdate, 1, 4) AS INTEGER) AS birth_year, {_SOUNDS("fc")} AS sf, {_SOUNDS("last_name")} AS sl FROM (SELECT *, {_CANONICAL.replace("fn", "first_name")} AS fc FROM people))"""
+_KEY = {"soundex_first_name": "sf", "soundex_last_name": "sl"}
+_KEY_SQL = lambda side, k: f"{side}.{_KEY.get(k, k)}" if isinstance(k, str) else f"substr({side}.{k[0]}, 1, {k[1]})"
+_RULE_SQL = [" AND ".join(f"{_KEY_SQL('l', k)} = {_KEY_SQL('r', k)}" for k in rule) for rule in linkage.RULES]
+ALL_PAIRS = f"allpairs AS (SELECT l.record_id AS record_id_l, r.record_id AS record_id_r, CASE {' '.join(f'WHEN {r} THEN {n}' for n, r in enumerate(_RULE_SQL))} END AS match_key FROM recs l JOIN recs r ON l.record_id < r.record_id AND ({' OR '.join(f'({r})' for r in _RULE_SQL)}))"
+_SHARES = {4: ((0.05, 0.05, 0.1, 0.8), (0.85, 0.06, 0.05, 0.04)), 2: ((0.1, 0.9), (0.98, 0.02)), 6: ((0.02, 0.02, 0.03, 0.03, 0.1, 0.8), (0.6, 0.2, 0.1, 0.05, 0.02, 0.03))}
+PRODUCTION = [linkage.Comparison(c.name, c.levels, c.term_frequency, *_SHARES[len(c.levels) + 1]) for c in linkage.COMPARISONS]
+
+
+def _level_sql(c: linkage.Comparison) -> str:
+    l, r = f"l.{c.name}", f"r.{c.name}"
+    if c.name == "birthdate":
+        body = _DOB.removeprefix("CASE ").replace("(a,", f"({l},").replace(" b)", f" {r})").replace("a = b", f"{l} = {r}").replace("CAST(a ", f"CAST({l} ").replace("CAST(b ", f"CAST({r} ")
+    elif len(c.levels) == 1:
+        body = f"WHEN {l} = {r} THEN 1 ELSE 0 END"
+    else:
+        high, low = (0.92, 0.80) if c.name.endswith("_name") else (0.9, 0.7)
+        body = f"WHEN {l} = {r} THEN 3 WHEN jaro_winkler_similarity({l}, {r}) >= {high} THEN 2 WHEN jaro_winkler_similarity({l}, {r}) >= {low} THEN 1 ELSE 0 END"
+    return f"CASE WHEN {l} IS NULL OR {r} IS NULL THEN -1 {body} AS g_{c.name}"
+
+
+def _weight_sql(c: linkage.Comparison) -> str:
+    levels = " ".join(f"WHEN {k} THEN log2({m}::DOUBLE / {u}::DOUBLE)" for k, (m, u) in enumerate(zip(c.m, c.u)))
+    out = f"CASE g_{c.name} {levels} ELSE 0 END"
+    return out + (f" + CASE WHEN g_{c.name} = 3 THEN log2({c.u[-1]}::DOUBLE / t_{c.name}.tf) ELSE 0 END" if c.term_frequency else "")
+
+
+_TFS = ", ".join(f"f_{c.name} AS (SELECT {c.name} AS v, count(*) / (SELECT count({c.name}) FROM recs)::DOUBLE AS tf FROM recs GROUP BY {c.name})" for c in PRODUCTION if c.term_frequency)
+PRODUCTION_SQL = f"""WITH {PEOPLE}, {ALL_PAIRS}, {_TFS},
+levels AS (SELECT record_id_l, record_id_r, match_key, {", ".join(f"l.{c.name} AS v_{c.name}" for c in PRODUCTION if c.term_frequency)}, {", ".join(map(_level_sql, PRODUCTION))} FROM allpairs p JOIN recs l ON l.record_id = record_id_l JOIN recs r ON r.record_id = record_id_r),
+weights AS (SELECT record_id_l, record_id_r, match_key, log2(0.001::DOUBLE / 0.999::DOUBLE) + {" + ".join(map(_weight_sql, PRODUCTION))} AS w FROM levels {" ".join(f"LEFT JOIN f_{c.name} t_{c.name} ON t_{c.name}.v = v_{c.name}" for c in PRODUCTION if c.term_frequency)}),
+linked AS (SELECT record_id_l AS record_id_1, record_id_r AS record_id_2, match_key, w, 1 / (1 + exp(-ln(2::DOUBLE) * w)) AS p FROM weights)"""
+
+
+def raw_people(spark, sf) -> DataFrame:
+    """Raw patients of three facilities: two records a person, with nicknames, abbreviations, shifted birth dates and missing fields."""
+    k, person = F.col("c_custkey"), F.floor(F.col("c_custkey") / 2)
+    word = lambda key, salt: F.translate(F.substring(F.md5(F.concat(F.lit(salt), key.cast("string"))), 1, 6), "0123456789abcdef", _LETTERS)
+    first = F.element_at(F.array(*map(F.lit, text.NICKNAME)), (person % len(text.NICKNAME) + 1).cast("int"))
+    born = F.date_add(F.lit("1930-01-01").cast("date"), ((person * 37) % 25000 + F.when(k % 5 == 0, 1).otherwise(0)).cast("int"))
+    digits = F.lpad(person.cast("string"), 9, "1")
+    unless = lambda every, c: F.when(k % every != 0, c)
+    return t(spark, sf, "customer").select(
+        k.cast("string").alias("Id"), F.concat(F.lit("facility_00"), (k % 3 + 1).cast("string")).alias("facility_id"), unless(23, F.when(k % 4 == 3, "BILL").otherwise(first)).alias("FIRST"), word(person % 400, "last").alias("LAST"),
+        unless(19, F.concat(person.cast("string"), F.when(k % 2 == 0, " Oak Street").otherwise(" Oak St"))).alias("ADDRESS"), word(person % 60, "city").alias("CITY"), unless(17, (person % 90).cast("string")).alias("ZIP"),
+        unless(7, F.concat_ws("-", F.substring(digits, 1, 3), F.substring(digits, 4, 2), F.substring(digits, 6, 4))).alias("SSN"), unless(29, F.date_format(born, "yyyy-MM-dd")).alias("BIRTHDATE"), F.when(person % 2 == 0, "M").otherwise("F").alias("GENDER"),
+    )
+
+
+def linkage_records(spark, sf) -> DataFrame:
+    return standardize.prepare_linkage(standardize.create_record_id(standardize.standardize_columns(raw_people(spark, sf))))
+
+
+@query(f"WITH {PEOPLE} SELECT record_id, sf AS soundex_first_name, sl AS soundex_last_name, birth_year, birthdate, zip, ssn, first_name, city FROM recs")
+def prepared_records(spark, sf):
+    return linkage_records(spark, sf).select("record_id", "soundex_first_name", "soundex_last_name", "birth_year", "birthdate", "zip", "ssn", "first_name", "city")
+
+
+@query(f"WITH {PEOPLE}, {ALL_PAIRS} SELECT * FROM allpairs")
+def blocking_all_rules(spark, sf):
+    """All 25 rules; a low bound on hot blocks sends the largest through the cut."""
+    return linkage.block(linkage_records(spark, sf), hot_block=20)
+
+
+@query(f"WITH {PEOPLE}, {ALL_PAIRS} SELECT record_id_l, record_id_r FROM allpairs")
+def blocking_without_implied(spark, sf):
+    return linkage.block(linkage_records(spark, sf), match_key=False).select("record_id_l", "record_id_r")
+
+
+@query(f"{PRODUCTION_SQL} SELECT record_id_1, record_id_2, match_key, CAST(floor(1e6 * w + 0.5) AS BIGINT) AS weight FROM linked WHERE p >= 0.0001")
+def production_scores(spark, sf):
+    """All rules, all seven comparisons with their frequencies, and the cut of pairs below 0.0001."""
+    found = linkage.predict(linkage_records(spark, sf), linkage.Model(PRODUCTION, 0.001))
+    return found.select("record_id_1", "record_id_2", "match_key", micro(F.col("match_weight")).alias("weight"))
+
+
+def run_folder(spark, sf) -> str:
+    """The people above as a run folder with truth and clinical tables."""
+    run = scratch_path(spark)
+    people = raw_people(spark, sf)
+    io.write_facilities(people, run, "patients")
+    visit = people.select(F.col("Id").alias("PATIENT"), "facility_id", F.lit("2020-01-02").alias("START"), F.lit("").alias("STOP"), F.concat(F.lit("visit of "), "CITY").alias("DESCRIPTION"))
+    for table in ("conditions", "medications", "procedures"):
+        io.write_facilities(visit, run, table)
+    io.write_facilities(visit.select("PATIENT", "facility_id", "DESCRIPTION"), run, "allergies")
+    io.write_facilities(visit.select("PATIENT", "facility_id", F.lit("2020-01-02").alias("DATE"), F.lit("Body Height").alias("DESCRIPTION"), F.lit("170").alias("VALUE"), F.lit("cm").alias("UNITS")), run, "observations")
+    io.write_truth(people.select(F.col("Id").alias("original_patient_uuid"), F.substring("facility_id", -1, 1).cast("long").alias("facility_id")), run)
+    return run
+
+
+_AUTO = f"""{PRODUCTION_SQL.replace("WITH ", "WITH RECURSIVE ", 1)}, auto AS (SELECT record_id_1 AS a, record_id_2 AS b FROM linked WHERE p >= 0.99),
+edges AS (SELECT a, b FROM auto UNION ALL SELECT b, a FROM auto), reach(a, b) AS (SELECT a, b FROM edges UNION SELECT reach.a, edges.b FROM reach JOIN edges ON edges.a = reach.b),
+clusters AS (SELECT r.record_id, least(r.record_id, coalesce(min(reach.b), r.record_id)) AS cluster FROM recs r LEFT JOIN reach ON reach.a = r.record_id GROUP BY r.record_id)"""
+
+
+@query(f"""{_AUTO}, k AS (SELECT cluster, count(*) AS n, count(DISTINCT substr(record_id, 1, 12)) AS f FROM clusters GROUP BY cluster),
+v AS (SELECT cluster, city, row_number() OVER (PARTITION BY cluster ORDER BY count(*) DESC, min(record_id)) AS r FROM clusters JOIN recs USING (record_id) GROUP BY cluster, city)
+SELECT 'golden_' || lpad(CAST(row_number() OVER (ORDER BY CASE WHEN n > 1 THEN 0 ELSE 1 END, k.cluster) - 1 AS VARCHAR), 6, '0') AS golden_id, k.cluster, n AS num_records, f AS num_facilities, city FROM k JOIN v ON v.cluster = k.cluster AND r = 1""")
+def resolve_end_to_end(spark, sf):
+    """Run folder, linkage with a given model, texts of the gray zone, fusion with no text match, clusters, golden records."""
+    run, out = run_folder(spark, sf), scratch_path(spark)
+    settings = config.build(config.Matching, config.PUBLISHED)
+    found = programs.resolve(spark, run, out, settings, linkage.Model(PRODUCTION, 0.001))
+    nothing = found["gray_zone_pairs"].select(*programs.KEYS, F.lit(0).alias("prediction"), F.lit(1.0).alias("confidence")).where("false")
+    made = programs.golden_records(spark, run, found["auto_matches"], nothing, out, settings, found["features"])
+    return made["golden_records"].select("golden_id", "cluster", "num_records", "num_facilities", "city")
+
+
+_DEALT = """e AS (SELECT o_orderkey AS id, o_custkey AS p, CAST(o_orderkey % 5 + 1 AS INTEGER) AS f, o_orderdate AS s FROM orders), pf AS (SELECT DISTINCT p, f FROM e)"""
+
+
+@query(f"""WITH {_DEALT}, c AS (SELECT DISTINCT l_orderkey * 10 + l_linenumber AS id, l_orderkey AS o FROM lineitem)
+SELECT 'patients' AS name, f AS facility_id, count(*) AS n FROM pf GROUP BY f UNION ALL SELECT 'encounters', f, count(*) FROM e GROUP BY f
+UNION ALL SELECT 'conditions', f, count(*) FROM lineitem JOIN e ON l_orderkey = id GROUP BY f UNION ALL SELECT 'claims', f, count(*) FROM c JOIN e ON o = e.id GROUP BY f
+UNION ALL SELECT 'claims_transactions', f, count(*) * 2 FROM c JOIN e ON o = e.id GROUP BY f UNION ALL SELECT 'organizations', x.f, count(*) FROM nation, (SELECT DISTINCT f FROM pf) x GROUP BY x.f
+UNION ALL SELECT 'payer_transitions', f, count(*) FROM (SELECT p, f, min(s) AS a, max(s) AS b FROM e GROUP BY p, f) q JOIN (SELECT p AS tp, s AS x, lead(s) OVER (PARTITION BY p ORDER BY s, id) AS y FROM e) t ON tp = p AND x <= b AND (y IS NULL OR y >= a) GROUP BY f""")
+def split_all_tables(spark, sf):
+    """Rows of each table at each facility; orders are encounters, lines conditions and claims, the next order ends a payer's period."""
+    e = t(spark, sf, "orders").select(F.col("o_orderkey").alias("Id"), F.col("o_custkey").alias("PATIENT"), F.col("o_orderdate").alias("START"))
+    lines = t(spark, sf, "lineitem").select(F.col("l_orderkey").alias("ENCOUNTER"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("Id"))
+    claims = lines.select("Id", F.col("ENCOUNTER").alias("APPOINTMENTID")).distinct()
+    w = Window.partitionBy("PATIENT").orderBy("START", "Id")
+    at = e.select(F.col("Id").alias("encounter_id"), F.col("PATIENT").alias("patient_id"), (F.col("Id") % 5 + 1).cast("int").alias("facility_id"))
+    tables = {
+        "patients": e.select(F.col("PATIENT").alias("Id")).distinct(), "encounters": e, "conditions": lines.drop("Id"), "claims": claims,
+        "claims_transactions": claims.select(F.col("Id").alias("CLAIMID"), F.explode(F.array(F.lit(1), F.lit(2))).alias("Id")), "organizations": t(spark, sf, "nation").select(F.col("n_nationkey").alias("Id")),
+        "payer_transitions": e.select("PATIENT", F.col("START").alias("START_DATE"), F.lead("START").over(w).alias("END_DATE")),
+    }
+    out = None
+    for name, df in split.split_tables(tables, at.select("patient_id", "facility_id").distinct(), at).items():
+        n = df.groupBy("facility_id").agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("name"), "facility_id", "n")
+        out = n if out is None else out.unionByName(n)
+    return out
+
+
+@query("SELECT CAST(o_orderkey % 5 + 1 AS INTEGER) AS facility_id, 'encounters' AS \"table\", 'PATIENT' AS key, count(DISTINCT o_custkey) AS violations FROM orders WHERE o_custkey % 9 = 0 GROUP BY 1")
+def reference_violations(spark, sf):
+    """A ninth of the patients is missing at every facility."""
+    e = t(spark, sf, "orders").select(F.col("o_orderkey").alias("Id"), F.col("o_custkey").alias("PATIENT"), (F.col("o_orderkey") % 5 + 1).cast("int").alias("facility_id"))
+    people = e.where("PATIENT % 9 <> 0").select(F.col("PATIENT").alias("Id"), "facility_id").distinct()
+    return validate.reference_violations({"patients": people, "encounters": e})
+
+
+@query("""WITH f AS (SELECT o_custkey AS p, CAST(o_orderkey % 5 + 1 AS BIGINT) AS f, o_orderkey AS e FROM orders), n AS (SELECT p, count(DISTINCT f) AS k FROM f GROUP BY p)
+SELECT 'facility_count_distribution' AS statistic, CAST(k AS BIGINT) AS key, count(*) AS n FROM n GROUP BY k UNION ALL SELECT 'encounter_count_per_facility', f, count(*) FROM f GROUP BY f
+UNION ALL SELECT 'patient_count_per_facility', f, count(DISTINCT p) FROM f GROUP BY f UNION ALL SELECT 'total_patients', NULL, count(DISTINCT p) FROM f UNION ALL SELECT 'total_encounters', NULL, count(*) FROM f""")
+def facility_statistics(spark, sf):
+    at = encounters(spark, sf).select("patient_id", "encounter_id", "facility_id")
+    return split.all_statistics(at.select("patient_id", "facility_id").distinct(), at)

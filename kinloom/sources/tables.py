@@ -1,51 +1,127 @@
-"""Reading and writing run folders: CSV to Parquet, facility tables, clinical tables, truth."""
+"""Reading and writing run folders: CSV to Parquet, facility tables, clinical tables, truth, pair files.
+
+A run folder has ``facilities`` and ``metadata``. A facility table is one dataset,
+``facilities/<table>.parquet`` in partitions by facility_id, as this package writes
+it, or one file or folder a facility, ``facilities/facility_NNN/<table>.parquet``.
+"""
 
 from __future__ import annotations
 
 import json
+import re
+import warnings
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinloom.functions.text import strip_digits
+from kinloom.operators.split import ENCOUNTER_LINKED
 from kinloom.operators.standardize import create_record_id, standardize_columns
 
-CLINICAL = ("encounters", "conditions", "medications", "observations", "procedures", "immunizations", "allergies", "careplans", "imaging_studies", "devices", "supplies")
-#: Columns read as timestamps, by table.
+CLINICAL = ("encounters", *ENCOUNTER_LINKED)
+# The source tables, and of those that a summary reads, the columns.
+SOURCE = (
+    "patients", "encounters", "conditions", "medications", "observations", "procedures", "immunizations", "allergies", "careplans", "imaging_studies",
+    "devices", "supplies", "claims", "claims_transactions", "payer_transitions", "organizations", "providers", "payers",
+)
+SUMMARY_COLUMNS = {
+    "conditions": ("PATIENT", "START", "STOP", "DESCRIPTION"),
+    "medications": ("PATIENT", "START", "STOP", "DESCRIPTION"),
+    "allergies": ("PATIENT", "DESCRIPTION"),
+    "observations": ("PATIENT", "DATE", "DESCRIPTION", "VALUE", "UNITS"),
+    "procedures": ("PATIENT", "START", "DESCRIPTION"),
+}
+#: Columns read as timestamps, by table, and as numbers in any table; all others are strings.
 STAMPS = {"encounters": ("START", "STOP"), "payer_transitions": ("START_DATE", "END_DATE"), "patients": ("BIRTHDATE", "DEATHDATE")}
+NUMBERS = ("LAT", "LON", "BASE_ENCOUNTER_COST", "TOTAL_CLAIM_COST", "PAYER_COVERAGE", "BASE_COST", "TOTALCOST", "DISPENSES")
+
+
+def _paths(spark: SparkSession, pattern: str) -> list[str]:
+    """Paths that match a pattern, in order, on any file system that Spark knows."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(pattern)
+    found = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(path)
+    return sorted(f.getPath().toString() for f in found or [])
 
 
 def read_csv(spark: SparkSession, path: str, table: str) -> DataFrame:
-    """Strings, but for the table's timestamps in either of two formats; digits leave patients' names; ZIPs keep their zeros."""
+    """Strings, but for numbers and the table's timestamps in either of two formats; what is no number or date is null. Digits leave patients' names; ZIPs keep their zeros."""
     df = spark.read.option("header", True).csv(path)
     for c in STAMPS.get(table, ()):
         if c in df.columns:
             df = df.withColumn(c, F.coalesce(F.try_to_timestamp(c, F.lit("yyyy-MM-dd'T'HH:mm:ss'Z'")), F.try_to_timestamp(c, F.lit("yyyy-MM-dd"))))
+    df = df.withColumns({c: F.expr(f"try_cast(`{c}` AS DOUBLE)") for c in NUMBERS if c in df.columns})
     if table == "patients":
-        for c in ("FIRST", "LAST", "MAIDEN"):
-            if c in df.columns:
-                df = df.withColumn(c, strip_digits(F.col(c)))
+        df = df.withColumns({c: strip_digits(F.col(c)) for c in ("FIRST", "LAST", "MAIDEN") if c in df.columns})
     return df
 
 
-def read_any(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path) if path.endswith(".parquet") else spark.read.option("header", True).option("inferSchema", True).csv(path)
+def convert_csv(spark: SparkSession, source: str, target: str, tables: tuple[str, ...] = SOURCE) -> list[str]:
+    """Every table of a folder of CSV files as Parquet; absent ones are skipped. The tables written."""
+    done = [t for t in tables if _paths(spark, f"{source}/{t}.csv")]
+    for t in done:
+        read_csv(spark, f"{source}/{t}.csv", t).write.mode("overwrite").parquet(f"{target}/{t}.parquet")
+    return done
 
 
-def facility_table(spark: SparkSession, run: str, table: str, columns: list[str] | None = None) -> DataFrame:
-    """A table of all facilities with facility_id from the path."""
-    df = spark.read.option("mergeSchema", True).parquet(f"{run}/facilities/facility_*/{table}.parquet")
-    out = df.withColumn("facility_id", F.regexp_extract(F.col("_metadata.file_path"), r"(facility_\d+)", 1)).withColumn("ord", F.struct("facility_id", F.col("_metadata.row_index").alias("i")))
-    return out.select(*columns, "facility_id", "ord") if columns else out
+def read_table(spark: SparkSession, folder: str, table: str, columns: list[str] | None = None) -> DataFrame:
+    if not _paths(spark, f"{folder}/{table}.parquet"):
+        raise FileNotFoundError(f"{folder}/{table}.parquet")
+    df = spark.read.parquet(f"{folder}/{table}.parquet")
+    return df.select(*columns) if columns else df
 
 
-def patients(spark: SparkSession, run: str) -> DataFrame:
-    return create_record_id(standardize_columns(facility_table(spark, run, "patients")))
+def read_any(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path) if path.endswith(".parquet") else spark.read.option("header", True).option("inferSchema", True).csv(path)
 
 
-def medical_records(spark: SparkSession, run: str, ids: DataFrame | None = None, tables: tuple[str, ...] = CLINICAL) -> dict[str, DataFrame]:
-    """Clinical tables, those of the given patients (PATIENT) only if ids are given."""
-    out = {t: facility_table(spark, run, t) for t in tables}
+def run_folder(spark: SparkSession, path: str) -> str:
+    """path, if it is a run folder."""
+    if not _paths(spark, f"{path.rstrip('/')}/facilities"):
+        raise FileNotFoundError(f"{path} has no facilities")
+    return path.rstrip("/")
+
+
+def facility_name(number: int | str) -> str:
+    return number if isinstance(number, str) else f"facility_{number:03d}"
+
+
+def facility_table(spark: SparkSession, run: str, table: str, columns: list[str] | None = None, facility: int | str | None = None) -> DataFrame:
+    """A table of all facilities, or of one, with facility_id, and ord, the rows' order."""
+    top = f"{run_folder(spark, run)}/facilities"
+    where = [p for p in _paths(spark, f"{top}/facility_*/{table}.parquet") if re.search(r"/facility_\d+/[^/]*$", p)]
+    if _paths(spark, f"{top}/{table}.parquet"):
+        df = spark.read.parquet(f"{top}/{table}.parquet")
+    elif where:
+        df = spark.read.option("mergeSchema", True).parquet(*where)
+        df = df.withColumn("facility_id", F.regexp_extract(F.col("_metadata.file_path"), r"(facility_\d+)/[^/]*\.parquet", 1))
+        absent = {re.search(r"facility_\d+", p)[0] for p in _paths(spark, f"{top}/facility_*") if re.search(r"facility_\d+$", p)} - {re.search(r"(facility_\d+)/[^/]*$", p)[1] for p in where}
+        if absent and table == "patients":
+            warnings.warn(f"no {table} at {', '.join(sorted(absent))}", stacklevel=2)
+    else:
+        raise FileNotFoundError(f"{top} has no {table}")
+    if facility is not None:
+        df = df.where(F.col("facility_id") == facility_name(facility))
+    ord_ = F.struct("facility_id", F.col("_metadata.file_path").alias("f"), F.col("_metadata.row_index").alias("i")).alias("ord")
+    kept = [c for c in (columns or df.columns) if c in df.columns and c != "facility_id"]
+    return df.select(*kept, "facility_id", ord_)
+
+
+def patients(spark: SparkSession, run: str, compat: bool = False) -> DataFrame:
+    """Standardised patients of all facilities, with record_id and ord."""
+    raw = facility_table(spark, run, "patients")
+    if not raw.take(1):
+        raise ValueError(f"{run} has no patients")
+    order = raw.schema["ord"].dataType.fieldNames()
+    flat = raw.select("*", *(F.col(f"ord.{n}").alias(f"_{n}") for n in order)).drop("ord")
+    out = create_record_id(standardize_columns(flat, compat))
+    return out.withColumn("ord", F.struct(*(F.col(f"_{n}").alias(n) for n in order))).drop(*(f"_{n}" for n in order))
+
+
+def medical_records(spark: SparkSession, run: str, ids: DataFrame | None = None, tables: tuple[str, ...] = CLINICAL, columns: dict[str, tuple[str, ...]] | None = None) -> dict[str, DataFrame]:
+    """Clinical tables that are there, with the given columns only, and of the given patients (PATIENT) only."""
+    top = f"{run_folder(spark, run)}/facilities"
+    there = [t for t in tables if _paths(spark, f"{top}/{t}.parquet") or _paths(spark, f"{top}/facility_*/{t}.parquet")]
+    out = {t: facility_table(spark, run, t, list((columns or {}).get(t, ())) or None) for t in there}
     return {t: df.join(ids.select("PATIENT").distinct(), "PATIENT", "left_semi") for t, df in out.items()} if ids is not None else out
 
 
@@ -56,15 +132,67 @@ def ground_truth(spark: SparkSession, run: str) -> DataFrame:
     return df
 
 
-def write_facilities(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").partitionBy("facility_id").parquet(path)
+def truth_with_records(truth: DataFrame, people: DataFrame) -> DataFrame:
+    """Truth with record_id, null where no patient has the row's facility and id, and true_patient_id."""
+    if "true_patient_id" in truth.columns and "record_id" in truth.columns:
+        return truth
+    ids = people.select("facility_id", F.col("id").alias("original_patient_uuid"), "record_id")
+    return truth.join(ids, ["facility_id", "original_patient_uuid"], "left").withColumnRenamed("original_patient_uuid", "true_patient_id")
+
+
+def generate_facilities(organizations: DataFrame, n: int, seed: int = 42) -> DataFrame:
+    """facility_id, name, address, city, state, zip, lat, lon, type of n facilities, each at the place of an organization that a hash picks."""
+    from kinloom.functions.draws import pick, uniform
+
+    # Kinds of facilities and patterns of their names.
+    kinds = ["Hospital", "Medical Center", "Health Clinic", "Community Hospital", "Regional Medical Center"]
+    patterns = ["{city} {type}", "{city} General {type}", "St. {name}'s {type}", "{name} Memorial {type}", "{city} Community {type}"]
+    saints = ["Mary", "Joseph", "Luke", "Anne", "Vincent", "Francis", "Clare", "Martin"]
+    spark = organizations.sparkSession
+    own = spark.range(1, n + 1).select(F.col("id").cast("int").alias("facility_id"))  # n facilities
+    picked = organizations.crossJoin(F.broadcast(own)).withColumn("u", uniform(seed, F.col("Id"), F.col("facility_id")))
+    place = picked.groupBy("facility_id").agg(F.min_by(F.struct(*(F.col(c).cast("string").alias(c) for c in ("ADDRESS", "CITY", "STATE", "ZIP", "LAT", "LON"))), "u").alias("o"))
+    who = F.col("facility_id")
+    name = F.replace(F.replace(F.replace(pick(uniform(seed, who, "pattern"), patterns), F.lit("{city}"), F.coalesce("o.CITY", F.lit(""))), F.lit("{name}"), pick(uniform(seed, who, "name"), saints)), F.lit("{type}"), pick(uniform(seed, who, "kind"), kinds))
+    return place.select(
+        "facility_id", name.alias("name"), F.col("o.ADDRESS").alias("address"), F.col("o.CITY").alias("city"), F.coalesce("o.STATE", F.lit("MA")).alias("state"), F.col("o.ZIP").alias("zip"),
+        F.col("o.LAT").cast("double").alias("lat"), F.col("o.LON").cast("double").alias("lon"), pick(uniform(seed, who, "type"), kinds).alias("type"),
+    )
+
+
+def write_facilities(df: DataFrame, run: str, table: str) -> None:
+    """A table of all facilities as one dataset. A numeric facility_id is written as facility_NNN; a table without rows keeps its columns."""
+    if dict(df.dtypes)["facility_id"] != "string":
+        df = df.withColumn("facility_id", F.format_string("facility_%03d", F.col("facility_id").cast("int")))
+    writer = df.drop("ord").write.mode("overwrite")
+    (writer.partitionBy("facility_id") if df.take(1) else writer).parquet(f"{run}/facilities/{table}.parquet")
+
+
+def write_truth(truth: DataFrame, run: str) -> None:
+    """Sorted by patient and facility; ranges of the order are files."""
+    truth.orderBy("original_patient_uuid", "facility_id").write.mode("overwrite").parquet(f"{run}/metadata/ground_truth.parquet")
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small file, on any file system that Spark knows."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    out = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(where, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+
+
+def write_metrics(row: DataFrame | dict, path: str, spark: SparkSession | None = None) -> dict:
+    """One row, or a dictionary, as a JSON object."""
+    values = row if isinstance(row, dict) else row.first().asDict(recursive=True)
+    write_text(spark or row.sparkSession, path, json.dumps(values, indent=2, default=str) + "\n")
+    return values
 
 
-def write_metrics(row: DataFrame, path: str) -> None:
-    """One row as a JSON object on the driver's disk."""
-    with open(path, "w") as f:
-        json.dump(row.first().asDict(recursive=True), f, indent=2, default=str)
+def write_csv(df: DataFrame, path: str) -> None:
+    df.write.mode("overwrite").option("header", True).csv(path)
 
 
 def write_error_log(injected: DataFrame, path: str) -> None:
-    injected.select("Id", F.explode("error_log").alias("e")).select("Id", "e.*", F.current_timestamp().alias("timestamp")).write.json(path)
+    who = [F.col("Id").alias("patient_uuid"), *(["facility_id"] if "facility_id" in injected.columns else [])]
+    log = injected.select(*who, F.explode("error_log").alias("e")).select(*(F.col("patient_uuid") if i == 0 else c for i, c in enumerate(who)), "e.field", "e.error_type", "e.original", "e.errored", F.current_timestamp().alias("timestamp"))
+    log.write.mode("overwrite").json(path)
