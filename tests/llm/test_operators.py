@@ -313,8 +313,8 @@ def test_keep_first_keeps_one_of_each_group(spark):
     assert neardup.keep_first(df.limit(0)).count() == 0
 
 
-def test_near_duplicates_with_hot_lists(spark, monkeypatch):
-    """Lists, blocks and tasks of a few rows each, so that every path is taken."""
+def test_near_duplicates_in_small_blocks(spark, monkeypatch):
+    """Blocks of a few rows each, so that every path is taken."""
     rng = np.random.default_rng(6)
     page = [f"b{i}" for i in range(100)]
     rows = []
@@ -323,7 +323,6 @@ def test_near_duplicates_with_hot_lists(spark, monkeypatch):
         for i in rng.integers(0, 100, int(rng.integers(0, 5))):
             w[i] = f"m{k}_{i}"
         rows.append((k, " ".join(w)))
-    monkeypatch.setattr(neardup, "HOT_POSTINGS", 5)
     monkeypatch.setattr(neardup, "BLOCK_NODES", 8)
     got = [repr((r.doc_id, r.n_shingles, r.component_id, r.kept)) for r in neardup.components(spark.createDataFrame(rows, "doc_id long, text string"), width=4).collect()]
     assert sorted(got) == _brute(rows, 4)
