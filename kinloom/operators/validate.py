@@ -19,13 +19,13 @@ REFERENCES = (
 
 
 def reference_violations(tables: dict[str, DataFrame]) -> DataFrame | None:
-    """facility_id, table, key, violations: a facility's distinct keys without a parent there; only where there are some. None if nothing can be checked."""
+    """facility_id, child, key, violations: a facility's distinct keys without a parent there; only where there are some. None if nothing can be checked."""
     out = None
     for child, key, parent, parent_key in REFERENCES:
         if child in tables and parent in tables and key in tables[child].columns:
             own = tables[child].select("facility_id", F.col(key).alias("k"))
             gone = own.join(tables[parent].select("facility_id", F.col(parent_key).alias("k")), ["facility_id", "k"], "left_anti").distinct()
-            found = gone.groupBy("facility_id").agg(F.count(F.lit(1)).alias("violations")).select("facility_id", F.lit(child).alias("table"), F.lit(key).alias("key"), "violations")
+            found = gone.groupBy("facility_id").agg(F.count(F.lit(1)).alias("violations")).select("facility_id", F.lit(child).alias("child"), F.lit(key).alias("key"), "violations")
             out = found if out is None else out.unionByName(found)
     return out
 
@@ -41,8 +41,8 @@ def validate_tables(tables: dict[str, DataFrame], facilities: list | None = None
     if not every and facilities is None:
         said += [f"critical table is empty: {t}" for t in there]
     found = reference_violations(tables)
-    rows = found.orderBy("facility_id", "table").collect() if found is not None else []
-    return said + [f"{r['facility_id']}: {r['table']} has {r['violations']} invalid {r['key']} references" for r in rows]
+    rows = found.orderBy("facility_id", "child").collect() if found is not None else []
+    return said + [f"{r['facility_id']}: {r['child']} has {r['violations']} invalid {r['key']} references" for r in rows]
 
 
 def validate_distribution(statistics: DataFrame, patients: int, encounters: int, weights: dict[int, float], points: float = 0.10) -> list[str]:

@@ -775,7 +775,7 @@ def split_all_tables(spark, sf):
     return out
 
 
-@query("SELECT CAST(o_orderkey % 5 + 1 AS INTEGER) AS facility_id, 'encounters' AS \"table\", 'PATIENT' AS key, count(DISTINCT o_custkey) AS violations FROM orders WHERE o_custkey % 9 = 0 GROUP BY 1")
+@query("SELECT CAST(o_orderkey % 5 + 1 AS INTEGER) AS facility_id, 'encounters' AS child, 'PATIENT' AS key, count(DISTINCT o_custkey) AS violations FROM orders WHERE o_custkey % 9 = 0 GROUP BY 1")
 def reference_violations(spark, sf):
     """A ninth of the patients is missing at every facility."""
     e = t(spark, sf, "orders").select(F.col("o_orderkey").alias("Id"), F.col("o_custkey").alias("PATIENT"), (F.col("o_orderkey") % 5 + 1).cast("int").alias("facility_id"))
