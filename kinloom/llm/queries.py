@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kinloom.llm import decontaminate, katz, langid, media, mixing, neardup, quality, toxicity, warc
+from kinloom.llm import codes, decontaminate, divergence, katz, langid, licenses, media, mixing, neardup, quality, toxicity, warc
 from kinloom.llm.common import table
 
 
@@ -53,9 +53,27 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.components(table(spark, sf_dir, "documents"), width=4)
 
 
+def op11_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.report(table(spark, sf_dir, "documents"))
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.compress(table(spark, sf_dir, "embeddings"))
+
+
+REGISTERED = (
+    op1_toxicity, op2_language_id, op3_html_text, op4_mixing, op5_quality, op6_decontamination, op7_lm_score, op8_warc, op9_media, op10_near_duplicates,
+    op11_licenses, op12_source_divergence, op13_vector_codes,
+)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_language_id, op3_html_text, op4_mixing, op5_quality, op6_decontamination, op7_lm_score, op8_warc, op9_media, op10_near_duplicates)}
+    return {f.__name__: f for f in REGISTERED}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_mixing": mixing.oracle(), "op6_decontamination": decontaminate.ORACLE}
+    return {"op4_mixing": mixing.oracle(), "op6_decontamination": decontaminate.ORACLE, "op11_licenses": licenses.oracle(), "op12_source_divergence": divergence.ORACLE, "op13_vector_codes": codes.oracle()}
