@@ -90,3 +90,8 @@ def ascii_lower(text: Column) -> Column:
     """A-Z as a-z and nothing else. Text of single bytes takes the faster built-in, which changes nothing else there."""
     upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
     return F.when(F.length(text) == F.octet_length(text), F.lower(text)).otherwise(F.translate(text, upper, upper.lower()))
+
+
+def words_of(text: Column, between: str) -> Column:
+    """The pieces of a text between runs of the characters ``between`` (a character class), which are the matches of its complement. Spark copies a text for every match it extracts, but cuts it in one pass."""
+    return F.array_remove(F.split(text, f"[{between}]+"), "")

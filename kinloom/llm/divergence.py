@@ -11,9 +11,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kinloom.llm.common import ascii_lower, stored
+from kinloom.llm.common import ascii_lower, stored, words_of
 
-TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
+_BETWEEN = r"\x00-\x40\x5B-\x60\x7B-\x7F"
+TERM = f"[^{_BETWEEN}]+"
 #: Documents of a language that a term must be in.
 MIN_DOCS = 10
 #: Smoothed shares are whole parts of so many.
@@ -32,10 +33,11 @@ def term_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     counts before the shuffle, so neither a frequent term nor a large source meets in one task row by row.
     """
     blank = lambda name: F.coalesce(F.col(name).cast("string"), F.lit(""))
-    terms = F.array_sort(F.regexp_extract_all(ascii_lower(blank(text_col)), F.lit(TERM), 0))
-    rows = docs.select(blank("lang").alias("lang"), blank("source").alias("source"), terms.alias("terms"))
-    pairs = F.arrays_zip(F.col("terms").alias("term"), F.concat(F.array(F.lit("")), F.col("terms")).alias("before"))  # one longer: its last row has no term
-    each = rows.select("lang", "source", F.explode(pairs).alias("x")).select("lang", "source", F.col("x.term").alias("term"), F.when(F.col("x.term") != F.col("x.before"), 1).otherwise(0).alias("first"))
+    terms = F.sort_array(words_of(ascii_lower(blank(text_col)), _BETWEEN))
+    rows = docs.select(blank("lang").alias("lang"), blank("source").alias("source"), F.concat(terms, F.array(F.lit(None).cast("string"))).alias("terms"))
+    each = rows.select("lang", "source", "terms", F.posexplode("terms").alias("at", "term"))
+    first = F.when(F.col("term") != F.coalesce(F.get("terms", F.col("at") - 1), F.lit("")), 1).otherwise(0)
+    each = each.select("lang", "source", "term", first.alias("first"))
     return each.groupBy("lang", "source", "term").agg(F.count("term").alias("n"), F.sum("first").alias("docs"))
 
 

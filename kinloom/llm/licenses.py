@@ -14,9 +14,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from kinloom.llm.common import ascii_lower, stored
+from kinloom.llm.common import ascii_lower, stored, words_of
 
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+_BETWEEN = r"\x00-\x2F\x3A-\x60\x7B-\x7F"
+WORD = f"[^{_BETWEEN}]+"
 #: Words of a gram of phrases and of notices.
 PHRASE_GRAM, NOTICE_GRAM = 2, 4
 #: Diagonals of a notice so near (and within a quarter of its words, so that repeats stay apart), and spans of it so near in the text, are one occurrence with words put in or left out.
@@ -61,7 +62,7 @@ LIBRARY = [*(Template(label, text, True) for text, label in PHRASES.items()), *(
 
 
 def words(text: Column) -> Column:
-    return F.regexp_extract_all(ascii_lower(F.coalesce(text, F.lit(""))), F.lit(WORD), 0)
+    return words_of(ascii_lower(F.coalesce(text, F.lit(""))), _BETWEEN)
 
 
 def _grams(w: Column) -> Column:
