@@ -144,6 +144,133 @@ def jaro_winkler(a: Column, b: Column) -> Column:
     return _jaro_winkler(a, b)
 
 
+#: Bytes that are counted together: letters of either case by their frequency in names, digits, and all else.
+LETTER_GROUPS = ("aA", "eE", "iI", "oO", "nN", "rR", "lL", "sS", "tT", "dDuU", "mMhH", "cCkKgG", "bBpPvVwWfF", "yYjJzZxXqQ", "0123456789")
+#: The largest count of a group that is kept; texts with more have no counts, and say nothing.
+FULL = 14
+
+
+def letter_counts(c: Column) -> Column:
+    """How often each group's bytes occur, four bits a group in one long, the last for all other bytes; -1 if a group has more than FULL. Null for null."""
+    size = F.octet_length(c)
+    counts = [size - F.octet_length(F.translate(c, group, "")) for group in LETTER_GROUPS]
+    counts.append(F.octet_length(F.translate(c, "".join(LETTER_GROUPS), "")))
+    packed = counts[0].cast("long")
+    for i, n in enumerate(counts[1:], 1):
+        packed = packed + F.shiftleft(n.cast("long"), 4 * i)
+    return F.when(F.greatest(*counts) > FULL, F.lit(-1).cast("long")).otherwise(packed)
+
+
+def common_letters(letters_a: Column, letters_b: Column) -> Column:
+    """At most so many bytes of two texts match, from their letter_counts; null where one of these says nothing."""
+    out = None
+    for i in range(len(LETTER_GROUPS) + 1):
+        x, y = (F.shiftrightunsigned(h, 4 * i).bitwiseAND(F.lit(15).cast("long")) for h in (letters_a, letters_b))
+        out = F.least(x, y) if out is None else out + F.least(x, y)
+    return F.when((letters_a >= 0) & (letters_b >= 0), out)
+
+
+def jaro_bound(a: Column, b: Column, common: Column) -> Column:
+    """No less than the Jaro similarity, from lengths and common_letters: matching bytes are at most those in common, and none of them is out of order at best."""
+    la, lb = F.octet_length(a), F.octet_length(b)
+    m = F.coalesce(common, F.least(la, lb))
+    return F.when((m == 0) | (la == 0) | (lb == 0), 0.0).otherwise((m / la + m / lb + 1) / 3)
+
+
+def winkler_bound(a: Column, b: Column, jaro: Column) -> Column:
+    """No less than the Jaro-Winkler similarity, from a bound of Jaro's, with which it grows, and the texts' first bytes."""
+    prefix = F.when((F.length(a) != F.octet_length(a)) | (F.length(b) != F.octet_length(b)), 4)  # bytes of a letter may agree where letters do not
+    for k in (4, 3, 2, 1):
+        prefix = prefix.when(F.left(a, F.lit(k)) == F.left(b, F.lit(k)), k)
+    return F.when(jaro > 0.7 - 1e-9, jaro + prefix.otherwise(0) * 0.1 * (1 - jaro)).otherwise(jaro)
+
+
+def edit_distances(a: list[bytes], b: list[bytes], most: int | None = None) -> np.ndarray:
+    """Damerau-Levenshtein distances (insertions, deletions, substitutions and swaps of neighbours, which later edits may part) of pairs of bytes, but most + 1 for any that exceed most.
+
+    All pairs of like length advance together, a cell of the table a step. With most, only the band of cells within most of the diagonal is
+    made: all others are beyond it, and so is every way through them.
+    """
+    out = np.zeros(len(a), np.int64)
+    sizes = np.array([(max(len(x), len(y)), min(len(x), len(y))) for x, y in zip(a, b)], np.int64).reshape(-1, 2)
+    near = np.ones(len(a), bool)
+    if most is not None:
+        near = sizes[:, 0] - sizes[:, 1] <= most
+        out[~near] = most + 1
+    order = np.flatnonzero(near)
+    order = order[np.lexsort((sizes[order, 1], sizes[order, 0]))]
+    i = 0
+    while i < len(order):
+        band = 2 * int(sizes[order[i], 0]) + 9 if most is None else 2 * most + 1
+        each = (int(sizes[order[i], 0]) + 9) * band + 256
+        j = i + 1
+        while j < len(order) and sizes[order[j], 0] <= sizes[order[i], 0] + 4 and (j - i) * each < CELLS:
+            j += 1
+        rows = order[i:j]
+        out[rows] = _edit_tables(*_table([a[k] for k in rows]), *_table([b[k] for k in rows]), most)
+        i = j
+    return out
+
+
+def _edit_tables(a: np.ndarray, la: np.ndarray, b: np.ndarray, lb: np.ndarray, most: int | None) -> np.ndarray:
+    n, rows = len(a), np.arange(len(a))
+    na, nb = int(la.max()), int(lb.max())
+    k = max(na, nb) if most is None else most
+    far = k + 1
+    # cell (i, j), both from 0, is at [i, j - i + k]; rows before the first letter's last place are far
+    d = np.full((na + 1, 2 * k + 1, n), far, np.int32)
+    for j in range(min(k, nb) + 1):
+        d[0, j + k] = j
+    last_row = np.zeros((256, n), np.int32)  # where each byte was last in a
+    for i in range(1, na + 1):
+        if i <= k:
+            d[i, k - i] = i
+        last_column = np.zeros(n, np.int32)  # where a's byte was last in b
+        letter = a[:, i - 1]
+        for j in range(max(1, i - k), min(nb, i + k) + 1):
+            at = j - i + k
+            same = letter == b[:, j - 1]
+            best = d[i - 1, at] + ~same  # substitution
+            if at > 0:
+                best = np.minimum(best, d[i, at - 1] + 1)
+            if at < 2 * k:
+                best = np.minimum(best, d[i - 1, at + 1] + 1)
+            i1, j1 = last_row[b[:, j - 1], rows], last_column
+            swap = (i1 > 0) & (j1 > 0) & (np.abs(j1 - i1) <= k)
+            if swap.any():
+                before = d[np.maximum(i1 - 1, 0), np.clip(j1 - i1 + k, 0, 2 * k), rows]
+                best = np.minimum(best, np.where(swap, before + (i - i1 - 1) + 1 + (j - j1 - 1), far))
+            d[i, at] = np.minimum(best, far)
+            last_column = np.where(same, j, last_column).astype(np.int32)
+        last_row[letter, rows] = np.where(i <= la, i, last_row[letter, rows])
+    return d[la, np.clip(lb - la + k, 0, 2 * k), rows].astype(np.int64)
+
+
+def _edits(most: int | None):
+    @F.pandas_udf(T.IntegerType())
+    def run(left: pd.Series, right: pd.Series) -> pd.Series:
+        """Distinct pairs of a batch are compared once."""
+        known = left.notna() & right.notna()
+        out = pd.Series(pd.NA, index=left.index, dtype="Int32")
+        pairs = pd.DataFrame({"l": left[known], "r": right[known]})
+        if len(pairs):
+            single = pairs.drop_duplicates()
+            single = single.assign(s=edit_distances([x.encode() for x in single["l"]], [x.encode() for x in single["r"]], most))
+            out[known] = pairs.merge(single, on=["l", "r"], how="left")["s"].to_numpy()
+        return out
+
+    return run
+
+
+def damerau_levenshtein(a: Column, b: Column, most: int | None = None) -> Column:
+    """The distance in bytes, or with most, most + 1 for any larger one. Equal texts, and lengths too far apart, are decided before the Python worker. Null for null."""
+    la, lb = F.octet_length(a), F.octet_length(b)
+    if most is None:
+        return F.when(a == b, 0).otherwise(_edits(None)(a, b))
+    open_ = (a != b) & (F.abs(la - lb) <= most)
+    return F.when(a == b, 0).when(F.abs(la - lb) > most, most + 1).otherwise(_edits(most)(F.when(open_, a), F.when(open_, b)))
+
+
 def one_edit_date(a: Column, b: Column) -> Column:
     """Whether two yyyy-MM-dd strings differ by one digit or one swap of neighbours (Damerau-Levenshtein of at most 1 at equal length)."""
     at = F.sequence(F.lit(1), F.lit(10))

@@ -7,12 +7,13 @@ import warnings
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kinloom.config import Fusion
 from kinloom.functions import text
 from kinloom.functions.draws import uniform
+from kinloom.operators.golden import placed
 from kinloom.operators.graph import materialize
 
 first3, last3, first1, last1 = ("first_name", 3), ("last_name", 3), ("first_name", 1), ("last_name", 1)
@@ -27,17 +28,16 @@ RULES: list[tuple] = [
 IMPLIED = {0, 1, 2, 5, 7, 8, 12, 13, 16, 23, 24}
 
 
-def _keys(df: DataFrame, rule: tuple) -> DataFrame:
-    keys = [F.col(k) if isinstance(k, str) else F.substring(k[0], 1, k[1]) if isinstance(k, tuple) else k() for k in rule]
-    return df.select(F.col("record_id").alias("r"), *(k.alias(f"k{i}") for i, k in enumerate(keys))).dropna()
+def _key(k) -> Column:
+    return F.col(k) if isinstance(k, str) else F.substring(k[0], 1, k[1]) if isinstance(k, tuple) else k()
 
 
 def block_sizes(df: DataFrame, rules: list[tuple]) -> DataFrame:
     """rule, pairs that the rule makes: known before any pair is made."""
     out = None
     for n, rule in enumerate(rules):
-        keyed = _keys(df, rule)
-        own = keyed.groupBy(*keyed.columns[1:]).count().agg(F.coalesce(F.sum(F.col("count") * (F.col("count") - 1) / 2), F.lit(0)).cast("long").alias("pairs")).select(F.lit(n).alias("rule"), "pairs")
+        keyed = df.select(*(_key(k).alias(f"k{i}") for i, k in enumerate(rule))).dropna()
+        own = keyed.groupBy(*keyed.columns).count().agg(F.coalesce(F.sum(F.col("count") * (F.col("count") - 1) / 2), F.lit(0)).cast("long").alias("pairs")).select(F.lit(n).alias("rule"), "pairs")
         out = own if out is None else out.unionByName(own)
     return out
 
@@ -48,29 +48,69 @@ HOT_BLOCK = 2000
 BROADCAST_BLOCKS = 100_000
 
 
-def _pairs_of(keyed: DataFrame, hot_block: int) -> DataFrame:
-    """record_id_l < record_id_r of equal keys. A block of very many records is cut into sub-blocks by hash, and every pair of sub-blocks is joined by itself, so that no task has a whole block."""
-    keys = keyed.columns[1:]
-    big = keyed.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot_block).select(*keys, F.ceil(F.col("n") / hot_block).cast("int").alias("cuts"))
-    dealt = keyed.join(F.broadcast(big) if big.count() <= BROADCAST_BLOCKS else big, keys, "left").withColumn("cuts", F.coalesce("cuts", F.lit(1)))
-    own = F.pmod(F.xxhash64("r"), F.col("cuts")).cast("int")
-    dealt = dealt.withColumn("own", own)
-    others = F.explode(F.sequence(F.lit(0), F.col("cuts") - 1))
-    left = dealt.withColumn("b", others).select(*keys, F.least("own", "b").alias("x"), F.greatest("own", "b").alias("y"), "r", "own")
-    right = left.withColumnRenamed("r", "r2").withColumnRenamed("own", "own2")
-    joined = left.join(right, [*keys, "x", "y"]).where("r < r2 AND (x = y OR own <> own2)")
-    return joined.select(F.col("r").alias("record_id_l"), F.col("r2").alias("record_id_r"))
-
-
-def block(df: DataFrame, rules: list[tuple] = RULES, match_key: bool = True, hot_block: int = HOT_BLOCK) -> DataFrame:
-    """record_id_l < record_id_r of all rules, once, with the first rule that finds the pair. One equi-join a rule: a disjunction would be a cross join. Without match_key, implied rules are left out."""
-    out = None
-    for n, rule in enumerate(rules):
-        if not match_key and rules is RULES and n in IMPLIED:
-            continue
-        own = _pairs_of(_keys(df, rule), hot_block).withColumn("match_key", F.lit(n))
-        out = own if out is None else out.unionByName(own)
-    return out.groupBy("record_id_l", "record_id_r").agg(F.min("match_key").alias("match_key"))
+def _hot_blocks(keyed: DataFrame, rules: dict[int, list[str]], hot_block: int) -> tuple[DataFrame, set[int], int]:
+    """rule, h (hash of the rule's keys), cuts of the blocks above hot_block, of all rules in one pass; the rules that have some, and how many there are. Blocks whose hashes are equal are cut alike, which changes no pair."""
+    each = F.array(*(F.when(F.expr(" AND ".join(f"{k} IS NOT NULL" for k in keys)), F.struct(F.lit(n).alias("rule"), F.xxhash64(*keys).alias("h"))) for n, keys in rules.items()))
+    sizes = keyed.select(F.explode(each).alias("x")).where("x IS NOT NULL").groupBy("x.rule", "x.h").agg(F.count(F.lit(1)).alias("n"))
+    hot = materialize(sizes.where(F.col("n") > hot_block).select("rule", "h", F.ceil(F.col("n") / hot_block).cast("int").alias("cuts")))
+    by_rule = dict(map(tuple, hot.groupBy("rule").count().collect()))  # a row a rule
+    return hot, set(by_rule), sum(by_rule.values())
+
+
+def _pairs_of(keyed: DataFrame, keys: list[str], hot: DataFrame | None) -> DataFrame:
+    """Columns <c>_l and <c>_r of records r < r of equal keys. A block of very many records is cut into sub-blocks by hash, and every pair of sub-blocks is joined by itself, so that no task has a whole block."""
+    own = keyed.dropna(subset=keys)
+    sides = []
+    if hot is not None:
+        own = own.withColumn("h", F.xxhash64(*keys)).join(hot, "h", "left").withColumn("cuts", F.coalesce("cuts", F.lit(1))).drop("h")
+        own = own.withColumn("own", F.pmod(F.xxhash64("r"), F.col("cuts")).cast("int"))
+        own = own.withColumn("b", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)))
+        own = own.withColumns({"x": F.least("own", "b"), "y": F.greatest("own", "b")}).drop("b", "cuts")
+    for s in "lr":
+        sides.append(own.select(*(F.col(c).alias(f"{c}_{s}") for c in own.columns)))
+    on = keys + (["x", "y"] if hot is not None else [])
+    same = [F.col(f"{k}_l") == F.col(f"{k}_r") for k in on] + [F.col("r_l") < F.col("r_r")]
+    if hot is not None:
+        same.append((F.col("x_l") == F.col("y_l")) | (F.col("own_l") != F.col("own_r")))
+    return sides[0].join(sides[1], same)
+
+
+def _implies(broad: tuple, rule: tuple) -> bool:
+    """Whether broad finds whatever rule finds: each of its keys is one of rule's, or a prefix of one."""
+
+    def held(k) -> bool:
+        if not isinstance(k, tuple):
+            return k in rule
+        return k[0] in rule or any(isinstance(x, tuple) and x[0] == k[0] and x[1] >= k[1] for x in rule)
+
+    return all(held(k) for k in broad)
+
+
+def block(df: DataFrame, rules: list[tuple] = RULES, match_key: bool = True, hot_block: int = HOT_BLOCK, carry: tuple[str, ...] = ()) -> DataFrame:
+    """record_id_l < record_id_r of all rules, once, with the first rule that finds the pair. One equi-join a rule: a disjunction would be a cross join. Without match_key, implied rules are left out.
+
+    A rule emits a pair only if no earlier rule finds it (a null key finds nothing); one whose pairs an earlier rule finds all is left out. That is a predicate of both records' keys, which travel
+    with them, so pairs are never shuffled to remove repeats. Columns named in carry travel too, and come out as <name>_l and <name>_r.
+    """
+    kept = {n: rule for n, rule in enumerate(rules) if (match_key or rules is not RULES or n not in IMPLIED) and not any(_implies(e, rule) for e in rules[:n])}
+    places = {k: f"q{i}" for i, k in enumerate(dict.fromkeys(k for rule in kept.values() for k in rule))}
+    keys = {n: list(dict.fromkeys(places[k] for k in rule)) for n, rule in kept.items()}
+    keyed = df.select(F.col("record_id").alias("r"), *(_key(k).alias(name) for k, name in places.items()), *(F.col(c).alias(f"v{i}") for i, c in enumerate(carry)))
+    hot, with_hot, many = _hot_blocks(keyed, keys, hot_block)
+    out, earlier = None, []
+    for n, own in keys.items():
+        blocks = hot.where(F.col("rule") == n).select("h", "cuts") if n in with_hot else None
+        used = dict.fromkeys([*own, *(k for e in earlier for k in e)])
+        side = keyed.select("r", *used, *(f"v{i}" for i in range(len(carry))))
+        pairs = _pairs_of(side, own, F.broadcast(blocks) if blocks is not None and many <= BROADCAST_BLOCKS else blocks)
+        if earlier:  # one filter, as text: the optimizer reads it once
+            same = lambda e: " AND ".join(f"{k}_l = {k}_r" for k in e)
+            pairs = pairs.where(" AND ".join(f"NOT coalesce({same(e)}, false)" for e in earlier))
+        pairs = pairs.select(*(F.col(f"r_{s}").alias(f"record_id_{s}") for s in "lr"), F.lit(n).alias("match_key"), *(F.col(f"v{i}_{s}").alias(f"{c}_{s}") for i, c in enumerate(carry) for s in "lr"))
+        out = pairs if out is None else out.unionByName(pairs)
+        earlier.append(own)
+    # a column that the optimizer does not know beforehand, so that it leaves what is made of pairs above the union, once, not in every rule
+    return out.withColumn("match_key", F.when(F.spark_partition_id() >= 0, F.col("match_key")))
 
 
 @dataclass(frozen=True)
@@ -83,11 +123,28 @@ class Comparison:
     m: tuple[float, ...] = ()  # by level, 0 first
     u: tuple[float, ...] = ()
 
-    def gamma(self) -> Column:
+    def needs(self) -> list[str]:
+        """Columns of each side that gamma reads: the value, and its letter counts where levels are similarities."""
+        return [self.name] + ([f"letters_{self.name}"] if self.similarities() else [])
+
+    def similarities(self) -> list[float]:
+        return [x.threshold for x in self.levels if isinstance(x, Similar)]
+
+    def bounded(self, pairs: DataFrame) -> DataFrame:
+        """pairs (with needs of both sides) and exact_<name>, the similarity where it is needed: both values are there, they differ, and the bound by letter counts reaches the lowest level. Elsewhere the Python worker gets null. Each step is a column of its own, so that none is worked out twice."""
+        n, (l, r, hl, hr) = self.name, (F.col(f"{p}{self.name}_{s}") for p in ("", "letters_") for s in "lr")
+        out = pairs.withColumn(f"common_{n}", text.common_letters(hl, hr))
+        out = out.withColumn(f"jaro_{n}", text.jaro_bound(l, r, F.col(f"common_{n}")))
+        out = out.withColumn(f"open_{n}", (l != r) & (text.winkler_bound(l, r, F.col(f"jaro_{n}")) >= min(self.similarities()) - 1e-9))
+        exact = text.jaro_winkler(F.when(F.col(f"open_{n}"), l), F.when(F.col(f"open_{n}"), r))
+        return out.withColumn(f"exact_{n}", F.coalesce(exact, F.when(l == r, 1.0).otherwise(0.0))).drop(f"common_{n}", f"jaro_{n}")
+
+    def gamma(self, bounded: bool = False) -> Column:
+        """The highest level that holds. bounded: exact_<name> is there."""
         l, r = F.col(f"{self.name}_l"), F.col(f"{self.name}_r")
         out = F.when(l.isNull() | r.isNull(), -1)
         for k, test in enumerate(self.levels):
-            out = out.when(test(l, r), len(self.levels) - k)
+            out = out.when(F.col(f"exact_{self.name}") >= test.threshold if bounded and isinstance(test, Similar) else test(l, r), len(self.levels) - k)
         return out.otherwise(0)
 
 
@@ -95,8 +152,23 @@ def equal(l: Column, r: Column) -> Column:
     return l == r
 
 
-def similar(threshold: float) -> Callable[[Column, Column], Column]:
-    return lambda l, r: text.jaro_winkler(l, r) >= threshold
+@dataclass(frozen=True)
+class Similar:
+    """Jaro-Winkler similarity of threshold or more."""
+
+    threshold: float
+
+    def __call__(self, l: Column, r: Column) -> Column:
+        return text.jaro_winkler(l, r) >= self.threshold
+
+
+def similar(threshold: float) -> Similar:
+    return Similar(threshold)
+
+
+def within_edits(most: int) -> Callable[[Column, Column], Column]:
+    """A Damerau-Levenshtein distance of most or less, of texts of any length."""
+    return lambda l, r: text.damerau_levenshtein(l, r, most) <= most
 
 
 def within(days: int) -> Callable[[Column, Column], Column]:
@@ -132,18 +204,42 @@ def term_frequencies(df: DataFrame, column: str) -> DataFrame:
     return counts.crossJoin(F.broadcast(counts.agg(F.sum("n").alias("total")))).select("value", (F.col("n") / F.col("total")).alias("tf"))
 
 
-def compare(pairs: DataFrame, records: DataFrame, comparisons: list[Comparison], keep: bool = True) -> DataFrame:
-    """pairs with gamma_<name> columns and, where asked for, the two values' term frequencies, which are joined to records before pairs are made."""
-    side = records
+def described(records: DataFrame, comparisons: list[Comparison]) -> tuple[DataFrame, list[str]]:
+    """records with what comparisons read beside the values, and the names of all of it: term frequencies as tf_<name>, and letter counts, which bound similarities, as letters_<name>. Both are made a record, before pairs are."""
+    side, wanted = records, []
     for c in comparisons:
+        wanted += c.needs()
+        if len(c.needs()) > 1:
+            side = side.withColumn(f"letters_{c.name}", text.letter_counts(F.col(c.name)))
         if c.term_frequency:
             tf = term_frequencies(records, c.name)
             side = side.join(tf.select(F.col("value").alias(c.name), F.col("tf").alias(f"tf_{c.name}")), c.name, "left")
-    wanted = [n for c in comparisons for n in ([c.name, f"tf_{c.name}"] if c.term_frequency else [c.name])]
+            wanted.append(f"tf_{c.name}")
+    return side, list(dict.fromkeys(wanted))
+
+
+def _with_gammas(pairs: DataFrame, comparisons: list[Comparison], keep: bool) -> DataFrame:
+    by_similarity = [c for c in comparisons if c.similarities()]
+    for c in by_similarity:
+        pairs = c.bounded(pairs)
+    out = pairs.withColumns({f"gamma_{c.name}": c.gamma(bounded=True) for c in comparisons})
+    out = out.drop(*(f"{p}_{c.name}" for c in by_similarity for p in ("open", "exact")), *(f"letters_{c.name}_{s}" for c in by_similarity for s in "lr"))
+    return out if keep else out.select("record_id_l", "record_id_r", *(f"gamma_{c.name}" for c in comparisons))
+
+
+def compare(pairs: DataFrame, records: DataFrame, comparisons: list[Comparison], keep: bool = True) -> DataFrame:
+    """pairs with gamma_<name> columns and, where asked for, the two values' term frequencies. Values are joined to given pairs; pairs that blocking makes are better compared by compare_blocks, which needs no join."""
+    side, wanted = described(records, comparisons)
     for s in "lr":
         pairs = pairs.join(side.select(F.col("record_id").alias(f"record_id_{s}"), *(F.col(n).alias(f"{n}_{s}") for n in wanted)), f"record_id_{s}")
-    out = pairs.withColumns({f"gamma_{c.name}": c.gamma() for c in comparisons})
-    return out if keep else out.select("record_id_l", "record_id_r", *(f"gamma_{c.name}" for c in comparisons))
+    return _with_gammas(pairs, comparisons, keep)
+
+
+def compare_blocks(records: DataFrame, rules: list[tuple], comparisons: list[Comparison], keep: bool = True, match_key: bool = True, hot_block: int = HOT_BLOCK) -> DataFrame:
+    """What compare gives for the pairs of block. Values travel through the blocking joins with their records, so pairs meet no further join or shuffle."""
+    side, wanted = described(records, comparisons)
+    side = materialize(side)  # each rule reads it
+    return _with_gammas(block(side, rules, match_key, hot_block, tuple(wanted)), comparisons, keep)
 
 
 def _log2(a: float, b: float) -> float:
@@ -227,7 +323,7 @@ def train(records: DataFrame, model: Model, sessions: list[tuple] = (("birthdate
     found: dict[str, list[list[float]]] = {}
     for rule in sessions:
         own = [c for c in model.comparisons if c.name not in rule]
-        counts = [r.asDict() for r in patterns(compare(block(records, [rule]), records, own), own).collect()]  # one row a pattern
+        counts = [r.asDict() for r in patterns(compare_blocks(records, [rule], own, keep=False), own).collect()]  # one row a pattern
         if counts:
             for k, m in expectation_maximization(counts, own, 0.5)[1].items():
                 found.setdefault(k, []).append(m)
@@ -257,8 +353,7 @@ def fuse(prediction: Column, confidence: Column, p: Column, w_model: float = 1.0
 
 def predict(records: DataFrame, model: Model, threshold: float = 1e-4, rules: list[tuple] = RULES, match_key: bool = True) -> DataFrame:
     """Scored pairs of all rules that reach the threshold: record_id_1, record_id_2, match_weight, match_probability, the gammas and match_key."""
-    pairs = block(records, rules, match_key)
-    found = score(compare(pairs if match_key else pairs.drop("match_key"), records, model.comparisons), model).where(F.col("match_probability") >= threshold)
+    found = score(compare_blocks(records, rules, model.comparisons, match_key=match_key), model).where(F.col("match_probability") >= threshold)
     kept = [f"gamma_{c.name}" for c in model.comparisons] + (["match_key"] if match_key else [])
     return found.select(F.col("record_id_l").alias("record_id_1"), F.col("record_id_r").alias("record_id_2"), "match_weight", "match_probability", *kept)
 
@@ -283,12 +378,12 @@ def with_features(predictions: DataFrame, features: DataFrame | None) -> DataFra
 
 
 def zipped(pairs: DataFrame, predictions: DataFrame) -> DataFrame:
-    """predictions without ids, row by row beside pairs, both in the order of their column ord; the longer one is cut, with a warning."""
-    a, b = (df.withColumn("_at", F.row_number().over(Window.orderBy("ord"))) for df in (pairs, predictions))  # old files, in one task each
+    """predictions without ids, row by row beside pairs, both in the order of their column ord; the longer one is cut, with a warning. Rows are numbered by ranges of their order, each range by itself, and meet by their numbers. Numbers start at 1 and come out as ord."""
+    a, b = (materialize(placed(df, "ord")) for df in (pairs, predictions))
     n, m = a.count(), b.count()
     if n != m:
         warnings.warn(f"{n} pairs and {m} predictions: the first {min(n, m)} are used", stacklevel=2)
-    return a.select("_at", "record_id_1", "record_id_2").join(b.drop("ord", "record_id_1", "record_id_2"), "_at").withColumnRenamed("_at", "ord")
+    return a.select("place", "record_id_1", "record_id_2").join(b.drop("ord", "record_id_1", "record_id_2"), "place").withColumnRenamed("place", "ord")
 
 
 def verdict(predictions: DataFrame, settings: Fusion) -> DataFrame:

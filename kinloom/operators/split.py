@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinloom.functions.draws import uniform, weighted
-from kinloom.operators.dataset import ranked
+from kinloom.operators.golden import placed
 from kinloom.operators.graph import materialize
 
 # Shares of patients by number of facilities, and of encounters at the first; kinds of tables; columns that a confusable group shares.
@@ -168,31 +168,57 @@ def hashed(seed: int, *keys: Column) -> Column:
     return F.md5(F.concat_ws("|", F.lit(str(seed)), *(k.cast("string") for k in keys)))
 
 
-def confusable_pairs(assignment: DataFrame, n: int, seed: int = 42, rounds: int = 3) -> DataFrame:
-    """n pairs of patients of one facility, fewer if rounds do not find so many; no patient is in two. source_patient_id, target_patient_id, group_type.
+#: Free patients of a facility that one task puts two by two, about.
+PAIR_ROWS = 50_000
 
-    A facility's first max(20, 2 n) patients by hash may be paired. In each round the free ones that follow each other are paired; of a patient's
-    pairs at several facilities, one is kept if it has the least hash for both its ends. Pairs of earlier rounds, then of lesser hash, come first.
+
+def _proposals(free: DataFrame, seed: int, k: int) -> DataFrame:
+    """source < target, u: the free patients of each facility two by two, in an order by hash that each round draws anew. A large facility is cut by the hash; a cut of one patient proposes nothing, but one of several cuts always has two."""
+    source, target = "source_patient_id", "target_patient_id"
+    cuts = free.groupBy("facility_id").agg(F.ceil(F.count(F.lit(1)) / F.lit(PAIR_ROWS)).alias("cuts"))
+    dealt = free.join(cuts, "facility_id").withColumn("h", hashed(seed, F.lit(k), F.col("patient_id")))
+    dealt = dealt.withColumn("cut", F.pmod(F.conv(F.substring("h", 1, 8), 16, 10).cast("long"), F.col("cuts")))
+    place = F.row_number().over(Window.partitionBy("facility_id", "cut").orderBy("h", "patient_id")) - 1
+    two = dealt.withColumn("g", F.floor(place / 2)).groupBy("facility_id", "cut", "g").agg(F.min("patient_id").alias(source), F.max("patient_id").alias(target))
+    return two.where(F.col(source) < F.col(target)).select(source, target).distinct().withColumn("u", hashed(seed, F.col(source), F.col(target)))
+
+
+def maximal_matching(assignment: DataFrame, n: int | None = None, seed: int = 42) -> DataFrame:
+    """source_patient_id, target_patient_id, u, round: pairs of patients of one facility, none in two pairs. Rounds stop at n pairs, and else when no facility has two free patients left: the matching is maximal then.
+
+    A facility's pairs are never listed; each round proposes as many as half its free patients. Of the proposals that meet at a patient, those of
+    least hash for both their ends stay; the least of all always does, and a fixed share does on average, so rounds grow with the logarithm of the patients.
+    Null patients and facilities are left out.
     """
-    free = ranked(assignment.select("facility_id", "patient_id").distinct(), "facility_id", hashed(seed, F.col("patient_id")))
-    free = materialize(free.where(F.col("rn") <= max(20, 2 * n)).select("facility_id", "patient_id", "rn"))
     source, target = "source_patient_id", "target_patient_id"
-    found = None
-    for k in range(rounds):
-        place = F.row_number().over(Window.partitionBy("facility_id").orderBy("rn")) - 1  # of max(20, 2 n) rows at most
-        pairs = free.withColumn("g", F.floor(place / 2)).groupBy("facility_id", "g").agg(F.min("patient_id").alias(source), F.max("patient_id").alias(target))
-        pairs = pairs.where(F.col(source) < F.col(target)).select(source, target).distinct().withColumn("u", hashed(seed, F.col(source), F.col(target)))
+    free = materialize(assignment.select("facility_id", "patient_id").dropna().distinct())
+    found, have, k = None, 0, 0
+    while True:
+        pairs = materialize(_proposals(free, seed, k))
         ends = pairs.select(F.col(source).alias("p"), "u").unionByName(pairs.select(F.col(target).alias("p"), "u")).groupBy("p").agg(F.min("u").alias("least"))
+        kept = pairs
         for side in (source, target):
-            pairs = pairs.join(ends.select(F.col("p").alias(side), F.col("least").alias(f"l_{side}")), side)
-        kept = pairs.where((F.col("u") == F.col(f"l_{source}")) & (F.col("u") == F.col(f"l_{target}"))).select(source, target, "u", F.lit(k).alias("round"))
-        found = materialize(kept if found is None else found.unionByName(kept))
-        if found.count() >= n or k + 1 == rounds:
-            break
-        used = found.select(F.col(source).alias("patient_id")).unionByName(found.select(F.col(target).alias("patient_id")))
+            kept = kept.join(ends.select(F.col("p").alias(side), F.col("least").alias(f"l_{side}")), side)
+        kept = materialize(kept.where((F.col("u") == F.col(f"l_{source}")) & (F.col("u") == F.col(f"l_{target}"))).select(source, target, "u", F.lit(k).alias("round")))
+        more = kept.count()
+        found, have, k = kept if found is None else found.unionByName(kept), have + more, k + 1
+        if not more or (n is not None and have >= n):
+            return found
+        used = kept.select(F.explode(F.array(source, target)).alias("patient_id"))
         free = materialize(free.join(used, "patient_id", "left_anti"))
+
+
+def confusable_pairs(assignment: DataFrame, n: int, seed: int = 42) -> DataFrame:
+    """n pairs of maximal_matching, those of earlier rounds, then of lesser hash; fewer, with a warning, if that has fewer. source_patient_id, target_patient_id, group_type."""
+    source, target = "source_patient_id", "target_patient_id"
+    found = maximal_matching(assignment, n, seed)
+    have = found.count()
+    if have < n:
+        warnings.warn(f"{have} of {n} pairs: no facility has two more free patients", stacklevel=2)
+    elif have > n:
+        found = placed(found, "round", "u").where(F.col("place") <= n)
     kind = weighted(uniform(seed + 1, F.col(source), F.col(target)), GROUP_TYPES)
-    return found.orderBy("round", "u").limit(n).select(source, target, kind.alias("group_type"))
+    return found.select(source, target, kind.alias("group_type"))
 
 
 def overwrite_confusable(patients: DataFrame, pairs: DataFrame, seed: int = 42) -> DataFrame:

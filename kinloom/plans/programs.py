@@ -43,7 +43,7 @@ def segment(spark: SparkSession, source: str, run: str, settings: config.Augment
 
 
 def inject(spark: SparkSession, run: str, out: str, settings: config.Augmentation = config.Augmentation()) -> list[str]:
-    """Writes a run folder with errors in its patients, its truth and the log of errors; other tables are written again as they are. What validation says of it."""
+    """Writes a run folder with errors in its patients, its truth and the log of errors; the manifest refers to all other tables where they are. What validation says of it."""
     rule = settings.error_injection
     raw = io.facility_table(spark, run, "patients").drop("ord")
     dates = {c: F.date_format(c, "yyyy-MM-dd") for c in ("BIRTHDATE",) if dict(raw.dtypes).get(c, "string") != "string"}
@@ -52,9 +52,8 @@ def inject(spark: SparkSession, run: str, out: str, settings: config.Augmentatio
     visits = io.facility_table(spark, run, "encounters").select("facility_id", F.col("PATIENT").alias("patient_id"))
     truth = errors.truth_of(wrong.join(raw.select("Id", "facility_id"), ["Id", "facility_id"], "left_semi"), visits)
     io.write_facilities(wrong.drop("error_log"), out, "patients")
-    there = {t for t in io.SOURCE if t != "patients" and (io._paths(spark, f"{run}/facilities/{t}.parquet") or io._paths(spark, f"{run}/facilities/facility_*/{t}.parquet"))}
-    for name in sorted(there):
-        io.write_facilities(io.facility_table(spark, run, name), out, name)
+    there = io.tables_of(spark, run, tuple(t for t in io.SOURCE if t != "patients"))
+    io.pass_through(spark, run, out, there)
     io.write_truth(truth.withColumn("facility_id", F.regexp_extract("facility_id", r"(\d+)", 1).cast("long")), out)
     io.write_error_log(wrong, f"{out}/metadata/error_log.jsonl")
     n = wrong.agg(F.sum(F.size("error_log"))).first()[0] or 0

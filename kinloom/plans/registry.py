@@ -17,8 +17,8 @@ from kinloom.functions import text
 from kinloom import config
 from kinloom.functions.draws import uniform, uniform_sql, weighted_sql
 from kinloom.operators import dataset, errors, evaluate, golden, linkage, scoring, split, standardize, summarize, validate
-from kinloom.operators.graph import connected_components, scratch_path
-from kinloom.plans import programs
+from kinloom.operators.graph import connected_components, materialize, scratch_path
+from kinloom.plans import error_sql, programs
 from kinloom.sources import tables as io
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -70,8 +70,7 @@ def blocked(spark, sf) -> DataFrame:
 
 
 def scored(spark, sf) -> DataFrame:
-    compared = linkage.compare(blocked(spark, sf).drop("match_key"), persons(spark, sf), COMPARISONS)
-    return linkage.score(compared, linkage.Model(COMPARISONS, PRIOR))
+    return linkage.score(linkage.compare_blocks(persons(spark, sf), RULES, COMPARISONS), linkage.Model(COMPARISONS, PRIOR))
 
 
 def micro(c) -> Column:
@@ -91,15 +90,6 @@ def standardize_columns(spark, sf):
     return out.select("id", "first_name", "ssn", "zip", "state", "record_id")
 
 
-_NICK = ", ".join(f"('{k}', '{v}')" for k, v in text.NICKNAME.items())
-
-
-@query(f"WITH n(k, v) AS (VALUES {_NICK}), c AS (SELECT v, min_by(k, i) AS k FROM (SELECT k, v, row_number() OVER () AS i FROM n) GROUP BY v) SELECT n.k AS formal, n.v AS nickname, c.k AS canonical FROM n JOIN c ON c.v = n.v")
-def nickname_lookup(spark, sf):
-    names = spark.createDataFrame([(k,) for k in text.NICKNAME], "formal string")
-    return names.select("formal", text.nickname(F.lower("formal")).alias("nickname"), text.canonical_first_name(text.nickname(F.col("formal"))).alias("canonical"))
-
-
 @query(f"WITH {PERSONS}, {PAIRS} SELECT record_id_l, record_id_r, match_key FROM pairs")
 def blocking_union(spark, sf):
     return blocked(spark, sf)
@@ -117,6 +107,44 @@ def jw_compare(spark, sf):
     return pairs.select("a", "b", micro(text.jaro_winkler(F.col("a"), F.col("b"))).alias("jw"))
 
 
+@query("SELECT a.p_partkey AS part, CAST(damerau_levenshtein(a.p_name, b.p_name) AS INTEGER) AS edits, CAST(least(damerau_levenshtein(a.p_name, b.p_name), 4) AS INTEGER) AS within_three, CAST(damerau_levenshtein(a.p_type, lower(a.p_name)) AS INTEGER) AS to_type FROM part a JOIN part b ON b.p_partkey = a.p_partkey + 1")
+def name_edits(spark, sf):
+    """Edits between the names of neighbouring parts, whole and in a band of three, and from a part's type to its name."""
+    p = t(spark, sf, "part").select("p_partkey", "p_name", "p_type")
+    both = p.join(p.select((F.col("p_partkey") - 1).alias("p_partkey"), F.col("p_name").alias("next")), "p_partkey")
+    return both.select(F.col("p_partkey").alias("part"), text.damerau_levenshtein(F.col("p_name"), F.col("next")).alias("edits"), text.damerau_levenshtein(F.col("p_name"), F.col("next"), 3).alias("within_three"), text.damerau_levenshtein(F.col("p_type"), F.lower("p_name")).alias("to_type"))
+
+
+@query("SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate, o_orderpriority FROM orders")
+def csv_round_trip(spark, sf):
+    """Orders as CSV files and back, each column in the type that all its values have."""
+    path = scratch_path(spark)
+    rows = t(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority")
+    rows.write.option("header", True).csv(f"{path}/orders.csv")
+    back = io.read_csv(spark, f"{path}/orders.csv")
+    if [kind for _, kind in back.dtypes] != ["bigint", "bigint", "string", "double", "timestamp", "string"]:
+        raise TypeError(f"types read back: {back.dtypes}")
+    return back
+
+
+@query("SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders JOIN customer ON c_custkey = o_custkey WHERE c_mktsegment = 'BUILDING' AND c_nationkey = 3)")
+def rows_of_ids(spark, sf):
+    """Lines of some orders, by ranges that reach the scan and a semi-join after it."""
+    who = t(spark, sf, "customer").where("c_mktsegment = 'BUILDING' AND c_nationkey = 3").select(F.col("c_custkey").alias("o_custkey"))
+    ids = t(spark, sf, "orders").join(who, "o_custkey", "left_semi").select(F.col("o_orderkey").alias("l_orderkey"))
+    return io.rows_of(t(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey"), ids, "l_orderkey")
+
+
+@query("""WITH a AS (SELECT o_orderkey, o_custkey, row_number() OVER (ORDER BY o_orderdate, o_orderkey) AS ord FROM orders), b AS (SELECT l_orderkey, l_linenumber, row_number() OVER (ORDER BY l_shipdate, l_orderkey, l_linenumber, l_partkey, l_extendedprice) AS ord FROM lineitem)
+SELECT ord, o_orderkey AS record_id_1, o_custkey AS record_id_2, l_linenumber % 2 AS prediction, l_orderkey / 1e6::DOUBLE AS confidence FROM a JOIN b USING (ord)""")
+def positional_zip(spark, sf):
+    """Orders by date beside lines by ship date, row by row; lines are more, and are cut."""
+    order = lambda *c: F.struct(*c).alias("ord")
+    pairs = t(spark, sf, "orders").select(order("o_orderdate", "o_orderkey"), F.col("o_orderkey").alias("record_id_1"), F.col("o_custkey").alias("record_id_2"))
+    lines = t(spark, sf, "lineitem").select(order("l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice"), (F.col("l_linenumber") % 2).alias("prediction"), (F.col("l_orderkey") / 1e6).alias("confidence"))
+    return linkage.zipped(pairs, lines)
+
+
 _DOB = "CASE WHEN a = b THEN 5 WHEN damerau_levenshtein(a, b) <= 1 THEN 4 WHEN abs(date_diff('day', CAST(a AS DATE), CAST(b AS DATE))) <= 30 THEN 3 WHEN abs(date_diff('day', CAST(a AS DATE), CAST(b AS DATE))) <= 365 THEN 2 WHEN abs(date_diff('day', CAST(a AS DATE), CAST(b AS DATE))) <= 3652 THEN 1 ELSE 0 END"
 
 
@@ -129,8 +157,7 @@ def dob_levels(spark, sf):
 
 @query(f"WITH {PERSONS}, {PAIRS}, {GAMMAS} SELECT gamma_first_name, gamma_last_name, gamma_zip, gamma_birth_year, count(*) AS n FROM gammas GROUP BY ALL")
 def gamma_patterns(spark, sf):
-    compared = linkage.compare(blocked(spark, sf).drop("match_key"), persons(spark, sf), COMPARISONS, keep=False)
-    return linkage.patterns(compared, COMPARISONS)
+    return linkage.patterns(linkage.compare_blocks(persons(spark, sf), RULES, COMPARISONS, keep=False), COMPARISONS)
 
 
 @query(f"WITH {PERSONS} SELECT last_name AS value, count(*) / (SELECT count(last_name) FROM persons)::DOUBLE AS tf FROM persons WHERE last_name IS NOT NULL GROUP BY last_name")
@@ -164,7 +191,7 @@ _GAMMA_OF = "CASE comparison " + " ".join(f"WHEN '{c.name}' THEN gamma_{c.name}"
 SELECT comparison, level, CAST(floor(1e6 * greatest(coalesce(sum(p) FILTER ({_GAMMA_OF} = level), 0) / sum(p), 1e-6) + 0.5) AS BIGINT) AS m FROM l, s GROUP BY comparison, level""")
 def em_step(spark, sf):
     """One step of the estimate of m: posteriors by pattern, then level shares."""
-    compared = linkage.compare(blocked(spark, sf).drop("match_key"), persons(spark, sf), COMPARISONS, keep=False)
+    compared = linkage.compare_blocks(persons(spark, sf), RULES, COMPARISONS, keep=False)
     counts = [r.asDict() for r in linkage.patterns(compared, COMPARISONS).collect()]  # a row a pattern
     _, m = linkage.expectation_maximization(counts, COMPARISONS, PRIOR, steps=1)
     rows = [(k, i, int(1e6 * x + 0.5)) for k, v in m.items() for i, x in enumerate(v)]
@@ -316,6 +343,22 @@ def threshold_sweep(spark, sf):
     return evaluate.threshold_sweep(scored_pairs(spark, sf), evaluate.truth_pairs(truth(spark, sf))).drop("f1")
 
 
+_GRID = ", ".join(f"({x!r}::DOUBLE)" for x in evaluate.BASELINE_GRID)
+
+
+@query(f"{MODEL}, {TRUTH}, f AS (SELECT p, t.record_id_1 IS NOT NULL AS hit FROM probabilities s LEFT JOIN tpairs t ON s.record_id_l = t.record_id_1 AND s.record_id_r = t.record_id_2), g AS (SELECT threshold, count(*) FILTER (hit AND p >= threshold) AS tp, count(*) FILTER (NOT hit AND p >= threshold) AS fp FROM f, (VALUES {_GRID}) r(threshold) GROUP BY threshold), k AS (SELECT *, (SELECT count(*) FROM tpairs) - tp AS fn FROM g) SELECT threshold, tp, fp, fn, {_PRF} FROM k")
+def baseline_sweep(spark, sf):
+    """The baseline's thresholds, as repeated steps of 0.01 make them."""
+    return evaluate.threshold_sweep(scored_pairs(spark, sf), evaluate.truth_pairs(truth(spark, sf)), evaluate.BASELINE_GRID).drop("f1")
+
+
+@query(f"{MODEL}, {TRUTH}, k AS (SELECT count(*) FILTER (t.record_id_1 IS NOT NULL AND s.record_id_l IS NOT NULL) AS tp, count(*) FILTER (t.record_id_1 IS NULL) AS fp, count(*) FILTER (s.record_id_l IS NULL) AS fn FROM (SELECT * FROM probabilities WHERE p >= 0.5) s FULL JOIN tpairs t ON s.record_id_l = t.record_id_1 AND s.record_id_r = t.record_id_2) SELECT tp, fp, fn, {_PRF}, tp + fp AS predicted_pairs, tp + fn AS true_pairs FROM k")
+def match_metrics(spark, sf):
+    """Pairs at a threshold, whose ids stand in either order, and their metrics."""
+    found = evaluate.matches_at(scored_pairs(spark, sf).select(F.col("record_id_2").alias("record_id_1"), F.col("record_id_1").alias("record_id_2"), "p"), 0.5)
+    return evaluate.match_metrics(found, evaluate.truth_pairs(truth(spark, sf))).drop("f1")
+
+
 @query(f"{_SWEEP} SELECT threshold, tp, fp, fn FROM k ORDER BY 2.0 * tp / greatest(2 * tp + fp + fn, 1) DESC, threshold LIMIT 1")
 def best_threshold(spark, sf):
     sweep = evaluate.threshold_sweep(scored_pairs(spark, sf), evaluate.truth_pairs(truth(spark, sf)))
@@ -350,6 +393,18 @@ def text_scorer(spark, sf):
     return scored.select("patient", "prediction", F.round(F.col("confidence") * 1e4).cast("long").alias("confidence"))
 
 
+@query(ORACLES["text_scorer"])
+def scoring_job(spark, sf):
+    """The same scores by a job that is stopped after a part of its batches and started again."""
+    s = all_summaries(spark, sf)
+    pairs = s.select(F.col("PATIENT").alias("patient"), F.col("summary").alias("a")).join(s.select((F.col("PATIENT") - 1).alias("patient"), F.col("summary").alias("b")), "patient")
+    texts, out = materialize(pairs.select("patient", summarize.prompt(F.col("a"), F.col("b")).alias("text"))), scratch_path(spark)
+    size = max(1, -(-texts.count() // 4))
+    scoring.score_job(texts, out, scoring.word_overlap, ("patient",), rows=size, most=2)
+    scored = scoring.score_job(texts, out, scoring.word_overlap, ("patient",), rows=size)
+    return scored.select("patient", "prediction", F.round(F.col("confidence") * 1e4).cast("long").alias("confidence"))
+
+
 @query("SELECT count(*) AS n, count(*) FILTER (quality <> toxic) AS errors, count(*) FILTER (quality = 0 AND toxic = 1) AS false_positives, count(*) FILTER (quality = 1 AND toxic = 0) AS false_negatives, CAST(round(avg(CASE WHEN quality <> toxic THEN (doc_id % 50) / 100.0::DOUBLE END) * 1e6) AS BIGINT) AS wrong, CAST(round(avg(CASE WHEN quality = toxic THEN (doc_id % 50) / 100.0::DOUBLE END) * 1e6) AS BIGINT) AS correct FROM labels")
 def error_summary(spark, sf):
     rows = t(spark, sf, "labels").withColumn("c", (F.col("doc_id") % 50) / 100.0)
@@ -394,14 +449,14 @@ def dressed(spark, sf) -> DataFrame:
 
 def _vote_sql(field: str, strategy: str) -> str:
     column = "given" if field == "first_name" else field
-    rank = {"most_recent": "l DESC", "most_frequent": "n DESC, o"}.get(strategy) or {
+    rank = {"most_recent": "l DESC"}.get(strategy) or (strategy != "field_specific" and "n DESC, o") or {
         "address": f"length({column}) DESC, o", "ssn": f"contains({column}, '-') DESC, o", "first_name": f"({column} = upper({column}[1]) || lower({column}[2:])) DESC, o",
     }.get(field, "n DESC, o")
     votes = f"SELECT cluster, {column}, count(*) AS n, min(ord) AS o, max(ord) AS l FROM dressed WHERE trim({column}) <> '' GROUP BY cluster, {column}"
     return f"(SELECT cluster, {column} AS {field} FROM (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY {rank}) AS r FROM ({votes})) WHERE r = 1) v_{field}"
 
 
-for _strategy in ("most_frequent", "most_recent", "field_specific"):
+for _strategy in ("most_frequent", "most_recent", "least_errors", "field_specific", "unknown_strategy"):  # least_errors and unknown ones count as most_frequent
 
     def _golden(spark, sf, strategy=_strategy):
         return golden.merge(dressed(spark, sf), strategy, _FIELDS).select("cluster", "num_records", "source_record_ids", *_FIELDS)
@@ -418,6 +473,13 @@ def golden_ids(spark, sf):
     return golden.number(clustered.groupBy("cluster").agg(F.count(F.lit(1)).alias("num_records"))).select("golden_id", "cluster", "num_records")
 
 
+@query(f"WITH {PERSONS}, {CLUSTERS} SELECT cluster, CAST(record_id AS VARCHAR) AS record_id FROM clusters")
+def listed_records(spark, sf):
+    """Records of clusters by way of the list that golden records have of them."""
+    clustered = golden.assign_clusters(persons(spark, sf), matches(spark, sf))
+    return golden.listed_records(golden.merge(clustered, fields=()).withColumn("source_record_ids", F.regexp_replace("source_record_ids", ",", " , ,")))
+
+
 @query(f"WITH {PERSONS}, {CLUSTERS} SELECT record_id FROM clusters WHERE cluster IN (SELECT cluster FROM clusters GROUP BY cluster HAVING count(*) = 1)")
 def singleton_records(spark, sf):
     return golden.singletons(persons(spark, sf), matches(spark, sf))
@@ -537,12 +599,74 @@ def demographics(spark, sf) -> DataFrame:
     return t(spark, sf, "customer").select(k.alias("Id"), F.lit("facility_001").alias("facility_id"), names.alias("FIRST"), F.col("c_mktsegment").alias("LAST"), F.lit("Smith").alias("MAIDEN"), F.date_format(F.date_add(F.lit("1950-01-01").cast("date"), (F.col("c_custkey") % 18000).cast("int")), "yyyy-MM-dd").alias("BIRTHDATE"), F.concat_ws("-", F.substring(ssn, 1, 3), F.substring(ssn, 4, 2), F.substring(ssn, 6, 4)).alias("SSN"), F.concat(k, F.lit(" Oak Street Apt 5")).alias("ADDRESS"), F.lit("BOSTON").alias("CITY"), F.lit("02115").alias("ZIP"))
 
 
-@query()
+_NICK = "CASE {} " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in text.NICKNAME.items()) + " ELSE {} END"
+_FORMAL = "CASE {} " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in text.CANONICAL.items()) + " ELSE {} END"
+
+
+_BORN = "strftime(CAST(DATE '1950-01-01' + CAST(c_custkey % 18000 AS INTEGER) AS DATE), '%Y-%m-%d')"
+_SSN = lambda d: f"concat_ws('-', substr({d}, 1, 3), substr({d}, 4, 2), substr({d}, 6, 4))"
+DEMOGRAPHICS = f"""people AS (SELECT CAST(c_custkey AS VARCHAR) AS Id, 'facility_001' AS facility_id, [{", ".join(f"'{k}'" for k in text.NICKNAME)}][CAST(c_custkey % {len(text.NICKNAME)} + 1 AS INTEGER)] AS FIRST, c_mktsegment AS LAST, 'Smith' AS MAIDEN, {_BORN} AS BIRTHDATE,
+  {_SSN("lpad(CAST(c_custkey AS VARCHAR), 9, '1')")} AS SSN, CAST(c_custkey AS VARCHAR) || ' Oak Street Apt 5' AS ADDRESS, 'BOSTON' AS CITY, '02115' AS ZIP FROM customer)"""
+_INJECTED = f"WITH {DEMOGRAPHICS}, {error_sql.injected('people', ['FIRST', 'LAST', 'MAIDEN', 'BIRTHDATE', 'SSN', 'ADDRESS', 'CITY', 'ZIP'])}, logged AS (SELECT Id, unnest(error_log) AS e FROM injected)"
+
+
+@query(f"WITH {DEMOGRAPHICS}, n AS (SELECT Id AS id, {_NICK.format('FIRST', 'FIRST')} AS nickname, {_NICK.format('upper(LAST)', 'LAST')} AS other FROM people) SELECT id, nickname, {_FORMAL.format('upper(nickname)', 'upper(nickname)')} AS canonical, other FROM n")
+def nickname_lookup(spark, sf):
+    """Customers' first names as nicknames and back, and last names, which have none."""
+    n = demographics(spark, sf).select(F.col("Id").alias("id"), text.nickname(F.concat(F.lit(" "), F.lower("FIRST"), F.lit("12 "))).alias("nickname"), text.nickname(F.col("LAST")).alias("other"))
+    return n.select("id", "nickname", text.canonical_first_name(F.col("nickname")).alias("canonical"), "other")
+
+
+@query(f"WITH {DEMOGRAPHICS} SELECT Id AS id, 'Customer#' AS name, LAST || ' ' || MAIDEN AS spaced, ADDRESS AS address FROM people")
+def name_cleaning(spark, sf):
+    """Digits leave names; runs of white space become one space."""
+    c = t(spark, sf, "customer")
+    spaced = demographics(spark, sf).select(F.col("Id").alias("id"), F.concat(F.lit(" \t"), "LAST", F.lit("7 \n 8"), "MAIDEN", F.lit("9 ")).alias("spaced"), F.col("ADDRESS").alias("address"))
+    return spaced.join(c.select(F.col("c_custkey").cast("string").alias("id"), text.strip_digits(F.col("c_name")).alias("name")), "id").select("id", "name", text.strip_digits(F.col("spaced")).alias("spaced"), text.trim(F.concat(F.lit("\u2003\t"), "address", F.lit("\n"))).alias("address"))
+
+
+@query(f"{_INJECTED} SELECT e.error_type AS error_type, e.field AS field, count(*) AS n FROM logged GROUP BY ALL")
 def error_injection(spark, sf):
     """Error counts by type and field over all customers."""
     return errors.error_statistics(errors.inject(demographics(spark, sf)))
 
 
+@query(f"{_INJECTED} SELECT Id AS id, FIRST AS first, LAST AS last, MAIDEN AS maiden, BIRTHDATE AS birthdate, SSN AS ssn, ADDRESS AS address, CITY AS city, ZIP AS zip, len(error_log) AS errors FROM injected")
+def injected_records(spark, sf):
+    """Every customer's values after all steps."""
+    made = errors.inject(demographics(spark, sf))
+    return made.select(*(F.col(c).alias(c.lower()) for c in ("Id", "FIRST", "LAST", "MAIDEN", "BIRTHDATE", "SSN", "ADDRESS", "CITY", "ZIP")), F.size("error_log").cast("long").alias("errors"))
+
+
+@query(f"{_INJECTED} SELECT 'errors_by_type' AS statistic, e.error_type AS key, count(*) AS n FROM logged GROUP BY ALL UNION ALL SELECT 'errors_by_field', e.field, count(*) FROM logged GROUP BY ALL UNION ALL SELECT 'errors_by_facility', 'facility_001', count(*) FROM logged UNION ALL SELECT 'total_errors', NULL, count(*) FROM logged")
+def error_totals(spark, sf):
+    return errors.all_statistics(errors.inject(demographics(spark, sf)))
+
+
+_TRUTH_ROWS = f"""{_INJECTED}, visits AS (SELECT CAST(o_custkey AS VARCHAR) AS p, count(*) AS n FROM orders GROUP BY 1),
+applied AS (SELECT Id AS original_patient_uuid, facility_id, coalesce(n, 0) AS num_encounters, CASE WHEN len(error_log) = 0 THEN 'none' ELSE array_to_string(list_transform(error_log, lambda x: x.error_type), ',') END AS errors_applied, FIRST AS first_name, SSN AS ssn FROM injected LEFT JOIN visits ON p = Id)"""
+
+
+def injected_truth(spark, sf) -> DataFrame:
+    visits = t(spark, sf, "orders").select(F.lit("facility_001").alias("facility_id"), F.col("o_custkey").cast("string").alias("patient_id"))
+    return errors.truth_of(errors.inject(demographics(spark, sf)), visits)
+
+
+@query(f"{_TRUTH_ROWS} SELECT * FROM applied")
+def truth_of_errors(spark, sf):
+    """Each patient's errors in their order, and encounters."""
+    return injected_truth(spark, sf).select("original_patient_uuid", "facility_id", "num_encounters", "errors_applied", "first_name", "ssn")
+
+
+@query(f"{_TRUTH_ROWS}, halves AS (SELECT * FROM applied UNION ALL SELECT original_patient_uuid, 'facility_002', num_encounters, errors_applied, first_name, ssn FROM applied WHERE num_encounters > 9), per AS (SELECT original_patient_uuid, count(*) AS k, max(CASE WHEN errors_applied <> 'none' THEN 1 ELSE 0 END) AS wrong FROM halves GROUP BY 1), spread AS (SELECT k, count(*) AS n FROM per GROUP BY k) SELECT CAST(sum(k) AS BIGINT) AS total_patient_facility_pairs, count(*) AS unique_patients, CAST(sum(wrong) AS BIGINT) AS patients_with_errors, CAST(floor(1e6 * (sum(wrong) / count(*)) + 0.5) AS BIGINT) AS error_rate, (SELECT string_agg(k || ':' || n, ',' ORDER BY k) FROM spread) AS facilities FROM per")
+def truth_statistics(spark, sf):
+    """Patients with many encounters count at a second facility as well."""
+    truth = materialize(injected_truth(spark, sf))
+    truth = truth.unionByName(truth.where("num_encounters > 9").withColumn("facility_id", F.lit("facility_002")))
+    listed = F.array_join(F.transform(F.map_entries("facility_count_distribution"), lambda x: F.concat_ws(":", x["key"].cast("string"), x["value"].cast("string"))), ",")
+    return errors.truth_statistics(truth).select("total_patient_facility_pairs", "unique_patients", "patients_with_errors", micro(F.col("error_rate")).alias("error_rate"), listed.alias("facilities"))
+
+
 _ASSIGNED = f"""n AS (SELECT c_custkey AS patient_id, least({weighted_sql(uniform_sql(42, "c_custkey", "0"), split.FACILITY_COUNTS)}, 5) AS n FROM customer),
 asg AS (SELECT patient_id, CAST(slot AS INTEGER) AS slot, CAST(f AS INTEGER) AS facility_id FROM (SELECT patient_id, n, f, row_number() OVER (PARTITION BY patient_id ORDER BY {uniform_sql(42, "patient_id", "f")}, f) - 1 AS slot FROM n, range(1, 6) r(f)) WHERE slot < n)"""
 
@@ -552,29 +676,57 @@ def facility_assignment(spark, sf):
     return split.assign_facilities(t(spark, sf, "customer").select(F.col("c_custkey").alias("patient_id")), 5)
 
 
-def _confusable_sql(n: int, rounds: int) -> str:
-    """The rounds of split.confusable_pairs, one after the other."""
+def _matching_sql(n: int | None, rounds: int) -> str:
+    """The rounds of split.maximal_matching, one after the other; a round that finds no pair changes nothing, so there may be more than it takes."""
     h = lambda *keys: "md5(" + " || '|' || ".join(["'42'", *(f"CAST({k} AS VARCHAR)" for k in keys)]) + ")"
-    ctes = [f"free0 AS (SELECT * FROM (SELECT facility_id, patient_id, row_number() OVER (PARTITION BY facility_id ORDER BY {h('patient_id')}) AS rn FROM asg) WHERE rn <= {max(20, 2 * n)})"]
+    ctes = ["free0 AS MATERIALIZED (SELECT DISTINCT facility_id, patient_id FROM asg)"]
     for k in range(rounds):
         ctes += [
-            f"g{k} AS (SELECT *, (row_number() OVER (PARTITION BY facility_id ORDER BY rn) - 1) // 2 AS g FROM free{k})",
-            f"p{k} AS (SELECT *, {h('a', 'b')} AS u FROM (SELECT DISTINCT min(patient_id) AS a, max(patient_id) AS b FROM g{k} GROUP BY facility_id, g) WHERE a < b)",
+            f"g{k} AS (SELECT *, (row_number() OVER (PARTITION BY facility_id ORDER BY {h(k, 'patient_id')}, patient_id) - 1) // 2 AS g FROM free{k})",
+            f"p{k} AS MATERIALIZED (SELECT *, {h('a', 'b')} AS u FROM (SELECT DISTINCT min(patient_id) AS a, max(patient_id) AS b FROM g{k} GROUP BY facility_id, g) WHERE a < b)",
             f"e{k} AS (SELECT p, min(u) AS least FROM (SELECT a AS p, u FROM p{k} UNION ALL SELECT b, u FROM p{k}) GROUP BY p)",
-            f"k{k} AS (SELECT a, b, u, {k} AS round FROM p{k} JOIN e{k} x ON x.p = a AND x.least = u JOIN e{k} y ON y.p = b AND y.least = u" + (f" WHERE (SELECT count(*) FROM f{k - 1}) < {n}" if k else "") + ")",
-            f"f{k} AS (SELECT * FROM k{k}" + (f" UNION ALL SELECT * FROM f{k - 1}" if k else "") + ")",
-            f"free{k + 1} AS (SELECT * FROM free{k} WHERE patient_id NOT IN (SELECT a FROM f{k} UNION ALL SELECT b FROM f{k}))",
+            f"k{k} AS (SELECT a, b, u, {k} AS round FROM p{k} JOIN e{k} x ON x.p = a AND x.least = u JOIN e{k} y ON y.p = b AND y.least = u" + (f" WHERE (SELECT count(*) FROM f{k - 1}) < {n}" if k and n else "") + ")",
+            f"f{k} AS MATERIALIZED (SELECT * FROM k{k}" + (f" UNION ALL SELECT * FROM f{k - 1}" if k else "") + ")",
+            f"free{k + 1} AS MATERIALIZED (SELECT * FROM free{k} WHERE patient_id NOT IN (SELECT a FROM f{k} UNION ALL SELECT b FROM f{k}))",
         ]
-    kind = weighted_sql(uniform_sql(43, "a", "b"), split.GROUP_TYPES)
-    return f"WITH {_ASSIGNED}, {', '.join(ctes)} SELECT a AS source_patient_id, b AS target_patient_id, {kind} AS group_type FROM (SELECT * FROM f{rounds - 1} ORDER BY round, u LIMIT {n})"
+    return f"WITH {_ASSIGNED}, {', '.join(ctes)}"
+
 
+_KIND = weighted_sql(uniform_sql(43, "a", "b"), split.GROUP_TYPES)
 
-@query(_confusable_sql(100, 3))
+
+@query(f"{_matching_sql(100, 4)} SELECT a AS source_patient_id, b AS target_patient_id, {_KIND} AS group_type FROM (SELECT * FROM f3 ORDER BY round, u LIMIT 100)")
 def confusable_groups(spark, sf):
     people = t(spark, sf, "customer").select(F.col("c_custkey").alias("patient_id"))
     return split.confusable_pairs(split.assign_facilities(people, 5), 100)
 
 
+@query(f"{_matching_sql(None, 16)} SELECT a AS source_patient_id, b AS target_patient_id, round FROM f15")
+def confusable_matching(spark, sf):
+    """Pairs until no facility has two patients in none."""
+    people = t(spark, sf, "customer").select(F.col("c_custkey").alias("patient_id"))
+    return split.maximal_matching(split.assign_facilities(people, 5)).drop("u")
+
+
+_U = uniform_sql(44, "p.Id")
+_YEARS = f"CASE kind WHEN 'parent_child' THEN 25 + floor({_U} * 6) WHEN 'sibling' THEN CASE WHEN {_U} < 0.5 THEN -1 - floor({_U} * 10) ELSE 1 + floor(({_U} - 0.5) * 10) END END"
+_COPY = lambda f: f"CASE WHEN kind IN ({', '.join(repr(k) for k, c in split.COPIED.items() if f in c)}) THEN s.{f} ELSE p.{f} END AS {f.lower()}"
+
+
+@query(f"""{_matching_sql(None, 16)}, {DEMOGRAPHICS}, dealt AS (SELECT CAST(a AS VARCHAR) AS a, CAST(b AS VARCHAR) AS b, {_KIND} AS kind FROM f15)
+SELECT p.Id AS id, {", ".join(_COPY(f) for f in ("FIRST", "LAST", "ADDRESS", "CITY", "ZIP"))}, p.MAIDEN AS maiden,
+  CASE WHEN kind = 'twin' THEN s.BIRTHDATE WHEN kind IS NOT NULL THEN strftime(CAST(s.BIRTHDATE AS DATE) + to_months(CAST(12 * {_YEARS} AS INTEGER)), '%Y-%m-%d') ELSE p.BIRTHDATE END AS birthdate
+FROM people p LEFT JOIN dealt ON p.Id = b LEFT JOIN people s ON s.Id = a""")
+def confusable_overwrite(spark, sf):
+    """Twins, children and siblings of all matched customers: what they take from their source; births on February 29 too."""
+    people = demographics(spark, sf)
+    pairs = split.maximal_matching(split.assign_facilities(t(spark, sf, "customer").select(F.col("c_custkey").alias("patient_id")), 5))
+    source, target = "source_patient_id", "target_patient_id"
+    kinds = pairs.select(F.col(source).cast("string").alias(source), F.col(target).cast("string").alias(target), weighted(uniform(43, F.col(source), F.col(target)), split.GROUP_TYPES).alias("group_type"))
+    made = split.overwrite_confusable(people, kinds)
+    return made.select(*(F.col(c).alias(c.lower()) for c in ("Id", "FIRST", "LAST", "ADDRESS", "CITY", "ZIP", "MAIDEN", "BIRTHDATE")))
+
+
 @query(f"""WITH {PERSONS}, {TRUTH}, x AS (SELECT record_id, tp, row_number() OVER (ORDER BY record_id) - 1 AS i FROM truth), c AS (SELECT count(*) AS n FROM x), k AS (SELECT greatest(count(*), 200) AS k FROM tpairs),
 d AS (SELECT id, CAST(floor({uniform_sql(42, "id", "1")} * n) AS BIGINT) AS i1, CAST(floor({uniform_sql(42, "id", "2")} * n) AS BIGINT) AS i2 FROM range(0, 20000) r(id), c),
 p AS (SELECT least(a.record_id, b.record_id) AS record_id_1, greatest(a.record_id, b.record_id) AS record_id_2, min(id) AS id FROM d JOIN x a ON a.i = i1 JOIN x b ON b.i = i2 WHERE a.tp <> b.tp GROUP BY 1, 2)
@@ -583,34 +735,19 @@ def negative_pairs(spark, sf):
     return dataset.negatives(truth(spark, sf), least=200)  # sf0.001 has no true pairs
 
 
-_EU = lambda name, k: uniform_sql(7, "id", f"'{name}'", str(k))
-_AT = lambda name, k, first, length: f"CAST(floor({_EU(name, k)} * greatest(({length}) - {first} + 1, 1)) + {first} AS INTEGER)"
-_NICKS = "CASE n " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in text.NICKNAME.items()) + " ELSE n END"
-_PICK = lambda u, values: "[" + ", ".join(f"'{v}'" if isinstance(v, str) else str(v) for v in values) + f"][CAST(floor({u} * {len(values)}) + 1 AS INTEGER)]"
-_DASHED = lambda d: f"substr({d}, 1, 3) || '-' || substr({d}, 4, 2) || '-' || substr({d}, 6, 4)"
-_ERROR_SQL = {
-    "nickname_substitution": _NICKS,
-    "maiden_name_usage": "'Smith'",
-    "full_address_change": f"CAST(CAST(1 + floor({_EU('full_address_change', 0)} * 9998) AS INTEGER) AS VARCHAR) || ' ' || {_PICK(_EU('full_address_change', 1), errors.STREETS)} || ' ' || {_PICK(_EU('full_address_change', 2), errors.KINDS)}",
-    "date_off_by_one": f"strftime(b + CAST({_PICK(_EU('date_off_by_one', 0), [1, -1, 30, -30, 365, -365])} AS INTEGER), '%Y-%m-%d')",
-    "date_digit_transposition": "CASE WHEN day(b) <= 12 AND day(b) <> month(b) THEN strftime(b, '%Y-%d-%m') WHEN substr(y, 1, 2) || y[4] || y[3] BETWEEN '1900' AND '2025' AND try_cast(substr(y, 1, 2) || y[4] || y[3] || strftime(b, '-%m-%d') AS DATE) IS NOT NULL THEN substr(y, 1, 2) || y[4] || y[3] || strftime(b, '-%m-%d') ELSE strftime(b, '%Y-%m-%d') END",
-    "ssn_transposition": _DASHED(f"(substr(d, 1, {_AT('ssn_transposition', 0, 1, 8)} - 1) || substr(d, {_AT('ssn_transposition', 0, 1, 8)} + 1, 1) || substr(d, {_AT('ssn_transposition', 0, 1, 8)}, 1) || substr(d, {_AT('ssn_transposition', 0, 1, 8)} + 2))"),
-    "ssn_digit_error": _DASHED(f"(substr(d, 1, {_AT('ssn_digit_error', 0, 1, 9)} - 1) || CAST((CAST(substr(d, {_AT('ssn_digit_error', 0, 1, 9)}, 1) AS INTEGER) + 1 + CAST(floor({_EU('ssn_digit_error', 1)} * 9) AS INTEGER)) % 10 AS VARCHAR) || substr(d, {_AT('ssn_digit_error', 0, 1, 9)} + 1))"),
-    "ssn_format_variation": "d",
-    "extra_whitespace": f"replace(a, ' ', {_PICK(_EU('extra_whitespace', 0), ['  ', '   ', '    '])})",
-    "leading_trailing_whitespace": "CASE WHEN {u1} < {third}::DOUBLE THEN {pad} || n WHEN {u1} < {thirds}::DOUBLE THEN n || {pad} ELSE {pad} || n || {pad} END".format(u1=_EU("leading_trailing_whitespace", 1), third=repr(1 / 3), thirds=repr(2 / 3), pad=_PICK(_EU("leading_trailing_whitespace", 0), [" ", "  ", "   "])),
-    "special_character_variation": f"CASE WHEN {_EU('special_character_variation', 0)} < 0.5 THEN n || '.' ELSE n END",
-    "missing_field_value": "NULL",
-}
-_TARGETS = {"nickname_substitution": "FIRST", "maiden_name_usage": "LAST", "full_address_change": "ADDRESS", "date_off_by_one": "BIRTHDATE", "date_digit_transposition": "BIRTHDATE", "ssn_transposition": "SSN", "ssn_digit_error": "SSN", "ssn_format_variation": "SSN", "extra_whitespace": "ADDRESS", "leading_trailing_whitespace": "FIRST", "special_character_variation": "FIRST", "missing_field_value": "CITY"}
-_PEOPLE = f"c AS (SELECT CAST(c_custkey AS VARCHAR) AS id, {_PICK('0', ['x'])} AS unused, [{', '.join(repr(k) for k in text.NICKNAME)}][CAST(c_custkey % {len(text.NICKNAME)} + 1 AS INTEGER)] AS n, CAST(DATE '1950-01-01' + CAST(c_custkey % 18000 AS INTEGER) AS DATE) AS b, lpad(CAST(c_custkey AS VARCHAR), 9, '1') AS d, CAST(c_custkey AS VARCHAR) || ' Oak Street Apt 5' AS a FROM customer), e AS (SELECT *, strftime(b, '%Y') AS y FROM c)"
-
-
-@query(f"WITH {_PEOPLE} " + " UNION ALL ".join(f"SELECT id, '{k}' AS error, {v} AS errored FROM e" for k, v in _ERROR_SQL.items()))
+_TARGETS = {
+    "nickname_substitution": "FIRST", "name_typo": "FIRST", "maiden_name_usage": "LAST", "multi_character_typo": "LAST", "address_abbreviation": "ADDRESS", "apartment_format_variation": "ADDRESS", "full_address_change": "ADDRESS",
+    "date_off_by_one": "BIRTHDATE", "date_digit_transposition": "BIRTHDATE", "ssn_transposition": "SSN", "ssn_digit_error": "SSN", "ssn_format_variation": "SSN", "drivers_license_error": "DRIVERS", "passport_error": "PASSPORT",
+    "capitalization_error": "ADDRESS", "extra_whitespace": "ADDRESS", "missing_whitespace": "ADDRESS", "leading_trailing_whitespace": "FIRST", "special_character_variation": "FIRST", "missing_field_value": "CITY",
+}
+_VALUE_SQL = " UNION ALL ".join(f"SELECT Id AS id, '{k}' AS error, {error_sql.CLASSES[k](f, lambda n, k=k: uniform_sql(7, 'Id', repr(k), str(n)))} AS errored FROM papers" for k, f in _TARGETS.items())
+
+
+@query(f"WITH {DEMOGRAPHICS}, papers AS (SELECT *, 'S' || lpad(Id, 8, '9') AS DRIVERS, 'X' || Id || 'y-' AS PASSPORT FROM people) {_VALUE_SQL}")
 def error_values(spark, sf):
-    """Every customer's value after each of twelve errors."""
-    people = demographics(spark, sf)
-    classes = {name: f for group in errors.REGISTRY.values() for name, f, _ in group}
+    """Every customer's value after each of the twenty errors."""
+    people = demographics(spark, sf).withColumns({"DRIVERS": F.concat(F.lit("S"), F.lpad("Id", 8, "9")), "PASSPORT": F.concat(F.lit("X"), "Id", F.lit("y-"))})
+    classes = {name: f for group in [*errors.REGISTRY.values(), errors.EXTRA] for name, f, _ in group}
     draw = lambda name: lambda k: uniform(7, F.col("Id"), name, k)
     made = F.array(*(F.struct(F.lit(k).alias("error"), classes[k](F.col(f), draw(k), people.columns).alias("errored")) for k, f in _TARGETS.items()))
     return people.select(F.col("Id").alias("id"), F.explode(made).alias("x")).select("id", "x.*")
@@ -789,3 +926,72 @@ UNION ALL SELECT 'patient_count_per_facility', f, count(DISTINCT p) FROM f GROUP
 def facility_statistics(spark, sf):
     at = encounters(spark, sf).select("patient_id", "encounter_id", "facility_id")
     return split.all_statistics(at.select("patient_id", "facility_id").distinct(), at)
+
+
+@query("""SELECT 'facility_00' || CAST(o_orderkey % 5 + 1 AS VARCHAR) || ': encounters has ' || CAST(count(DISTINCT o_custkey) AS VARCHAR) || ' invalid PATIENT references' AS message FROM orders WHERE o_custkey % 9 = 0 GROUP BY o_orderkey % 5
+UNION ALL SELECT 'claims_transactions present but claims missing' FROM orders HAVING count(*) > 0""")
+def table_checks(spark, sf):
+    """All messages about tables in which a ninth of the patients and all claims are missing."""
+    e = t(spark, sf, "orders").select(F.col("o_orderkey").alias("Id"), F.col("o_custkey").alias("PATIENT"), F.format_string("facility_%03d", F.col("o_orderkey") % 5 + 1).alias("facility_id"))
+    people = e.where("PATIENT % 9 <> 0").select(F.col("PATIENT").alias("Id"), "facility_id").distinct()
+    said = validate.validate_tables({"patients": people, "encounters": e, "claims_transactions": e.select("Id", "facility_id")})
+    return spark.createDataFrame([(x,) for x in said], "message string")
+
+
+@query("""WITH f AS (SELECT o_custkey AS p, count(DISTINCT o_orderkey % 5) AS k FROM orders GROUP BY 1), n AS (SELECT count(*) AS n FROM f), w(k, share) AS (VALUES (1, 0.4), (2, 0.3), (3, 0.15), (4, 0.1), (5, 0.05)), g AS (SELECT w.k, share::DOUBLE AS share, (SELECT count(*) FROM f WHERE f.k = w.k) / n::DOUBLE AS got FROM w, n)
+SELECT k || ' facilities: expected ' || printf('%.2f%%', share * 100) || ' of patients, got ' || printf('%.2f%%', got * 100) AS message FROM g WHERE NOT (got >= share - 0.1::DOUBLE AND got <= share + 0.1::DOUBLE)
+UNION ALL SELECT 'patients: expected ' || (n + 1) || ', got ' || n FROM n""")
+def distribution_checks(spark, sf):
+    """Orders dealt by number are spread otherwise than the configuration says, and a patient is expected too many."""
+    at = encounters(spark, sf).select("patient_id", "encounter_id", "facility_id")
+    statistics = materialize(split.all_statistics(at.select("patient_id", "facility_id").distinct(), at))
+    n, m = at.select("patient_id").distinct().count(), at.select("encounter_id").distinct().count()
+    said = validate.validate_distribution(statistics, n + 1, m, split.FACILITY_COUNTS)
+    return spark.createDataFrame([(x,) for x in said], "message string")
+
+
+@query(f"""WITH {PEOPLE}, f AS (SELECT substr(record_id, 1, 12) AS f, count(*) AS n FROM recs GROUP BY 1)
+SELECT 'patients of ' || f AS artifact, n FROM f UNION ALL SELECT 'clinical rows of ' || f, n * 5 FROM f UNION ALL SELECT 'truth with records', count(*) FROM recs UNION ALL SELECT 'truth rows out of order', 0 UNION ALL SELECT 'records in the metrics', count(*) FROM recs
+UNION ALL SELECT 'rows of the CSV file', count(*) FROM recs UNION ALL SELECT 'numbers in the CSV file', sum(ord) FROM recs UNION ALL SELECT 'logged errors', sum(CASE WHEN ord % 2 = 0 THEN 1 ELSE 0 END) FROM recs""")
+def run_folder_round_trip(spark, sf):
+    """What is written to a run folder, read again: facility tables one by one, truth with its records, metrics, a CSV file and the error log."""
+    run = run_folder(spark, sf)
+    people = io.patients(spark, run)
+    one = lambda name, df: df.agg(F.count(F.lit(1)).cast("long").alias("n")).select(F.lit(name).alias("artifact"), "n")
+    parts = []
+    for k in (1, 2, 3):
+        parts.append(one(f"patients of {io.facility_name(k)}", io.facility_table(spark, run, "patients", ["Id"], k)))
+        ids = io.facility_table(spark, run, "patients", ["Id"], k).select(F.col("Id").alias("PATIENT"))
+        clinical = None
+        for df in io.medical_records(spark, run, ids, tuple(io.SUMMARY_COLUMNS), io.SUMMARY_COLUMNS).values():
+            own = df.where(F.col("facility_id") == io.facility_name(k)).select("PATIENT")
+            clinical = own if clinical is None else clinical.unionByName(own)
+        parts.append(one(f"clinical rows of {io.facility_name(k)}", clinical))
+    truth_rows = io.truth_with_records(io.ground_truth(spark, run), people)
+    parts.append(one("truth with records", truth_rows.where("record_id IS NOT NULL")))
+    stored = spark.read.parquet(f"{run}/metadata/ground_truth.parquet").select("original_patient_uuid", "facility_id", F.col("_metadata.file_path").alias("f"), F.col("_metadata.row_index").alias("i"))
+    before = Window.partitionBy("f").orderBy("i")
+    key = F.struct("original_patient_uuid", "facility_id")
+    parts.append(one("truth rows out of order", stored.withColumn("x", F.lag(key).over(before) > key).where("x")))
+    io.write_metrics({"records": people.count()}, f"{run}/metadata/metrics.json", spark)
+    parts.append(spark.read.option("multiLine", True).json(f"{run}/metadata/metrics.json").select(F.lit("records in the metrics").alias("artifact"), F.col("records").alias("n")))
+    io.write_csv(people.select("id", "first_name", "zip"), f"{run}/metadata/people.csv")
+    csv = io.read_any(spark, f"{run}/metadata/people.csv")
+    parts += [one("rows of the CSV file", csv), csv.agg(F.sum("id").alias("n")).select(F.lit("numbers in the CSV file").alias("artifact"), "n")]
+    entry = F.struct(F.lit(0).alias("step"), F.lit("SSN").alias("field"), F.lit("ssn_digit_error").alias("error_type"), F.lit("1").alias("original"), F.lit("2").alias("errored"))
+    io.write_error_log(raw_people(spark, sf).withColumn("error_log", F.when(F.col("Id").cast("long") % 2 == 0, F.array(entry)).otherwise(F.array().cast(errors._LOG))), f"{run}/metadata/error_log.jsonl")
+    log = spark.read.json(f"{run}/metadata/error_log.jsonl")
+    parts.append(one("logged errors", log.where("error_type = 'ssn_digit_error' AND timestamp IS NOT NULL")))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+@query("SELECT CAST(f AS INTEGER) AS facility_id, printf('%02d', CAST(f AS INTEGER)) AS zip, true AS named, true AS placed FROM range(1, 8) r(f)")
+def facility_list(spark, sf):
+    """Seven facilities at the places of organizations (nations), named by kind."""
+    organizations = t(spark, sf, "nation").select(F.col("n_nationkey").cast("string").alias("Id"), F.col("n_name").alias("CITY"), F.lit(None).cast("string").alias("STATE"), F.lit("1 Road").alias("ADDRESS"), F.lit("x").alias("ZIP"), F.col("n_nationkey").cast("double").alias("LAT"), F.lit(1.0).alias("LON"))
+    made = io.generate_facilities(organizations, 7)
+    known = made.join(organizations.select(F.col("CITY").alias("city"), F.col("LAT").alias("at")), "city")
+    return known.select("facility_id", F.format_string("%02d", "facility_id").alias("zip"), (F.length("name") > 5).alias("named"), ((F.col("lat") == F.col("at")) & (F.col("state") == "MA")).alias("placed"))

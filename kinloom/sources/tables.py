@@ -8,10 +8,12 @@ it, or one file or folder a facility, ``facilities/facility_NNN/<table>.parquet`
 from __future__ import annotations
 
 import json
+import os
 import re
+import uuid
 import warnings
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinloom.functions.text import strip_digits
@@ -43,16 +45,57 @@ def _paths(spark: SparkSession, pattern: str) -> list[str]:
     return sorted(f.getPath().toString() for f in found or [])
 
 
-def read_csv(spark: SparkSession, path: str, table: str) -> DataFrame:
-    """Strings, but for numbers and the table's timestamps in either of two formats; what is no number or date is null. Digits leave patients' names; ZIPs keep their zeros."""
+# How a column's texts are spelt in each of the lattice's types. A whole number has no leading zero, so that codes stay texts.
+SPELLINGS = {
+    "boolean": r"^(?i:true|false)$",
+    "bigint": r"^(0|-?[1-9][0-9]{0,17})$",
+    "double": r"^-?([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][-+]?[0-9]+)?$",
+    "date": r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$",
+    "timestamp": r"^[0-9]{4}-[0-9]{2}-[0-9]{2}([T ][0-9]{2}:[0-9]{2}(:[0-9]{2}(\.[0-9]{1,6})?)?(Z|[-+][0-9]{2}:?[0-9]{2})?)?$",
+}
+#: Types from narrow to wide in which a column may end: the first whose spelling all its values have. Whatever conflicts is a string.
+LATTICE = ("boolean", "bigint", "double", "date", "timestamp")
+
+
+def infer_types(texts: DataFrame) -> dict[str, str]:
+    """The narrowest type of each string column that holds all its values, read back as they are; string for mixed ones and for those without values.
+
+    A partial result is one set of types a column that all values so far fit. Sets are intersected, in any order, so partitions of one file
+    or of many files are merged by one aggregation over all rows, and no part of them is sampled.
+    """
+    def fits(c: str, kind: str) -> Column:
+        value = F.col(f"`{c}`")
+        ok = value.rlike(SPELLINGS[kind])
+        if kind == "double":  # codes such as 02115 are no numbers
+            ok = ok & ~value.rlike(r"^-?0[0-9]")
+        if kind in ("date", "timestamp"):  # no February 30
+            ok = ok & F.expr(f"try_cast(`{c}` AS {kind})").isNotNull()
+        return ok
+
+    tests = [F.struct(F.count(f"`{c}`").alias("n"), *(F.coalesce(F.bool_and(fits(c, kind)), F.lit(True)).alias(kind) for kind in LATTICE)).alias(f"c{k}") for k, c in enumerate(texts.columns)]
+    if not tests:
+        return {}
+    row = texts.agg(*tests).first()
+    return {c: next((kind for kind in LATTICE if row[k]["n"] and row[k][kind]), "string") for k, c in enumerate(texts.columns)}
+
+
+def typed(texts: DataFrame, types: dict[str, str]) -> DataFrame:
+    """String columns as the given types; what does not fit is null."""
+    return texts.select(*(F.expr(f"try_cast(`{c}` AS {types[c]})").alias(c) if types.get(c, "string") != "string" else F.col(f"`{c}`") for c in texts.columns))
+
+
+def read_csv(spark: SparkSession, path: str, table: str = "", infer: bool = True) -> DataFrame:
+    """The table's timestamps in either of two formats, and numbers; what is no number or date there is null. All other columns have the type that fits all their values (infer), or are strings. Digits leave patients' names; ZIPs keep their zeros."""
     df = spark.read.option("header", True).csv(path)
-    for c in STAMPS.get(table, ()):
+    stamps, names = STAMPS.get(table, ()), ("FIRST", "LAST", "MAIDEN") if table == "patients" else ()
+    fixed = {c for c in df.columns if c in stamps or c in NUMBERS or c in names}
+    if infer:
+        df = typed(df, infer_types(df.select(*(F.col(f"`{c}`") for c in df.columns if c not in fixed))))
+    for c in stamps:
         if c in df.columns:
             df = df.withColumn(c, F.coalesce(F.try_to_timestamp(c, F.lit("yyyy-MM-dd'T'HH:mm:ss'Z'")), F.try_to_timestamp(c, F.lit("yyyy-MM-dd"))))
     df = df.withColumns({c: F.expr(f"try_cast(`{c}` AS DOUBLE)") for c in NUMBERS if c in df.columns})
-    if table == "patients":
-        df = df.withColumns({c: strip_digits(F.col(c)) for c in ("FIRST", "LAST", "MAIDEN") if c in df.columns})
-    return df
+    return df.withColumns({c: strip_digits(F.col(c)) for c in names if c in df.columns})
 
 
 def convert_csv(spark: SparkSession, source: str, target: str, tables: tuple[str, ...] = SOURCE) -> list[str]:
@@ -63,6 +106,44 @@ def convert_csv(spark: SparkSession, source: str, target: str, tables: tuple[str
     return done
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    """A small file, from any file system that Spark knows."""
+    return spark.read.text(path, wholetext=True).first()[0]
+
+
+MANIFEST = "metadata/manifest.json"
+
+
+def manifest(spark: SparkSession, run: str) -> dict[str, str]:
+    """Tables that a run folder does not hold itself, and the run folders that do."""
+    return json.loads(read_text(spark, f"{run}/{MANIFEST}"))["tables"] if _exists(spark, f"{run}/{MANIFEST}") else {}
+
+
+def home_of(spark: SparkSession, run: str, table: str) -> str:
+    """The run folder whose files hold a table: its own files come first, then the manifest's folder, whose own manifest counts no more."""
+    if _paths(spark, f"{run}/facilities/{table}.parquet") or _paths(spark, f"{run}/facilities/facility_*/{table}.parquet"):
+        return run
+    return manifest(spark, run).get(table, run)
+
+
+def pass_through(spark: SparkSession, run: str, out: str, tables: list[str]) -> dict[str, str]:
+    """Lets the run folder out refer to tables of run instead of copying them; a table that run itself refers to is referred to where it is. What the manifest says now."""
+    known = {t: home_of(spark, run, t) for t in tables}
+    write_text(spark, f"{out}/{MANIFEST}", json.dumps({"tables": dict(sorted(known.items()))}, indent=2) + "\n")
+    return known
+
+
+def tables_of(spark: SparkSession, run: str, tables: tuple[str, ...] = SOURCE) -> list[str]:
+    """Those tables that a run folder holds or refers to."""
+    referred = manifest(spark, run)
+    return [t for t in tables if t in referred or home_of(spark, run, t) == run and (_paths(spark, f"{run}/facilities/{t}.parquet") or _paths(spark, f"{run}/facilities/facility_*/{t}.parquet"))]
+
+
 def read_table(spark: SparkSession, folder: str, table: str, columns: list[str] | None = None) -> DataFrame:
     if not _paths(spark, f"{folder}/{table}.parquet"):
         raise FileNotFoundError(f"{folder}/{table}.parquet")
@@ -71,7 +152,7 @@ def read_table(spark: SparkSession, folder: str, table: str, columns: list[str]
 
 
 def read_any(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path) if path.endswith(".parquet") else spark.read.option("header", True).option("inferSchema", True).csv(path)
+    return spark.read.parquet(path) if path.endswith(".parquet") else read_csv(spark, path)
 
 
 def run_folder(spark: SparkSession, path: str) -> str:
@@ -87,7 +168,7 @@ def facility_name(number: int | str) -> str:
 
 def facility_table(spark: SparkSession, run: str, table: str, columns: list[str] | None = None, facility: int | str | None = None) -> DataFrame:
     """A table of all facilities, or of one, with facility_id, and ord, the rows' order."""
-    top = f"{run_folder(spark, run)}/facilities"
+    top = f"{home_of(spark, run_folder(spark, run), table)}/facilities"
     where = [p for p in _paths(spark, f"{top}/facility_*/{table}.parquet") if re.search(r"/facility_\d+/[^/]*$", p)]
     if _paths(spark, f"{top}/{table}.parquet"):
         df = spark.read.parquet(f"{top}/{table}.parquet")
@@ -117,12 +198,32 @@ def patients(spark: SparkSession, run: str, compat: bool = False) -> DataFrame:
     return out.withColumn("ord", F.struct(*(F.col(f"_{n}").alias(n) for n in order))).drop(*(f"_{n}" for n in order))
 
 
+#: Ranges of ids that a scan is given, at most.
+ID_RANGES = 32
+
+
+def id_ranges(ids: DataFrame, key: str, most: int = ID_RANGES) -> list[tuple]:
+    """At most so many ranges (first, last) that hold all ids, none null. Ids are dealt by their order, so that a range is what one task has; the ranges alone meet on the driver."""
+    dealt = ids.select(F.col(key).alias("k")).dropna().distinct().repartitionByRange(most, "k")
+    found = dealt.groupBy(F.spark_partition_id()).agg(F.min("k").alias("a"), F.max("k").alias("b")).select("a", "b").collect()
+    return sorted(map(tuple, found))
+
+
+def rows_of(table: DataFrame, ids: DataFrame, key: str, most: int = ID_RANGES) -> DataFrame:
+    """table's rows whose key is among ids, exactly, each once. The ids' ranges are a filter that reaches the scan, where files and row groups that hold none of them are skipped; write_facilities orders files by patient for that. The semi-join after it decides."""
+    ranges = id_ranges(ids, key, most)
+    if not ranges:
+        return table.where("false")
+    inside = F.lit(False)
+    for a, b in ranges:
+        inside = inside | F.col(key).between(F.lit(a), F.lit(b))
+    return table.where(inside).join(ids.select(key).distinct(), key, "left_semi").select(*table.columns)
+
+
 def medical_records(spark: SparkSession, run: str, ids: DataFrame | None = None, tables: tuple[str, ...] = CLINICAL, columns: dict[str, tuple[str, ...]] | None = None) -> dict[str, DataFrame]:
     """Clinical tables that are there, with the given columns only, and of the given patients (PATIENT) only."""
-    top = f"{run_folder(spark, run)}/facilities"
-    there = [t for t in tables if _paths(spark, f"{top}/{t}.parquet") or _paths(spark, f"{top}/facility_*/{t}.parquet")]
-    out = {t: facility_table(spark, run, t, list((columns or {}).get(t, ())) or None) for t in there}
-    return {t: df.join(ids.select("PATIENT").distinct(), "PATIENT", "left_semi") for t, df in out.items()} if ids is not None else out
+    out = {t: facility_table(spark, run, t, list((columns or {}).get(t, ())) or None) for t in tables_of(spark, run_folder(spark, run), tables)}
+    return {t: rows_of(df, ids, "PATIENT") for t, df in out.items()} if ids is not None else out
 
 
 def ground_truth(spark: SparkSession, run: str) -> DataFrame:
@@ -161,10 +262,14 @@ def generate_facilities(organizations: DataFrame, n: int, seed: int = 42) -> Dat
 
 
 def write_facilities(df: DataFrame, run: str, table: str) -> None:
-    """A table of all facilities as one dataset. A numeric facility_id is written as facility_NNN; a table without rows keeps its columns."""
+    """A table of all facilities as one dataset. A numeric facility_id is written as facility_NNN; a table without rows keeps its columns. Each file is in the order of its patients, so that readers of some of them skip row groups."""
     if dict(df.dtypes)["facility_id"] != "string":
         df = df.withColumn("facility_id", F.format_string("facility_%03d", F.col("facility_id").cast("int")))
-    writer = df.drop("ord").write.mode("overwrite")
+    who = next((c for c in ("PATIENT", "PATIENTID", "Id") if c in df.columns), None)
+    rows = df.drop("ord")
+    if who and "ord" not in df.columns and table in CLINICAL:
+        rows = rows.sortWithinPartitions("facility_id", who, *(c for c in ("START", "DATE") if c in df.columns))
+    writer = rows.write.mode("overwrite")
     (writer.partitionBy("facility_id") if df.take(1) else writer).parquet(f"{run}/facilities/{table}.parquet")
 
 
@@ -181,6 +286,32 @@ def write_text(spark: SparkSession, path: str, text: str) -> None:
     out.close()
 
 
+def create_text(spark: SparkSession, path: str, text: str) -> bool:
+    """Makes a small file with its whole text, unless there is one: whether it did. Of several that try at once, one does.
+
+    The text is written beside it first. A local disk links that file to the name, other file systems rename it; both refuse a name that is taken.
+    On a store whose rename replaces what is there, this guards against earlier files only.
+    """
+    jvm = spark.sparkContext._jvm
+    where, own = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}.new")
+    fs = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if fs.exists(where):
+        return False
+    write_text(spark, own.toString(), text)
+    if fs.getScheme() != "file":
+        done = fs.rename(own, where)
+        if not done:
+            fs.delete(own, False)
+        return done
+    try:
+        os.link(*(jvm.java.io.File(fs.makeQualified(p).toUri().getPath()).getPath() for p in (own, where)))
+        return True
+    except FileExistsError:
+        return False
+    finally:
+        fs.delete(own, False)
+
+
 def write_metrics(row: DataFrame | dict, path: str, spark: SparkSession | None = None) -> dict:
     """One row, or a dictionary, as a JSON object."""
     values = row if isinstance(row, dict) else row.first().asDict(recursive=True)
