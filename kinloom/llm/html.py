@@ -28,6 +28,7 @@ are not read. An empty table gives an empty result.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -64,14 +65,50 @@ CELLS = frozenset(("td", "th", "caption"))
 SHOWN = frozenset(("", "text", "search", "email", "url", "tel", "number", "submit", "button", "reset"))
 #: Columns that a cell spans at most, as in browsers.
 WIDEST = 1000
+#: Where cells are still aligned, in characters from the line's begin. A cell whose column begins beyond it, or that the line has already passed, follows two spaces after what stands before it.
+LINE = 400
 _DISPLAY = re.compile(r"(?<![\w-])display\s*:\s*([\w-]+)", re.I)
 _VISIBILITY = re.compile(r"(?<![\w-])visibility\s*:\s*(\w+)", re.I)
-_COMMENT = re.compile(r"/\*.*?\*/", re.S)
-_AT_RULE = re.compile(r"@[^{};]*(?:;|\{(?:[^{}]*\{[^{}]*\})*[^{}]*\})")
-_RULE = re.compile(r"([^{}]+)\{([^{}]*)\}")
 _SELECTOR = re.compile(r"[\w-]*(?:[.#][\w-]+)?")
 
 
+def _uncommented(css: str) -> str:
+    """Without comments; one that does not end runs to the end."""
+    out, at = [], 0
+    while (begin := css.find("/*", at)) >= 0:
+        out.append(css[at:begin])
+        end = css.find("*/", begin + 2)
+        if end < 0:
+            return "".join(out)
+        at = end + 2
+    return "".join([*out, css[at:]])
+
+
+def _rules(css: str) -> Iterator[tuple[str, str]]:
+    """Selectors and body of each plain rule, in one pass from brace to brace. At-rules are left out with all that they hold."""
+    css = _uncommented(css)
+    begin, depth, nested = 0, 0, None  # where the prelude begins, how deep an at-rule is open, where the last open brace is
+    for found in re.finditer(r"[{};@]", css):
+        at, kind = found.start(), found[0]
+        if kind == "@" and not depth and nested is None:
+            depth = 1  # within the at-rule's own prelude
+        elif kind == "{":
+            if depth:
+                depth += 1
+            else:
+                nested = (begin, at) if nested is None else (nested[1] + 1, at)
+        elif kind == ";" and depth == 1:
+            depth, begin = 0, at + 1
+        elif kind == "}":
+            if depth:
+                depth = 0 if depth <= 2 else depth - 1
+                begin = begin if depth else at + 1
+            else:
+                if nested is not None:
+                    yield css[nested[0] : nested[1]], css[nested[1] + 1 : at]
+                nested, begin = None, at + 1
+
+
 class Node:
     __slots__ = ("tag", "attrs", "children")
 
@@ -85,38 +122,40 @@ class TreeBuilder(HTMLParser):
         self.root = Node("", {})
         self.open = [self.root]
         self.headless = False
-        self.tables: list[int] = []  # where tables are in open; those closed since may still be in it
-
-    def _close(self, tags: set[str], until: set[str]) -> None:
-        for i in range(len(self.open) - 1, 0, -1):
-            if self.open[i].tag in until:
-                return
-            if self.open[i].tag in tags:
-                del self.open[i:]
-                if not any(n.tag in tags for n in self.open[max(1, i - 2) :]):
-                    return
+        self.where: dict[str, list[int]] = {}  # where in open the elements of a tag are
 
     def _push(self, node: Node) -> None:
-        if node.tag == "table":
-            while self.tables and self.tables[-1] >= len(self.open):
-                self.tables.pop()
-            self.tables.append(len(self.open))
+        self.where.setdefault(node.tag, []).append(len(self.open))
         self.open.append(node)
 
+    def _cut(self, at: int) -> None:
+        """Closes all open elements from a place on."""
+        for node in self.open[at:]:
+            self.where[node.tag].pop()
+        del self.open[at:]
+
+    def _last(self, tags) -> int:
+        """Where the last open element of these tags is; 0 if there is none."""
+        return max((self.where[t][-1] for t in tags if self.where.get(t)), default=0)
+
+    def _close(self, tags: set[str], until: set[str]) -> None:
+        while (at := self._last(tags)) > self._last(until):
+            self._cut(at)
+            if not any(n.tag in tags for n in self.open[max(1, at - 2) :]):
+                return
+
     def _table(self) -> int:
         """Where the table is whose content is read now; 0 where that is a cell's or no table's."""
-        i = next((i for i in range(len(self.open) - 1, 0, -1) if self.open[i].tag == "table" or self.open[i].tag in CELLS), 0)
-        return i if self.open[i].tag == "table" else 0
+        at = self._last(("table",))
+        return at if at > self._last(CELLS) else 0
 
     def _part(self, tag: str) -> bool:
         """Makes way for a part of a table, with a row for a cell; False outside tables."""
-        while self.tables and (self.tables[-1] >= len(self.open) or self.open[self.tables[-1]].tag != "table"):
-            self.tables.pop()
-        if not self.tables:
+        at = self._last(("table",))
+        if not at:
             return False
-        at = self.tables[-1]
-        while len(self.open) > at + 1 and not (self.open[-1].tag in TABLE[tag] and not any(n.tag in CELLS for n in self.open[at:])):
-            self.open.pop()
+        while len(self.open) > at + 1 and (self.open[-1].tag not in TABLE[tag] or self._last(CELLS) > at):
+            self._cut(len(self.open) - 1)
         if tag in ("td", "th") and self.open[-1].tag != "tr":
             row = Node("tr", {})
             self.open[-1].children.append(row)
@@ -136,7 +175,7 @@ class TreeBuilder(HTMLParser):
         elif tag != "html" and tag not in HEAD:
             self.headless = True
             if self.open[-1].tag == "head":
-                self.open.pop()
+                self._cut(len(self.open) - 1)
         if not (tag in TABLE and self._part(tag)) and tag in IMPLIED:
             self._close(*IMPLIED[tag])
         if tag in BLOCK:
@@ -146,7 +185,7 @@ class TreeBuilder(HTMLParser):
         node = Node(tag, dict(attrs))
         at = 0 if tag in TABLE or tag in HEAD else self._outside()
         if at and tag == "table":
-            del self.open[at:]
+            self._cut(at)
             at = 0
         if at and tag != "form":
             self.open[at - 1].children.insert(-1, node)
@@ -158,22 +197,20 @@ class TreeBuilder(HTMLParser):
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
         if tag not in VOID and self.open[-1].tag == tag:
-            self.open.pop()
+            self._cut(len(self.open) - 1)
 
     def handle_endtag(self, tag):
-        for i in range(len(self.open) - 1, 0, -1):
-            if self.open[i].tag == tag:
-                del self.open[i:]
-                return
-            if self.open[i].tag in ("table", "td", "th") and tag not in ("table", "tr", "tbody", "body", "html"):
-                return
+        """Closes the last open element of the tag; what stands in a table does not close what is outside."""
+        at = self._last((tag,))
+        if at and (tag in ("table", "tr", "tbody", "body", "html") or at >= self._last(("table", "td", "th"))):
+            self._cut(at)
 
     def handle_data(self, data):
         if data.strip():
             if self.open[-1].tag in ("", "html", "head"):
                 self.headless = True
             if self.open[-1].tag == "head":
-                self.open.pop()
+                self._cut(len(self.open) - 1)
             if at := self._outside():
                 self.open[at - 1].children.insert(-1, data)
                 return
@@ -193,7 +230,7 @@ class Sheet:
             if node.tag == "style":
                 sheets.append("".join(c for c in node.children if isinstance(c, str)))
             todo += [c for c in reversed(node.children) if isinstance(c, Node)]
-        for selectors, body in _RULE.findall(_AT_RULE.sub("", _COMMENT.sub("", "\n".join(sheets)))):
+        for selectors, body in _rules("\n".join(sheets)):
             for name, found in (("display", _DISPLAY.findall(body)), ("visibility", _VISIBILITY.findall(body))):
                 if found:
                     getattr(self, name).update((x.strip(), found[-1].lower()) for x in selectors.split(",") if _SELECTOR.fullmatch(x.strip()))
@@ -271,20 +308,23 @@ def _number(text: str | None, least: int, most: int) -> int | None:
 
 
 def _aligned(rows: list[list[tuple[list[str], int, int]]]) -> list[str]:
-    """Lines of a table from its cells: their lines, and how many columns and rows they span."""
-    busy: dict[int, int] = {}  # columns that cells of rows above still take, and for how many rows
+    """Lines of a table from its cells: their lines, and how many columns and rows they span. Cells are aligned up to LINE; spans end at column WIDEST."""
+    busy: dict[int, int] = {}  # the last row of the cells that columns have been taken by
     placed = []
-    for cells in rows:
-        at, row, now = 0, [], {}
+    for r, cells in enumerate(rows):
+        at, row, taken = 0, [], []
         for lines, across, down in cells:
-            while busy.get(at, 0) > 0:
+            while busy.get(at, -1) >= r:
                 at += 1
+            across = min(across, max(1, WIDEST - at))
             row.append((at, across, lines))
-            now.update((c, down) for c in range(at, at + across))
+            if down > 1:
+                taken.append((at, across, r + down - 1))
             at += across
-        busy = {c: n - 1 for c, n in (busy | now).items() if n > 1}
+        for begin, across, last in taken:  # of cells that overlap, the later one counts
+            busy.update(dict.fromkeys(range(begin, begin + across), last))
         placed.append(row)
-    columns = max((at for row in placed for at, _, _ in row), default=-1) + 1
+    columns = max((at + across for row in placed for at, across, _ in row), default=0)
     width = [0] * columns
     for at, across, lines in sorted((c for row in placed for c in row), key=lambda c: c[1]):
         end = min(at + across, columns)
@@ -296,11 +336,14 @@ def _aligned(rows: list[list[tuple[list[str], int, int]]]) -> list[str]:
     out = []
     for row in placed:
         for k in range(max((len(lines) for _, _, lines in row), default=0)):
-            line = ""
+            line: list[str] = []
+            size = 0
             for at, _, lines in row:
                 if k < len(lines) and lines[k]:
-                    line = line.ljust(start[at]) + lines[k]
-            out.append(line)
+                    gap = start[at] - size if start[at] <= LINE else 2 if line else 0
+                    line.append(" " * max(0, gap) + lines[k])
+                    size += len(line[-1])
+            out.append("".join(line))
     return out
 
 
@@ -416,7 +459,7 @@ def page_text(html: str) -> str:
 
 
 def extract(pages: DataFrame, key: str = "page_id") -> DataFrame:
-    """key and the visible text of each page's html."""
+    """key and the visible text of each page's html; null for null. Time and memory follow a page's size, however its tags are nested, closed or styled; only a table's alignment adds to its text, by LINE characters a line at most."""
 
     def run(batches):
         for batch in batches:
