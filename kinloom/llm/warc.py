@@ -15,12 +15,13 @@ once are joined back, and that join splits hot digests (AQE).
 
 Reading: every archive is parsed by Content-Length; each task's captures are
 sorted by (URL key, timestamp, page), which spills where it must, and written: a
-run. Bounds that cut all runs into ranges come from a sample of keys, of a size
-that follows from the number of ranges alone; a hot URL is split. A range gets
+run. Bounds that cut all runs into ranges come from a sample of keys that the
+executors put in order; a hot URL is split. A range gets
 its part of every run as sorted blocks of at most ``BLOCK_ROWS`` captures, in the
-order of the blocks' first keys, and merges the runs with a loser tree: one
+order of the blocks' first keys, and merges the runs with one loser tree: one
 comparison per level of the tree for every capture. A block is read only when
 the merge reaches its first key, so a task holds the open blocks, not the range.
+More than ``FAN_IN`` runs are merged in passes of so many at a time.
 Ranges and their order together are the globally ordered capture history.
 
 A null html is an empty payload; a null url has the key ``-``; a record of a null
@@ -37,15 +38,17 @@ import bisect
 import hashlib
 import re
 import zlib
+from collections import deque
 from collections.abc import Iterator
 from urllib.parse import urlsplit
 
+import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinloom.llm.common import map_arrow, shared_folder, stored
+from kinloom.operators.golden import placed
 
 #: Compressed bytes of an archive, about: a file takes the record that crosses this.
 FILE_BYTES = 64 << 20
@@ -53,6 +56,8 @@ FILE_BYTES = 64 << 20
 EPOCH = 1_700_000_000
 #: Captures of a block, of a range, and sampled keys of a range, about.
 BLOCK_ROWS, RANGE_ROWS, SAMPLED = 4096, 500_000, 40
+#: Runs that are merged at once.
+FAN_IN = 256
 #: Repeated digests (40 bytes each) that are broadcast at most.
 BROADCAST_DIGESTS = 200_000
 #: Members end with the high byte of their size, which is 0 below this.
@@ -189,22 +194,37 @@ def _order(row: tuple) -> tuple:
     return (row[0], row[1], -1 if row[2] is None else row[2])
 
 
+#: Compressed bytes that a reader hands to the decompressor at once.
+STEP = 64 << 10
+
+
+def _member(view: memoryview, at: int) -> tuple[bytes, int]:
+    """The content of the gzip member at a place, and where it ends. It is fed in pieces, so that what follows the member is not copied."""
+    unpacker, out = zlib.decompressobj(31), []
+    while not unpacker.eof and at < len(view):
+        piece = view[at : at + STEP]
+        out.append(unpacker.decompress(piece))
+        at += len(piece) - len(unpacker.unused_data)
+    return b"".join(out), at
+
+
 def parse_members(data: bytes) -> Iterator[tuple[dict[str, str], bytes, int, int]]:
-    """The records of a gzip archive, with the offsets and lengths of their members in the file."""
-    at, end = 0, len(data)
-    view = memoryview(data)
-    while at < end:
-        record, begin = b"", at
-        while True:
-            unpacker = zlib.decompressobj(31)
-            record += unpacker.decompress(view[at:])
-            at = end - len(unpacker.unused_data)
-            stop = record.find(_HEAD_END)
-            size = re.search(rb"(?i)\r\ncontent-length:\s*(\d+)", record[: stop + 2]) if stop >= 0 else None
-            if size is None or len(record) >= stop + 8 + int(size[1]) or at >= end:
-                break
-        (head, body, _, _), *more = parse_archive(record)
-        if more:
+    """The records of a gzip archive, with the offsets and lengths of their members in the file. Time follows the archive's size."""
+    at, view = 0, memoryview(data)
+    while at < len(data):
+        begin = at
+        record, at = _member(view, at)
+        stop = record.find(_HEAD_END)
+        size = re.search(rb"(?i)\r\ncontent-length:\s*(\d+)", record[: stop + 2]) if stop >= 0 else None
+        if size is not None:
+            parts, have, need = [record], len(record), stop + 8 + int(size[1])
+            while have < need and at < len(data):
+                more, at = _member(view, at)
+                parts.append(more)
+                have += len(more)
+            record = b"".join(parts)
+        (head, body, _, _), *others = parse_archive(record)
+        if others:
             raise ValueError(f"two records in the member at byte {begin}")
         yield head, body, begin, at - begin
 
@@ -245,14 +265,18 @@ def sorted_runs(found: DataFrame) -> DataFrame:
 
 
 class LoserTree:
-    """Merges sorted iterators. Inner nodes hold the losers of their matches; the winner of all is replayed against them along one path."""
+    """Merges sorted iterators. Inner nodes hold the losers of their matches; the winner of all is replayed against them along one path, as is a leaf that is filled anew."""
 
     def __init__(self, runs: list[Iterator[tuple]], key=_order):
-        self.runs, self.key, self.k = runs, key, max(1, len(runs))
+        self.runs, self.key = runs, key
         self.head: list[tuple | None] = [next(r, None) for r in runs]
         self.rank: list[tuple | None] = [None if h is None else key(h) for h in self.head]
+        self.build()
+
+    def build(self) -> None:
+        self.k = max(1, len(self.head))
         self.loser = [-1] * self.k
-        self.winner = self._play(1) if runs else -1
+        self.winner = self._play(1) if self.head else -1
 
     def _beats(self, a: int, b: int) -> bool:
         x, y = self.rank[a], self.rank[b]
@@ -268,22 +292,43 @@ class LoserTree:
         self.loser[node] = lose
         return win
 
+    def put(self, at: int, row: tuple | None) -> None:
+        """A leaf's new row, None for none, and the matches on its way up."""
+        self.head[at] = row
+        self.rank[at] = None if row is None else self.key(row)
+        path = []
+        node = (at + self.k) // 2
+        while node:
+            path.append(node)
+            node //= 2
+        if at == self.winner:
+            rivals = [self.loser[n] for n in path]
+        else:  # from the top: who came up to each node, and who came from its other side
+            rivals, came = [], self.winner
+            for depth in range(len(path) - 1, -1, -1):
+                below = path[depth - 1] if depth else at + self.k
+                x = came + self.k
+                while x > below:
+                    x //= 2
+                own = x == below
+                rivals.append(self.loser[path[depth]] if own else came)
+                came = came if own else self.loser[path[depth]]
+            rivals.reverse()
+        for node, rival in zip(path, rivals):
+            if self._beats(rival, at):
+                rival, at = at, rival
+            self.loser[node] = rival
+        self.winner = at
+
     def __iter__(self) -> Iterator[tuple]:
         while self.winner >= 0 and self.head[self.winner] is not None:
             at = self.winner
             yield self.head[at]
-            self.head[at] = row = next(self.runs[at], None)
-            self.rank[at] = None if row is None else self.key(row)
-            node = (at + self.k) // 2
-            while node:
-                if self._beats(self.loser[node], at):
-                    self.loser[node], at = at, self.loser[node]
-                node //= 2
-            self.winner = at
+            self.put(at, next(self.runs[at], None))
 
 
 class Merge:
-    """A k-way merge of runs whose blocks come in the order of their first keys. Only blocks that the merge has reached are open."""
+    """A k-way merge of runs whose blocks come in the order of their first keys. One tree has a leaf for each run, which takes the run's next block when the merge reaches its first key; only such blocks are open."""
 
     def __init__(self, blocks: Iterator[tuple[int, list[tuple]]]):
         self.blocks = blocks
@@ -291,64 +336,66 @@ class Merge:
         self.most_open = 0
 
     def __iter__(self) -> Iterator[tuple]:
-        open_: dict[int, list[list[tuple]]] = {}
-        while self.next is not None or open_:
-            # take every block whose first key may come before what is open; a run's own blocks follow each other
-            if self.next is not None:
-                run, rows = self.next
-                open_.setdefault(run, []).append(rows)
+        tree, leaf = LoserTree([]), {}
+        rows: list[deque] = []  # of each leaf, what follows its head
+        open_ = 0
+        while True:
+            top = tree.rank[tree.winner] if tree.winner >= 0 else None
+            while self.next is not None and (top is None or _order(self.next[1][0]) <= top):
+                run, block = self.next
                 self.next = next(self.blocks, None)
-                while self.next is not None and _order(self.next[1][0]) <= min(_order(b[0][0]) for b in open_.values()):
-                    open_.setdefault(self.next[0], []).append(self.next[1])
-                    self.next = next(self.blocks, None)
-            self.most_open = max(self.most_open, sum(len(x) for b in open_.values() for x in b))
-            bound = None if self.next is None else _order(self.next[1][0])
-            taken = dict.fromkeys(open_, 0)
-
-            def upto(run: int) -> Iterator[tuple]:
-                for row in (r for rows in open_[run] for r in rows):
-                    if bound is not None and _order(row) > bound:
-                        return
-                    taken[run] += 1
-                    yield row
-
-            names = sorted(open_)
-            yield from LoserTree([upto(r) for r in names])
-            for r in names:
-                rest = [x for rows in open_[r] for x in rows][taken[r] :]
-                if rest:
-                    open_[r] = [rest]
-                else:
-                    del open_[r]
-
-
-def merge_runs(runs: DataFrame, block_rows: int = BLOCK_ROWS, range_rows: int = RANGE_ROWS) -> DataFrame:
-    """The captures of all runs in one order: by URL key, timestamp and page."""
-    spark = runs.sparkSession
-    total = runs.count()
-    ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // range_rows))
-    ranges = min(ranges, max(1, total // block_rows))
+                open_ += len(block)
+                self.most_open = max(self.most_open, open_)
+                at = leaf.setdefault(run, len(leaf))
+                if at == len(tree.head):  # leaves are added by doubling
+                    more = max(1, len(tree.head))
+                    tree.head += [None] * more
+                    tree.rank += [None] * more
+                    rows += [deque() for _ in range(more)]
+                    tree.build()
+                rows[at].extend(block)
+                if tree.head[at] is None:
+                    tree.put(at, rows[at].popleft())
+                top = tree.rank[tree.winner]
+            if top is None:
+                return
+            at = tree.winner
+            yield tree.head[at]
+            open_ -= 1
+            tree.put(at, rows[at].popleft() if rows[at] else None)
+
+
+def _bounds(runs: DataFrame, total: int, ranges: int) -> list[tuple]:
+    """Keys that cut all rows into so many ranges, about evenly. A sample of keys is put in order by the executors; only the bounds come to the driver."""
     share = min(1.0, 2 * SAMPLED * ranges / max(1, total))
     picked = runs.where(F.pmod(F.xxhash64("file", "offset"), F.lit(1 << 30)) < int(share * (1 << 30))).select(*_KEY)
-    keys = sorted(_order(tuple(r)) for r in picked.collect()) if ranges > 1 else []  # about 2 * SAMPLED a range
-    bounds = [keys[len(keys) * i // ranges] for i in range(1, ranges)] if keys else []
+    ordered = placed(picked, *_KEY)
+    every = max(1, ordered.count() // ranges)
+    found = ordered.where(F.col("place") % every == 0).select(*_KEY).collect()
+    return sorted(_order(tuple(r)) for r in found)[: ranges - 1]
+
+
+def _merge_pass(runs: DataFrame, groups: int, total: int, block_rows: int, range_rows: int, fan_in: int) -> DataFrame:
+    """Runs with their rows in one order for each fan_in of them, whose number is run from then on."""
+    spark = runs.sparkSession
+    ranges = max(-(-int(spark.conf.get("spark.sql.shuffle.partitions")) // groups), -(-total // range_rows // groups))
+    ranges = min(ranges, max(1, total // block_rows))
+    bounds = _bounds(runs, total, ranges) if ranges > 1 else []
+    ranges = len(bounds) + 1
 
     def cut(batches):
         """A run, read in its order, as blocks of one range each."""
         held: list[tuple] = []
-        place, seen = None, 0
+        place = None
 
         def block():
-            nonlocal seen
-            seen += 1
             sink = pa.BufferOutputStream()
             table = _rows([r[:11] for r in held])
             with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
                 writer.write_batch(table)
-            first = held[0]
             names = ("place", "run", "urlkey", "timestamp", "page_id", "blob")
             kinds = (pa.int32(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary())
-            values = (place[0], place[1] << 32 | TaskContext.get().partitionId(), *first[:3], sink.getvalue().to_pybytes())
+            values = (place[0] + ranges * (place[1] // fan_in), place[1], *held[0][:3], sink.getvalue().to_pybytes())
             return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds)], list(names))
 
         for batch in batches:
@@ -363,19 +410,41 @@ def merge_runs(runs: DataFrame, block_rows: int = BLOCK_ROWS, range_rows: int =
             yield block()
 
     def merge(batches):
-        blocks = ((run, list(zip(*(c.to_pylist() for c in pa.ipc.open_stream(blob).read_next_batch().columns)))) for batch in batches for run, blob in zip(batch.column("run").to_pylist(), batch.column("blob").to_pylist()))
+        group = 0
+
+        def blocks():
+            nonlocal group
+            for batch in batches:
+                for run, blob in zip(batch.column("run").to_pylist(), batch.column("blob").to_pylist()):
+                    group = run // fan_in
+                    yield run, list(zip(*(c.to_pylist() for c in pa.ipc.open_stream(blob).read_next_batch().columns)))
+
+        def made(rows):
+            table = _rows(rows)
+            return pa.RecordBatch.from_arrays([*table.columns, pa.array(np.full(len(rows), group, np.int64))], [*table.schema.names, "run"])
+
         out = []
-        for row in Merge(blocks):
+        for row in Merge(blocks()):
             out.append(row)
             if len(out) == BLOCK_ROWS:
-                yield _rows(out)
+                yield made(out)
                 out = []
         if out:
-            yield _rows(out)
+            yield made(out)
 
     blocks = map_arrow(runs, cut, "place int, run long, urlkey string, timestamp string, page_id long, blob binary")
-    dealt = blocks.repartitionById(ranges, "place").sortWithinPartitions(*(F.col(c).asc_nulls_first() for c in _KEY))
-    return map_arrow(dealt.select("run", "blob"), merge, CAPTURE)
+    dealt = blocks.repartitionById(ranges * groups, "place").sortWithinPartitions(*(F.col(c).asc_nulls_first() for c in _KEY))
+    return map_arrow(dealt.select("run", "blob"), merge, f"{CAPTURE}, run long")
+
+
+def merge_runs(runs: DataFrame, block_rows: int = BLOCK_ROWS, range_rows: int = RANGE_ROWS, fan_in: int = FAN_IN) -> DataFrame:
+    """The captures of all runs in one order: by URL key, timestamp and page. More runs than fan_in are first merged so many at a time, in as many passes as it takes, so that a range has blocks of so many runs at most."""
+    total, most = runs.agg(F.count(F.lit(1)), F.max("run")).first()
+    names = (most or 0) + 1
+    while names > fan_in:
+        names = -(-names // fan_in)
+        runs = stored(_merge_pass(runs, names, total, block_rows, range_rows, fan_in))
+    return _merge_pass(runs, 1, total, block_rows, range_rows, max(fan_in, names)).drop("run")
 
 
 def capture_index(spark: SparkSession, path: str) -> DataFrame:
