@@ -89,10 +89,20 @@ def write_container(payload: bytes) -> bytes:
     return ftyp + moov(head) + box(b"mdat", payload)
 
 
+#: Kinds of a path that walk gives.
+PATH = 8
+
+
 def walk(data: bytes, start: int = 0, end: int | None = None, path: tuple[bytes, ...] = ()) -> Iterator[tuple[tuple[bytes, ...], int, int]]:
-    """Each box's path, and where its body begins and ends. Follows 64-bit sizes and boxes that run to the end."""
-    end = len(data) if end is None else end
-    while start + 8 <= end:
+    """Each box's path (its last kinds, PATH at most), and where its body begins and ends. Follows 64-bit sizes and boxes that run to the end, to any depth."""
+    todo = [[start, len(data) if end is None else end, path]]
+    while todo:
+        start, end, path = todo[-1]
+        if start + 8 > end:
+            if start != end:
+                raise ValueError("bytes after the last box")
+            todo.pop()
+            continue
         size, kind = struct.unpack_from(">I4s", data, start)
         body = start + 8
         if size == 1:
@@ -104,12 +114,11 @@ def walk(data: bytes, start: int = 0, end: int | None = None, path: tuple[bytes,
             size = end - start
         if size < body - start or start + size > end:
             raise ValueError(f"box {kind!r} exceeds its parent")
-        yield (*path, kind), body, start + size
+        own = (*path[1 - PATH :], kind)
+        yield own, body, start + size
+        todo[-1][0] = start + size
         if kind in PARENTS:
-            yield from walk(data, body, start + size, (*path, kind))
-        start += size
-    if start != end:
-        raise ValueError("bytes after the last box")
+            todo.append([body, start + size, own])
 
 
 def _numbers(data: bytes, at: int, end: int, dtype: str, count: int) -> np.ndarray:
@@ -127,6 +136,7 @@ def _sample_table(data: bytes, boxes: dict[bytes, tuple[int, int]]) -> dict:
     codec = data[at + 4 : at + 8].decode("latin-1") if count else ""
     runs, at, end = head(b"stts")
     stts = _numbers(data, at, end, ">u4", 2 * runs).reshape(-1, 2)
+    timed = int(stts[:, 0].sum())
     if b"stz2" in boxes:
         at, end = boxes[b"stz2"]
         bits, n = struct.unpack_from(">II", data, at + 4)
@@ -141,18 +151,23 @@ def _sample_table(data: bytes, boxes: dict[bytes, tuple[int, int]]) -> dict:
     else:
         at, end = boxes[b"stsz"]
         same, n = struct.unpack_from(">II", data, at + 4)
+        if same * n > len(data):
+            raise ValueError("samples are larger than the file")
         sizes = np.full(n, same, np.int64) if same else _numbers(data, at + 12, end, ">u4", n)
     runs, at, end = head(b"stsc")
     stsc = _numbers(data, at, end, ">u4", 3 * runs).reshape(-1, 3)
     wide = b"co64" in boxes
     chunks, at, end = head(b"co64" if wide else b"stco")
     places = _numbers(data, at, end, ">u8" if wide else ">u4", chunks)
+    if timed > n:
+        raise ValueError("stts has more samples than stsz")
     per_chunk = np.repeat(stsc[:, 1], np.diff(np.append(stsc[:, 0] - 1, chunks))) if runs else np.zeros(0, np.int64)
-    chunk_of = np.repeat(np.arange(len(per_chunk)), per_chunk)[:n]
-    if len(chunk_of) < n:
+    upto = np.cumsum(per_chunk)  # may be far more than n: only n are looked up
+    if n and (not len(upto) or upto[-1] < n):
         raise ValueError("chunks hold fewer samples than stsz")
+    chunk_of = np.searchsorted(upto, np.arange(n), side="right")
     before = np.cumsum(sizes) - sizes
-    first = np.cumsum(per_chunk) - per_chunk
+    first = upto - per_chunk
     offsets = places[chunk_of] + before - before[np.minimum(first[chunk_of], max(n - 1, 0))] if n else np.zeros(0, np.int64)
     if b"stss" in boxes:
         count, at, end = head(b"stss")
@@ -201,6 +216,8 @@ class _Fragment:
         flags, n = struct.unpack_from(">II", data, at)
         flags &= 0xFFFFFF
         at += 8
+        if n > len(data):
+            raise ValueError("a run has more samples than the file has bytes")
         if flags & 1:
             self.next = self.base + struct.unpack_from(">i", data, at)[0]
             at += 4
@@ -225,7 +242,7 @@ def read_container(data: bytes) -> dict:
     tracks: list[dict] = []
     by_id: dict[int, dict] = {}
     defaults: dict[int, tuple[int, int, int]] = {}
-    movie = moof = 0
+    movie = moof = in_runs = 0
     fragment = None
     for path, at, end in walk(data):
         kind = path[-1]
@@ -250,6 +267,9 @@ def read_container(data: bytes) -> dict:
             fragment[0].head(data, at)
         elif kind == b"trun" and fragment and fragment[1]:
             fragment[1]["runs"].append(fragment[0].run(data, at, end))
+            in_runs += len(fragment[1]["runs"][-1][0])
+            if in_runs > len(data):
+                raise ValueError("runs have more samples than the file has bytes")
         elif len(path) > 1 and path[-2] == b"stbl" and tracks:
             tracks[-1]["boxes"][kind] = (at, end)
     found = None
@@ -257,7 +277,8 @@ def read_container(data: bytes) -> dict:
         boxes = track["boxes"]
         if {b"stsd", b"stts", b"stsc"} <= boxes.keys() and boxes.keys() & {b"stco", b"co64"} and boxes.keys() & {b"stsz", b"stz2"}:
             found = _sample_table(data, boxes) | {"timescale": track["scale"], "edited": track["edited"]}
-            for offsets, sizes, durations, keys in track["runs"]:
+            if track["runs"]:
+                offsets, sizes, durations, keys = (np.concatenate(x) for x in zip(*track["runs"]))
                 found["offsets"], found["sizes"] = np.append(found["offsets"], offsets), np.append(found["sizes"], sizes)
                 found["key_offsets"], found["key_sizes"] = np.append(found["key_offsets"], offsets[keys]), np.append(found["key_sizes"], sizes[keys])
                 found["samples"] += len(sizes)
@@ -292,7 +313,7 @@ def feature(track: dict) -> str:
 
 
 def media_columns(df: DataFrame, media_col: str = "media", keys: tuple[str, ...] = ()) -> DataFrame:
-    """Columns codec, duration (s), samples and keyframes (array of offset and length) of a binary column, beside the key columns."""
+    """Columns codec, duration (s), samples and keyframes (array of offset and length) of a binary column, beside the key columns, and error. Null media has nulls; what is no readable file has an error and nulls. Counts that a file states are held against its tables and its size before anything is made of them, so memory follows the file's size."""
     names = [f"k{i}" for i in range(len(keys))]
     source = df.select(*(F.col(k).alias(n) for k, n in zip(keys, names)), F.col(media_col).alias("media"))
     kinds = "".join(f"{n} {source.schema[n].dataType.simpleString()}, " for n in names)
@@ -307,7 +328,7 @@ def media_columns(df: DataFrame, media_col: str = "media", keys: tuple[str, ...]
                     try:
                         t = read_container(data)
                         row = (t["codec"].strip(), t["duration"], t["samples"], [{"offset": int(o), "length": int(s)} for o, s in zip(t["key_offsets"], t["key_sizes"])], None)
-                    except (ValueError, KeyError, struct.error) as e:
+                    except (ValueError, KeyError, IndexError, OverflowError, struct.error) as e:
                         row = (None, None, None, None, str(e))
                 for column, value in zip(rows, row):
                     column.append(value)
