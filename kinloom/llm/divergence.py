@@ -24,21 +24,25 @@ TOP = 10
 #: Groups that are broadcast, and the parts of a language otherwise.
 BROADCAST_GROUPS = 50_000
 SALTS = 64
+#: Kept terms that are broadcast; more of them meet the counts by a shuffle.
+BROADCAST_TERMS = 500_000
 
 
 def term_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """lang, source, term, n occurrences, docs that hold it; and a row without a term for each occurring group.
+    """lang, source, term, n occurrences, docs that hold it; and a row without a term for each group that has a document without terms.
 
-    One explode: a document's terms are sorted, so that the first of equal ones also counts the document. Each task adds up its own
+    A document's terms are sorted, and each different one is exploded once, with the length of its run as its count. Each task adds up its own
     counts before the shuffle, so neither a frequent term nor a large source meets in one task row by row.
     """
     blank = lambda name: F.coalesce(F.col(name).cast("string"), F.lit(""))
-    terms = F.sort_array(words_of(ascii_lower(blank(text_col)), _BETWEEN))
-    rows = docs.select(blank("lang").alias("lang"), blank("source").alias("source"), F.concat(terms, F.array(F.lit(None).cast("string"))).alias("terms"))
-    each = rows.select("lang", "source", "terms", F.posexplode("terms").alias("at", "term"))
-    first = F.when(F.col("term") != F.coalesce(F.get("terms", F.col("at") - 1), F.lit("")), 1).otherwise(0)
-    each = each.select("lang", "source", "term", first.alias("first"))
-    return each.groupBy("lang", "source", "term").agg(F.count("term").alias("n"), F.sum("first").alias("docs"))
+    rows = docs.select(blank("lang").alias("lang"), blank("source").alias("source"), F.sort_array(words_of(ascii_lower(blank(text_col)), _BETWEEN)).alias("terms"))
+    begins = F.filter(F.sequence(F.lit(0), F.size("terms") - 1), lambda i: (i == 0) | (F.get("terms", i) != F.get("terms", i - 1)))
+    rows = rows.withColumn("begins", F.when(F.size("terms") > 0, begins))
+    # the outer form, which also keeps documents without terms: from the inner one Spark would infer a filter and work out the runs, with the terms, anew for each element
+    each = rows.select("lang", "source", "terms", "begins", F.posexplode_outer("begins").alias("k", "at"))
+    n = F.coalesce(F.get("begins", F.col("k") + 1), F.size("terms")) - F.col("at")
+    each = each.select("lang", "source", F.get("terms", F.col("at")).alias("term"), n.alias("n"))
+    return each.groupBy("lang", "source", "term").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("term").alias("docs"))
 
 
 def _share(n: Column, total: Column, terms: Column) -> Column:
@@ -72,15 +76,16 @@ def audit(docs: DataFrame, min_docs: int = MIN_DOCS, top: int = TOP, text_col: s
     them up in the task that has them, and shuffles one row for each two sources and task.
     """
     counts = stored(term_counts(docs, text_col))
-    groups = counts.where("term is null").select("lang", "source")
+    groups = stored(counts.select("lang", "source").distinct())
     kept = counts.where("term is not null").groupBy("lang", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs")).where(F.col("docs") >= min_docs).select("lang", "term", "n")
     kept = stored(kept)
-    own = counts.join(kept.select("lang", "term"), ["lang", "term"]).select("lang", "source", "term", "n")
+    names = kept.select("lang", "term")
+    own = counts.join(F.broadcast(names) if kept.count() <= BROADCAST_TERMS else names, ["lang", "term"]).select("lang", "source", "term", "n")
     sizes = kept.groupBy("lang").agg(F.count(F.lit(1)).alias("terms"), F.sum("n").alias("lang_total"))
     totals = own.groupBy("lang", "source").agg(F.sum("n").alias("total"))
     described = groups.join(sizes, "lang").join(totals, ["lang", "source"], "left").withColumn("total", F.coalesce("total", F.lit(0)))  # languages with kept terms
     few = groups.count() <= BROADCAST_GROUPS
-    dense = _by_language(described, kept.withColumnRenamed("n", "lang_n"), "term", few).join(own, ["lang", "source", "term"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    dense = _by_language(described, kept.withColumnRenamed("n", "lang_n"), "term", few).join(own.hint("shuffle_hash"), ["lang", "source", "term"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
     dense = stored(
         dense.select("lang", "source", "term", "n", _share(F.col("n"), F.col("total"), F.col("terms")).alias("p"), _share(F.col("lang_n"), F.col("lang_total"), F.col("terms")).alias("q"))
     )
