@@ -27,7 +27,7 @@ def _lookup(table: dict[str, str], key: Column) -> Column:
 
 def trim(c: Column) -> Column:
     """Without white space of any kind at either end."""
-    return F.regexp_replace(c, r"^\s+|\s+$", "")
+    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
 
 
 def title_case(c: Column) -> Column:

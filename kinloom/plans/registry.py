@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from kinloom.functions import text
 from kinloom import config
-from kinloom.functions.draws import uniform, uniform_sql, weighted_sql
+from kinloom.functions.draws import uniform, uniform_sql, weighted, weighted_sql
 from kinloom.operators import dataset, errors, evaluate, golden, linkage, scoring, split, standardize, summarize, validate
 from kinloom.operators.graph import connected_components, materialize, scratch_path
 from kinloom.plans import error_sql, programs
@@ -749,8 +749,11 @@ def error_values(spark, sf):
     people = demographics(spark, sf).withColumns({"DRIVERS": F.concat(F.lit("S"), F.lpad("Id", 8, "9")), "PASSPORT": F.concat(F.lit("X"), "Id", F.lit("y-"))})
     classes = {name: f for group in [*errors.REGISTRY.values(), errors.EXTRA] for name, f, _ in group}
     draw = lambda name: lambda k: uniform(7, F.col("Id"), name, k)
-    made = F.array(*(F.struct(F.lit(k).alias("error"), classes[k](F.col(f), draw(k), people.columns).alias("errored")) for k, f in _TARGETS.items()))
-    return people.select(F.col("Id").alias("id"), F.explode(made).alias("x")).select("id", "x.*")
+    out = None
+    for k, f in _TARGETS.items():
+        own = people.select("Id", F.lit(k).alias("error"), classes[k](F.col(f), draw(k), people.columns).alias("errored"))
+        out = own if out is None else out.unionByName(own)
+    return out.withColumnRenamed("Id", "id")
 
 
 # Production rules and comparisons: every customer is two records of a person at most, with fields of every kind.
