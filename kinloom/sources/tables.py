@@ -69,7 +69,7 @@ def infer_types(texts: DataFrame) -> dict[str, str]:
         if kind == "double":  # codes such as 02115 are no numbers
             ok = ok & ~value.rlike(r"^-?0[0-9]")
         if kind in ("date", "timestamp"):  # no February 30
-            ok = ok & F.expr(f"try_cast(`{c}` AS {kind})").isNotNull()
+            ok = ok & (value.isNull() | F.expr(f"try_cast(`{c}` AS {kind})").isNotNull())
         return ok
 
     tests = [F.struct(F.count(f"`{c}`").alias("n"), *(F.coalesce(F.bool_and(fits(c, kind)), F.lit(True)).alias(kind) for kind in LATTICE)).alias(f"c{k}") for k, c in enumerate(texts.columns)]
