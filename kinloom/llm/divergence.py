@@ -8,7 +8,10 @@ the divergence of every two sources; windows rank.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import contextlib
+from collections.abc import Iterator
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kinloom.llm.common import ascii_lower, stored, words_of
@@ -45,6 +48,21 @@ def term_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return each.groupBy("lang", "source", "term").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("term").alias("docs"))
 
 
+@contextlib.contextmanager
+def _one_map(spark: SparkSession) -> Iterator[None]:
+    """Aggregation without the small map that Spark asks before the large one: most terms of a task are in the large one, so that it is asked in vain. The session's setting comes back afterwards."""
+    key = "spark.sql.codegen.aggregate.map.twolevel.enabled"
+    own = spark.conf.getAll.get(key)
+    spark.conf.set(key, "false")
+    try:
+        yield
+    finally:
+        if own is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, own)
+
+
 def _share(n: Column, total: Column, terms: Column) -> Column:
     """1 + floor(SCALE (n + 2) / (total + 2 terms)), in decimals, so that no count is too large."""
     whole = lambda c: c.cast("decimal(20,0)")
@@ -75,7 +93,8 @@ def audit(docs: DataFrame, min_docs: int = MIN_DOCS, top: int = TOP, text_col: s
     The counts are stored once. What follows grows with kept terms x sources; the self-join makes each two sources of a term once, adds
     them up in the task that has them, and shuffles one row for each two sources and task.
     """
-    counts = stored(term_counts(docs, text_col))
+    with _one_map(docs.sparkSession):
+        counts = stored(term_counts(docs, text_col))
     groups = stored(counts.select("lang", "source").distinct())
     kept = counts.where("term is not null").groupBy("lang", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs")).where(F.col("docs") >= min_docs).select("lang", "term", "n")
     kept = stored(kept)
