@@ -173,13 +173,16 @@ PAIR_ROWS = 50_000
 
 
 def _proposals(free: DataFrame, seed: int, k: int) -> DataFrame:
-    """source < target, u: the free patients of each facility two by two, in an order by hash that each round draws anew. A large facility is cut by the hash; a cut of one patient proposes nothing, but one of several cuts always has two."""
+    """source < target, u: the free patients of each facility two by two, in an order by hash that each round draws anew. A large facility is cut by ranges of the hash, which are ordered each for itself and offset by those before, so pairs do not depend on the cuts; the last of an odd number proposes nothing."""
     source, target = "source_patient_id", "target_patient_id"
     cuts = free.groupBy("facility_id").agg(F.ceil(F.count(F.lit(1)) / F.lit(PAIR_ROWS)).alias("cuts"))
     dealt = free.join(cuts, "facility_id").withColumn("h", hashed(seed, F.lit(k), F.col("patient_id")))
-    dealt = dealt.withColumn("cut", F.pmod(F.conv(F.substring("h", 1, 8), 16, 10).cast("long"), F.col("cuts")))
+    dealt = dealt.withColumn("cut", F.expr("CAST(conv(substring(h, 1, 8), 16, 10) AS BIGINT) * cuts DIV 4294967296"))
+    sizes = dealt.groupBy("facility_id", "cut").agg(F.count(F.lit(1)).alias("n"))
+    before = sizes.select("facility_id", "cut", (F.sum("n").over(Window.partitionBy("facility_id").orderBy("cut")) - F.col("n")).alias("before"))  # a row a cut
     place = F.row_number().over(Window.partitionBy("facility_id", "cut").orderBy("h", "patient_id")) - 1
-    two = dealt.withColumn("g", F.floor(place / 2)).groupBy("facility_id", "cut", "g").agg(F.min("patient_id").alias(source), F.max("patient_id").alias(target))
+    placed_rows = dealt.withColumn("i", place).join(F.broadcast(before), ["facility_id", "cut"])
+    two = placed_rows.withColumn("g", F.floor((F.col("i") + F.col("before")) / 2)).groupBy("facility_id", "g").agg(F.min("patient_id").alias(source), F.max("patient_id").alias(target))
     return two.where(F.col(source) < F.col(target)).select(source, target).distinct().withColumn("u", hashed(seed, F.col(source), F.col(target)))
 
 
