@@ -6,20 +6,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinloom.functions.draws import uniform
+from kinloom.operators.golden import placed
+from kinloom.operators.graph import materialize
 
 
-#: Records in a bucket of the dense index, about.
-BUCKET = 100_000
-
-
-def _indexed(records: DataFrame, total: int) -> DataFrame:
-    """records with i, their place from 0 to total - 1 by hash bucket and id: counts by bucket, plus offsets."""
-    buckets = total // BUCKET + 1
-    at = records.withColumn("k", F.pmod(F.xxhash64("record_id"), F.lit(buckets)))
-    sizes = at.groupBy("k").count()
-    offsets = sizes.select("k", (F.sum("count").over(Window.orderBy("k")) - F.col("count")).alias("before"))  # a row per bucket
-    rank = F.row_number().over(Window.partitionBy("k").orderBy("record_id"))
-    return at.withColumn("rn", rank).join(F.broadcast(offsets), "k").select("record_id", "true_patient_id", (F.col("before") + F.col("rn") - 1).alias("i"))
+def _indexed(records: DataFrame) -> DataFrame:
+    """records with i, their place from 0 by id, at any number of records the same."""
+    return placed(records, "record_id").select("record_id", "true_patient_id", (F.col("place") - 1).alias("i"))
 
 
 def _smallest(pairs: DataFrame, n: int, top: int) -> DataFrame:
@@ -42,7 +35,7 @@ def negatives(records: DataFrame, n: int | None = None, seed: int = 42, least: i
     total, squares = (int(x or 0) for x in sizes.agg(F.sum("c"), F.sum(F.expr("CAST(c * c AS DECIMAL(38,0))"))).first())
     possible, true = (total * total - squares) // 2, (squares - total) // 2
     n = min(max(true, least) if n is None else n, possible)
-    at = _indexed(people, total)
+    at = materialize(_indexed(people))
     a, b = (at.select(F.col("i").alias(f"i{s}"), F.col("record_id").alias(f"r{s}"), F.col("true_patient_id").alias(f"p{s}")) for s in (1, 2))
     least, greatest = F.least("r1", "r2").alias("record_id_1"), F.greatest("r1", "r2").alias("record_id_2")
     if 2 * n >= possible:
