@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from kinloom.functions import text
-from kinloom.operators import linkage
+from kinloom.operators import dataset, linkage, split
 from kinloom.operators.graph import connected_components
 from kinloom.plans import registry
 
@@ -53,3 +53,28 @@ def test_similarity_is_symmetric():
     words = [bytes(draw.choice(b"aab") for _ in range(draw.randrange(12))) for _ in range(4000)]
     a, b = words[:2000], words[2000:]
     assert (text.jaro_winkler_bytes(a, b) == text.jaro_winkler_bytes(b, a)).all()
+
+
+@pytest.mark.parametrize("rows_a_task", [7, 50_000])
+def test_proposals_do_not_depend_on_cuts(spark, monkeypatch, rows_a_task):
+    free = spark.range(101).select((F.col("id") % 2).alias("facility_id"), F.col("id").alias("patient_id"))
+    want = {r.patient_id: r.h for r in free.select("patient_id", split.hashed(42, F.lit(0), F.col("patient_id")).alias("h")).collect()}
+    pairs = set()
+    for f in (0, 1):
+        own = sorted((k for k in want if k % 2 == f), key=want.get)
+        pairs |= {tuple(sorted(own[i : i + 2])) for i in range(0, len(own) - 1, 2)}
+    monkeypatch.setattr(split, "PAIR_ROWS", rows_a_task)
+    assert {tuple(r[:2]) for r in split._proposals(free, 42, 0).collect()} == pairs
+
+
+def test_places_follow_ids(spark):
+    people = spark.range(150_000).select((F.col("id") * 3).alias("record_id"), F.lit("x").alias("true_patient_id"))
+    assert dataset._indexed(people).where("i <> record_id DIV 3").count() == 0
+
+
+def test_cuts_copy_no_square(spark):
+    """Blocks of 50 times the bound are cut into 50 at most, but into no more than the partitions need, and every pair stays."""
+    people = spark.range(800).select(F.col("id").alias("record_id"), (F.col("id") % 8).alias("zip"))
+    hot, _, blocks = linkage._hot_blocks(people.select(F.col("zip").alias("q0")), {0: ["q0"]}, 2)
+    assert blocks == 8 and hot.agg(F.max("cuts")).first()[0] <= 8
+    assert linkage.block(people, [("zip",)], hot_block=2).distinct().count() == 8 * 100 * 99 // 2
