@@ -78,3 +78,38 @@ def test_cuts_copy_no_square(spark):
     hot, _, blocks = linkage._hot_blocks(people.select(F.col("zip").alias("q0")), {0: ["q0"]}, 2)
     assert blocks == 8 and hot.agg(F.max("cuts")).first()[0] <= 8
     assert linkage.block(people, [("zip",)], hot_block=2).distinct().count() == 8 * 100 * 99 // 2
+
+
+def test_reaching_keeps_every_pair_that_scores(spark):
+    """All pairs at the threshold stay, with nulls, other alphabets and dates that are none; of the others most go before similarities."""
+    draw = random.Random(7)
+    some = lambda *v: draw.choice([*v, None])
+    rows = [(f"r{k}", some("Anna", "Hanna", "Ána", "Bob", ""), some("Lee", "Leigh", "Smith", "Smyth"), f"{k // 2} Oak " + draw.choice(["St", "Street"]), some("Boston", "Bostom", "Lynn"), some("1", "2"), some(f"{k // 2}", "7"), some(f"1980-01-{k % 28 + 1:02d}", "1980-10-01", "1980-02-30", "then"), draw.choice("MF")) for k in range(150)]
+    people = spark.createDataFrame(rows, "record_id string, first_name string, last_name string, address string, city string, zip string, ssn string, birthdate string, gender string")
+    rules, model = [("zip",), ("gender",), ("last_name",)], linkage.Model(registry.PRODUCTION, 0.001)
+    plain = linkage.score(linkage.compare_blocks(people, rules, model.comparisons), model).where("match_probability >= 0.01")
+    want = {(r.record_id_l, r.record_id_r, r.match_key): r.match_weight for r in plain.collect()}
+    kept = {tuple(r) for r in linkage.reaching(people, model, 0.01, rules).collect()}
+    assert want and set(want) <= kept and len(kept) < 0.5 * linkage.block(people, rules).count()
+    found = linkage.predict(people, model, 0.01, rules)
+    assert {(r.record_id_1, r.record_id_2, r.match_key): r.match_weight for r in found.collect()} == pytest.approx(want)
+
+
+def test_hints_bound_similarity(spark):
+    draw = random.Random(9)
+    word = lambda: "".join(draw.choice("aAbé1 -") for _ in range(draw.randrange(9)))
+    pairs = [(word(), word()) for _ in range(1500)] + [(w + "x" * 70_000, w) for w in ("ab", "b")]
+    true = text.jaro_winkler_bytes([a.encode() for a, _ in pairs], [b.encode() for _, b in pairs])
+    df = spark.createDataFrame([(*p, float(s)) for p, s in zip(pairs, true)], "a string, b string, s double").withColumns({"x": text.letter_hints(F.col("a")), "y": text.letter_hints(F.col("b"))})
+    for t in (0.5, 0.7, 0.8, 0.92):
+        can = text.similar_reach(*((F.col(f"x.{k}"), F.col(f"y.{k}")) for k in ("low", "high", "size")), t)
+        assert df.where((F.col("s") >= t) & ~can).count() == 0
+    assert df.where(~can).count() > 500
+
+
+def test_dates_that_one_edit_can_reach(spark):
+    dates = [f"19{y}-0{m}-{d:02d}" for y in (80, 81, 8) for m in (1, 2) for d in (1, 10, 12, 21)] + ["", "none at all"]
+    df = spark.createDataFrame([(a, b) for a in dates for b in dates], "a string, b string")
+    can = text.one_edit_reach(text.date_digits(F.col("a")), text.date_digits(F.col("b")))
+    assert df.where(text.one_edit_date(F.col("a"), F.col("b")) & ~F.coalesce(can, F.lit(False))).count() == 0
+    assert df.where(can).count() < 0.7 * len(dates) ** 2
