@@ -217,6 +217,11 @@ def _options(columns: list[str], weights: dict[str, float], registry: dict) -> l
     return out
 
 
+def dealt(df: DataFrame, key: str) -> DataFrame:
+    """df dealt over tasks by key: a few megabytes of patients are one split of a file, but work for all cores."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+
+
 def inject(
     df: DataFrame, rate: float = 1.0, least: int = 1, most: int = 3, several: float = 0.7, weights: dict[str, float] = WEIGHTS,
     seed: int = 42, key: str = "Id", extra: dict[str, list[tuple]] | None = None,
@@ -225,7 +230,7 @@ def inject(
     who = [F.col(key)] + ([F.col("facility_id")] if "facility_id" in df.columns else [])
     u = lambda step, k: uniform(seed, *who, step, k)
     n = F.when(u(-1, 0) >= rate, 0).when(u(-1, 1) < several, least + F.floor(u(-1, 2) * (most - least + 1))).otherwise(1)
-    out = df.withColumn("error_log", F.array().cast(_LOG)).withColumn("n_errors", n.cast("int"))
+    out = dealt(df, key).withColumn("error_log", F.array().cast(_LOG)).withColumn("n_errors", n.cast("int"))
     registry = {k: [*v, *(extra or {}).get(k, [])] for k, v in (REGISTRY | {k: [] for k in (extra or {}) if k not in REGISTRY}).items()}
     options = _options(df.columns, weights, registry)
     for step in range(most if options else 0):

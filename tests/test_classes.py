@@ -113,3 +113,14 @@ def test_dates_that_one_edit_can_reach(spark):
     can = text.one_edit_reach(text.date_digits(F.col("a")), text.date_digits(F.col("b")))
     assert df.where(text.one_edit_date(F.col("a"), F.col("b")) & ~F.coalesce(can, F.lit(False))).count() == 0
     assert df.where(can).count() < 0.7 * len(dates) ** 2
+
+
+def test_errors_are_dealt_over_tasks(spark):
+    """Patients of one split of a file become work for several tasks, with the same errors."""
+    from kinloom.operators import errors
+
+    people = spark.range(200).select(F.col("id").cast("string").alias("Id"), F.lit("02115").alias("ZIP")).coalesce(1)
+    made = errors.inject(people, most=1, weights={"missing_data": 1.0})
+    assert made.select(F.spark_partition_id().alias("p")).distinct().count() > 1
+    assert made.where("ZIP IS NULL AND size(error_log) = 1").count() == 200
+    assert registry.error_values(spark, "/root/testdata/sf0.001").where("error = 'missing_whitespace'").select(F.spark_partition_id().alias("p")).distinct().count() > 1
