@@ -124,3 +124,28 @@ def test_errors_are_dealt_over_tasks(spark):
     assert made.select(F.spark_partition_id().alias("p")).distinct().count() > 1
     assert made.where("ZIP IS NULL AND size(error_log) = 1").count() == 200
     assert registry.error_values(spark, "/root/testdata/sf0.001").where("error = 'missing_whitespace'").select(F.spark_partition_id().alias("p")).distinct().count() > 1
+
+
+def test_components_with_leaves(spark, monkeypatch):
+    """Leaves hang on their only neighbour after the rounds, which see the other edges alone; components are those of a plain search."""
+    from kinloom.operators import graph
+
+    rnd = random.Random(3)
+    links = [(7, 1000 + i) for i in range(500)] + [(i + 1, i) for i in range(40, 80)] + [(2000 + i, 3000 - i) for i in range(50)] + [(5, 5), (9, None), (3100, 3101), (3101, 3100)]
+    links += [(4000 + rnd.randrange(300), 4000 + rnd.randrange(300)) for _ in range(180)] + [(6000 + i, 5000) for i in range(5)] + [(4900, 5000)]
+    parent = {x: x for a, b in links if b is not None and a != b for x in (a, b)}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in links:
+        if b is not None and a != b:
+            x, y = sorted((root(a), root(b)))
+            parent[y] = x
+    rows, plain = [], graph.materialize
+    monkeypatch.setattr(graph, "materialize", lambda df: rows.append((out := plain(df)).count()) or out)
+    found = [tuple(r) for r in graph.connected_components(spark.createDataFrame(links, "a long, b long")).collect()]
+    assert sorted(found) == sorted((x, root(x)) for x in parent)
+    assert sum(n >= 500 for n in rows) == 2  # the edges and the leaves, whatever the rounds
