@@ -149,3 +149,14 @@ def test_components_with_leaves(spark, monkeypatch):
     found = [tuple(r) for r in graph.connected_components(spark.createDataFrame(links, "a long, b long")).collect()]
     assert sorted(found) == sorted((x, root(x)) for x in parent)
     assert sum(n >= 500 for n in rows) == 2  # the edges and the leaves, whatever the rounds
+
+
+def test_partitions_follow_pairs(spark, monkeypatch):
+    """One block's pairs are dealt over partitions of a bounded number of pairs, each pair once, the smaller id first; nulls find nothing."""
+    monkeypatch.setattr(linkage, "PAIRS_A_PARTITION", 10_000)
+    people = spark.range(900).select(F.col("id").cast("string").alias("record_id"), F.when(F.col("id") < 800, 0).alias("zip"), (F.col("id") % 2).alias("half"))
+    pairs = linkage.block(people, [("zip", "half"), ("half",), ("zip",)], carry=("half",)).select("*", F.spark_partition_id().alias("p")).cache()
+    assert pairs.count() == pairs.select("record_id_l", "record_id_r").distinct().count() == 800 * 799 // 2 + 2 * (450 * 449 - 400 * 399) // 2
+    assert pairs.where("record_id_l >= record_id_r OR half_l <> record_id_l % 2 OR half_r <> record_id_r % 2").isEmpty()
+    assert pairs.groupBy("match_key", "p").count().agg(F.max("count")).first()[0] < 60_000
+    assert linkage.block(people, [("zip",)], carry=("half",), where=F.col("half_l") != F.col("half_r")).count() == 400 * 400
